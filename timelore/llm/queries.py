@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelore.llm import mixing, token_codes, url_tree, warc
+from timelore.llm import ann, decontaminate, mixing, quality_crf, token_codes, toxicity, url_tree, warc
 from timelore.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -27,6 +31,14 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mixing.sample_mixture(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("probability", 6).alias("probability"))
@@ -37,11 +49,19 @@ def op9_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_tree.judge(table(spark, sf_dir, "pages"), labels)
 
 
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_warc_archive": op3_warc_archive,
     "op4_token_codes": op4_token_codes,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_multi_index": op7_multi_index,
     "op8_mixture": op8_mixture,
     "op9_url_tree": op9_url_tree,
+    "op10_quality_crf": op10_quality_crf,
 }
 
 ORACLE_SQL: dict[str, str] = {}
