@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelore.llm import ann, decontaminate, mixing, quality_crf, token_codes, toxicity, url_tree, warc
+from timelore.llm import ann, decontaminate, mixing, near_dup, quality_crf, token_codes, toxicity, url_tree, warc
 from timelore.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archive": op3_warc_archive,
     "op4_token_codes": op4_token_codes,
     "op5_decontaminate": op5_decontaminate,
+    "op6_near_dup": op6_near_dup,
     "op7_multi_index": op7_multi_index,
     "op8_mixture": op8_mixture,
     "op9_url_tree": op9_url_tree,
