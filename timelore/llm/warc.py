@@ -5,8 +5,9 @@ the largest id of a payload is a `response` that carries the bytes, the others a
 refer to it. The exact header block of every record is kept in a table of its own, next to the digest, so
 the full record of any row is rebuilt by one join of headers and payloads on the digest.
 
-Layout of an archive folder: `warc/` holds plain WARC files (Spark's text writer; the record end CRLF CRLF
-is its line separator), `headers/` a Parquet table (page_id, payload_sha256, header).
+Layout of an archive folder: `warc/` holds gzip-compressed WARC files (Spark's text writer; the record end
+CRLF CRLF is its line separator) of at most RECORDS_A_FILE records, `headers/` a Parquet table (page_id,
+payload_sha256, record_type, header).
 
 Defined cases: a null payload is the empty payload; a null id is never preferred over a number, and a
 payload that only null ids have keeps them all as responses; equal rows with the largest id of a payload
@@ -17,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -44,39 +46,55 @@ def base32_of_hex(digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
 
 
-def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One row for each record: page_id, sha256, payload (null for revisits), header, record_type, stored.
-
-    `stored` marks the one row whose record carries the payload's bytes.
-    """
+def described(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, sha256, sha1, n of each row."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumns({"sha256": F.sha2("payload", 256), "sha1": F.sha1(F.col("payload").cast("binary")), "n": F.octet_length("payload").cast("long")})
-    firsts = rows.groupBy("sha256").agg(F.max("page_id").alias("first_id"))
-    rows = rows.join(firsts, "sha256")
-    is_first = (F.col("n") < min_bytes) | F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
-    kind = F.when(is_first, "response").otherwise("revisit")
+    return rows.withColumns({"sha256": F.sha2("payload", 256), "sha1": F.sha1(F.col("payload").cast("binary")), "n": F.octet_length("payload").cast("long")})
+
+
+def header_block(kind: Column) -> Column:
+    """The exact header of a row of page_id, url, sha256, sha1, n, first_id."""
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     lines = [
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.col("record_type")),
+        F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), name, F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), name)), "[\\r\\n]", "")),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("sha1"))),
         F.concat(F.lit("X-Payload-SHA256: "), F.col("sha256")),
-        F.concat(F.lit("X-Payload-Length: "), F.col("n")),
-        F.when(F.col("record_type") == "revisit", F.concat(F.lit(f"WARC-Refers-To: <urn:page:"), F.col("first_id"), F.lit(f">{CRLF}WARC-Profile: {REVISIT_PROFILE}"))),
+        F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first_id"), F.lit(f">{CRLF}WARC-Profile: {REVISIT_PROFILE}"))),
         F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(F.col("record_type") == "response", F.col("n")).otherwise(0)),
+        F.concat(F.lit("Content-Length: "), F.when(kind == "response", F.col("n")).otherwise(0)),
     ]
-    return rows.withColumn("record_type", kind).select("page_id", "sha256", "record_type", F.concat_ws(CRLF, *lines).alias("header"), F.when(is_first, F.col("payload")).alias("payload"))
+    return F.concat_ws(CRLF, *lines)
+
+
+def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """One row for each record, without payload: page_id, payload_sha256, record_type, header."""
+    rows = described(pages).drop("payload")
+    firsts = rows.groupBy("sha256").agg(F.max("page_id").alias("first_id"))
+    rows = rows.join(firsts, "sha256")
+    first = (F.col("n") < min_bytes) | F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
+    kind = F.when(first, "response").otherwise("revisit")
+    return rows.select("page_id", F.col("sha256").alias("payload_sha256"), kind.alias("record_type"), header_block(kind).alias("header"))
+
+
+def responses(pages: DataFrame) -> DataFrame:
+    """One row for each distinct payload: header of its response and the payload; copies are combined before the shuffle."""
+    best = F.max(F.struct("page_id", "url")).alias("best")
+    one = described(pages).groupBy("sha256").agg(best, F.first("payload").alias("payload"), F.first("sha1").alias("sha1"), F.first("n").alias("n"))
+    one = one.select("sha256", "sha1", "n", "payload", F.col("best.page_id").alias("page_id"), F.col("best.url").alias("url"), F.col("best.page_id").alias("first_id"))
+    return one.select(header_block(F.lit("response")).alias("header"), "payload")
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
-    rows = records(pages, min_bytes)
-    rows.select("page_id", F.col("sha256").alias("payload_sha256"), "header").write.option("compression", "zstd").parquet(f"{path}/headers")
-    body = F.concat("header", F.lit(END), F.coalesce("payload", F.lit("")))
-    rows.select(body.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(f"{path}/warc")
+    """Headers of all records, and the WARC files: a response for each payload, then the revisits."""
+    spark = pages.sparkSession
+    records(pages, min_bytes).write.option("compression", "zstd").parquet(f"{path}/headers")
+    revisits = spark.read.parquet(f"{path}/headers").filter("record_type = 'revisit'")
+    body = responses(pages).select(F.concat("header", F.lit(END), "payload").alias("value")).unionByName(revisits.select(F.concat("header", F.lit(END)).alias("value")))
+    body.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(f"{path}/warc")
     return path
 
 
@@ -95,14 +113,14 @@ def parse_records(content: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files: header, payload, payload_sha256 and sha1 of the bytes as they were read."""
+    """Records of the WARC files: header, payload, and length and digests of the bytes as they were read."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows: list[tuple[str, bytes, str, str]] = []
-                for header, payload in parse_records(content.as_py()):
-                    rows.append((header, payload, hashlib.sha256(payload).hexdigest(), hashlib.sha1(payload).hexdigest()))
+                rows: list[tuple] = []
+                for header, payload in parse_records(gzip.decompress(content.as_py())):
+                    rows.append((header, payload, len(payload), hashlib.sha256(payload).hexdigest(), hashlib.sha1(payload).hexdigest()))
                     if len(rows) == 500:
                         yield _batch(rows)
                         rows = []
@@ -110,11 +128,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/warc").select("content")
-    return files.mapInArrow(parse, "header string, payload binary, payload_sha256 string, payload_sha1 string")
+    return files.mapInArrow(parse, "header string, payload binary, payload_bytes long, payload_sha256 string, payload_sha1 string")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["header", "payload", "payload_sha256", "payload_sha1"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["header", "payload", "payload_bytes", "payload_sha256", "payload_sha1"])
 
 
 def field(header: Column, name: str) -> Column:
@@ -124,11 +142,10 @@ def field(header: Column, name: str) -> Column:
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
     """The distinct payloads, each verified: the digest of the bytes read is the one the record states."""
-    stored = read_warc(spark, path)
-    stored = stored.filter(field(F.col("header"), "WARC-Type") == "response").dropDuplicates(["payload_sha256"])
+    stored = read_warc(spark, path).filter(field(F.col("header"), "WARC-Type") == "response")
     stated = field(F.col("header"), "X-Payload-SHA256")
     checked = F.when(stated == F.col("payload_sha256"), F.col("payload_sha256")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), stated)))
-    return stored.select(checked.alias("payload_sha256"), "payload_sha1", "payload")
+    return stored.select(checked.alias("payload_sha256"), "payload_sha1", "payload_bytes", "payload")
 
 
 def reconstruct(spark: SparkSession, path: str, with_record: bool = True) -> DataFrame:
@@ -139,7 +156,7 @@ def reconstruct(spark: SparkSession, path: str, with_record: bool = True) -> Dat
     refers = F.regexp_extract(F.coalesce(field(head, "WARC-Refers-To"), F.lit("")), "<urn:page:(-?\\d+)>", 1)
     columns = {
         "page_id": F.col("page_id"),
-        "payload_bytes": F.octet_length("payload").cast("long"),
+        "payload_bytes": F.col("payload_bytes"),
         "payload_digest": base32_of_hex(F.col("payload_sha1")),
         "record_type": field(head, "WARC-Type"),
         "refers_to": F.when(refers != "", refers.cast("long")),
