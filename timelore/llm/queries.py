@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelore.llm import ann, decontaminate, mixing, near_dup, quality_crf, token_codes, toxicity, url_tree, warc
+from timelore.llm import ann, decontaminate, mixing, near_dup, quality_crf, suffix_dedup, token_codes, toxicity, url_tree, warc
 from timelore.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc_archive": op3_warc_archive,
     "op4_token_codes": op4_token_codes,
     "op5_decontaminate": op5_decontaminate,
