@@ -12,10 +12,12 @@ are thrown; a document with an empty coordinate throws further.
 
 Joining: K = 80 values in 20 bands of 4 find a pair of similarity 0.8 with probability 1 - 3e-5. Texts with
 equal words meet first, so a bucket holds different texts only. In each bucket all members are compared with
-one leader, the member whose buckets are the largest; the links give first components. Members of a bucket
-outside its main component are then compared with all members of other components, kept if their signatures
-agree in at least 0.62 of the coordinates (four standard deviations below 0.8). All comparisons that decide
-are exact, on the shingles. So no pair of one component is looked at, and nothing is capped.
+one leader, the member whose buckets are the largest; the links give first components. Twice, members
+outside their bucket's main component are compared with another leader from it. Those still outside are
+compared with all members of other components, in blocks, if their signatures agree in at least 0.62 of the
+coordinates (four standard deviations below 0.8). All comparisons that decide are exact, on the shingles.
+Pairs of one component are never looked at, an outsider needs one link to each component, and nothing is
+capped.
 
 Defined cases: texts without words are alike only if they are equal; a null text is alike to none; rows with
 one doc_id count as one document (their classes are joined); null ids are one such id, written as class
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelore.llm.common import materialise
@@ -41,7 +43,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 AGREE = 0.62
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 20
+EXTRA_LEADERS = 2
+OUT_BLOCK, MEMBER_BLOCK = 256, 2_048
 
 _U = np.uint64
 _POSITIONS = np.random.default_rng(1).integers(0, 1 << 63, 4096, dtype=np.uint64) * _U(2) + _U(1)
@@ -203,27 +207,25 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sets, "id long, hashes binary, counts binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose shingles are similar enough. `texts`: (id, text) with one row for each id.
-
-    Only texts that occur in a pair are turned into shingles.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialise(shingle_sets(texts.join(wanted, "id", "left_semi")), name)
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar enough."""
     both = pairs.join(sets.toDF("b", "hb", "cb"), "b").join(sets.toDF("a", "ha", "ca"), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for ha, ca, hb, cb in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), "<u8") for x in (ha, hb))
-                x, y = (np.frombuffer(x.as_buffer(), "<u4").astype(float) for x in (ca, cb))
-                keep.append(weighted_jaccard(a, x, b, y) >= SIMILARITY)
+            keep = [similarity(*x) >= SIMILARITY for x in zip(*(batch.column(i) for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(compare, "a long, b long")
 
 
+def similarity(ha: pa.Scalar, ca: pa.Scalar, hb: pa.Scalar, cb: pa.Scalar) -> float:
+    """Of two rows of shingle_sets."""
+    a, b = (np.frombuffer(x.as_buffer(), "<u8") for x in (ha, hb))
+    x, y = (np.frombuffer(x.as_buffer(), "<u4").astype(float) for x in (ca, cb))
+    return weighted_jaccard(a, x, b, y)
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, class) of every node of the edges; class is the smallest id of its component.
 
@@ -245,6 +247,66 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("the components didn't settle")
 
 
+def led_pairs(members: DataFrame, rank) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with the bucket's member of highest rank; members: bucket, rep."""
+    led = members.groupBy("bucket").agg(F.max_by("rep", F.struct(rank, "rep")).alias("leader"))
+    pairs = members.join(led, "bucket").filter("rep <> leader")
+    return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
+def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets of three and more that lie in several components: bucket, rep, class, main (the largest class there)."""
+    placed = members.filter("n > 2").select("bucket", "rep").join(found.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).filter("n > n_main")
+    return placed.join(main, "bucket")
+
+
+def outside_links(open_: DataFrame, details: DataFrame) -> DataFrame:
+    """Links (a, b) between members outside a bucket's main component and members of other components.
+
+    open_: as of unsettled; details: rep, signature, bands, hashes, counts. Outsiders and members are dealt
+    out in blocks of bounded size, each pair of blocks is one group. A pair is looked at in its first common
+    band only, and by falling agreement; an outsider stops at its first link with each component.
+    """
+    outside = open_.filter("class <> main")
+    chunks = outside.groupBy("bucket").agg(F.count("*").alias("n_out")).select("bucket", F.ceil(F.col("n_out") / OUT_BLOCK).cast("int").alias("chunks"))
+    rows = open_.withColumn("blocks", F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")).join(chunks, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["bucket", "chunk", "block"]
+    out = rows.filter("class <> main").withColumn("chunk", place("chunks")).select("bucket", "rep", "class", "chunk", every("blocks").alias("block"))
+    others = rows.withColumn("block", place("blocks")).select("bucket", "rep", "class", "block", every("chunks").alias("chunk"))
+    out, others = (d.join(details, "rep").select(*keys, "rep", "class", "signature", "bands", "hashes", "counts") for d in (out, others))
+    return out.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(_outside_group, "a long, b long").distinct()
+
+
+def _outside_group(out: pa.Table, others: pa.Table) -> pa.Table:
+    links: list[tuple[int, int]] = []
+    if out.num_rows and others.num_rows:
+        out, others = out.combine_chunks(), others.combine_chunks()
+        bucket = out["bucket"][0].as_py()
+
+        def numbers(t: pa.Table) -> tuple[np.ndarray, ...]:
+            signature = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u4").reshape(-1, K)
+            bands = np.array(t["bands"].to_pylist(), np.int64)
+            return t["rep"].to_numpy(), t["class"].to_numpy(), signature, bands
+
+        ids, cls, signature, bands = numbers(out)
+        o_ids, o_cls, o_signature, o_bands = numbers(others)
+        for i in range(len(ids)):
+            same = o_bands == bands[i]
+            first = bands[i][same.argmax(axis=1)] == bucket
+            agree = (o_signature == signature[i]).mean(axis=1)
+            able = first & (agree >= AGREE) & (o_cls != cls[i])
+            joined: set[int] = set()
+            for j in sorted(np.flatnonzero(able), key=lambda j: (-agree[j], o_ids[j])):
+                if o_cls[j] not in joined and similarity(out["hashes"][i], out["counts"][i], others["hashes"][int(j)], others["counts"][int(j)]) >= SIMILARITY:
+                    joined.add(int(o_cls[j]))
+                    links.append((min(int(ids[i]), int(o_ids[j])), max(int(ids[i]), int(o_ids[j]))))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): one row for each document row; class_id is the smallest doc_id of the class."""
     rows = materialise(signed(docs), "signed")
@@ -253,30 +315,26 @@ def classes(docs: DataFrame) -> DataFrame:
     members = reps.filter("rep is not null").select("rep", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(members.join(sizes, "bucket"), "members")
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    if _repeated(docs):  # rows with one id stand for one document: its first text by hash
+        texts = texts.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sets = materialise(shingle_sets(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")), "sets")
+
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    led = members.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct(F.col("weight"), (-F.col("rep")).alias("back"))).alias("top"))
-    pairs = members.join(led.select("bucket", (-F.col("top.back")).alias("leader")), "bucket").filter("rep <> leader")
-    pairs = materialise(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "pairs")
-    # the text of each representative; rows with one id and other words share it only through the id
-    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").dropDuplicates(["id"]) if _repeated(docs) else docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    links = materialise(verified(pairs, texts, "sets"), "links")
-    first = components(links)
-
-    # members of a bucket that lie outside its main component meet the members of its other components
-    placed = members.select("bucket", "rep").join(first.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    counted = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    main = counted.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("main.class").alias("main"))
-    mixed = materialise(placed.join(main, "bucket"), "mixed")
-    names = reps.select("rep", "signature")
-    outside = mixed.filter("class <> main").select("bucket", F.col("rep").alias("a"), F.col("class").alias("ca"))
-    near = outside.join(mixed.select("bucket", F.col("rep").alias("b"), F.col("class").alias("cb")), "bucket").filter("ca <> cb")
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    alike = near.join(names.toDF("a", "sa"), "a").join(names.toDF("b", "sb"), "b").mapInArrow(_agreeing, "a long, b long")
-    more = verified(materialise(alike, "alike"), texts, "more-sets")
-    second = components(links.unionByName(more))
-    out = rows.select("doc_id", "key").join(reps.select("key", "rep"), "key").join(second.toDF("rep", "class"), "rep", "left")
-    found = out.select("doc_id", F.coalesce("class", "rep").alias("class_id"))
-    return found.unionByName(docs.filter("text is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id")))
+    links = materialise(verified(led_pairs(members.join(weight, "rep"), F.col("weight")), sets), "links")
+    found = components(links)
+    for turn in range(EXTRA_LEADERS):
+        open_ = unsettled(members, found)
+        leaders = open_.filter("class = main").groupBy("bucket").agg(F.max_by("rep", F.xxhash64("rep", F.lit(turn))).alias("leader"))
+        pairs = open_.filter("class <> main").join(leaders, "bucket").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        links = materialise(links.unionByName(verified(pairs, sets)), "links")
+        found = components(links)
+    details = reps.select("rep", "signature", "bands").join(sets.toDF("rep", "hashes", "counts"), "rep")
+    more = materialise(outside_links(materialise(unsettled(members, found), "open"), details), "more")
+    found = components(links.unionByName(more))
+    out = rows.select("doc_id", "key").join(reps.select("key", "rep"), "key").join(found.toDF("rep", "class"), "rep", "left")
+    joined = out.select("doc_id", F.coalesce("class", "rep").alias("class_id"))
+    return joined.unionByName(docs.filter("text is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id")))
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -284,13 +342,6 @@ def _repeated(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, K) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= AGREE))
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each class, columns unchanged; rows with a null id stay."""
     kept = classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
