@@ -278,13 +278,14 @@ def outside_links(open_: DataFrame, details: DataFrame) -> DataFrame:
     out = rows.filter("class <> main").withColumn("chunk", place("chunks")).select("bucket", "rep", "class", "chunk", every("blocks").alias("block"))
     others = rows.withColumn("block", place("blocks")).select("bucket", "rep", "class", "block", every("chunks").alias("chunk"))
     out, others = (d.join(details, "rep").select(*keys, "rep", "class", "signature", "bands", "hashes", "counts") for d in (out, others))
-    return out.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(_outside_group, "a long, b long").distinct()
+    out = out.toDF(*[f"out_{c}" for c in out.columns])
+    return out.groupBy(*[f"out_{k}" for k in keys]).cogroup(others.groupBy(*keys)).applyInArrow(_outside_group, "a long, b long").distinct()
 
 
 def _outside_group(out: pa.Table, others: pa.Table) -> pa.Table:
     links: list[tuple[int, int]] = []
     if out.num_rows and others.num_rows:
-        out, others = out.combine_chunks(), others.combine_chunks()
+        out = out.rename_columns([c.removeprefix("out_") for c in out.column_names])
         bucket = out["bucket"][0].as_py()
 
         def numbers(t: pa.Table) -> tuple[np.ndarray, ...]:
