@@ -1,0 +1 @@
+"""Evidence search and timeline analytics on Spark."""
