@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timelore.llm import ann, decontaminate, mixing, near_dup, quality_crf, suffix_dedup, token_codes, toxicity, url_tree, warc
 from timelore.llm.common import table
+from timelore.llm.oracle import ORACLE_SQL
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -74,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_crf": op10_quality_crf,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
