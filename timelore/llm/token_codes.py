@@ -281,12 +281,13 @@ def write_archive(docs: DataFrame, path: str, tokenizer_path: str, **options) ->
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Blocks with `start`, the number of tokens before the block in the whole archive.
 
-    The only total order needed is over parts, of which there is one for each task that wrote.
+    The only total order needed is over parts, of which there is one for each task that wrote; their totals
+    are small enough to go to every task, so the blocks themselves aren't shuffled again.
     """
     blocks = spark.read.parquet(path)
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     firsts = parts.select("part", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("part_start"))
-    return blocks.join(firsts, "part").withColumn("start", F.col("part_start") + F.col("local_start"))
+    return blocks.join(F.broadcast(firsts), "part").withColumn("start", F.col("part_start") + F.col("local_start"))
 
 
 def documents_of(archive: DataFrame, with_ids: bool = False) -> DataFrame:
