@@ -31,7 +31,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with raked weights of sources, languages and topics."""
-    return mixing.sample_mixture(docs).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def token_archive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,9 +48,10 @@ def _value(column: Column) -> Column:
 
 
 def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens."""
+    """`row` (all columns of docs), _source, _lang, _topic and _tokens; no name of docs can clash."""
     text = F.col("text")
-    return docs.withColumns({"_source": _value(F.col("source")), "_lang": _value(F.col("lang")), "_topic": _value(topic if topic is not None else topic_of(text)), "_tokens": token_count(text)})
+    values = {"_source": _value(F.col("source")), "_lang": _value(F.col("lang")), "_topic": _value(topic if topic is not None else topic_of(text)), "_tokens": token_count(text)}
+    return docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in values.items()])
 
 
 def tempered_targets(cells: DataFrame, marginal: str, temper: float) -> DataFrame:
@@ -106,9 +107,14 @@ def mixture_cells(docs: DataFrame, temper: float = 0.7, rate: float = 0.6, itera
 
 
 def sample_mixture(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The documents that stay, with _source, _lang, _topic, _tokens, weight and probability."""
+    """The documents that stay: row, _source, _lang, _topic, _tokens, weight and probability."""
     cells = materialise(mixture_cells(docs, **options), "mixture").drop("tokens")
     keys = [f"_{m}" for m in MARGINALS]
     joined = described(docs).join(cells, keys, "left")
     chance = F.when(F.col("_tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0)))
-    return joined.withColumn("probability", chance).filter(uniform(F.col("doc_id"), seed) < F.col("probability"))
+    return joined.withColumn("probability", chance).filter(uniform(F.col("row.doc_id"), seed) < F.col("probability"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents that stay, with the columns of docs."""
+    return sample_mixture(docs, **options).select("row.*")

@@ -50,7 +50,7 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mixing.sample_mixture(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("probability", 6).alias("probability"))
+    return kept.select("row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("probability", 6).alias("probability"))
 
 
 def op9_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
