@@ -30,6 +30,7 @@ documents, ordered by hash of the text; an empty table stays empty; further colu
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +42,9 @@ from timelore.llm.common import materialise, shuffle_partitions
 
 LENGTH = 100
 GRAM = 32
-RUN = 64
+RUN = LENGTH - GRAM + 1  # the most starts that one place of a fingerprint can serve
 CHUNK_BYTES = 1 << 20
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 19
 GROUP_PIECES = 4_096
 
 _U = np.uint64
@@ -59,65 +60,73 @@ def collection_bwt(pieces: list[bytes], cap: int = LENGTH) -> tuple[np.ndarray,
     """(transform, common prefixes up to cap, piece, suffix length) of all suffixes in sorted order.
 
     The transform holds 1 + byte, and 0 at the suffix that is a whole piece. common[r] is the length that
-    suffixes r - 1 and r share. Equal suffixes stand in the order of their pieces.
+    suffixes r - 1 and r share. Equal suffixes stand in the order of their pieces. Pieces and cap are below
+    256 bytes. A suffix is one number: piece, length, common prefix and symbol, so that a round rewrites one
+    sequence.
     """
     m = len(pieces)
     size = np.array([len(p) for p in pieces], np.int64)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
+    data = np.frombuffer(b"".join(pieces) + b"\0", np.uint8)
     end = np.cumsum(size)
-
-    def symbol(piece: np.ndarray, length: int) -> np.ndarray:
-        """The symbol before the suffix of that length."""
+    used = np.unique(data)
+    if len(used) > 255 or size.max(initial=0) > 255 or cap > 255:
+        raise ValueError("more than 255 symbols, or a piece of more than 255 bytes")
+    code = np.zeros(256, np.uint8)
+    code[used] = np.arange(1, len(used) + 1)
+    data = code[data]
+
+    def suffix(piece: np.ndarray, length: int, shared: np.ndarray) -> np.ndarray:
+        """The numbers of suffixes of one length; the symbol is the one before the suffix."""
         there = size[piece] > length
-        at = end[piece] - length - 1
-        return np.where(there, data[np.where(there, at, 0)].astype(np.int16) + 1, 0).astype(np.int16)
+        symbol = np.where(there, data[np.where(there, end[piece] - length - 1, 0)], 0).astype(np.uint64)
+        return symbol | shared.astype(np.uint64) << _U(8) | _U(length << 16) | piece.astype(np.uint64) << _U(24)
 
-    piece = np.arange(m, dtype=np.int32)
-    length = np.zeros(m, np.int16)
-    transform = symbol(piece, 0)
-    common = np.zeros(m, np.uint8)
+    rows = suffix(np.arange(m), 0, np.zeros(m, np.int64))
+    fresh = np.ones(m, bool)
     for j in range(int(size.max(initial=0))):
-        order = np.argsort(transform, kind="stable")  # a counting sort: the rank of each symbol occurrence
-        sorted_symbols = transform[order]
-        n_ended = int(np.searchsorted(sorted_symbols, 1))
-        grown = np.flatnonzero((length[order] == j) & (sorted_symbols > 0))
+        symbols = rows.astype(np.uint8)
+        order = symbol_ranks(symbols)
+        n_ended = len(symbols) - int(np.count_nonzero(symbols))
+        grown = n_ended + np.flatnonzero(fresh[order[n_ended:]])
         if not len(grown):
             break
         row = order[grown]
+        bytes_of = rows.view(np.uint8)
+        common = bytes_of[1::8] if sys.byteorder == "little" else bytes_of[6::8]
 
         def shared(left: np.ndarray) -> np.ndarray:
             """Common prefix of the extensions of order[left] and order[left + 1]; 0 where the symbol changes."""
-            same = (left >= 0) & (left + 1 < len(order))
-            same[same] = sorted_symbols[left[same]] == sorted_symbols[left[same] + 1]
+            a, b = order[np.maximum(left, 0)], order[np.minimum(left + 1, len(order) - 1)]
+            same = (left >= 0) & (left + 1 < len(order)) & (symbols[a] == symbols[b])
             out = np.zeros(len(left), np.int64)
             if same.any():
-                a, b = order[left[same]] + 1, order[left[same] + 1] + 1
-                bounds = np.column_stack([a, b]).ravel()
+                bounds = np.column_stack([a[same] + 1, b[same] + 1]).ravel()
                 padded = np.append(common, np.uint8(0))
                 out[same] = np.minimum(np.minimum.reduceat(padded, bounds)[::2].astype(np.int64) + 1, cap)
             return out
 
         with_left, with_right = shared(grown - 1), shared(grown)
         place = m + grown - n_ended
-        total = len(transform) + len(row)
-        old = np.ones(total, bool)
-        old[place] = False
-
-        def merged(before: np.ndarray, new: np.ndarray) -> np.ndarray:
-            out = np.empty(total, before.dtype)
-            out[old] = before
-            out[place] = new
-            return out
-
-        new_piece = piece[row]
-        transform = merged(transform, symbol(new_piece, j + 1))
-        common = merged(common, with_left)
-        after = place + 1
-        inside = after < total
-        common[after[inside]] = with_right[inside]
-        length = merged(length, np.int16(j + 1))
-        piece = merged(piece, new_piece)
-    return transform, common, piece, length
+        fresh = np.zeros(len(rows) + len(row), bool)
+        fresh[place] = True
+        merged = np.empty(len(fresh), np.uint64)
+        merged[~fresh] = rows
+        merged[place] = suffix((rows[row] >> _U(24)).astype(np.int64), j + 1, with_left)
+        inside = place + 1 < len(merged)
+        after = place[inside] + 1
+        merged[after] = merged[after] & _U(0xFFFFFFFFFFFF00FF) | with_right[inside].astype(np.uint64) << _U(8)
+        rows = merged
+    spelled = np.append(0, used.astype(np.int16) + 1)
+    return spelled[rows.astype(np.uint8)], (rows >> _U(8)).astype(np.uint8), (rows >> _U(24)).astype(np.int64), (rows >> _U(16)).astype(np.uint8).astype(np.int64)
+
+
+def symbol_ranks(symbols: np.ndarray) -> np.ndarray:
+    """Places by symbol, then by place: where in this order a place stands is the rank of its symbol's occurrence."""
+    if len(symbols) >= 1 << 24:
+        return np.argsort(symbols, kind="stable")
+    keys = symbols.astype(np.uint32) << np.uint32(24) | np.arange(len(symbols), dtype=np.uint32)
+    keys.sort()
+    return (keys & np.uint32(0xFFFFFF)).astype(np.int64)
 
 
 def repeated_strings(common: np.ndarray, piece: np.ndarray, length: np.ndarray, at_least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +268,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
 JUDGED = "piece boolean, mark long, salt int, shared boolean, doc long, start long, count int"
 
 
-def judged(found: DataFrame, partitions: int) -> DataFrame:
+def judged(found: DataFrame, partitions: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Starts that are gone (piece false), and the distinct pieces that the construction has to look at.
 
     The rows of a fingerprint come one after another. Only the earliest of equal pieces goes on.
@@ -283,7 +292,7 @@ def judged(found: DataFrame, partitions: int) -> DataFrame:
         look = (kinds > 1) | several[new]
         at = np.flatnonzero(new)[look]
         if len(at):
-            yield _judged(True, mark[at], (place // GROUP_PIECES)[look], (kinds > GROUP_PIECES)[look], doc[at], start[at], count[at])
+            yield _judged(True, mark[at], (place // group_pieces)[look], (kinds > group_pieces)[look], doc[at], start[at], count[at])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -406,11 +415,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return placed.select("doc", "text"), placed.select("doc", "doc_id")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     n = shuffle_partitions(docs.sparkSession)
     texts, names = numbered(docs)
-    first = materialise(judged(occurrences(texts), n), "pieces")
+    first = materialise(judged(occurrences(texts), n, group_pieces), "pieces")
     built = materialise(constructed(piece_texts(first.filter("piece"), texts), n), "strings")
     open_ = built.filter("not gone")
     earliest = open_.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("least"))
