@@ -43,7 +43,7 @@ from timelore.llm.common import materialise, shuffle_partitions
 LENGTH = 100
 GRAM = 32
 RUN = LENGTH - GRAM + 1  # the most starts that one place of a fingerprint can serve
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 19
 GROUP_PIECES = 4_096
 
