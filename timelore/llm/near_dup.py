@@ -262,49 +262,75 @@ def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(main, "bucket")
 
 
-def outside_links(open_: DataFrame, details: DataFrame) -> DataFrame:
-    """Links (a, b) between members outside a bucket's main component and members of other components.
-
-    open_: as of unsettled; details: rep, signature, bands, hashes, counts. Outsiders and members are dealt
-    out in blocks of bounded size, each pair of blocks is one group. A pair is looked at in its first common
-    band only, and by falling agreement; an outsider stops at its first link with each component.
-    """
-    outside = open_.filter("class <> main")
-    chunks = outside.groupBy("bucket").agg(F.count("*").alias("n_out")).select("bucket", F.ceil(F.col("n_out") / OUT_BLOCK).cast("int").alias("chunks"))
+def dealt_blocks(open_: DataFrame, details: DataFrame) -> tuple:
+    """Outsiders and all members of unsettled buckets as cogroups of bounded blocks; each pair of blocks is one group."""
+    chunks = open_.filter("class <> main").groupBy("bucket").agg(F.count("*").alias("n_out")).select("bucket", F.ceil(F.col("n_out") / OUT_BLOCK).cast("int").alias("chunks"))
     rows = open_.withColumn("blocks", F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")).join(chunks, "bucket")
     place = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["bucket", "chunk", "block"]
     out = rows.filter("class <> main").withColumn("chunk", place("chunks")).select("bucket", "rep", "class", "chunk", every("blocks").alias("block"))
     others = rows.withColumn("block", place("blocks")).select("bucket", "rep", "class", "block", every("chunks").alias("chunk"))
-    out, others = (d.join(details, "rep").select(*keys, "rep", "class", "signature", "bands", "hashes", "counts") for d in (out, others))
+    out, others = (d.join(details, "rep").select(*keys, "class", *details.columns) for d in (out, others))
     out = out.toDF(*[f"out_{c}" for c in out.columns])
-    return out.groupBy(*[f"out_{k}" for k in keys]).cogroup(others.groupBy(*keys)).applyInArrow(_outside_group, "a long, b long").distinct()
+    return out.groupBy(*[f"out_{k}" for k in keys]).cogroup(others.groupBy(*keys))
+
+
+def contested(open_: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of open_ (as of unsettled) in some pair of components whose signatures agree enough. marks: rep, signature, bands."""
+    found = dealt_blocks(open_, marks).applyInArrow(_contested_group, "bucket long, rep long").distinct()
+    return open_.join(found, ["bucket", "rep"], "left_semi")
+
+
+def outside_links(open_: DataFrame, details: DataFrame) -> DataFrame:
+    """Links (a, b) between members outside a bucket's main component and members of other components.
+
+    open_: as of unsettled; details: rep, signature, bands, hashes, counts. A pair is looked at in its first
+    common band only, and by falling agreement; an outsider stops at its first link with each component.
+    """
+    return dealt_blocks(open_, details).applyInArrow(_outside_group, "a long, b long").distinct()
+
+
+def _able(out: pa.Table, others: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of out, which rows of others it may be linked with, agreement)."""
+    bucket = out["bucket"][0].as_py()
+
+    def numbers(t: pa.Table) -> tuple[np.ndarray, ...]:
+        return t["class"].to_numpy(), np.frombuffer(b"".join(t["signature"].to_pylist()), "<u4").reshape(-1, K), np.array(t["bands"].to_pylist(), np.int64)
+
+    cls, signature, bands = numbers(out)
+    o_cls, o_signature, o_bands = numbers(others)
+    for i in range(len(cls)):
+        first = bands[i][(o_bands == bands[i]).argmax(axis=1)] == bucket
+        agree = (o_signature == signature[i]).mean(axis=1)
+        yield i, first & (agree >= AGREE) & (o_cls != cls[i]), agree
+
+
+def _contested_group(out: pa.Table, others: pa.Table) -> pa.Table:
+    reps: set[int] = set()
+    bucket: list[int] = []
+    if out.num_rows and others.num_rows:
+        out = out.rename_columns([c.removeprefix("out_") for c in out.column_names])
+        ids, o_ids = out["rep"].to_numpy(), others["rep"].to_numpy()
+        for i, able, _ in _able(out, others):
+            if able.any():
+                reps.add(int(ids[i]))
+                reps.update(o_ids[able].tolist())
+        bucket = [out["bucket"][0].as_py()] * len(reps)
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "rep": pa.array(sorted(reps), pa.int64())})
 
 
 def _outside_group(out: pa.Table, others: pa.Table) -> pa.Table:
     links: list[tuple[int, int]] = []
     if out.num_rows and others.num_rows:
         out = out.rename_columns([c.removeprefix("out_") for c in out.column_names])
-        bucket = out["bucket"][0].as_py()
-
-        def numbers(t: pa.Table) -> tuple[np.ndarray, ...]:
-            signature = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u4").reshape(-1, K)
-            bands = np.array(t["bands"].to_pylist(), np.int64)
-            return t["rep"].to_numpy(), t["class"].to_numpy(), signature, bands
-
-        ids, cls, signature, bands = numbers(out)
-        o_ids, o_cls, o_signature, o_bands = numbers(others)
-        for i in range(len(ids)):
-            same = o_bands == bands[i]
-            first = bands[i][same.argmax(axis=1)] == bucket
-            agree = (o_signature == signature[i]).mean(axis=1)
-            able = first & (agree >= AGREE) & (o_cls != cls[i])
+        ids, o_ids, o_cls = out["rep"].to_pylist(), others["rep"].to_pylist(), others["class"].to_pylist()
+        for i, able, agree in _able(out, others):
             joined: set[int] = set()
-            for j in sorted(np.flatnonzero(able), key=lambda j: (-agree[j], o_ids[j])):
-                if o_cls[j] not in joined and similarity(out["hashes"][i], out["counts"][i], others["hashes"][int(j)], others["counts"][int(j)]) >= SIMILARITY:
-                    joined.add(int(o_cls[j]))
-                    links.append((min(int(ids[i]), int(o_ids[j])), max(int(ids[i]), int(o_ids[j]))))
+            for j in sorted(np.flatnonzero(able).tolist(), key=lambda j: (-agree[j], o_ids[j])):
+                if o_cls[j] not in joined and similarity(out["hashes"][i], out["counts"][i], others["hashes"][j], others["counts"][j]) >= SIMILARITY:
+                    joined.add(o_cls[j])
+                    links.append((min(ids[i], o_ids[j]), max(ids[i], o_ids[j])))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
 
@@ -330,8 +356,9 @@ def classes(docs: DataFrame) -> DataFrame:
         pairs = open_.filter("class <> main").join(leaders, "bucket").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         links = materialise(links.unionByName(verified(pairs, sets)), "links")
         found = components(links)
-    details = reps.select("rep", "signature", "bands").join(sets.toDF("rep", "hashes", "counts"), "rep")
-    more = materialise(outside_links(materialise(unsettled(members, found), "open"), details), "more")
+    marks = reps.select("rep", "signature", "bands")
+    open_ = materialise(contested(materialise(unsettled(members, found), "open"), marks), "contested")
+    more = materialise(outside_links(open_, marks.join(sets.toDF("rep", "hashes", "counts"), "rep")), "more")
     found = components(links.unionByName(more))
     out = rows.select("doc_id", "key").join(reps.select("key", "rep"), "key").join(found.toDF("rep", "class"), "rep", "left")
     joined = out.select("doc_id", F.coalesce("class", "rep").alias("class_id"))
