@@ -143,9 +143,14 @@ def iou(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Colum
     return F.when(whole > 0, shared / whole).otherwise(0.0)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def split_sentences(text: Column) -> Column:
     """Trimmed sentences; a mark of 。！？!?；; or a line end closes one, a full stop doesn't."""
-    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?；;\n])"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?；;\n])"), trimmed), lambda x: x != "")
 
 
 #: The languages of the aligner and their codes; a name in lower case means itself.

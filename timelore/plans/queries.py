@@ -409,13 +409,13 @@ def description_bodies(t: Tables) -> DataFrame:
     return t.description.select("segment_id", "description_id", noisy.alias("body"))
 
 
-@query("""select segment_id, i - 1 as n, trim(x[i]) as text from (select segment_id, x, unnest(range(1, len(x) + 1)) as i from (select segment_id, list_filter([summary, lang, source], lambda v: trim(v, ' ') <> '') as x from description where description_id % 3 = 0 or description_id % 11 <> 0))""")
+@query("""select segment_id, i - 1 as n, regexp_replace(x[i], '^\\s+|\\s+$', '', 'g') as text from (select segment_id, x, unnest(range(1, len(x) + 1)) as i from (select segment_id, list_filter([summary, lang, source], lambda v: regexp_replace(v, '^\\s+|\\s+$', '', 'g') <> '') as x from description where description_id % 3 = 0 or description_id % 11 <> 0))""")
 def visual_texts(t):
     rows = ingest.visual_texts(ingest.parse_descriptions(description_bodies(t)).select("segment_id", "summary", "visible_details"))
     return rows.withColumn("n", F.col("n").cast("long"))
 
 
-@query("""select segment_id, ordinal, i - 1 as n, x[i] as text from (select segment_id, ordinal, x, unnest(range(1, len(x) + 1)) as i from (select segment_id, ordinal, list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda v: trim(v, ' ')), lambda v: v <> '') as x from turn))""")
+@query("""select segment_id, ordinal, i - 1 as n, x[i] as text from (select segment_id, ordinal, x, unnest(range(1, len(x) + 1)) as i from (select segment_id, ordinal, list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda v: regexp_replace(v, '^\\s+|\\s+$', '', 'g')), lambda v: v <> '') as x from turn))""")
 def sentences(t):
     rows = t.turn.select("segment_id", "ordinal", F.posexplode(C.split_sentences(F.col("text"))).alias("n", "text"))
     return rows.withColumn("n", F.col("n").cast("long"))

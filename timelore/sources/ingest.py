@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelore.functions.columns import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, media_kind
+from timelore.functions.columns import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, media_kind, trimmed
 
 EDGE_BYTES = 65_536
 DESCRIPTION = "summary string, visible_details array<string>, uncertainty array<string>"
@@ -68,7 +68,7 @@ def parse_descriptions(rows: DataFrame, column: str = "body") -> DataFrame:
 
 def visual_texts(descriptions: DataFrame) -> DataFrame:
     """(segment_id, n, text): the summary and details that aren't blank, numbered; uncertainty is never searched."""
-    texts = F.filter(F.transform(F.concat(F.array("summary"), "visible_details"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    texts = F.filter(F.transform(F.concat(F.array("summary"), "visible_details"), trimmed), lambda x: x.isNotNull() & (x != ""))
     return descriptions.select("segment_id", F.posexplode(texts).alias("n", "text"))
 
 

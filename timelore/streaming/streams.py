@@ -13,12 +13,16 @@ from timelore.functions.columns import visible_ready
 from timelore.sources.ingest import commit_evidence
 
 
-def silence_sessions(windows: DataFrame, threshold_db: float = -42.0, gap: str = "100 milliseconds", least_ms: int = 500, late: str = "10 seconds") -> DataFrame:
-    """Stretches of quiet windows of an asset, closed by a gap; rows later than the watermark are dropped. windows: ts, asset_id, level_db."""
+def silence_sessions(windows: DataFrame, threshold_db: float = -42.0, gap_ms: int = 100, least_ms: int = 500, late: str = "10 seconds") -> DataFrame:
+    """Stretches of quiet windows of an asset, closed by a gap; rows later than the watermark are dropped. windows: ts, asset_id, level_db.
+
+    The length is taken from aggregates: a filter on the session's own bounds would be moved below the
+    aggregation, where every row still is a session.
+    """
     quiet = windows.filter(F.col("level_db") <= threshold_db).withWatermark("ts", late)
-    runs = quiet.groupBy("asset_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("windows"))
-    out = runs.select("asset_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "windows")
-    return out.filter(F.unix_millis("end") - F.unix_millis("start") >= least_ms)
+    runs = quiet.groupBy("asset_id", F.session_window("ts", f"{gap_ms} milliseconds").alias("w"))
+    out = runs.agg(F.count("*").alias("windows"), (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts")) + gap_ms).alias("ms")).filter(F.col("ms") >= least_ms)
+    return out.select("asset_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "windows")
 
 
 def energy(samples: DataFrame, width: str = "100 milliseconds", late: str = "10 seconds", slide: str | None = None) -> DataFrame:
