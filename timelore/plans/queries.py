@@ -14,6 +14,7 @@ from timelore.functions import columns as C
 from timelore.operators import changes, library, lineage, search, timeline
 from timelore.plans.views import view, with_views
 from timelore.sources import ingest
+from timelore.sources.shipping import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +27,7 @@ class Tables:
     """The views of one folder, read when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
