@@ -8,8 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timelore.sources.shipping import ship_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
