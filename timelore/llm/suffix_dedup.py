@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ LENGTH = 100
 GRAM = 32
 RUN = LENGTH - GRAM + 1  # the most starts that one place of a fingerprint can serve
 CHUNK_BYTES = 1 << 17
+SLICE_BYTES = 1 << 23
 BLOCK_BYTES = 1 << 19
 GROUP_PIECES = 4_096
 
@@ -238,6 +240,15 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about SLICE_BYTES of text at a time."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 OCCURRENCE = "mark long, content long, doc long, start long, count int, several boolean, gone boolean"
 
 
@@ -245,9 +256,9 @@ def occurrences(texts: DataFrame) -> DataFrame:
     """Pieces of (doc, text); of equal pieces of a batch only the earliest stays open, the others are gone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             docs = batch.column(0).to_numpy()
-            data = [x.as_py() for x in batch.column(1)]
+            data = batch.column(1).to_pylist()
             found = []
             for chunk, stops, number, offset in text_parts(data):
                 mark, content, start, count, several = cut_pieces(chunk, stops)
