@@ -172,6 +172,31 @@ def test_sample_follows_the_targets(spark):
     assert abs(len(got) / 6000 - 0.4) < 0.03 and abs((got.source == "big").mean() - 0.5) < 0.03 and abs((got.lang == "de").mean() - 0.1) < 0.03
 
 
+def test_kept_tokens_have_the_target_shares_where_cells_are_full(spark):
+    tokens = {"anx": 2000, "any": 40, "apx": 300, "apy": 60, "bnx": 500, "bny": 700, "bpx": 20, "bpy": 1380}
+    factor = {"a": 0.5, "b": 1.2, "n": 0.6, "p": 1.1, "x": 0.9, "y": 1.7}
+    want = {k: n * min(1.0, factor[k[0]] * factor[k[1]] * factor[k[2]]) for k, n in tokens.items()}
+    whole = sum(want.values())
+    goals = {m: {v: sum(w for k, w in want.items() if k[i] == v) / whole for v in vs} for i, (m, vs) in enumerate((("source", "ab"), ("lang", "np"), ("topic", "xy")))}
+    cells = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "_source string, _lang string, _topic string, tokens long")
+    frames = {m: spark.createDataFrame(list(g.items()), f"_{m} string, target_{m} double") for m, g in goals.items()}
+    got = mixing.bounded_rake(cells, frames, whole / 5000, 8).toPandas()
+    kept = got.tokens * got.probability
+    assert (got.probability >= 1).sum() == 3 and got.probability.max() <= 1 and abs(kept.sum() / whole - 1) < 1e-5
+    for m, g in goals.items():
+        for v, share in g.items():
+            assert abs(kept[got[f"_{m}"] == v].sum() / kept.sum() - share) < 1e-5, (m, v)
+
+
+def test_target_above_all_tokens_of_its_value(spark):
+    rows = [(f"s{i}", "en", "prose", n) for i, n in enumerate((50, 150, 300, 500))]
+    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long")
+    goal = [("s0", 0.4), ("s1", 0.2), ("s2", 0.2), ("s3", 0.2)]
+    frames = {"source": spark.createDataFrame(goal, "_source string, target_source double"), "lang": spark.createDataFrame([("en", 1.0)], "_lang string, target_lang double"), "topic": spark.createDataFrame([("prose", 1.0)], "_topic string, target_topic double")}
+    got = {r._source: r.tokens * r.probability for r in mixing.bounded_rake(cells, frames, 0.6, 8).collect()}
+    assert {k: round(v, 3) for k, v in got.items()} == {"s0": 50.0, "s1": 150.0, "s2": 200.0, "s3": 200.0}
+
+
 def test_mixture_hard_inputs(hard_docs, no_docs):
     kept = mixing.mixed(hard_docs)
     assert kept.columns == hard_docs.columns

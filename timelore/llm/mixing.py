@@ -6,8 +6,12 @@ of its cell, decided by a hash of its id, so a rerun keeps the same documents. M
 functions only.
 
 Targets default to tempered shares, `share ** temper` normalised, for each marginal; a caller may give a
-DataFrame (value, share) for any of them. `rate` is the share of all tokens to keep; a cell whose
-probability would pass 1 keeps all its documents and the surplus goes to the other cells once.
+DataFrame (value, share) for any of them. `rate` is the share of all tokens to keep, and no cell can give
+more tokens than it has, so raking is bounded: a cell's weight is the least of its own tokens and of the
+product of its tokens with one factor for each of its values, and rounds go on until the kept tokens have
+all target shares. A target above all tokens of its value can't be met at this rate: that value is kept
+whole and the rest is shared by the other values in the ratio of their targets (`reachable`). Should
+marginals that can each be met contradict each other, rounds stop when they no longer come closer.
 
 Defined cases: null source, language or topic is a value of its own ("<null>"); a null text has no tokens
 and falls in topic prose; documents without tokens stay (they weigh nothing); a null id is hashed as
@@ -23,6 +27,9 @@ from timelore.llm.common import materialise
 
 MARGINALS = ("source", "lang", "topic")
 NULL = "<null>"
+#: Rounds end when no marginal misses its goal by more than this share of all tokens, or after so many blocks.
+TOLERANCE = 1e-7
+MOST_BLOCKS = 25
 
 
 def token_count(text: Column) -> Column:
@@ -61,7 +68,7 @@ def tempered_targets(cells: DataFrame, marginal: str, temper: float) -> DataFram
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int) -> DataFrame:
-    """cells with `weight`: the share of all tokens that the cell is to have.
+    """cells with `weight`: the share of all tokens that the cell is to have, without regard to what it holds.
 
     `cells` has a row for each (source, lang, topic) that occurs, so its size is that of the vocabulary of
     labels and not of the corpus.
@@ -77,17 +84,57 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int) -> Da
     return out
 
 
-def calibrated(cells: DataFrame, rate: float) -> DataFrame:
-    """cells with `probability`: min(1, rate * weight / share), the surplus of full cells spread once over the others."""
-    everything = Window.partitionBy()
-    all_tokens = F.sum("tokens").over(everything)
-    want = rate * all_tokens * F.col("weight")
-    out = cells.withColumn("want", want).withColumn("first", F.least(F.lit(1.0), F.col("want") / F.col("tokens")))
-    surplus = F.sum(F.greatest(F.lit(0.0), F.col("want") - F.col("tokens"))).over(everything)
-    open_ = F.sum(F.when(F.col("first") < 1, F.col("want")).otherwise(0.0)).over(everything)
-    out = out.withColumns({"surplus": surplus, "open": open_})
-    again = F.least(F.lit(1.0), F.col("first") * (1 + F.when(F.col("open") > 0, F.col("surplus") / F.col("open")).otherwise(0.0)))
-    return out.withColumn("probability", F.when(F.col("first") < 1, again).otherwise(1.0))
+def filled(rows: DataFrame, group: list[str], want: str, most: str, goal: Column) -> DataFrame:
+    """`rows` with `want` scaled by one factor for each group, so that least(want, most) sums to `goal` there.
+
+    The sum is a concave function of the factor, the least of the lines "the first k rows by want / most are
+    full"; so the factor is the largest at which one of these lines reaches the goal. Where the goal is
+    above the sum of `most`, every row becomes full.
+    """
+    order = Window.partitionBy(*group).orderBy(F.desc(F.col(want) / F.col(most)))
+    before = F.coalesce(F.sum(most).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(want).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    lines = rows.withColumns({"before": before, "rest": rest})
+    line = F.when(F.col("rest") > 0, (goal - F.col("before")) / F.col("rest")).otherwise(0.0)
+    factor = F.greatest(F.lit(0.0), F.max(line).over(Window.partitionBy(*group)))
+    return lines.withColumn(want, F.col(want) * factor).drop("before", "rest")
+
+
+def reachable(cells: DataFrame, target: DataFrame, marginal: str, rate: float) -> DataFrame:
+    """(value, target_m, goal_m): the target share, and the tokens to keep of each value that occurs.
+
+    goal_m is rate * all tokens * target_m (targets scaled to sum to one) unless that passes the value's tokens.
+    """
+    m, t = f"_{marginal}", f"target_{marginal}"
+    values = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("most")).join(target, m, "left").fillna(0.0, [t])
+    values = values.withColumns({"goal": F.col(t), "whole": F.sum("most").over(Window.partitionBy()) * rate})
+    return filled(values, [], "goal", "most", F.col("whole")).select(m, t, F.least("goal", "most").alias(f"goal_{marginal}"))
+
+
+def bounded_rake(cells: DataFrame, targets: dict[str, DataFrame], rate: float, iterations: int) -> DataFrame:
+    """cells with `weight` (share of the kept tokens) and `probability`, both from raking within the cells' tokens.
+
+    `want` is a cell's tokens times the factors of its values; it isn't cut at `tokens` between rounds, so a
+    cell that was full can open again. Each marginal's step is exact, which makes the rounds an ascent to the
+    one solution. `iterations` rounds are one written block; blocks follow until every marginal is met.
+    """
+    out = cells.withColumns({"want": F.col("tokens") * F.lit(float(rate)), "most": F.col("tokens").cast("double")})
+    for m in MARGINALS:
+        out = out.join(F.broadcast(reachable(cells, targets[m], m, rate)), f"_{m}")  # one row for each value
+    kept = F.least("want", "most")
+    last = None
+    for _ in range(MOST_BLOCKS):
+        for _ in range(iterations):
+            for m in MARGINALS:
+                out = filled(out, [f"_{m}"], "want", "most", F.col(f"goal_{m}"))
+        out = materialise(out, "raked").coalesce(1)
+        misses = [F.abs(F.sum(kept).over(Window.partitionBy(f"_{m}")) - F.col(f"goal_{m}")) for m in MARGINALS]
+        row = out.select(F.greatest(*misses).alias("miss"), "tokens").agg(F.max("miss").alias("miss"), F.sum("tokens").alias("tokens")).first()  # one row
+        if row.miss is None or row.miss <= TOLERANCE * row.tokens or (last is not None and row.miss > 0.99 * last):
+            break
+        last = row.miss
+    total = F.sum(kept).over(Window.partitionBy())
+    return out.withColumns({"weight": F.when(total > 0, kept / total).otherwise(0.0), "probability": kept / F.col("most")})
 
 
 def uniform(id_col: Column, seed: str) -> Column:
@@ -102,8 +149,7 @@ def mixture_cells(docs: DataFrame, temper: float = 0.7, rate: float = 0.6, itera
     cells = materialise(described(docs).groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0"), "cells").coalesce(1)
     given = targets or {}
     goals = {m: given[m].toDF(f"_{m}", f"target_{m}") if m in given else tempered_targets(cells, m, temper) for m in MARGINALS}
-    raked = materialise(rake(cells, goals, iterations), "raked")
-    return calibrated(raked, rate).select(*keys, "tokens", "weight", "probability")
+    return bounded_rake(cells, goals, rate, iterations).select(*keys, "tokens", "weight", "probability")
 
 
 def sample_mixture(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
