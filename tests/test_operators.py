@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timelore.functions import columns as C
 from timelore.operators import changes, lineage, library, search, timeline
+from timelore.plans.queries import QUERIES
 from timelore.sources import ingest
 
 
@@ -157,6 +158,28 @@ def test_fusion_ranks(spark):
     assert len(search.hybrid_search(evidence, segments, vectors, {1: "京都车站"}, None).collect()) == 1
 
 
+def test_rows_of_queries_give_the_results_of_a_dict(spark):
+    evidence, segments = evidence_fixture(spark)
+    texts = {1: "京都车站", 2: "京都", 3: " \u3000 ", 4: " PLAIN ", 5: "in", 6: "no such"}
+    asked = spark.createDataFrame(list(texts.items()), "query_id long, query string")
+    assert sorted(map(str, search.literal_search(evidence, segments, asked).collect())) == sorted(map(str, search.literal_search(evidence, segments, texts).collect()))
+
+
+def test_every_hundredth_row_is_a_query(spark, tmp_path):
+    n = 1_300
+    spark.createDataFrame([(i, [float(i % 7), 1.0], i % 10) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"word{i} and station", "en", "a", 9) for i in range(0, n - 50)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    every = set(range(0, n, 100))
+    scores = QUERIES["vector_rank"](spark, str(tmp_path)).collect()
+    assert len(scores) == n * 13 and {r.query_id for r in scores} == every
+    assert all(r.score == max(-1.0, min(1.0, r.query_id % 7 * (r.segment_id % 7) + 1.0)) for r in scores)
+    assert {r.query_id for r in QUERIES["hybrid_search"](spark, str(tmp_path)).collect()} == every
+    assert {r.query_id for r in QUERIES["search_lines"](spark, str(tmp_path)).collect()} == every
+    # each further text is the first word of its own document, whose segment is seen unless 19 divides it
+    words = {r.query_id for r in QUERIES["literal_search"](spark, str(tmp_path)).collect()} - {0, 100, 200, 300, 400}
+    assert words == {k for k in every if k >= 500 and k % 250 % 19}
+
+
 def test_descriptions_and_index(spark):
     rows = spark.createDataFrame([(1, '{"summary":"s","visible_details":["d"," "],"uncertainty":["u"]}'), (2, 'x {"summary":" t ","visible_details":[],"uncertainty":[]} y'), (3, "none"), (4, '{"summary":"only"}'), (5, None)], "segment_id long, body string")
     assert [tuple(r) for r in ingest.visual_texts(ingest.parse_descriptions(rows)).orderBy("segment_id", "n").collect()] == [(1, 0, "s"), (1, 1, "d"), (2, 0, "t")]

@@ -19,7 +19,7 @@ from timelore.sources.shipping import ship_package
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: The stated query set: text by query_id; the vector of a query is that of the row with its id.
+#: Texts of the first queries by query_id; `query_texts` has those of all. The vector of a query is that of the row with its id.
 TEXTS = {0: "tion", 100: " the ", 200: "er", 300: "que", 400: "ung "}
 
 
@@ -319,6 +319,18 @@ def query_vectors(t: Tables) -> DataFrame:
     return t.raw("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def query_texts(t: Tables) -> DataFrame:
+    """(query_id, query): TEXTS, and for every further row whose id is divisible by 100 the first word of the document with that id.
+
+    Where no document has that id or a word, the texts of TEXTS take turns.
+    """
+    stated = t.spark.createDataFrame(list(TEXTS.items()), "query_id long, query string")
+    words = t.raw("documents").filter("doc_id % 100 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.min(F.regexp_extract("text", r"[\p{L}\p{N}]+", 0)).alias("word"))
+    turn = F.get(F.array(*map(F.lit, TEXTS.values())), F.pmod(F.floor(F.col("query_id") / 100), F.lit(len(TEXTS))).cast("int"))
+    further = query_vectors(t).select("query_id").filter(~F.col("query_id").isin(list(TEXTS))).join(words, "query_id", "left")
+    return stated.unionByName(further.select("query_id", F.when(F.col("word") != "", F.col("word")).otherwise(turn).alias("query")))
+
+
 def vectors(t: Tables) -> DataFrame:
     return t.raw("embeddings").select(F.col("vec_id").alias("segment_id"), F.col("embedding").alias("vector"))
 
@@ -347,7 +359,7 @@ def shaped(out: DataFrame) -> DataFrame:
 
 @query(f"with {LITERAL}, joined as (select l.*, s.asset_id, path, s.start_ms, cast(null as double) as semantic, 0.65 * literal as combined, {_PLAY} from lit l join search_segment s on s.segment_id = l.segment_id and visible) " + RESULT.format(order="lr, segment_id"))
 def literal_search(t):
-    return shaped(search.literal_search(t.evidence, t.search_segment, TEXTS))
+    return shaped(search.literal_search(t.evidence, t.search_segment, query_texts(t)))
 
 
 @query(f"""with {LITERAL}, sims as (select q.vec_id as query_id, v.vec_id as segment_id, greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))) as score
@@ -356,13 +368,13 @@ def literal_search(t):
     fused as (select coalesce(l.query_id, m.query_id) as query_id, coalesce(l.segment_id, m.segment_id) as segment_id, coalesce(literal, 0) as literal, score as semantic, bm25, coalesce(vh, 0) as vh, coalesce(th, 0) as th, coalesce(oh, 0) as oh, ts, os, vs from lit l full join sem m on l.query_id = m.query_id and l.segment_id = m.segment_id),
     joined as (select b.*, s.asset_id, path, s.start_ms, 0.65 * literal + 0.35 * coalesce(semantic, 0) as combined, {_PLAY} from fused b join search_segment s on s.segment_id = b.segment_id and visible) """ + RESULT.format(order=f"combined desc, {NATURAL}, start_ms, segment_id"))
 def hybrid_search(t):
-    return shaped(search.hybrid_search(t.evidence, t.search_segment, vectors(t), TEXTS, query_vectors(t)))
+    return shaped(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t)))
 
 
 @query("""select q.vec_id as query_id, v.vec_id as segment_id, round(greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))), 6) as score,
     from embeddings q, embeddings v where q.vec_id % 100 = 0 and q.vec_id < 1000""")
 def vector_rank(t):
-    return search.vector_rank(vectors(t), query_vectors(t).filter("query_id < 1000")).withColumn("score", F.round("score", 6))
+    return search.vector_rank(vectors(t), query_vectors(t)).withColumn("score", F.round("score", 6))
 
 
 @query("select v.vec_id as segment_id, cast(v.vec_id % 60 as bigint) as asset_id from embeddings v where label % 2 = 1 and vec_id % 3 in (0, 2) and vec_id % 19 <> 0")
@@ -372,7 +384,7 @@ def current_vectors(t):
 
 @query()
 def search_lines(t):
-    return search.search_lines(search.hybrid_search(t.evidence, t.search_segment, vectors(t), TEXTS, query_vectors(t)))
+    return search.search_lines(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t)))
 
 
 @query()
