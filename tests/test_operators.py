@@ -180,6 +180,18 @@ def test_every_hundredth_row_is_a_query(spark, tmp_path):
     assert words == {k for k in every if k >= 500 and k % 250 % 19}
 
 
+def test_sampling_plan_covers_all_roots(spark, tmp_path):
+    day = "timestamp '2020-01-01'"
+    spark.range(60).selectExpr("id as o_orderkey", "id as o_custkey", "'O' as o_orderstatus", "1.0D as o_totalprice", f"{day} as o_orderdate", "'1' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    want = set()
+    for k in range(60):
+        duration = 1000 if k % 5 == 0 else k * 7919 % 1_500_000
+        every = max(500, -(-duration // 7200))
+        want |= {(k, i, ms) for i, ms in enumerate(range(0, duration, every))}
+    got = QUERIES["sampling_plan"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.asset_id, r.ordinal, r.time_ms) for r in got} == want
+
+
 def test_descriptions_and_index(spark):
     rows = spark.createDataFrame([(1, '{"summary":"s","visible_details":["d"," "],"uncertainty":["u"]}'), (2, 'x {"summary":" t ","visible_details":[],"uncertainty":[]} y'), (3, "none"), (4, '{"summary":"only"}'), (5, None)], "segment_id long, body string")
     assert [tuple(r) for r in ingest.visual_texts(ingest.parse_descriptions(rows)).orderBy("segment_id", "n").collect()] == [(1, 0, "s"), (1, 1, "d"), (2, 0, "t")]

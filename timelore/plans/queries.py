@@ -489,7 +489,7 @@ LUMA = "luma as (select cast(label as bigint) as asset_id, vec_id as time_ms, li
 
 @query("select asset_id, i as ordinal, i * greatest(500, cast(ceil(duration_ms / 7200) as bigint)) as time_ms from (select *, unnest(range(0, (duration_ms - 1) // greatest(500, cast(ceil(duration_ms / 7200) as bigint)) + 1)) as i from media_asset where duration_ms > 0 and root_id = 0)")
 def sampling_plan(t):
-    return timeline.sampling_plan(t.media_asset.filter("root_id = 0")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return timeline.sampling_plan(t.media_asset).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @query(f"""with {LUMA}, h as (select *, list_transform(range(0, 16), lambda b: len(list_filter(luma, lambda p: p // 16 = b)) / len(luma)) as hist, lag(luma) over w as pl from luma window w as (partition by asset_id order by time_ms)),
