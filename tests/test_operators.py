@@ -192,6 +192,16 @@ def test_sampling_plan_covers_all_roots(spark, tmp_path):
     assert len(got) == len(want) and {(r.asset_id, r.ordinal, r.time_ms) for r in got} == want
 
 
+def test_descriptions_are_all_documents_and_whole_texts(spark, tmp_path):
+    texts = {i: f"start {i} " + "word " * 60 + f"end {i}" for i in range(8)}
+    spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = QUERIES["visual_texts"](spark, str(tmp_path)).collect()
+    assert {r.segment_id: r.text for r in rows if r.n == 0} == texts
+    assert {r.segment_id for r in QUERIES["latest_descriptions"](spark, str(tmp_path)).collect()} == set(texts)
+    assert {r.segment_id for r in QUERIES["committed_descriptions"](spark, str(tmp_path)).collect()} == set(texts)
+
+
 def test_descriptions_and_index(spark):
     rows = spark.createDataFrame([(1, '{"summary":"s","visible_details":["d"," "],"uncertainty":["u"]}'), (2, 'x {"summary":" t ","visible_details":[],"uncertainty":[]} y'), (3, "none"), (4, '{"summary":"only"}'), (5, None)], "segment_id long, body string")
     assert [tuple(r) for r in ingest.visual_texts(ingest.parse_descriptions(rows)).orderBy("segment_id", "n").collect()] == [(1, 0, "s"), (1, 1, "d"), (2, 0, "t")]

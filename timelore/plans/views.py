@@ -104,10 +104,9 @@ VIEWS: dict[str, View] = {
     "description": View(
         "documents",
         {
-            "segment_id": "doc_id % 250", "description_id": "doc_id", "run_id": "doc_id % 7", "created_at": "cast(doc_id as double)", "summary": "substring(text, 1, 80)", "lang": "lang", "source": "source",
+            "segment_id": "doc_id % 250", "description_id": "doc_id", "run_id": "doc_id % 7", "created_at": "cast(doc_id as double)", "summary": "text", "lang": "lang", "source": "source",
             "model_id": "concat('d', cast(doc_id % 3 as string))", "prompt_version": "concat('p', cast(doc_id % 4 as string))",
         },
-        where="doc_id % 4 = 0",
     ),
     "boundary": View(
         "events",
