@@ -236,6 +236,21 @@ def test_bad_branch_is_found_and_like_branches_merge(spark):
     assert {r.template for r in rows if r.page_id % 3 == 2} == {"/spam/*/page"} and len({r.template for r in rows}) <= 3
 
 
+def test_bad_branch_deep_in_the_path(spark):
+    """Six segments and more; one path has thirty, and one ends where others go on."""
+    pages, labels = [(900, "http://h.net/" + "x/" * 30), (901, "http://h.net/a/b/c")], []
+    for i in range(400):
+        branch = "spam" if i % 2 else "good"
+        pages.append((i, f"http://h.net/a/b/c/d/{branch}/{i}"))
+        labels.append((i, 0 if branch == "spam" else 1))
+    rows = url_tree.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == len(got) == 402
+    for i in range(400):
+        assert got[i].verdict == ("block" if i % 2 else "allow") and got[i].template.split("/")[5:] == ["spam" if i % 2 else "good", "*"]
+    assert got[900].template == "/" + "/".join("*" * 30) and got[901].template.count("/") == 3
+
+
 # ---------------------------------------------------------------- pipeline
 
 

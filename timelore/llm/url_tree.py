@@ -3,7 +3,8 @@
 Every url becomes (host, path segments). A segment that looks like an id (digits, long hex, a digit-bearing
 slug, or a file name made of digits) is a wildcard at once. Then, level by level, the children of a node
 whose labelled share of good pages doesn't differ from that of their siblings together are merged into one
-wildcard branch (two-proportion z test; too few labels means no difference). A page's template is its path
+wildcard branch (two-proportion z test; too few labels means no difference), down to the deepest path there is.
+Each level is one small written step over the paths that reach it. A page's template is its path
 in the merged tree; the template is rejected if its smoothed purity, (good + a * prior) / (n + a) with the
 parent's purity as the prior, falls below a threshold. Main path: DataFrame functions only; counts are
 pre-aggregated to distinct (host, template) before any tree step, so a hot host costs no hot task.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from timelore.llm.common import materialise
 
+#: Levels of the registered SQL; the operator has no such bound.
 DEPTH = 3
 Z = 2.58
 SMOOTHING = 20.0
@@ -55,60 +57,69 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments, ids generalised to `*`, missing ones empty."""
+    """All segments of a path, ids generalised to `*`."""
     found = F.filter(F.split(path, "/"), lambda x: x != "")
-    def general(x: Column) -> Column:
-        return F.when(x.rlike(r"^\d+(\.\w+)?$|^[0-9a-fA-F-]{8,}$|\d.*\d.*\d"), "*").otherwise(x)
-
-    return F.transform(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: F.coalesce(general(F.get(found, i - 1)), F.lit("")))
+    return F.transform(found, lambda x: F.when(x.rlike(r"^\d+(\.\w+)?$|^[0-9a-fA-F-]{8,}$|\d.*\d.*\d"), "*").otherwise(x))
 
 
 def merge_level(nodes: DataFrame, level: int) -> DataFrame:
-    """`nodes` (host, t1..tD, n, good): segments of this level with nothing of their own become `*`.
+    """`nodes` (host, s, t, n, good), t with the merged segments above `level`, gets the next one; `done` where t is whole.
 
-    Only the aggregate of children meets in a window over their parent.
+    Segments with nothing of their own become `*`. A path that ends above the level counts as a child of its
+    parent. Where a parent has a single path left, the rest of it has no siblings and is settled at once. Only
+    the aggregate of children meets over their parent.
     """
-    parent = ["host", *[f"t{k}" for k in range(1, level)]]
-    child = f"t{level}"
-    kids = nodes.groupBy(*parent, child).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    whole = kids.groupBy(*parent).agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"))
-    kids = kids.join(whole, parent)
+    nodes = nodes.withColumn("child", F.coalesce(F.get("s", F.lit(level - 1)), F.lit("")))
+    kids = nodes.groupBy("host", "t", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("paths"))
+    whole = kids.groupBy("host", "t").agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("paths").alias("all_paths"))
+    kids = kids.join(whole, ["host", "t"])
     others_n, others_good = F.col("all_n") - F.col("n"), F.col("all_good") - F.col("good")
-    pooled = F.col("all_good") / F.col("all_n")
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / others_n))
-    z = F.when((F.col("n") >= 5) & (others_n >= 5) & (spread > 0), F.abs(F.col("good") / F.col("n") - others_good / others_n) / spread).otherwise(0.0)
+    share = F.try_divide  # Spark may compute these before the conditions on n, so a division by zero is null
+    pooled = share(F.col("all_good"), F.col("all_n"))
+    spread = F.sqrt(pooled * (1 - pooled) * (share(F.lit(1), F.col("n")) + share(F.lit(1), others_n)))
+    gap = F.abs(share(F.col("good"), F.col("n")) - share(others_good, others_n))
+    z = F.when((F.col("n") >= 5) & (others_n >= 5) & (spread > 0), share(gap, spread)).otherwise(0.0)
     alone = others_n == 0
-    new = F.when(F.col(child) == "", "").when((z >= Z) | (alone & (F.col("n") >= 5)), F.col(child)).otherwise("*")
-    mapping = kids.select(*parent, child, new.alias("new"))
-    return nodes.join(mapping, [*parent, child]).withColumn(child, F.col("new")).drop("new")
+    new = F.when((z >= Z) | (alone & (F.col("n") >= 5)), F.col("child")).otherwise("*")
+    mapping = kids.select("host", "t", "child", new.alias("new"), (F.col("all_paths") == 1).alias("single"))
+    rest = F.slice("s", F.lit(level), F.greatest(F.lit(0), F.size("s") - (level - 1)))
+    own = F.when(F.col("n") >= 5, rest).otherwise(F.transform(rest, lambda x: F.lit("*")))
+    ended = F.col("child") == ""
+    t = F.when(ended, F.col("t")).when(F.col("single"), F.concat("t", own)).otherwise(F.concat("t", F.array("new")))
+    return nodes.join(mapping, ["host", "t", "child"]).select("host", "s", t.alias("t"), "n", "good", (ended | F.col("single")).alias("done"))
 
 
 def template_tree(typed: DataFrame) -> DataFrame:
-    """`typed` (host, s1..sD, n, good) with the merged template t1..tD, its purity and counts."""
-    nodes = typed.withColumns({f"t{k}": F.col(f"s{k}") for k in range(1, DEPTH + 1)})
-    for level in range(1, DEPTH + 1):
-        nodes = merge_level(nodes, level)
-    nodes = materialise(nodes, "templates")
+    """`typed` (host, s, n, good), a row for each (host, s), with the merged template t, its purity and counts."""
+    depth = typed.agg(F.max(F.size("s"))).first()[0] or 0  # one row
+    active = typed.withColumn("t", F.slice("s", 1, 0))
+    whole = []
+    for level in range(1, depth + 1):
+        step = materialise(merge_level(active, level), "level")
+        whole.append(step.filter("done").drop("done"))
+        active = step.filter("not done").drop("done")
+        if active.isEmpty():
+            break
+    nodes = active
+    for part in whole:
+        nodes = nodes.unionByName(part)
     total = nodes.agg(F.sum("n").alias("n0"), F.sum("good").alias("good0"))
     purity = F.when(F.col("n0") > 0, F.col("good0") / F.col("n0")).otherwise(1.0)
     by_host = nodes.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    keys = ["host", *[f"t{k}" for k in range(1, DEPTH + 1)]]
-    leaves = nodes.groupBy(*keys).agg(F.sum("n").alias("tn"), F.sum("good").alias("tgood")).join(by_host, "host").join(F.broadcast(total))  # one row
+    leaves = nodes.groupBy("host", "t").agg(F.sum("n").alias("tn"), F.sum("good").alias("tgood")).join(by_host, "host").join(F.broadcast(total))  # one row
     host_purity = (F.col("hgood") + SMOOTHING * purity) / (F.col("hn") + SMOOTHING)
     leaves = leaves.withColumn("purity", F.round((F.col("tgood") + SMOOTHING * host_purity) / (F.col("tn") + SMOOTHING), 9))
-    return nodes.drop("n", "good").join(leaves.select(*keys, "tn", "tgood", "purity"), keys)
+    return nodes.drop("n", "good").join(leaves.select("host", "t", "tn", "tgood", "purity"), ["host", "t"])
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_purity: float = MIN_PURITY) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity. `labels`: page_id, good (0 or 1)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("s", segments(F.col("path")))
-    parts = parts.select("page_id", "host", "path", *[F.get("s", F.lit(k - 1)).alias(f"s{k}") for k in range(1, DEPTH + 1)])
     marks = labels.groupBy("page_id").agg(F.max("good").cast("long").alias("good"))
-    keys = ["host", *[f"s{k}" for k in range(1, DEPTH + 1)]]
-    counted = parts.join(marks, "page_id", "left").groupBy(*keys).agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    counted = parts.join(marks, "page_id", "left").groupBy("host", "s").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     tree = template_tree(materialise(counted, "urls"))
     name, fixed = rule_columns(F.col("host"), F.col("path"), rules)
-    template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*[F.col(f"t{k}") for k in range(1, DEPTH + 1)]), lambda x: x != ""), "/"))
+    template = F.concat(F.lit("/"), F.array_join("t", "/"))
     own = F.when(F.col("purity") < min_purity, "block").otherwise("allow")
-    return parts.join(tree, keys, "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(fixed, own).alias("verdict"), template.alias("template"), "purity")
+    return parts.join(tree, ["host", "s"], "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(fixed, own).alias("verdict"), template.alias("template"), "purity")
