@@ -34,6 +34,38 @@ def test_encoder_equals_the_library(coder, text):
     assert coder.encode(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_library_on_every_code_point(coder):
+    """Each code point after a mark and before a letter, 512 of them in a text."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 1 << 17):
+        texts = [" ".join(f":{c}a" for c in every[i : i + 512]) for i in range(at, min(at + (1 << 17), len(every)), 512)]
+        want = coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        got = coder.encode_many([x.encode() for x in texts])
+        bad = [t for t, w, g in zip(texts, want, got, strict=True) if np.array(w.ids, "<u4").tobytes() != g]
+        assert not bad, bad[0][:40]
+
+
+def test_encoder_lowers_only_where_nothing_else_changes(coder):
+    for text in ("J\u030cA j\u030ca", "<|ENDOFTEXT|> <|endoftext|>A", "I\u0307 \u212a K", "ÀÉ àé A\u0301 ÿ Ÿ", "x\u0085y\u00a0Z \x1cA\x1fB\x0bC\x0cD"):
+        assert coder.encode(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_codes, "KNOWN_BYTES", 600)
+    coder = token_codes.TextEncoder(open(tokenizer_path(), encoding="utf-8").read())
+    for text in ("one two three four", "two five six seven eight", "one nine ten"):
+        assert coder.encode(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_at_any_number(spark, hard_docs):
+    path = token_codes.write_archive(hard_docs, fresh_path(spark, "t"), tokenizer_path())
+    archive = token_codes.read_archive(spark, path)
+    ids = [i for r in sorted(token_codes.documents_of(archive, with_ids=True).collect(), key=lambda r: r.start) for i in r.ids]
+    asked = [0, 1, 5, 5, len(ids) - 1, len(ids), -1, None, *range(100, len(ids), 997)]
+    got = sorted(map(tuple, token_codes.tokens_at(archive, spark.createDataFrame([(x,) for x in asked], "token long")).collect()))
+    assert got == sorted((x, ids[x]) for x in asked if x is not None and 0 <= x < len(ids))
+
+
 def test_other_vocabularies_use_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder = token_codes.TextEncoder(open(path, encoding="utf-8").read())

@@ -6,19 +6,22 @@ number of set bits before it) is its place there. A rank directory keeps the ran
 so `Block.access(i)` reaches any token by at most one chunk, one directory entry and one 64-byte count
 per level; nothing else is decoded.
 
-File format: a Parquet folder with one row for each block of whole documents, in ascending doc_id order:
-`part` (file order), `seq` (block in the part), `local_start` (tokens before the block in its part),
-`n_tokens`, `doc_ids`, `doc_tokens` (ids of each document), and `levels`, `bitmaps`, `ranks` (one
-binary for each level).
+File format: a Parquet folder, uncompressed, so that a code stands in the file as it is. One row for each
+block of whole documents, in ascending doc_id order: `part` (file order), `seq` (block in the part),
+`local_start` (tokens before the block in its part), `n_tokens`, `doc_ids`, `doc_tokens` (ids of each
+document), and `levels`, `bitmaps`, `ranks` (one binary for each level). `tokens_at` finds the block of any
+token number by an equi-join on ranges of numbers, and reads the token there by `access`.
 
 Defined cases: a null text is the empty text; an empty text gives the end id alone; a null doc_id sorts
-first; rows with one doc_id keep one order (by hash of the text) and are encoded each; further columns
-are ignored; an empty table gives an empty archive.
+first; rows with one doc_id keep one order (by hash of the text) and are encoded each; a very long text is
+encoded whole and makes a block of its own size; further columns are ignored; an empty table gives an empty
+archive. `tokens_at`: null numbers and those outside the archive give no row, repeated ones a row each.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,9 @@ from timelore.llm.common import fresh_path, shuffle_partitions
 
 RANK_EVERY = 512
 BLOCK_TOKENS = 1 << 18
-CACHE_PIECES = 500_000
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
+#: How much text of runs an encoder remembers, with so much counted for each run besides.
+KNOWN_BYTES, RUN_OVERHEAD = 1 << 27, 150
 
 BLOCK_SCHEMA = (
     "part int, seq int, local_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
@@ -99,105 +102,78 @@ class Block:
 
 # ---------------------------------------------------------------- tokens
 
-#: The bytes that a byte-level vocabulary writes as themselves; the others follow from U+0100 on.
-_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-
-
-def _byte_letters() -> dict[int, str]:
-    letters = {b: chr(b) for b in _PLAIN}
-    for b in range(256):
-        if b not in letters:
-            letters[b] = chr(0x100 + len(letters) - len(_PLAIN))
-    return letters
+#: A run that NFC and lower-casing leave as it is, without the "<" of special tokens: ASCII without A-Z, and U+00DF to U+00FF.
+PLAIN = re.compile(rb"(?:[!-;=-@\[-~]|\xc3[\x9f-\xbf])*")
 
 
 class TextEncoder:
     """ids of whole texts, as `Tokenizer.encode(text, add_special_tokens=False)` gives them.
 
-    For a vocabulary whose normaliser works within words (NFC, white space, lower case) and whose BPE
-    pieces end with words, the ids of a text are those of its white-space-free runs one after another,
-    so each distinct run of a batch is encoded once, and each distinct piece of a worker about once.
-    Texts with characters for which that isn't certain, and all texts for other vocabularies, go
-    through the library's whole pipeline.
+    All ids come from the library. For a vocabulary that drops white space (`by_run`), the ids of a text are
+    those of its runs between ASCII blanks one after another: nothing in the library's pipeline reaches across
+    a blank. So each distinct run is encoded once and remembered. The new runs of a batch are encoded in one
+    call, as one text in which a token of its own stands between them; the library cuts a text at such tokens
+    before anything else. As the vocabulary's normaliser writes lower case, A-Z are lowered first wherever that
+    can't change what the normaliser does, and runs of plain lower-case letters (PLAIN) skip it, as it leaves
+    them as they are. All texts of other vocabularies are encoded one by one.
     """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        suffix = spec["model"].get("end_of_word_suffix")
-        self.by_run = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and bool(suffix)
+        drops_blanks = [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[0]["pattern"]["Regex"].endswith("[^\\s\\p{L}\\p{N}]+")
+        self.by_run = kinds == ["NFC", "Replace", "Lowercase"] and drops_blanks
+        if self.by_run:
+            self.cutter = Tokenizer.from_str(tokenizer_json)
+            self.plain_cutter = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+            for t in (self.cutter, self.plain_cutter):
+                t.add_tokens([AddedToken("\n", normalized=False)])
+            self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, bytes] = {}
+        self.known_bytes = 0
+
+    def _learn(self, runs: set[bytes]) -> None:
+        self.known_bytes += sum(map(len, runs)) + RUN_OVERHEAD * len(runs)
+        plain = list(filter(PLAIN.fullmatch, runs))
+        for cutter, some in ((self.plain_cutter, plain), (self.cutter, list(runs.difference(plain)))):
+            if some:
+                ids = np.array(cutter.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+                stops = 4 * np.append(np.flatnonzero(ids == cutter.token_to_id("\n")), len(ids))
+                code = ids.tobytes()
+                self.known.update(zip(some, [code[a:b] for a, b in zip([0, *(stops[:-1] + 4).tolist()], stops.tolist(), strict=True)], strict=True))
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """ids of each text (UTF-8), as little-endian unsigned 32-bit numbers."""
         if not self.by_run:
-            return
-        self.pieces = regex.compile("\n|" + steps[0]["pattern"]["Regex"])
-        special = [x["content"] for x in spec["added_tokens"]]
-        #: final sigma is lower-cased by context in Python; the four separators are white space for Python only
-        self.unsure = regex.compile("[Σ\x1c-\x1f]|" + "|".join(map(regex.escape, special)))
-        letters = _byte_letters()
-        self.letters = {b: letters[b] for b in range(256) if b != 0x20}
-        self.ends = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
-        self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
-        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.by_piece = Tokenizer.from_str(json.dumps(spec))
-        self.piece_ids = {"\n": _BREAK}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.piece_ids) + len(pieces) > CACHE_PIECES:
-            self.piece_ids = {"\n": _BREAK}
-        text = " ".join(pieces)
-        if not text.isascii():
-            text = text.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = np.array(self.by_piece.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(pieces):
-            raise ValueError("the vocabulary doesn't mark the ends of words")
-        code, a = ids.tobytes(), 0
-        for piece, b in zip(pieces, (4 * stops).tolist(), strict=True):
-            self.piece_ids[piece] = code[a:b]
-            a = b
-
-    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """ids of the distinct runs one after another, and where each ends."""
-        text = "\n".join(runs.to_pylist()) + "\n"
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        found = self.pieces.findall(text.lower())
-        wanted = set(found)
-        if new := [x for x in wanted if x not in self.piece_ids]:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+        runs = [lowered(x).split() for x in texts]
+        if self.known_bytes > KNOWN_BYTES:
+            self._forget()
+        if new := set().union(*runs).difference(self.known):
             self._learn(new)
-            if any(x not in self.piece_ids for x in wanted):  # the memory was emptied meanwhile
-                self._learn([x for x in wanted if x not in self.piece_ids])
-        ids = np.frombuffer(b"".join(map(self.piece_ids.__getitem__, found)), "<u4")
-        breaks = np.flatnonzero(ids == 0xFFFFFFFF)
-        return ids, breaks
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, x)) for x in runs]
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_many([text.encode()])[0], "<u4")
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text."""
-        if not self.by_run:
-            return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        odd = {i for i, x in enumerate(texts) if self.unsure.search(x)}
-        split = pc.utf8_split_whitespace(pa.array(["" if i in odd else x for i, x in enumerate(texts)], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        ids, breaks = self._runs(coded.dictionary)
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        first = np.concatenate([[0], breaks[:-1] + 1])[at] if len(at) else np.zeros(0, np.int64)
-        size = breaks[at] - first if len(at) else first
-        stop = np.cumsum(size)
-        flat = ids[np.repeat(first - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
-        bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
-        return [self._whole(x) if i in odd else flat[bounds[i] : bounds[i + 1]] for i, x in enumerate(texts)]
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+def lowered(text: bytes) -> bytes:
+    """The text with a-z for A-Z, or as it is where that could change a special token or what NFC composes."""
+    if b"<" in text:
+        return text
+    low = text.lower()
+    if text.isascii() or unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode()):
+        return low
+    return text
 
 
-_BREAK = b"\xff\xff\xff\xff"  # between runs; no id is so large
 _ENCODERS: dict[int, TextEncoder] = {}
 
 
@@ -213,9 +189,9 @@ def encoder(tokenizer_json: str) -> TextEncoder:
 # ---------------------------------------------------------------- Spark
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
+def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
     """The rows of a batch, about BATCH_BYTES of text at a time."""
-    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = [0, *(np.flatnonzero(np.diff(sizes // BATCH_BYTES)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
@@ -228,18 +204,18 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text_co
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # a fixed file of a few MB
-    tail = np.array([end_id], "<u4")
+    tail = int(end_id).to_bytes(4, "little")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary.value)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
         counts: list[int] = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
 
         def out() -> pa.RecordBatch:
             nonlocal seq, before, ids, counts, held
-            block = Block.encode(np.concatenate(held))
+            block = Block.encode(np.frombuffer(b"".join(held), "<u4"))
             row = [[part], [seq], [before], [block.n], [ids], [counts], [block.levels], [block.bitmaps], [block.ranks]]
             seq, before = seq + 1, before + block.n
             ids, counts, held = [], [], []
@@ -250,7 +226,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text_co
             for docs_, texts in chunks(batch):
                 for doc, code in zip(docs_, coder.encode_many(texts), strict=True):
                     ids.append(doc)
-                    counts.append(len(code) + 1)
+                    counts.append(len(code) // 4 + 1)
                     held += [code, tail]
                     size += counts[-1]
                     if size >= BLOCK_TOKENS:
@@ -260,7 +236,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text_co
             yield out()
 
     n = shuffle_partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     tie = F.xxhash64("text")
     return texts.repartitionByRange(n, F.col("doc"), tie).sortWithinPartitions("doc", tie).mapInArrow(blocks, BLOCK_SCHEMA)
 
@@ -274,7 +250,7 @@ _ARROW = pa.schema(
 
 
 def write_archive(docs: DataFrame, path: str, tokenizer_path: str, **options) -> str:
-    encode_blocks(docs, tokenizer_path, **options).write.option("compression", "zstd").parquet(path)
+    encode_blocks(docs, tokenizer_path, **options).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -291,25 +267,56 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents_of(archive: DataFrame, with_ids: bool = False) -> DataFrame:
-    """One row for each document, decoded from its block: doc_id, start, n_tokens, ids_crc32 (and ids)."""
+    """One row for each document, decoded from its block: doc_id, start, n_tokens, ids_crc32 (and ids).
+
+    The first and the middle id of every document are also read by direct access and must be the decoded ones.
+    """
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids
     schema = pa.schema(fields)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = Block(row["n_tokens"], row["levels"], row["bitmaps"], row["ranks"]).decode()
+                block = Block(row["n_tokens"], row["levels"], row["bitmaps"], row["ranks"])
+                ids = block.decode()
                 ends = np.cumsum(row["doc_tokens"])
                 starts = ends - row["doc_tokens"]
-                columns = [row["doc_ids"], row["start"] + starts, row["doc_tokens"], [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]]
+                spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+                for i in (i for a, b in spans for i in (a, (a + b) // 2)):
+                    if block.access(i) != ids[i]:
+                        raise ValueError(f"token {row['start'] + i}: direct access and decoding differ")
+                columns = [row["doc_ids"], row["start"] + starts, row["doc_tokens"], [zlib.crc32(ids[a:b]) for a, b in spans]]
                 if with_ids:
-                    columns.append([ids[a:b] for a, b in zip(starts, ends, strict=True)])
+                    columns.append([ids[a:b] for a, b in spans])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     kept = archive.select("start", "n_tokens", "doc_ids", "doc_tokens", "levels", "bitmaps", "ranks")
     return kept.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+def tokens_at(archive: DataFrame, numbers: DataFrame, column: str = "token") -> DataFrame:
+    """(token, id) of token numbers in the whole archive, by direct access; no block is decoded.
+
+    A block covers few ranges of BLOCK_TOKENS numbers, so numbers and blocks meet in an equi-join on the range;
+    only then the codes of the blocks that are asked for are read, once each.
+    """
+    width = F.lit(BLOCK_TOKENS)
+    asked = numbers.select(F.col(column).cast("long").alias("token")).filter("token >= 0").withColumn("range", F.floor(F.col("token") / width))
+    last = F.col("start") + F.col("n_tokens") - 1
+    directory = archive.filter("n_tokens > 0").select("part", "seq", "start", last.alias("last"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))).alias("range"))
+    found = asked.join(directory, "range").filter(F.col("token").between(F.col("start"), F.col("last")))
+    wanted = found.groupBy("part", "seq", "start").agg(F.collect_list("token").alias("tokens"))
+    rows = archive.join(wanted.drop("start"), ["part", "seq"]).select("start", "n_tokens", "levels", "bitmaps", "ranks", "tokens")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row["n_tokens"], row["levels"], row["bitmaps"], row["ranks"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["tokens"], pa.int64()), pa.array([block.access(t - row["start"]) for t in row["tokens"]], pa.int64())], ["token", "id"])
+
+    return rows.mapInArrow(pick, "token long, id long")
+
+
 def encode_and_read(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
     """Write the archive and read every document back from its files."""
     spark = docs.sparkSession
