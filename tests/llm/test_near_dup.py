@@ -2,8 +2,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from timelore.llm import near_dup
+from timelore.llm import common, near_dup
 from tests.llm.conftest import words
 
 
@@ -45,8 +46,10 @@ def edited(text, rng, n):
     return " ".join(w)
 
 
-def test_classes_equal_brute_force(spark):
-    """A star of near copies whose leaves are mostly unlike each other, chains, copies, short and empty texts."""
+@pytest.mark.parametrize("few", [common.FEW_ROWS, 0])
+def test_classes_equal_brute_force(spark, monkeypatch, few):
+    """With small tables sent to every executor, and with merge joins alone. A star of near copies whose leaves are mostly unlike each other, chains, copies, short and empty texts."""
+    monkeypatch.setattr(common, "FEW_ROWS", few)
     rng = random.Random(4)
     base = words(1, 150)
     rows = [(i, edited(base, rng, 3)) for i in range(60)] + [(60, base)]
@@ -89,18 +92,39 @@ def test_outsiders_of_a_bucket_meet_each_other(spark):
     one = words(21, 100)
     texts = [one, edited(one, rng, 2), words(22, 100)]
     h, w, o = near_dup.shingle_weights([t.split() for t in texts])
-    signature = near_dup.dart_signatures(h, w, o, 3)
-    short = (signature & np.uint64(0xFFFFFFFF)).astype("<u4")
-    bands = near_dup.band_hashes(signature).view(np.int64)
+    bands = near_dup.band_hashes(near_dup.dart_signatures(h, w, o, 3)).view(np.int64)
     shared = int(np.flatnonzero(bands[0] == bands[1])[0])
     cut = np.searchsorted(o, np.arange(4))
+    elements = [near_dup.elements_of(h[a:b], w[a:b]) for a, b in zip(cut, cut[1:])]
     table = pa.table({
-        "bucket": pa.array([int(bands[0][shared])] * 3), "chunk": pa.array([0] * 3, pa.int32()), "block": pa.array([0] * 3, pa.int32()), "rep": pa.array([1, 2, 3]), "class": pa.array([1, 2, 3]), "signature": [s.tobytes() for s in short],
-        "bands": pa.array([list(b) for b in bands], pa.list_(pa.int64())), "hashes": [h[a:b].tobytes() for a, b in zip(cut, cut[1:])], "counts": [w[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:])],
+        "bucket": pa.array([int(bands[0][shared])] * 3), "chunk": pa.array([0] * 3, pa.int32()), "block": pa.array([0] * 3, pa.int32()), "rep": pa.array([1, 2, 3]), "class": pa.array([1, 2, 3]),
+        "bins": [np.bincount(e % np.uint64(near_dup.BINS), minlength=near_dup.BINS).astype("<u4").tobytes() for e in elements],
+        "bands": pa.array([list(b) for b in bands], pa.list_(pa.int64())), "elements": [e.astype("<u8").tobytes() for e in elements],
     })
     got = near_dup._outside_group(table.slice(1, 1), table).to_pylist()
     first = next(i for i in range(near_dup.BANDS) if bands[0][i] == bands[1][i])
-    assert got == ([{"a": 1, "b": 2}] if first == shared else [])
+    assert got == ([{"a": 2, "b": 1}] if first == shared else [])
+
+
+def test_bound_is_never_below_what_is_shared():
+    rng = np.random.default_rng(3)
+    for n in (1, 20, 400, 5_000):
+        a, b = rng.integers(0, 2**63, n, dtype=np.uint64), rng.integers(0, 2**63, n, dtype=np.uint64)
+        b[: n // 2] = a[: n // 2]
+        one, two = near_dup.elements_of(np.sort(a), rng.integers(1, 4, n)), near_dup.elements_of(np.sort(b), rng.integers(1, 4, n))
+        bins = [np.bincount(x % np.uint64(near_dup.BINS), minlength=near_dup.BINS) for x in (one, two)]
+        assert near_dup.most_shared(bins[0], bins[1][None])[0] >= len(np.intersect1d(one, two))
+
+
+def test_links_through_any_text_of_an_id(spark):
+    """Whichever of its two texts has the link, 5 and 6 are one document's class; equal rows are kept once."""
+    rng = random.Random(3)
+    one, two = words(31, 90), words(32, 90)
+    for near in (one, two):
+        docs = spark.createDataFrame([(5, one), (5, two), (6, edited(near, rng, 1)), (7, words(33, 90)), (7, words(33, 90)), (None, words(33, 90)), (None, words(34, 90))], "doc_id long, text string")
+        got = [tuple(r) for r in near_dup.classes(docs).collect()]
+        assert sorted((x for x in got if x[0]), key=str) == [(5, 5), (5, 5), (6, 5), (7, 7), (7, 7)] and sorted((x[1] for x in got if x[0] is None), key=str) == [7, None]
+        assert sorted((r.doc_id or 0) for r in near_dup.one_of_each(docs).collect()) == [0, 5, 7]
 
 
 def test_hard_documents(hard_docs, no_docs):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timelore.sources.shipping import ship_package
 
@@ -19,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as `spark.checkpoint.dir` names it.
 
-    Only where no folder is set (single-machine tests) one is made in the local temporary folder.
+    Where none is set, a local session (tests) gets one in the temporary folder; a cluster is an error, as its
+    executors don't share the driver's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='timelore-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,14 +44,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared one once no plan reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(*written: DataFrame) -> None:
+    """Delete what `materialise` has written, once no plan reads it any more."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of ids and numbers that may go to every executor (tens of MB).
+FEW_ROWS = 1 << 20
+
+
+def meet(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """`large` joined with `small`, a written table of a few numbers in each row.
+
+    It goes to every executor if it is counted to have at most FEW_ROWS rows; else both sides are sorted and
+    merged, in which Spark splits partitions that a frequent key makes large.
+    """
+    few = small.count() <= FEW_ROWS
+    return large.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
 def cores(spark: SparkSession) -> int:
