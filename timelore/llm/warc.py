@@ -1,25 +1,28 @@
 """Content-addressed WARC archive.
 
-Every row becomes a WARC/1.1 record. Payload bytes are stored once, under their SHA-256: the record with
-the largest id of a payload is a `response` that carries the bytes, the others are `revisit` records that
+Every row becomes a WARC/1.1 record of its own. Payload bytes are stored once, under their SHA-256: the record
+with the largest id of a payload is a `response` that carries the bytes, the others are `revisit` records that
 refer to it. The exact header block of every record is kept in a table of its own, next to the digest, so
 the full record of any row is rebuilt by one join of headers and payloads on the digest.
 
-Layout of an archive folder: `warc/` holds gzip-compressed WARC files (Spark's text writer; the record end
-CRLF CRLF is its line separator) of at most RECORDS_A_FILE records, `headers/` a Parquet table (page_id,
-payload_sha256, record_type, header).
-
-Defined cases: a null payload is the empty payload; a null id is never preferred over a number, and a
-payload that only null ids have keeps them all as responses; equal rows with the largest id of a payload
-are all responses, though the archive holds their bytes once; a null url is written as `urn:page:<id>`;
-payloads below `min_bytes` are always responses; an empty table gives an empty archive; further columns
-are ignored.
+Layout of an archive folder: `rows/` numbers the rows (page_id, url, digests, length, uid), `headers/` is a
+Parquet table (page_id, payload_sha256, record_type, header), `warc/` holds the WARC files: each record is a
+gzip member of its own, followed by an empty member (EMPTY_MEMBER), which is how Spark's text writer, whose
+line separator it is, can write them; readers of gzip skip it. A file ends after FILE_BYTES; reading unpacks one
+record at a time and checks the digest of every payload.
+
+Defined cases: a null payload is the empty payload; a null id is never preferred over a number; of several rows
+with the largest id of a payload one is the response and the others revisit it, and so are rows of a payload
+that only null ids have (with no id to refer to); a null url is written as `urn:page:<id>`; payloads below
+`min_bytes` are always responses with bytes of their own; a long payload is one record and makes a file longer
+by itself; an empty table gives an empty archive; further columns are ignored. Damaged files are errors that
+name the place: a member cut short, a record without header end, Content-Length or record end.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +33,10 @@ from timelore.llm.common import fresh_path
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
-RECORDS_A_FILE = 2_000
+FILE_BYTES = 1 << 24
+READ_BYTES = 1 << 14
+#: Fixed value: the gzip member of no bytes.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000002ff03000000000000000000")
 #: Fixed value: WARC/1.1 names this profile for a revisit with an identical payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -53,63 +59,97 @@ def described(pages: DataFrame) -> DataFrame:
 
 
 def header_block(kind: Column) -> Column:
-    """The exact header of a row of page_id, url, sha256, sha1, n, first_id."""
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    """The exact header of a row of page_id, uid, url, sha256, sha1, n, first_id, first_uid."""
+    def name(page: str, uid: str) -> Column:
+        return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("null")), F.lit(":"), F.col(uid).cast("string"), F.lit(">"))
+
+    plain = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), name, F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), name)), "[\\r\\n]", "")),
+        F.concat(F.lit("WARC-Record-ID: "), name("page_id", "uid")),
+        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", plain), "[\\r\\n]", "")),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("sha1"))),
         F.concat(F.lit("X-Payload-SHA256: "), F.col("sha256")),
-        F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first_id"), F.lit(f">{CRLF}WARC-Profile: {REVISIT_PROFILE}"))),
+        F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: "), name("first_id", "first_uid"), F.lit(f"{CRLF}WARC-Profile: {REVISIT_PROFILE}"))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(kind == "response", F.col("n")).otherwise(0)),
     ]
     return F.concat_ws(CRLF, *lines)
 
 
-def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One row for each record, without payload: page_id, payload_sha256, record_type, header."""
-    rows = described(pages).drop("payload")
-    firsts = rows.groupBy("sha256").agg(F.max("page_id").alias("first_id"))
-    rows = rows.join(firsts, "sha256")
-    first = (F.col("n") < min_bytes) | F.col("first_id").isNull() | F.coalesce(F.col("page_id") == F.col("first_id"), F.lit(False))
-    kind = F.when(first, "response").otherwise("revisit")
-    return rows.select("page_id", F.col("sha256").alias("payload_sha256"), kind.alias("record_type"), header_block(kind).alias("header"))
+def records(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """One row for each record, without payload: page_id, payload_sha256, record_type, header. rows: described ones with uid."""
+    firsts = rows.filter(F.col("n") >= min_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "uid")).alias("first"))
+    firsts = firsts.select("sha256", F.col("first.page_id").alias("first_id"), F.col("first.uid").alias("first_uid"))
+    own = (F.col("n") < min_bytes) | (F.col("uid") == F.col("first_uid"))
+    kind = F.when(own, "response").otherwise("revisit")
+    joined = rows.join(firsts.hint("merge"), "sha256", "left")
+    return joined.select("page_id", F.col("sha256").alias("payload_sha256"), kind.alias("record_type"), header_block(kind).alias("header"))
+
 
+def packed(records_: DataFrame) -> DataFrame:
+    """(file, value) of (header, payload): the gzip member of each record, files of a task numbered by FILE_BYTES."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = 0
+        for batch in batches:
+            files, values = [], []
+            for header, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c = zlib.compressobj(6, zlib.DEFLATED, 31)
+                values.append(c.compress(b"".join((header, END.encode(), payload or b"", END.encode()))) + c.flush())
+                files.append(file)
+                size += len(values[-1])
+                if size >= FILE_BYTES:
+                    file, size = file + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(values, pa.binary())], ["file", "value"])
 
-def responses(pages: DataFrame) -> DataFrame:
-    """One row for each distinct payload: header of its response and the payload; copies are combined before the shuffle."""
-    best = F.max(F.struct("page_id", "url")).alias("best")
-    one = described(pages).groupBy("sha256").agg(best, F.first("payload").alias("payload"), F.first("sha1").alias("sha1"), F.first("n").alias("n"))
-    one = one.select("sha256", "sha1", "n", "payload", F.col("best.page_id").alias("page_id"), F.col("best.url").alias("url"), F.col("best.page_id").alias("first_id"))
-    return one.select(header_block(F.lit("response")).alias("header"), "payload")
+    return records_.mapInArrow(pack, "file int, value binary")
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
-    """Headers of all records, and the WARC files: a response for each payload, then the revisits."""
+    """Numbered rows, headers of all records, and the WARC files."""
     spark = pages.sparkSession
-    records(pages, min_bytes).write.option("compression", "zstd").parquet(f"{path}/headers")
-    revisits = spark.read.parquet(f"{path}/headers").filter("record_type = 'revisit'")
-    body = responses(pages).select(F.concat("header", F.lit(END), "payload").alias("value")).unionByName(revisits.select(F.concat("header", F.lit(END)).alias("value")))
-    body.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(f"{path}/warc")
+    described(pages).drop("payload").withColumn("uid", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    records(spark.read.parquet(f"{path}/rows"), min_bytes).write.option("compression", "zstd").parquet(f"{path}/headers")
+    headers = spark.read.parquet(f"{path}/headers").withColumn("header", F.col("header").cast("binary"))
+    one = described(pages).groupBy("sha256").agg(F.first("payload").alias("payload")).toDF("payload_sha256", "payload")  # copies are combined before the shuffle
+    responses = headers.filter("record_type = 'response'").join(one, "payload_sha256").select("header", F.col("payload").cast("binary").alias("payload"))
+    revisits = headers.filter("record_type = 'revisit'").select("header", F.lit(b"").alias("payload"))
+    body = packed(responses.unionByName(revisits)).withColumn("value", F.col("value").cast("string"))
+    body.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).partitionBy("file").text(f"{path}/warc")
     return path
 
 
-def parse_records(content: bytes) -> Iterator[tuple[str, bytes]]:
-    """(header block, payload) of each record of a WARC file, by its Content-Length."""
-    at = 0
+def members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of each gzip member that isn't empty, one at a time."""
+    at, view = 0, memoryview(content)
     while at < len(content):
-        cut = content.index(b"\r\n\r\n", at)
-        header = content[at:cut].decode("utf-8")
-        length = int(next(x for x in header.split(CRLF) if x.lower().startswith("content-length:")).split(":", 1)[1])
-        payload = content[cut + 4 : cut + 4 + length]
-        if content[cut + 4 + length : cut + 8 + length] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} doesn't end after {length} bytes")
-        yield header, payload
-        at = cut + 8 + length
+        unpack, parts, start = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if at >= len(content):
+                raise ValueError(f"gzip member at byte {start} is cut short")
+            piece = view[at : at + READ_BYTES]
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        if out := b"".join(parts):
+            yield start, out
+
+
+def parse_record(record: bytes, where: str) -> tuple[str, bytes]:
+    """(header block, payload), by the record's Content-Length."""
+    cut = record.find(b"\r\n\r\n")
+    if cut < 0:
+        raise ValueError(f"{where}: the header has no end")
+    header = record[:cut].decode("utf-8")
+    stated = [x.split(":", 1)[1].strip() for x in header.split(CRLF) if x.lower().startswith("content-length:")]
+    if len(stated) != 1 or not stated[0].isdigit():
+        raise ValueError(f"{where}: the record states no Content-Length")
+    payload = record[cut + 4 : cut + 4 + int(stated[0])]
+    if record[cut + 4 + int(stated[0]) :] != END.encode():
+        raise ValueError(f"{where}: the record doesn't end after {stated[0]} bytes")
+    return header, payload
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -117,17 +157,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows: list[tuple] = []
-                for header, payload in parse_records(gzip.decompress(content.as_py())):
+                for at, record in members(content.as_buffer()):
+                    header, payload = parse_record(record, f"{name.as_py()}, byte {at}")
                     rows.append((header, payload, len(payload), hashlib.sha256(payload).hexdigest(), hashlib.sha1(payload).hexdigest()))
-                    if len(rows) == 500:
+                    if len(rows) == 200:
                         yield _batch(rows)
                         rows = []
                 if rows:
                     yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/warc").select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(f"{path}/warc").select("path", "content")
     return files.mapInArrow(parse, "header string, payload binary, payload_bytes long, payload_sha256 string, payload_sha1 string")
 
 
@@ -151,9 +192,12 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
 def reconstruct(spark: SparkSession, path: str, with_record: bool = True) -> DataFrame:
     """Every record again: its header from the headers table, its full payload by the digest."""
     headers = spark.read.parquet(f"{path}/headers")
-    full = headers.join(payloads(spark, path), "payload_sha256")
+    stored = payloads(spark, path)
+    one = stored if with_record else stored.drop("payload")
+    one = one.dropDuplicates(["payload_sha256"])  # payloads below min_bytes are stored by each of their records
+    full = headers.join(one.hint("merge"), "payload_sha256")
     head = F.col("header")
-    refers = F.regexp_extract(F.coalesce(field(head, "WARC-Refers-To"), F.lit("")), "<urn:page:(-?\\d+)>", 1)
+    refers = F.regexp_extract(F.coalesce(field(head, "WARC-Refers-To"), F.lit("")), "<urn:page:(-?\\d+):", 1)
     columns = {
         "page_id": F.col("page_id"),
         "payload_bytes": F.col("payload_bytes"),
