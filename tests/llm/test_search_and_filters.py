@@ -42,7 +42,7 @@ def test_bit_parallel_distance(pattern, text):
 
 def test_matches_equal_brute_force():
     rng = random.Random(1)
-    items = [(i, words(i, rng.randint(3, 40))) for i in range(12)] + [(50, ""), (51, "a b c d e")]
+    items = [(i, words(i, rng.randint(1, 40))) for i in range(12)] + [(50, ""), (51, "a b c d e"), (52, "two words"), (53, "one")]
     matcher = decontaminate.Matcher(items)
     for d in range(60):
         w = words(1000 + d, 60).split()
@@ -57,7 +57,7 @@ def test_matches_equal_brute_force():
         want = {}
         for item, t in items:
             m = t.split()
-            if len(m) >= 5 and (e := edit_best(m, doc)) <= int(0.2 * len(m)):
+            if m and (e := edit_best(m, doc)) <= int(0.2 * len(m)):
                 want[item] = e
         assert {x[0]: x[1] for x in matcher.matches(" ".join(doc).upper() + "!")} == want
 
@@ -67,9 +67,14 @@ def test_leaks_in_blocks_and_hard_inputs(spark, hard_docs, no_docs, monkeypatch)
     docs = hard_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(70, "pre " + words(900, 30) + " post"), (71, words(902, 25)), (72, words(901, 20)[3:])], "doc_id long, text string")).withColumn("_leaked", F.lit(1))
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
-    assert found == {(70, 1), (71, None), (72, 4)}
+    assert found == {(8, 3), (70, 1), (71, None), (72, 4)}  # document 8 has the word x
+    short = decontaminate.find_leaks(spark.createDataFrame([(1, "an X here"), (2, "an xx here")], "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id, r.distance) for r in short] == [(1, 3, 0)]
+    assert decontaminate.find_leaks(spark.createDataFrame([(1, "an X here")], "doc_id long, text string"), bench, min_words=5).isEmpty()
+    two = spark.createDataFrame([(None, "pre " + words(900, 30)), (None, "clean")], "doc_id long, text string")
+    assert [r.text for r in decontaminate.decontaminate(two, bench).collect()] == ["clean"]
     kept = decontaminate.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 4
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
     assert decontaminate.find_leaks(no_docs, bench).collect() == []
 

@@ -6,11 +6,13 @@ stand in the passage unchanged. All pieces are found at once by an Aho-Corasick
 text; around each hit Myers' bit-parallel algorithm gives the edit distance of the item to the best passage.
 
 Result: one row for each (document, item) whose distance is within the budget. Nothing else is dropped or
-capped: every hit is verified. Items are handled in blocks of bounded text, each block shipped to the tasks
-and run against all documents.
+capped: every hit is verified. An item of fewer than five words has no budget and is found where it stands
+word for word; a caller may leave such items out by `min_words`. Items are handled in blocks of bounded text,
+each block shipped to the tasks and run against all documents.
 
-Defined cases: items with fewer than MIN_WORDS words (null and empty ones too) take no part; a null or
-empty text has no hits; repeated items match each; repeated rows and null ids are reported each by id; an
+Defined cases: items without words (null and empty ones too) take no part; a null or empty text has no hits; a
+very long text is searched whole, only the stretches around hits are measured; repeated items match each;
+repeated rows and null ids are reported each by id, and `decontaminate` judges every row by its own text; an
 empty table on either side gives no rows; further columns are ignored.
 """
 
@@ -25,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-MIN_WORDS = 5
 ERROR_RATE = 0.2
 BLOCK_CHARS = 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, similarity double, end_word int"
@@ -74,14 +75,14 @@ class Pattern:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_words: int = 1):
         import ahocorasick
 
         self.items: list[tuple[int, Pattern, int]] = []
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < MIN_WORDS:
+            if len(words) < max(1, min_words):
                 continue
             budget = int(error_rate * len(words))
             for a, b in pieces(len(words), budget):
@@ -146,7 +147,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words: int = 1) -> DataFrame:
     """One row of SCHEMA for each document and item within the budget."""
     spark = docs.sparkSession
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -155,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
         items = spark.sparkContext.broadcast(block)  # BLOCK_CHARS at most
 
         def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items.value, error_rate)
+            matcher = Matcher(items.value, error_rate, min_words)
             for batch in batches:
                 rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in matcher.matches(text.as_py())]
                 if rows:
@@ -166,7 +167,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a leak, columns unchanged; a null id can't be told apart by id and is judged with all null ids."""
-    leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_leaked"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words: int = 1) -> DataFrame:
+    """The rows without a leak, columns unchanged: the rows themselves pass through the search, block after block."""
+    at = docs.columns.index("text")
+    out = docs
+    for block in item_blocks(benchmark):
+        items = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS at most
+
+        def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items.value, error_rate, min_words)
+            for batch in batches:
+                yield batch.filter(pa.array([not (text.is_valid and matcher.matches(text.as_py())) for text in batch.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
