@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 BINS = 256
-CHUNK_CHARS = 1 << 20
+CHUNK_BYTES = 1 << 18
 EXTRA_LEADERS = 2
 #: Most rows of a block of outsiders and of members, and shingles of a block of members (beyond one row).
 OUT_BLOCK, MEMBER_BLOCK, BLOCK_SHINGLES = 256, 2_048, 1 << 21
@@ -176,15 +177,14 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def text_chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            yield ids[start : i + 1], texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield ids[start:], texts[start:]
+def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """The rows (id, text) of a batch, about CHUNK_BYTES of text at a time, so that a worker holds little beside the batch."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            part = batch.slice(a, b - a)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 def signed(texts: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def signed(texts: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, some in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, some in text_chunks(batch):
                 words = word_lists(some)
                 h, w, o = shingle_weights(words)
                 bands = band_hashes(dart_signatures(h, w, o, len(some))).view(np.int64)
@@ -208,7 +208,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, some in text_chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, some in text_chunks(batch):
                 h, w, o = shingle_weights(word_lists(some))
                 cuts = np.searchsorted(o, np.arange(len(some) + 1))
                 found = [elements_of(h[a:b], w[a:b]).astype("<u8") for a, b in zip(cuts, cuts[1:])]
