@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from timelore.functions import columns as C
 from timelore.operators import changes, lineage, library, search, timeline
 from timelore.plans.queries import QUERIES
+from timelore.plans.views import view
 from timelore.sources import ingest
 
 
@@ -36,8 +37,8 @@ def test_plans_are_contiguous_bounded_and_free_of_order(duration, boundaries, rn
     merged = timeline.merge_boundaries(*map(list, zip(*boundaries)), duration) if boundaries else []
     plan = timeline.plan_cover(duration, merged)
     assert [p[0] for p in plan] == [0] + [p[1] for p in plan[:-1]] and plan[-1][1] == duration
-    assert all(b - a <= timeline.HARD_MAX_MS for a, b, _ in plan)
-    assert duration < timeline.MIN_MS or all(b - a >= timeline.MIN_MS for a, b, _ in plan)
+    assert all(b - a <= timeline.LONGEST_MS for a, b, _ in plan)
+    assert duration < timeline.SHORTEST_MS or all(b - a >= timeline.SHORTEST_MS for a, b, _ in plan)
     mixed = boundaries[:]
     rng.shuffle(mixed)
     assert not boundaries or timeline.merge_boundaries(*map(list, zip(*mixed)), duration) == merged
@@ -79,10 +80,35 @@ def test_folds_compare_with_the_last_kept(spark):
 
 
 def test_sentences_take_their_tokens(spark):
-    said = spark.createDataFrame([(1, 0, "你好。", 20_000, 40_000), (1, 1, "出发！", 20_000, 40_000), (2, 0, "quiet", 0, 500)], "segment_id long, ordinal int, text string, block_start_ms long, block_end_ms long")
-    tokens = spark.createDataFrame([(1, 0, "你", 100, 300), (1, 1, "好。", 300, 600), (1, 2, "出", 900, 1_100), (1, 3, "发！", 1_100, 1_400)], "segment_id long, seq long, text string, start_ms long, end_ms long")
-    got = [(r.segment_id, r.start_ms, r.end_ms, r.timing_source) for r in timeline.time_sentences(said, tokens).orderBy("segment_id", "ordinal").collect()]
-    assert got == [(1, 20_100, 20_600, "aligned"), (1, 20_900, 21_400, "aligned"), (2, 0, 500, "asr_block")]
+    """Lengths without white space, one at least; a sentence lasts a millisecond; the last takes the rest; blocks bound the times."""
+    said = [(1, "你好。出发！", 20_000, 40_000), (2, " quiet? 你好。出发！\n", 0, 500), (3, " \n ", 0, 500), (4, "a! bb! ccc", 0, 1_000), (5, "one", 100, 200)]
+    blocks = spark.createDataFrame(said, "segment_id long, transcript string, block_start_ms long, block_end_ms long")
+    given_ = [(1, 0, "你", 100, 300), (1, 1, "好。", 300, 600), (1, 2, "出", 900, 1_100), (1, 3, "发！", 1_100, 1_400), (3, 0, "x", 0, 1)]
+    given_ += [(4, 0, "  ", 10, 20), (4, 1, "a", 30, 30), (4, 2, "bb", 50, 50), (4, 3, "b", 60, 70), (4, 4, "ccc", 80, 2_000), (4, 5, "c", 90, 1_900), (5, 0, "one", 500, 600)]
+    tokens = spark.createDataFrame(given_, "segment_id long, seq long, text string, start_ms long, end_ms long")
+    got = [tuple(r) for r in timeline.time_sentences(blocks, tokens).orderBy("segment_id", "ordinal").collect()]
+    timed = "forced_alignment_sentence"
+    assert got == [
+        (1, 0, "你好。", 20_100, 20_600, timed), (1, 1, "出发！", 20_900, 21_400, timed), (2, 0, "quiet? 你好。出发！", 0, 500, "asr_block"),
+        (4, 0, "a!", 10, 30, timed), (4, 1, "bb!", 50, 70, timed), (4, 2, "ccc", 80, 1_000, timed), (5, 0, "one", 600, 200, timed),
+    ]
+
+
+def test_merged_ocr_equals_a_plain_walk(spark):
+    rng = random.Random(6)
+    rows = [(s, rng.randrange(0, 30_000, 250), i, "T", rng.choice("ab"), rng.random(), rng.random(), 0.0, 1.0, 1.0) for i, s in enumerate(rng.choices(range(3), k=150))]
+    want = []
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        for o in reversed(want):
+            shared = max(0.0, 1 - abs(o["x"] - r[6]))
+            if (o["key"], True) == ((r[0], r[4]), r[1] - o["end"] <= 1_500 and shared / (2 - shared) >= 0.3):
+                o["end"], o["best"] = r[1] + 1_000, max(o["best"], r[5])
+                break
+        else:
+            want.append({"key": (r[0], r[4]), "x": r[6], "start": r[1], "end": r[1] + 1_000, "best": r[5]})
+    raw = spark.createDataFrame(rows, "segment_id long, time_ms long, seq long, text string, norm string, confidence double, x double, y double, w double, h double")
+    got = sorted((r.segment_id, r.start_ms, r.end_ms, r.confidence, r.x) for r in timeline.merge_ocr(raw).collect())
+    assert got == sorted((o["key"][0], o["start"], o["end"], o["best"], o["x"]) for o in want)
 
 
 def test_ocr_needs_text_time_and_place(spark):
@@ -188,8 +214,10 @@ def test_sampling_plan_covers_all_roots(spark, tmp_path):
         duration = 1000 if k % 5 == 0 else k * 7919 % 1_500_000
         every = max(500, -(-duration // 7200))
         want |= {(k, i, ms) for i, ms in enumerate(range(0, duration, every))}
-    got = QUERIES["sampling_plan"](spark, str(tmp_path)).collect()
+    got = timeline.sampling_plan(view(spark, str(tmp_path), "media_asset")).collect()
     assert len(got) == len(want) and {(r.asset_id, r.ordinal, r.time_ms) for r in got} == want
+    digest = {(r.asset_id, r.samples, r.total_ms) for r in QUERIES["sampling_plan"](spark, str(tmp_path)).collect()}
+    assert digest == {(k, len(x := [ms for a, _, ms in want if a == k]), sum(x)) for k in {a for a, _, _ in want}}
 
 
 def test_descriptions_are_all_documents_and_whole_texts(spark, tmp_path):

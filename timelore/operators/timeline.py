@@ -1,26 +1,29 @@
 """Timelines: sampling plans, visual change, energy, silence, boundaries and segment plans.
 
-Rules that compare with the last kept element are folds over one asset's sorted samples, in
-`applyInArrow`; the rest are windows and higher-order functions.
+Rules that compare with the last kept element are folds in `applyInArrow` over rows sorted by time. Where a gap
+in time makes what follows independent, a track is cut there first (`stretches`), so that a group is a stretch
+and not a whole asset; the rest are windows and higher-order functions.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelore.functions.columns import iou, luma_histogram, visual_difference
+from timelore.functions.columns import iou, luma_histogram, split_sentences, visual_difference
 
 #: Sources in order of priority, with their weights.
 SOURCE_WEIGHTS = {"shotChange": 1.0, "sentenceEnd": 0.9, "pause": 0.75, "ocrChange": 0.65}
 CLUSTER_MS = 300
-MIN_MS, TARGET_MIN_MS, TARGET_MAX_MS, HARD_MAX_MS = 4_000, 8_000, 15_000, 30_000
-MIN_STRENGTH = 0.2
+#: How well a segment's length in ms suits, linear between these points.
+LENGTH_KNOTS = ((4_000, 0.0), (8_000, 0.7), (11_500, 1.0), (15_000, 0.7), (30_000, 0.0))
+SHORTEST_MS, SHORT_TAIL_MS, SETTLED_MS, LONGEST_MS = 4_000, 8_000, 15_000, 30_000
+LENGTH_WEIGHT, MIN_STRENGTH = 0.35, 0.2
 FLOOR = 1e-9
 FULL_SCALE = 32_767.0
 
@@ -41,8 +44,11 @@ def segment_sampling(segments: DataFrame, every: int = 1_000) -> DataFrame:
 
 
 def visual_changes(samples: DataFrame) -> DataFrame:
-    """(asset_id, time_ms, score) of each sample against the one before it. samples: asset_id, time_ms, luma."""
-    rows = samples.dropDuplicates(["asset_id", "time_ms"]).withColumn("hist", luma_histogram(F.col("luma")))
+    """(asset_id, time_ms, score) of each sample against the one before it. samples: asset_id, time_ms, luma.
+
+    Of several samples at one time the one with the smallest pixels (in order) counts.
+    """
+    rows = samples.groupBy("asset_id", "time_ms").agg(F.min("luma").alias("luma")).withColumn("hist", luma_histogram(F.col("luma")))
     w = Window.partitionBy("asset_id").orderBy("time_ms")
     rows = rows.withColumns({"p_luma": F.lag("luma").over(w), "p_hist": F.lag("hist").over(w)}).filter("p_luma is not null")
     return rows.select("asset_id", "time_ms", visual_difference(F.col("p_luma"), F.col("luma"), F.col("p_hist"), F.col("hist")).alias("score"))
@@ -57,30 +63,40 @@ def representative_frames(frames: DataFrame, most: int = 8) -> DataFrame:
     return rows.filter((F.col("n") <= most) | F.array_contains(chosen, F.col("i"))).drop("i", "n")
 
 
-def _fold(rows: DataFrame, key: str, schema: str, fold) -> DataFrame:
-    """applyInArrow of `fold(key, columns as lists sorted by time)` to column lists of `schema`."""
+def stretches(rows: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
+    """`rows` with `stretch`: a new one begins where a row of the key is `gap_ms` or more after the one before it."""
+    w = Window.partitionBy(*keys).orderBy("time_ms")
+    apart = F.coalesce(F.col("time_ms") - F.lag("time_ms").over(w) >= gap_ms, F.lit(False))
+    return rows.withColumn("_apart", apart.cast("long")).withColumn("stretch", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_apart")
+
+
+def _fold(rows: DataFrame, keys: list[str], schema: str, fold) -> DataFrame:
+    """applyInArrow of `fold(table)` to columns of `schema`."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(table: pa.Table) -> pa.Table:
         out = fold(table)
         return pa.table({n: out[n] for n in names})
 
-    return rows.groupBy(key).applyInArrow(run, schema)
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def distinct_frames(frames: DataFrame, most_bits: int = 4) -> DataFrame:
-    """Frames whose hash differs in more than `most_bits` bits from the last kept one. frames: segment_id, time_ms, hash."""
+    """Frames whose hash differs in more than `most_bits` bits from the last kept one. frames: segment_id, time_ms, hash.
+
+    A segment has a frame a second and is at most half a minute long, so a group is small.
+    """
 
     def fold(t: pa.Table) -> dict:
         t = t.sort_by([("time_ms", "ascending"), ("hash", "ascending")])
-        kept, last = [], None
-        for i, h in enumerate(t["hash"].to_pylist()):
-            if last is None or ((h ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count() > most_bits:
+        hashes = t["hash"].to_numpy()
+        kept = [0]
+        for i in range(1, len(hashes)):
+            if np.bitwise_count((hashes[i] ^ hashes[kept[-1]]).view(np.uint64)) > most_bits:
                 kept.append(i)
-                last = h
         return t.take(pa.array(kept, pa.int64())).to_pydict()
 
-    return _fold(frames.select("segment_id", "time_ms", "hash"), "segment_id", "segment_id long, time_ms long, hash long", fold)
+    return _fold(frames.select("segment_id", "time_ms", "hash"), ["segment_id"], "segment_id long, time_ms long, hash long", fold)
 
 
 def coalesced_changes(changes: DataFrame, threshold: float = 0.35, spacing_ms: int = 1_000) -> DataFrame:
@@ -88,53 +104,46 @@ def coalesced_changes(changes: DataFrame, threshold: float = 0.35, spacing_ms: i
 
     def fold(t: pa.Table) -> dict:
         t = t.sort_by([("time_ms", "ascending"), ("score", "descending")])
-        kept: list[tuple[int, float]] = []
-        for at, score in zip(t["time_ms"].to_pylist(), t["score"].to_pylist(), strict=True):
-            if kept and at - kept[-1][0] < spacing_ms:
-                if score > kept[-1][1]:
-                    kept[-1] = (at, score)
-            else:
-                kept.append((at, score))
-        return {"asset_id": t["asset_id"][: len(kept)], "time_ms": [k[0] for k in kept], "score": [k[1] for k in kept]}
+        time, score = t["time_ms"].to_numpy(), t["score"].to_numpy()
+        kept = [0]
+        for i in range(1, len(time)):
+            if time[i] - time[kept[-1]] >= spacing_ms:
+                kept.append(i)
+            elif score[i] > score[kept[-1]]:
+                kept[-1] = i
+        return t.take(pa.array(kept, pa.int64())).to_pydict()
 
-    rows = changes.filter(F.col("score") >= threshold).select("asset_id", "time_ms", "score")
-    return _fold(rows, "asset_id", "asset_id long, time_ms long, score double", fold)
+    rows = stretches(changes.filter(F.col("score") >= threshold).select("asset_id", "time_ms", "score"), ["asset_id"], spacing_ms)
+    return _fold(rows, ["asset_id", "stretch"], "asset_id long, time_ms long, score double", fold)
 
 
 def energy_windows(chunks: DataFrame, window_ms: int = 100) -> DataFrame:
     """Level of fixed windows of PCM, whatever the packets: (asset_id, start_sample, n, start_ms, end_ms, level_db).
 
     chunks: asset_id, start_sample, sample_rate, samples (16 bit). A gap of more than two samples, or a new
-    rate, closes a window early and starts the count anew.
+    rate, closes a window early and starts the count anew. Each packet gives the sum of squares of its part of
+    each window; only these meet.
     """
-    schema = "asset_id long, start_sample long, n int, start_ms long, end_ms long, level_db double"
-
-    def fold(t: pa.Table) -> dict:
-        t = t.sort_by([("start_sample", "ascending")])
-        out: dict[str, list] = {n.strip().split(" ")[0]: [] for n in schema.split(",")}
-        asset = t["asset_id"][0].as_py()
-        runs: list[tuple[int, float, list[np.ndarray]]] = []
-        end = None
-        for start, rate, samples in zip(t["start_sample"].to_pylist(), t["sample_rate"].to_pylist(), t["samples"].to_pylist(), strict=True):
-            if end is None or abs(start - end) > 2 or rate != runs[-1][1]:
-                runs.append((start, rate, []))
-            runs[-1][2].append(np.array(samples, float))
-            end = start + len(samples)
-        for start, rate, parts in runs:
-            x = np.concatenate(parts) / FULL_SCALE
-            width = max(1, round(rate * window_ms / 1000))
-            for a in range(0, len(x), width):
-                w = x[a : a + width]
-                out["asset_id"].append(asset)
-                out["start_sample"].append(start + a)
-                out["n"].append(len(w))
-                out["start_ms"].append(math.floor((start + a) * 1000 / rate + 0.5))
-                out["end_ms"].append(math.floor((start + a + len(w)) * 1000 / rate + 0.5))
-                out["level_db"].append(20 * math.log10(max(math.sqrt(float(np.mean(w * w))), FLOOR)))
-        out["n"] = pa.array(out["n"], pa.int32())
-        return out
-
-    return _fold(chunks, "asset_id", schema, fold)
+    track = Window.partitionBy("asset_id").orderBy("start_sample")
+    size, rate = F.size("samples").cast("long"), F.col("sample_rate")
+    end = F.col("start_sample") + F.col("size")
+    broken = F.coalesce((F.abs(F.col("start_sample") - F.lag(end).over(track)) > 2) | (rate != F.lag(rate).over(track)), F.lit(True))
+    rows = chunks.withColumn("size", size).filter("size > 0").withColumn("broken", broken.cast("long"))
+    rows = rows.withColumn("run", F.sum("broken").over(track.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("asset_id", "run").orderBy("start_sample")
+    offset = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    rows = rows.withColumns({"offset": offset, "run_start": F.first("start_sample").over(run), "width": F.greatest(F.lit(1), F.round(rate * window_ms / 1000)).cast("long")})
+    window = F.explode(F.sequence(F.floor(F.col("offset") / F.col("width")), F.floor((F.col("offset") + F.col("size") - 1) / F.col("width"))))
+    parts = rows.withColumn("window", window).withColumn("skip", F.greatest(F.lit(0), F.col("window") * F.col("width") - F.col("offset")))
+    take = F.least(F.col("size"), (F.col("window") + 1) * F.col("width") - F.col("offset")) - F.col("skip")
+    part = F.slice("samples", (F.col("skip") + 1).cast("int"), take.cast("int"))
+    squares = F.aggregate(part, F.lit(0.0), lambda s, x: s + (x / FULL_SCALE) * (x / FULL_SCALE))
+    parts = parts.select("asset_id", "run_start", "sample_rate", "width", "window", take.alias("n"), squares.alias("squares"))
+    whole = parts.groupBy("asset_id", "run_start", "sample_rate", "width", "window").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"))
+    first = F.col("run_start") + F.col("window") * F.col("width")
+    ms = lambda at: F.floor(at * 1000 / rate + 0.5)
+    level = 20 * F.log10(F.greatest(F.sqrt(F.col("squares") / F.col("n")), F.lit(FLOOR)))
+    return whole.select("asset_id", first.alias("start_sample"), F.col("n").cast("int").alias("n"), ms(first).alias("start_ms"), ms(first + F.col("n")).alias("end_ms"), level.alias("level_db"))
 
 
 def silence_runs(windows: DataFrame, threshold_db: float = -42.0, least_ms: int = 500) -> DataFrame:
@@ -173,35 +182,29 @@ def merge_boundaries(times: list[int], sources: list[str], scores: list[float],
     return sorted(out, key=lambda b: b[0])
 
 
-def length_bonus(ms: float) -> float:
-    """1 in the middle of the target lengths, 0.7 at their ends, falling to 0 at the shortest and longest."""
-    if ms < TARGET_MIN_MS:
-        return 0.7 * max(0.0, (ms - MIN_MS) / (TARGET_MIN_MS - MIN_MS))
-    if ms > TARGET_MAX_MS:
-        return 0.7 * max(0.0, (HARD_MAX_MS - ms) / (HARD_MAX_MS - TARGET_MAX_MS))
-    middle, half = (TARGET_MIN_MS + TARGET_MAX_MS) / 2, (TARGET_MAX_MS - TARGET_MIN_MS) / 2
-    return 1 - 0.3 * abs(ms - middle) / half
+def next_cut(start: int, duration: int, time: np.ndarray, strength: np.ndarray) -> int:
+    """Where the segment from `start` ends, with more than SETTLED_MS left: at the strong boundary that suits best."""
+    rest = duration - start
+    reach = slice(*np.searchsorted(time, [start + SHORTEST_MS, min(start + LONGEST_MS, duration - SHORTEST_MS) + 1]))
+    at, force = time[reach], strength[reach]
+    at, force = at[force >= MIN_STRENGTH], force[force >= MIN_STRENGTH]
+    if len(at):
+        suits = force + LENGTH_WEIGHT * np.interp(at - start, *zip(*LENGTH_KNOTS))
+        return int(at[np.lexsort((at, -force, -suits))[0]])
+    if rest <= LONGEST_MS:
+        return duration
+    return start + (LONGEST_MS if rest - LONGEST_MS >= SHORT_TAIL_MS else rest // 2)
 
 
 def plan_cover(duration: int, boundaries: list[tuple[int, list[str], float]]) -> list[tuple[int, int, list[str]]]:
     """(start, end, sources of the end) of a greedy cover of [0, duration)."""
-    at = [b[0] for b in boundaries]
-    plan: list[tuple[int, int, list[str]]] = []
-    start = 0
-    while start < duration:
-        rest = duration - start
-        end, why = duration, []
-        if rest > TARGET_MAX_MS and rest >= 2 * MIN_MS:
-            low = bisect.bisect_left(at, start + MIN_MS)
-            high = bisect.bisect_right(at, min(start + min(HARD_MAX_MS, rest), duration - MIN_MS))
-            usable = [b for b in boundaries[low:high] if b[2] >= MIN_STRENGTH]
-            if usable:
-                end, why, _ = max(usable, key=lambda b: (b[2] + 0.35 * length_bonus(b[0] - start), b[2], -b[0]))
-            elif rest > HARD_MAX_MS:
-                end = start + (rest // 2 if rest - HARD_MAX_MS < TARGET_MIN_MS else HARD_MAX_MS)
-        plan.append((start, end, why))
-        start = end
-    return plan
+    time = np.array([b[0] for b in boundaries], np.int64)
+    strength = np.array([b[2] for b in boundaries], float)
+    why = {b[0]: b[1] for b in reversed(boundaries)}
+    ends = [0]
+    while ends[-1] < duration:
+        ends.append(duration if duration - ends[-1] <= SETTLED_MS else next_cut(ends[-1], duration, time, strength))
+    return [(a, b, why.get(b, []) if b < duration else []) for a, b in zip(ends, ends[1:])]
 
 
 def plan_segments(candidates: DataFrame) -> DataFrame:
@@ -214,7 +217,7 @@ def plan_segments(candidates: DataFrame) -> DataFrame:
         plan = plan_cover(duration, merge_boundaries([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], duration))
         return {"asset_id": [t["asset_id"][0].as_py()] * len(plan), "ordinal": pa.array(range(len(plan)), pa.int32()), "start_ms": [p[0] for p in plan], "end_ms": [p[1] for p in plan], "sources": pa.array([p[2] for p in plan], pa.list_(pa.string()))}
 
-    return _fold(candidates.select("asset_id", "duration_ms", "time_ms", "source", "score"), "asset_id", schema, fold)
+    return _fold(candidates.select("asset_id", "duration_ms", "time_ms", "source", "score"), ["asset_id"], schema, fold)
 
 
 def merged_boundaries(candidates: DataFrame) -> DataFrame:
@@ -226,7 +229,7 @@ def merged_boundaries(candidates: DataFrame) -> DataFrame:
         out = merge_boundaries([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], t["duration_ms"][0].as_py())
         return {"asset_id": [t["asset_id"][0].as_py()] * len(out), "time_ms": [o[0] for o in out], "sources": pa.array([o[1] for o in out], pa.list_(pa.string())), "strength": pa.array([o[2] for o in out], pa.float64())}
 
-    return _fold(candidates.select("asset_id", "duration_ms", "time_ms", "source", "score"), "asset_id", schema, fold)
+    return _fold(candidates.select("asset_id", "duration_ms", "time_ms", "source", "score"), ["asset_id"], schema, fold)
 
 
 def coverage_faults(segments: DataFrame, assets: DataFrame) -> DataFrame:
@@ -258,8 +261,10 @@ def merge_ocr(raw: DataFrame, gap_ms: int = 1_500, hold_ms: int = 1_000, least_i
 
     A detection joins the latest earlier observation of equal normalised text whose end is at most `gap_ms`
     before and whose first box overlaps enough; the end moves to time + `hold_ms`, confidence is the largest.
+    Texts are cut where a pause leaves no observation to join.
     """
     schema = "segment_id long, text string, confidence double, x double, y double, w double, h double, start_ms long, end_ms long"
+    first = ("segment_id", "text", "x", "y", "w", "h")
 
     def overlap(a: dict, b: dict) -> float:
         w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
@@ -270,51 +275,64 @@ def merge_ocr(raw: DataFrame, gap_ms: int = 1_500, hold_ms: int = 1_000, least_i
 
     def fold(t: pa.Table) -> pa.Table:
         out: list[dict] = []
+        live: list[dict] = []
         for d in t.sort_by([("time_ms", "ascending"), ("seq", "ascending")]).to_pylist():
-            for o in reversed(out):
-                if d["time_ms"] - o["end_ms"] <= gap_ms and overlap(o, d) >= least_iou:
-                    o["end_ms"] = d["time_ms"] + hold_ms
-                    o["confidence"] = max(o["confidence"], d["confidence"])
-                    break
-            else:
-                out.append({k: d[k] for k in ("segment_id", "text", "confidence", "x", "y", "w", "h")} | {"start_ms": d["time_ms"], "end_ms": d["time_ms"] + hold_ms})
+            live = [o for o in live if d["time_ms"] - o["end_ms"] <= gap_ms]
+            o = next((o for o in reversed(live) if overlap(o, d) >= least_iou), None)
+            if o is None:
+                o = {k: d[k] for k in first} | {"confidence": d["confidence"], "start_ms": d["time_ms"]}
+                out.append(o)
+                live.append(o)
+            o["end_ms"] = d["time_ms"] + hold_ms
+            o["confidence"] = max(o["confidence"], d["confidence"])
         return pa.Table.from_pylist(out, pa.schema([("segment_id", pa.int64()), ("text", pa.string()), *[(k, pa.float64()) for k in ("confidence", "x", "y", "w", "h")], ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
 
-    return raw.groupBy("segment_id", "norm").applyInArrow(fold, schema)
+    return stretches(raw, ["segment_id", "norm"], gap_ms + hold_ms + 1).groupBy("segment_id", "norm", "stretch").applyInArrow(fold, schema)
 
 
-def time_sentences(sentences: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Timed sentences from aligned tokens, in order.
+def sentence_tokens(lengths: list[int], tokens: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(sentence, first token, last token): a sentence takes tokens until they are as long as it is; the last takes the rest."""
+    at = 0
+    for i, want in enumerate(lengths):
+        first, took = at, 0
+        while at < len(tokens) and (took < want or i == len(lengths) - 1):
+            took += tokens[at]
+            at += 1
+        if at > first:
+            yield i, first, at - 1
 
-    sentences: segment_id, ordinal, text, block_start_ms, block_end_ms; tokens: segment_id, seq, text,
-    start_ms, end_ms within the block. Each sentence takes tokens until they have its non-blank length; the
-    last takes the rest. Without tokens, one row over the block.
-    """
-    schema = "segment_id long, ordinal int, text string, start_ms long, end_ms long, timing_source string"
-    at = tokens.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "start_ms", "end_ms"))).alias("tokens"))
-    rows = sentences.join(at, "segment_id", "left")
 
-    def fold(t: pa.Table) -> dict:
-        rows = t.sort_by([("ordinal", "ascending")]).to_pylist()
-        low, high, left = rows[0]["block_start_ms"], rows[0]["block_end_ms"], list(rows[0]["tokens"] or [])
-        out: dict[str, list] = {k: [] for k in ("segment_id", "ordinal", "text", "start_ms", "end_ms", "timing_source")}
-
-        def add(ordinal: int, text: str, a: int, b: int, source: str) -> None:
-            for k, v in zip(out, (rows[0]["segment_id"], ordinal, text, min(max(low + a, low), high), min(max(low + b, low), high), source), strict=True):
-                out[k].append(v)
-
-        if not left:
-            add(0, " ".join(r["text"] for r in rows), 0, high - low, "asr_block")
-        for i, r in enumerate(rows):
-            want, took = len("".join(r["text"].split())), []
-            while left and (i == len(rows) - 1 or sum(len("".join(x["text"].split())) for x in took) < want):
-                took.append(left.pop(0))
-            if took:
-                add(r["ordinal"], r["text"], took[0]["start_ms"], took[-1]["end_ms"], "aligned")
-        out["ordinal"] = pa.array(out["ordinal"], pa.int32())
-        return out
-
-    return _fold(rows, "segment_id", schema, fold)
+def time_sentences(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Timed sentences of blocks of speech: segment_id, ordinal, text, start_ms, end_ms, timing_source.
+
+    blocks: segment_id (one block each), transcript, block_start_ms, block_end_ms; tokens: segment_id, seq, text,
+    start_ms, end_ms within the block. Lengths are characters that aren't white space, one at least. A
+    sentence lasts a millisecond at least, within the block. Without tokens the trimmed transcript is one row over
+    the block; a blank transcript gives none. A block's tokens meet its row once.
+    """
+    length = lambda c: F.greatest(F.lit(1), F.length(F.regexp_replace(c, r"(?U)\s", "")))
+    told = tokens.select("segment_id", F.struct("seq", "start_ms", "end_ms", length(F.col("text")).alias("length")).alias("token"))
+    told = told.groupBy("segment_id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    said = blocks.select("segment_id", "transcript", "block_start_ms", "block_end_ms", split_sentences(F.col("transcript")).alias("sentences")).filter(F.size("sentences") > 0)
+    rows = said.join(told, "segment_id", "left")
+    whole = rows.filter("tokens is null").select("segment_id", F.lit(0).alias("ordinal"), F.regexp_replace("transcript", r"(?U)^\s+|\s+$", "").alias("text"), F.col("block_start_ms").alias("start_ms"), F.col("block_end_ms").alias("end_ms"), F.lit("asr_block").alias("timing_source"))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(s, i, a, b) for s, lengths, sizes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for i, a, b in sentence_tokens(lengths, sizes)]
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.int32()] * 3), strict=True)], ["segment_id", "ordinal", "first", "last"])
+
+    aligned = rows.filter("tokens is not null")
+    sizes = aligned.select("segment_id", F.transform("sentences", length).alias("lengths"), F.transform("tokens", lambda t: t["length"]).alias("tokens"))
+    spans = sizes.mapInArrow(assign, "segment_id long, ordinal int, first int, last int")
+    base, end = F.col("block_start_ms"), F.col("block_end_ms")
+    a = base + F.get("tokens", F.col("first"))["start_ms"]
+    b = base + F.get("tokens", F.col("last"))["end_ms"]
+    timed = aligned.join(spans, "segment_id").select(
+        "segment_id", "ordinal", F.get("sentences", F.col("ordinal")).alias("text"), F.greatest(base, a).alias("start_ms"), F.least(end, F.greatest(a + 1, b)).alias("end_ms"), F.lit("forced_alignment_sentence").alias("timing_source"),
+    )
+    return timed.unionByName(whole)
 
 
 def box_overlap(rows: DataFrame) -> DataFrame:

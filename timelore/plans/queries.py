@@ -454,11 +454,13 @@ def evidence_commit(t):
     return out.select("segment_id", "evidence_type", "n", "start_ms", "end_ms", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query("select vec_id as segment_id, len(embedding) as dimension, cast(embedding[1] as double) as first, cast(embedding[64] as double) as last, round(list_sum(list_transform(embedding, lambda x: cast(x as double))), 6) as total from embeddings where vec_id % 7 <> 0")
 def decoded_vectors(t):
-    rows = t.raw("embeddings").select(F.col("vec_id").alias("segment_id"), F.expr("aggregate(embedding, binary(''), (s, x) -> s)").alias("blob"), F.size("embedding").alias("dimension"), "embedding")
+    rows = t.raw("embeddings").select(F.col("vec_id").alias("segment_id"), F.lit(None).cast("binary").alias("blob"), F.when(F.col("vec_id") % 7 == 0, 63).otherwise(F.size("embedding")).alias("dimension"), "embedding")
     packed = rows.mapInArrow(_pack, "segment_id long, blob binary, dimension int")
-    return ingest.decode_vectors(packed)[0]
+    v = F.col("vector")
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return ingest.decode_vectors(packed)[0].select("segment_id", F.size(v).alias("dimension"), F.get(v, F.lit(0)).cast("double").alias("first"), F.get(v, F.lit(63)).cast("double").alias("last"), F.round(total, 6).alias("total"))
 
 
 def _pack(batches):
@@ -487,9 +489,10 @@ def luma(t: Tables) -> DataFrame:
 LUMA = "luma as (select cast(label as bigint) as asset_id, vec_id as time_ms, list_transform(embedding, lambda x: least(255, greatest(0, cast(floor((cast(x as double) + 1) * 127.5) as bigint)))) as luma from embeddings)"
 
 
-@query("select asset_id, i as ordinal, i * greatest(500, cast(ceil(duration_ms / 7200) as bigint)) as time_ms from (select *, unnest(range(0, (duration_ms - 1) // greatest(500, cast(ceil(duration_ms / 7200) as bigint)) + 1)) as i from media_asset where duration_ms > 0 and root_id = 0)")
+@query("""select asset_id, count(*) as samples, max(time_ms) as last_ms, cast(sum(time_ms) as bigint) as total_ms from (select asset_id, unnest(range(0, duration_ms, greatest(500, cast(ceil(duration_ms / 7200) as bigint)))) as time_ms from media_asset where duration_ms > 0) group by 1""")
 def sampling_plan(t):
-    return timeline.sampling_plan(t.media_asset).withColumn("ordinal", F.col("ordinal").cast("long"))
+    plan = timeline.sampling_plan(t.media_asset)
+    return plan.groupBy("asset_id").agg(F.count("*").alias("samples"), F.max("time_ms").alias("last_ms"), F.sum("time_ms").alias("total_ms"))
 
 
 @query(f"""with {LUMA}, h as (select *, list_transform(range(0, 16), lambda b: len(list_filter(luma, lambda p: p // 16 = b)) / len(luma)) as hist, lag(luma) over w as pl from luma window w as (partition by asset_id order by time_ms)),
@@ -512,9 +515,13 @@ def representative_frames(t):
     return timeline.representative_frames(frames).groupBy("segment_id", "time_ms").agg(F.count("*").alias("frames"))
 
 
-@query()
+@query(f"""with recursive {LUMA}, h as (select time_ms // 8 as segment_id, time_ms, list_transform(luma, lambda p: p >= list_sum(luma) // 64) as bits, row_number() over (partition by time_ms // 8 order by time_ms) as i from luma),
+    walk(segment_id, i, time_ms, bits, kept) as (select segment_id, i, time_ms, bits, true from h where i = 1
+        union all select segment_id, i, time_ms, case when differ then now else last end, differ from (select h.segment_id, h.i, h.time_ms, w.bits as last, h.bits as now, len(list_filter(range(1, 65), lambda k: h.bits[k] <> w.bits[k])) > 30 as differ from walk w join h on h.segment_id = w.segment_id and h.i = w.i + 1))
+    select segment_id, time_ms from walk where kept""")
 def distinct_frames(t):
-    return timeline.distinct_frames(luma(t).select(F.col("asset_id").alias("segment_id"), "time_ms", C.average_hash(F.col("luma")).alias("hash")), 12)
+    frames = luma(t).select(F.floor(F.col("time_ms") / 8).alias("segment_id"), "time_ms", C.average_hash(F.col("luma")).alias("hash"))
+    return timeline.distinct_frames(frames, 30).select("segment_id", "time_ms")
 
 
 WINDOWS = "windows as (select asset_id, boundary_id, time_ms as start_ms, time_ms + 3600000 as end_ms, score * 100 - 100 as level_db from boundary)"
@@ -532,9 +539,17 @@ def silence_boundaries(t):
     return out.select("asset_id", "time_ms", "source", F.round("score", 6).alias("score"), F.get_json_object("details", "$.durationMS").cast("long").alias("span"))
 
 
-@query()
+CHANGES = f"""{LUMA}, h as (select *, list_transform(range(0, 16), lambda b: len(list_filter(luma, lambda p: p // 16 = b)) / len(luma)) as hist, lag(luma) over w as pl from luma window w as (partition by asset_id order by time_ms)),
+    g as (select *, lag(hist) over (partition by asset_id order by time_ms) as ph from h),
+    changes as (select asset_id, time_ms, least(1.0, 0.65 * list_sum(list_transform(range(1, 65), lambda i: abs(luma[i] - pl[i]))) / 64 / 255 + 0.175 * list_sum(list_transform(range(1, 17), lambda i: abs(hist[i] - ph[i])))) as score from g where pl is not null)"""
+
+
+@query(f"""with recursive {CHANGES}, r as (select *, row_number() over (partition by asset_id order by time_ms) as i from changes where score >= 0.05),
+    walk(asset_id, i, k, kt, ks) as (select asset_id, i, 1, time_ms, score from r where i = 1
+        union all select r.asset_id, r.i, case when r.time_ms - kt >= 30 then k + 1 else k end, case when r.time_ms - kt >= 30 or r.score > ks then r.time_ms else kt end, case when r.time_ms - kt >= 30 or r.score > ks then r.score else ks end from walk w join r on r.asset_id = w.asset_id and r.i = w.i + 1)
+    select asset_id, arg_max(kt, i) as time_ms, round(arg_max(ks, i), 6) as score from walk group by asset_id, k""")
 def coalesced_changes(t):
-    return timeline.coalesced_changes(timeline.visual_changes(luma(t)), 0.05, 30)
+    return timeline.coalesced_changes(timeline.visual_changes(luma(t)), 0.05, 30).withColumn("score", F.round("score", 6))
 
 
 def candidates(t: Tables) -> DataFrame:
@@ -542,13 +557,26 @@ def candidates(t: Tables) -> DataFrame:
     return t.boundary.select("asset_id", F.lit(900_000).cast("long").alias("duration_ms"), (F.col("time_ms") % 900_000).alias("time_ms"), F.try_element_at(kinds, (F.col("boundary_id") % 4).cast("int")).alias("source"), "score")
 
 
-@query()
+#: Clusters begin at their first boundary and reach 300 ms; each source counts with its best score.
+MERGED = """b as (select asset_id, time_ms % 900000 as t, ['shotChange', 'sentenceEnd', 'pause', 'ocrChange'][boundary_id % 4 + 1] as source, boundary_id % 4 as prio, [1.0, 0.9, 0.75, 0.65][boundary_id % 4 + 1] as w, least(1.0, greatest(0.0, score)) as s from boundary where time_ms % 900000 > 0),
+    heads(asset_id, t0) as (select asset_id, min(t) from b group by 1 union all select h.asset_id, min(t) from heads h join b on b.asset_id = h.asset_id and t > t0 + 300 group by h.asset_id),
+    best as (select b.asset_id, t0, source, prio, max(s) * any_value(w) as weight, arg_min(t, (-s, t)) as t from b join heads h on h.asset_id = b.asset_id and t between t0 and t0 + 300 group by all),
+    merged as (select asset_id, arg_min(t, (-weight, prio)) as time_ms, string_agg(source, ',' order by prio) as sources, sum(weight) as strength from best group by asset_id, t0)"""
+
+
+@query(f"with recursive {MERGED} select asset_id, time_ms, sources, round(strength, 6) as strength from merged")
 def merged_boundaries(t):
     out = timeline.merged_boundaries(candidates(t))
     return out.select("asset_id", "time_ms", F.array_join("sources", ",").alias("sources"), F.round("strength", 6).alias("strength"))
 
 
-@query()
+@query(f"""with recursive {MERGED}, strong as (select * from merged where strength >= 0.2),
+    plan(asset_id, n, s, e, sources) as (select asset_id, -1, 0, 0, '' from boundary group by 1
+        union all select asset_id, n + 1, s, case when rest <= 15000 then 900000 when best is not null then best.t when rest <= 30000 then 900000 when rest >= 38000 then s + 30000 else s + rest // 2 end, case when rest > 15000 and best is not null then best.o else '' end
+        from (select p.asset_id, p.n, p.e as s, 900000 - p.e as rest, arg_max({{'t': m.time_ms, 'o': m.sources}}, (strength + 0.35 * case when m.time_ms - p.e <= 8000 then 0.7 * (m.time_ms - p.e - 4000) / 4000 when m.time_ms - p.e <= 11500 then 0.7 + 0.3 * (m.time_ms - p.e - 8000) / 3500
+                when m.time_ms - p.e <= 15000 then 1 - 0.3 * (m.time_ms - p.e - 11500) / 3500 else 0.7 * (30000 - (m.time_ms - p.e)) / 15000 end, strength, -m.time_ms)) filter (m.time_ms is not null) as best
+            from plan p left join strong m on m.asset_id = p.asset_id and m.time_ms between p.e + 4000 and least(p.e + 30000, 896000) where p.e < 900000 group by p.asset_id, p.n, p.e))
+    select asset_id, n as ordinal, s as start_ms, e as end_ms, sources from plan where n >= 0""")
 def planned_segments(t):
     return timeline.plan_segments(candidates(t)).withColumn("sources", F.array_join("sources", ","))
 
@@ -587,21 +615,33 @@ def merged_ocr(t):
     return timeline.merge_ocr(raw, gap_ms=1_500)
 
 
-@query()
-def timed_sentences(t):
-    said = t.turn.withColumnsRenamed({"ordinal": "turn"})
-    rows = said.select("segment_id", "turn", F.posexplode(C.split_sentences(F.col("text"))).alias("i", "text"))
-    rows = rows.select("segment_id", (F.col("turn") * 1000 + F.col("i")).cast("int").alias("ordinal"), "text", F.lit(20_000).cast("long").alias("block_start_ms"), F.lit(400_000).cast("long").alias("block_end_ms"))
-    words = said.select("segment_id", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "text"))
-    seq = F.col("turn") * 1000 + F.col("i")
-    tokens = words.filter("segment_id % 5 <> 0").select("segment_id", seq.alias("seq"), "text", (seq * 40).alias("start_ms"), (seq * 40 + 30).alias("end_ms"))
-    return timeline.time_sentences(rows, tokens)
+SPLIT = "list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda v: regexp_replace(v, '^\\s+|\\s+$', '', 'g')), lambda v: v <> '')"
 
 
-@query()
+@query(f"""with recursive blocks as (select segment_id * 100 + ordinal as segment_id, text, {SPLIT} as x from turn), said as (select *, list_transform(x, lambda v: greatest(1, length(regexp_replace(v, '\\s', '', 'g')))) as n from blocks where len(x) > 0),
+    words as (select segment_id, list_filter(string_split_regex(text, '\\s+'), lambda v: v <> '') as ws from blocks where segment_id % 5 <> 0), tok as (select segment_id, i, length(ws[i + 1]) as len from (select *, unnest(range(0, len(ws))) as i from words)),
+    walk(segment_id, i, k, took) as (select t.segment_id, 0, 0, t.len from tok t join said using (segment_id) where i = 0
+        union all select w.segment_id, w.i + 1, case when w.took >= s.n[w.k + 1] and w.k < len(s.n) - 1 then w.k + 1 else w.k end, case when w.took >= s.n[w.k + 1] and w.k < len(s.n) - 1 then t.len else w.took + t.len end
+        from walk w join tok t on t.segment_id = w.segment_id and t.i = w.i + 1 join said s on s.segment_id = w.segment_id)
+    select segment_id, k as ordinal, any_value(x)[k + 1] as text, 20000 + min(i) * 40 as start_ms, least(400000, 20000 + greatest(min(i) * 40 + 1, max(i) * 40 + i_last)) as end_ms, 'forced_alignment_sentence' as timing_source from (select w.*, x, 30 as i_last from walk w join said using (segment_id)) group by segment_id, k, i_last
+    union all select segment_id, 0, regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 20000, 400000, 'asr_block' from said where segment_id not in (select segment_id from tok)""")
+def timed_sentences(t):
+    said = t.turn.select((F.col("segment_id") * 100 + F.col("ordinal")).alias("segment_id"), "text")
+    blocks = said.select("segment_id", F.col("text").alias("transcript"), F.lit(20_000).cast("long").alias("block_start_ms"), F.lit(400_000).cast("long").alias("block_end_ms"))
+    tokens = said.filter("segment_id % 5 <> 0").select("segment_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("seq", "text"))
+    tokens = tokens.withColumns({"start_ms": F.col("seq").cast("long") * 40, "end_ms": F.col("seq").cast("long") * 40 + 30})
+    return timeline.time_sentences(blocks, tokens)
+
+
+@query("""with c as (select cast(label as bigint) as asset_id, vec_id * 64 as start, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 20000) as bigint)) as samples from embeddings),
+    d as (select *, case when start - lag(start + 64) over w between -2 and 2 then 0 else 1 end as broken from c window w as (partition by asset_id order by start)), e as (select *, sum(broken) over (partition by asset_id order by start rows unbounded preceding) as run from d),
+    f as (select *, row_number() over (partition by asset_id, run order by start) * 64 - 64 as o, first_value(start) over (partition by asset_id, run order by start) as rs from e),
+    g as (select asset_id, rs, o + i as place, samples[i + 1] / 32767 as x from (select *, unnest(range(0, 64)) as i from f)),
+    h as (select asset_id, rs + place // 100 * 100 as start_sample, count(*) as n, avg(x * x) as m from g group by 1, 2)
+    select asset_id, start_sample, n, cast(floor(start_sample + 0.5) as bigint) as start_ms, cast(floor(start_sample + n + 0.5) as bigint) as end_ms, round(20 * log10(greatest(sqrt(m), 1e-9)), 6) as level_db from h""")
 def energy_windows(t):
-    chunks = t.raw("embeddings").select(F.col("label").cast("long").alias("asset_id"), (F.col("vec_id") * 64).alias("start_sample"), F.lit(1000.0).alias("sample_rate"), F.transform("embedding", lambda x: F.floor(x * 20_000).cast("smallint")).alias("samples"))
-    return timeline.energy_windows(chunks)
+    chunks = t.raw("embeddings").select(F.col("label").cast("long").alias("asset_id"), (F.col("vec_id") * 64).alias("start_sample"), F.lit(1000.0).alias("sample_rate"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 20_000).cast("smallint")).alias("samples"))
+    return timeline.energy_windows(chunks).withColumn("level_db", F.round("level_db", 6))
 
 
 # ---------------------------------------------------------------- lineage

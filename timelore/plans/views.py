@@ -129,6 +129,8 @@ def with_views(body: str) -> str:
         return body
     heads = ", ".join(f"{n} as ({VIEWS[n].sql()})" for n in used)
     body = body.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {heads}, {body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {heads}, {body[5:]}"
     return f"with {heads} {body}"
