@@ -177,8 +177,9 @@ def test_fusion_ranks(spark):
     evidence, segments = evidence_fixture(spark)
     vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (10, [0.6, 0.8]), (11, [1.0]), (3, [1.0, 0.0])], "segment_id long, vector array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
-    scores = {r.segment_id: round(r.score, 6) for r in search.vector_rank(vectors, asked).collect()}
+    scores = {r.segment_id: round(r.score, 6) for r in search.vector_rank(vectors, asked, 10).collect()}
     assert scores == {1: 0.0, 2: 1.0, 10: 0.6, 3: 1.0}
+    assert [r.segment_id for r in search.vector_rank(vectors, asked, 2).orderBy("place").collect()] == [2, 3]
     got = {r.asset_id: r for r in search.hybrid_search(evidence, segments, vectors, {1: "京都车站"}, asked).collect()}
     assert set(got) == {7, 9} and got[7].semantic == 1.0 and got[9].literal == 0.0 and got[7].place == 1
     assert len(search.hybrid_search(evidence, segments, vectors, {1: "京都车站"}, None).collect()) == 1
@@ -189,6 +190,33 @@ def test_rows_of_queries_give_the_results_of_a_dict(spark):
     texts = {1: "京都车站", 2: "京都", 3: " \u3000 ", 4: " PLAIN ", 5: "in", 6: "no such"}
     asked = spark.createDataFrame(list(texts.items()), "query_id long, query string")
     assert sorted(map(str, search.literal_search(evidence, segments, asked).collect())) == sorted(map(str, search.literal_search(evidence, segments, texts).collect()))
+    index = search.postings(evidence)
+    assert sorted(map(str, search.literal_search(evidence, segments, asked, index=index).collect())) == sorted(map(str, search.literal_search(evidence, segments, texts).collect()))
+
+
+def test_index_counts_overlapping_occurrences(spark, tmp_path):
+    texts = ["aaaa AAA", "xaaax", "aa", "", None, "ab\U0001d54fabc\U0001d54fabc"]
+    evidence = spark.createDataFrame(list(enumerate(texts)), "evidence_seq long, text string")
+    asked = spark.createDataFrame([(1, "aaa"), (2, "b\U0001d54fa"), (3, "aa"), (4, "Aaaa")], "query_id long, query string")
+    search.write_postings(search.postings(evidence), f"{tmp_path}/index", 2)
+    want = {(k, i, n) for k, q in ((1, "aaa"), (2, "b\U0001d54fa"), (4, "aaaa")) for i, t in enumerate(texts) if (n := sum((t or "").lower().startswith(q, j) for j in range(len(t or ""))))}
+    assert {tuple(r) for r in search.indexed_matches(spark.read.parquet(f"{tmp_path}/index"), asked).collect()} == want
+    long_ = {(r.query_id, r.evidence_seq, r.f) for r in search.joined_matches(evidence, asked).filter("is_long").collect()}
+    assert long_ == want
+
+
+def test_vectors_in_several_blocks_and_lengths(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4 + i % 2)]) for i in range(60)] + [(60, None), (61, [])]
+    vectors = spark.createDataFrame(rows, "segment_id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, v) for i, v in rows if i % 7 == 0 or i > 59], "query_id long, vector array<double>")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    want = set()
+    for k, q in rows:
+        if k % 7 == 0 and q:
+            near = sorted((-max(-1.0, min(1.0, sum(x * y for x, y in zip(q, v)))), i) for i, v in rows if v and len(v) == len(q))[:5]
+            want |= {(k, i, n) for n, (_, i) in enumerate(near, 1)}
+    assert {(r.query_id, r.segment_id, r.place) for r in search.vector_rank(vectors, asked, 5).collect()} == want
 
 
 def test_every_hundredth_row_is_a_query(spark, tmp_path):
@@ -197,7 +225,7 @@ def test_every_hundredth_row_is_a_query(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i} and station", "en", "a", 9) for i in range(0, n - 50)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     every = set(range(0, n, 100))
     scores = QUERIES["vector_rank"](spark, str(tmp_path)).collect()
-    assert len(scores) == n * 13 and {r.query_id for r in scores} == every
+    assert len(scores) == 50 * 13 and {r.query_id for r in scores} == every
     assert all(r.score == max(-1.0, min(1.0, r.query_id % 7 * (r.segment_id % 7) + 1.0)) for r in scores)
     assert {r.query_id for r in QUERIES["hybrid_search"](spark, str(tmp_path)).collect()} == every
     assert {r.query_id for r in QUERIES["search_lines"](spark, str(tmp_path)).collect()} == every

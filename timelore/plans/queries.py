@@ -336,25 +336,34 @@ def vectors(t: Tables) -> DataFrame:
 
 
 _ASKED = ", ".join(f"({k}, '{v.strip()}')" for k, v in TEXTS.items())
+#: TEXTS, and for each further query row the first word of the document with its id (the smallest by text), else TEXTS in turn.
+_TURNS = ", ".join(f"'{v.strip()}'" for v in TEXTS.values())
+ASKED = f"""(select * from (values {_ASKED}) v(query_id, q) union all
+        select vec_id, coalesce(w, [{_TURNS}][vec_id // 100 % {len(TEXTS)} + 1]) from (select distinct vec_id from embeddings where vec_id % 100 = 0 and vec_id not in ({", ".join(map(str, TEXTS))})) e
+        left join (select doc_id, lower(nullif(min(regexp_extract(text, '[\\p{{L}}\\p{{N}}]+')), '')) as w from documents where doc_id % 100 = 0 group by 1) d on doc_id = vec_id)"""
 LITERAL = f"""
-    asked as (select * from (values {_ASKED}) v(query_id, q)),
+    asked as {ASKED},
     corpus as (select count(*) as cn, avg(greatest(0, length(text) - 2)) as ad from evidence),
-    hits as (select query_id, q, e.*, length(q) >= 3 as is_long, (length(lower(text)) - length(replace(lower(text), q, ''))) / length(q) as f from asked, evidence e where contains(lower(text), q)),
+    hits as (select query_id, q, e.*, length(q) >= 3 as is_long, case when len(list_filter(range(1, length(q)), lambda i: substring(q, 1, i) = right(q, i))) > 0 then len(list_filter(range(1, length(t) + 1), lambda i: substring(t, i, length(q)) = q))
+        else (length(t) - length(replace(t, q, ''))) / length(q) end as f from asked, (select *, lower(text) as t from evidence) e where contains(t, q)),
     per as (select query_id, count(*) as n from hits group by 1),
     ranked as (select h.*, case when is_long then -(case when ln((cn - n + 0.5) / (n + 0.5)) <= 0 then 1e-6 else ln((cn - n + 0.5) / (n + 0.5)) end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * greatest(0, length(text) - 2) / ad)) else 0.0 end as rank from hits h join per using (query_id), corpus),
     shown as (select r.*, row_number() over (partition by query_id order by rank, case when is_long then evidence_seq else -evidence_seq end) as pos from ranked r where segment_id in (select segment_id from search_segment where visible) qualify pos <= 200),
     lit as (select *, 9.0 / (9 + lr) as literal from (select query_id, segment_id, max(case when rank < 0 then -rank end) as bm25, row_number() over (partition by query_id order by min(pos)) - 1 as lr,
         count(*) filter (evidence_type = 'visual') as vh, count(*) filter (evidence_type = 'transcript') as th, count(*) filter (evidence_type = 'ocr') as oh,
-        arg_min(start_ms, pos) filter (evidence_type = 'transcript') as ts, arg_min(start_ms, pos) filter (evidence_type = 'ocr') as os, arg_min(start_ms, pos) filter (evidence_type = 'visual') as vs from shown group by 1, 2))"""
+        arg_min(start_ms, pos) filter (evidence_type = 'transcript') as ts, arg_min(start_ms, pos) filter (evidence_type = 'ocr') as os, arg_min(start_ms, pos) filter (evidence_type = 'visual') as vs,
+        arg_min(end_ms, pos) filter (evidence_type = 'transcript') as te, arg_min(end_ms, pos) filter (evidence_type = 'ocr') as oe, arg_min(end_ms, pos) filter (evidence_type = 'visual') as ve,
+        concat_ws(',', 'visual:' || arg_min(evidence_seq, pos) filter (evidence_type = 'visual'), 'transcript:' || arg_min(evidence_seq, pos) filter (evidence_type = 'transcript'), 'ocr:' || arg_min(evidence_seq, pos) filter (evidence_type = 'ocr')) as matched from shown group by 1, 2))"""
 NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(path), '(\\d+|\\D+)'), lambda x: case when regexp_matches(x, '^\\d') then lpad(x, 12, '0') else x end), '')"
-RESULT = """select query_id, place, asset_id, segment_id, round(combined, 6) as combined, round(literal, 6) as literal, round(semantic, 6) as semantic, round(bm25, 6) as bm25, segments, visual_segments, transcript_hits_all, ocr_hits_all, play_start from
+RESULT = """select query_id, place, asset_id, segment_id, round(combined, 6) as combined, round(literal, 6) as literal, round(semantic, 6) as semantic, round(bm25, 6) as bm25, segments, visual_segments, transcript_hits_all, ocr_hits_all, play_start, play_end, coalesce(matched, '') as matched from
     (select *, row_number() over (partition by query_id order by {order}) as place from (select *, count(*) over a as segments, count(*) filter (vh > 0) over a as visual_segments, cast(sum(th) over a as bigint) as transcript_hits_all, cast(sum(oh) over a as bigint) as ocr_hits_all,
         row_number() over (partition by query_id, asset_id order by {order}) as rn from joined window a as (partition by query_id, asset_id)) where rn = 1) where place <= 8"""
-_PLAY = "coalesce(ts, os, vs, s.start_ms) as play_start"
+_PLAY = "coalesce(ts, os, vs, s.start_ms) as play_start, coalesce(te, oe, ve, s.end_ms) as play_end"
 
 
 def shaped(out: DataFrame) -> DataFrame:
-    return out.select("query_id", F.col("place").cast("long").alias("place"), "asset_id", "segment_id", *[F.round(c, 6).alias(c) for c in ("combined", "literal", "semantic", "bm25")], "segments", "visual_segments", "transcript_hits_all", "ocr_hits_all", "play_start")
+    matched = F.array_join(F.transform("matched", lambda e: F.concat_ws(":", e["evidence_type"], e["evidence_seq"].cast("string"))), ",")
+    return out.select("query_id", F.col("place").cast("long").alias("place"), "asset_id", "segment_id", *[F.round(c, 6).alias(c) for c in ("combined", "literal", "semantic", "bm25")], "segments", "visual_segments", "transcript_hits_all", "ocr_hits_all", "play_start", "play_end", F.coalesce(matched, F.lit("")).alias("matched"))
 
 
 @query(f"with {LITERAL}, joined as (select l.*, s.asset_id, path, s.start_ms, cast(null as double) as semantic, 0.65 * literal as combined, {_PLAY} from lit l join search_segment s on s.segment_id = l.segment_id and visible) " + RESULT.format(order="lr, segment_id"))
@@ -363,18 +372,18 @@ def literal_search(t):
 
 
 @query(f"""with {LITERAL}, sims as (select q.vec_id as query_id, v.vec_id as segment_id, greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))) as score
-        from embeddings q, embeddings v where q.vec_id % 100 = 0 and q.vec_id in (select query_id from asked) and v.vec_id in (select segment_id from search_segment where visible)),
+        from embeddings q, embeddings v where q.vec_id % 100 = 0 and v.vec_id in (select segment_id from search_segment where visible)),
     sem as (select *, row_number() over (partition by query_id order by score desc, segment_id) as n from sims where score > 0 qualify n <= 200),
-    fused as (select coalesce(l.query_id, m.query_id) as query_id, coalesce(l.segment_id, m.segment_id) as segment_id, coalesce(literal, 0) as literal, score as semantic, bm25, coalesce(vh, 0) as vh, coalesce(th, 0) as th, coalesce(oh, 0) as oh, ts, os, vs from lit l full join sem m on l.query_id = m.query_id and l.segment_id = m.segment_id),
+    fused as (select coalesce(l.query_id, m.query_id) as query_id, coalesce(l.segment_id, m.segment_id) as segment_id, coalesce(literal, 0) as literal, score as semantic, bm25, coalesce(vh, 0) as vh, coalesce(th, 0) as th, coalesce(oh, 0) as oh, ts, os, vs, te, oe, ve, matched from lit l full join sem m on l.query_id = m.query_id and l.segment_id = m.segment_id),
     joined as (select b.*, s.asset_id, path, s.start_ms, 0.65 * literal + 0.35 * coalesce(semantic, 0) as combined, {_PLAY} from fused b join search_segment s on s.segment_id = b.segment_id and visible) """ + RESULT.format(order=f"combined desc, {NATURAL}, start_ms, segment_id"))
 def hybrid_search(t):
     return shaped(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t)))
 
 
-@query("""select q.vec_id as query_id, v.vec_id as segment_id, round(greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))), 6) as score,
-    from embeddings q, embeddings v where q.vec_id % 100 = 0 and q.vec_id < 1000""")
+@query("""select query_id, segment_id, round(score, 6) as score, place from (select q.vec_id as query_id, v.vec_id as segment_id, greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))) as score,
+    row_number() over (partition by q.vec_id order by score desc, v.vec_id) as place from embeddings q, embeddings v where q.vec_id % 100 = 0) where place <= 50""")
 def vector_rank(t):
-    return search.vector_rank(vectors(t), query_vectors(t)).withColumn("score", F.round("score", 6))
+    return search.vector_rank(vectors(t), query_vectors(t), 50).select("query_id", "segment_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query("select v.vec_id as segment_id, cast(v.vec_id % 60 as bigint) as asset_id from embeddings v where label % 2 = 1 and vec_id % 3 in (0, 2) and vec_id % 19 <> 0")
@@ -387,9 +396,15 @@ def search_lines(t):
     return search.search_lines(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t)))
 
 
-@query()
+@query("""select gram, evidence_seq, count(*) as tf, cast(min(i) as bigint) as first, cast(max(i) as bigint) as last from (select evidence_seq, i, substring(t, i + 1, 3) as gram from (select evidence_seq, lower(text) as t, unnest(range(0, length(text) - 2)) as i from evidence)) group by 1, 2""")
 def trigram_postings(t):
-    return search.postings(t.evidence)
+    at = F.col("positions")
+    return search.postings(t.evidence).select("gram", "evidence_seq", F.size(at).cast("long").alias("tf"), F.array_min(at).cast("long").alias("first"), F.array_max(at).cast("long").alias("last"))
+
+
+@query(f"""with asked as {ASKED} select query_id, evidence_seq, count(*) as f from (select query_id, q, evidence_seq, t, unnest(range(1, length(t) - length(q) + 2)) as i from asked, (select evidence_seq, lower(text) as t from evidence) where length(q) >= 3 and contains(t, q)) where substring(t, i, length(q)) = q group by 1, 2""")
+def indexed_phrases(t):
+    return search.indexed_matches(search.postings(t.evidence), search.cleaned_rows(query_texts(t)))
 
 
 @query("""select evidence_seq, segment_id, evidence_type, case when length(s) > 160 then substring(s, 1, 160) || '…' else s end as snippet, printf('%02d:%02d', start_ms // 60000, start_ms // 1000 % 60) as at
