@@ -7,10 +7,13 @@ each document is the distribution's expected grade, with P(grade >= 1) as the sc
 Where labels say only toxic or not, `severity_grades` orders the toxic rows: their grade 1..3 is the third
 of the toxic rows, by the rate of strongly associated words, that they fall in.
 
+These grades are proxies: the tables hold no severities, and they come from the same words that the model reads.
+
 The model is fitted on at most `sample_rows` labelled rows (those with the smallest hash of their id) and
-has at most `max_words` weights; scoring reads every whole text.
+has at most `max_words` weights, of words whose association is LEAST_Z or more; weights have a normal prior of
+precision PRIOR. Scoring reads every whole text.
 
-Defined cases: a null or empty text has no words and gets the score of an empty vector; documents without a
+Defined cases: a very long text is counted whole; a null or empty text has no words and gets the score of an empty vector; documents without a
 label are only scored; null labels are not used; of several labels of a document the largest counts; with
 no labels, or of one kind only, every score is that share of toxic rows (0 with none); repeated rows and
 null ids are scored each; an empty table stays empty; further columns are ignored.
@@ -32,6 +35,7 @@ from timelore.llm.common import materialise
 
 WORD = re.compile(r"\w+")
 GRADES = 4
+LEAST_Z, PRIOR = 2.0, 0.1
 
 
 @dataclass
@@ -76,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, max_words:
     rate = n_toxic / n
     seen = counted.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).filter("n >= 4")
     z = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    vocabulary = {r.word: (i, r.z) for i, r in enumerate(seen.select("word", z.alias("z")).orderBy(F.abs("z").desc(), "word").limit(max_words).collect())}
+    vocabulary = {r.word: (i, r.z) for i, r in enumerate(seen.select("word", z.alias("z")).filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(max_words).collect())}
     index = spark.sparkContext.broadcast({w: i for w, (i, _) in vocabulary.items()})
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, max_words:
     owner = np.repeat(np.arange(len(rows)), sizes)
     hits = np.bincount(owner, counts * strong[at], len(rows)) / np.maximum(1, [r["total"] for r in rows])
     grades = severity_grades(np.array([r["toxic"] for r in rows]), hits)
-    weights, thresholds = fit_ordinal(owner, at, np.log1p(counts), grades, len(vocabulary))
+    weights, thresholds = fit_ordinal(owner, at, np.log1p(counts), grades, len(vocabulary), ridge=PRIOR * len(vocabulary) / len(rows))
     return OrdinalModel({w: float(weights[i]) for w, (i, _) in vocabulary.items() if abs(weights[i]) > 1e-3}, thresholds)
 
 
