@@ -6,8 +6,8 @@ or earlier in the same one) is removed. Strings are judged on the input.
 The collection. A text is cut into pieces: maximal runs of string starts whose smallest 32-byte hash (the
 piece's fingerprint) is the same, cut after RUN starts; a piece covers all its strings, at most
 RUN + length - 1 bytes. Equal strings have equal fingerprints, so they only meet within a fingerprint.
-Equal pieces are combined first (within a batch before the shuffle, then within the fingerprint): all but
-the earliest are removed whole. A fingerprint with one piece, whose fingerprint occurs once in it, has no
+Equal pieces (by 192 bits: the fingerprint and two hashes of all grams) are combined first, within a batch before
+the shuffle, then within the fingerprint: all but the earliest are removed whole. A fingerprint with one piece, whose fingerprint occurs once in it, has no
 repeated string. The remaining distinct pieces are the documents of the construction.
 
 The construction (`collection_bwt`). All pieces of a block stand right-aligned; in each round one symbol of
@@ -18,7 +18,8 @@ suffix numbers are arrays that each round reads and rewrites front to back, as s
 they stay in the task's memory, since a block is bounded (BLOCK_BYTES) and tasks may not use a machine's own
 folders. Runs of common prefixes of at least `length` are the repeated strings; of each, the earliest stays.
 
-A fingerprint with more than GROUP_PIECES distinct pieces is dealt to several blocks. Each block then hands
+The rows of a fingerprint are read in order and never held together; one with more than GROUP_PIECES distinct
+pieces is dealt to several blocks as it is read. Each block then hands
 the hash and earliest place of its strings of such fingerprints to one aggregation, which removes all but
 the earliest.
 
@@ -163,13 +164,13 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def cut_pieces(data: np.ndarray, stops: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(fingerprint, content hash, first start, starts, whether the fingerprint may occur twice) of the pieces.
+    """(fingerprint, two content hashes, first start, starts, whether the fingerprint may occur twice) of the pieces.
 
     `data` holds texts one after another, `stops` the end of each.
     """
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, bool))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, bool))
     grams = _grams(data)
     width = length - GRAM + 1
     least = _windowed(grams, width, np.minimum)[:n]
@@ -186,11 +187,14 @@ def cut_pieces(data: np.ndarray, stops: np.ndarray, length: int = LENGTH) -> tup
     start = np.repeat(first, parts) + within * RUN
     count = np.minimum(np.repeat(count, parts) - within * RUN, RUN)
     last = start + count - 1 + length - GRAM
-    content = count.astype(np.uint64)
+    content, second = count.astype(np.uint64), ~count.astype(np.uint64)
     for t in range(-(-(RUN + length) // GRAM)):
-        content = (content ^ (content >> _U(32))) * _ODD[13] + grams[np.minimum(start + GRAM * t, last)]
-    content = (content ^ (content >> _U(32))) * _ODD[12]
+        gram = grams[np.minimum(start + GRAM * t, last)]
+        content = (content ^ (content >> _U(32))) * _ODD[13] + gram
+        second = (second ^ (second >> _U(27))) * _ODD[10] ^ gram
+    content, second = ((x ^ (x >> _U(32))) * _ODD[12] for x in (content, second))
     content ^= content >> _U(29)
+    second ^= second >> _U(31)
     # places of grams that are the least of some string, and those with an equal one shortly before
     pad = np.zeros(width - 1, np.uint64)
     reach = _windowed(np.concatenate([pad, least, pad]), width, np.maximum)[: len(grams)]
@@ -202,7 +206,7 @@ def cut_pieces(data: np.ndarray, stops: np.ndarray, length: int = LENGTH) -> tup
     close[by[1:][twice] + 1] = 1
     close = np.cumsum(close)
     several = close[last + 1] > close[start]
-    return least[start], content, start, count, several
+    return least[start], content, second, start, count, several
 
 
 def text_parts(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -232,11 +236,10 @@ def text_parts(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.nd
 
 
 def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by the keys, the first key leading; whether each row in that order begins a new pair of the first two)."""
+    """(order by the keys, the first key leading; whether each row in that order begins a new triple of the first three)."""
     order = np.lexsort(keys[::-1])
-    a, b = keys[0][order], keys[1][order]
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys[:3]])
     return order, new
 
 
@@ -249,7 +252,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-OCCURRENCE = "mark long, content long, doc long, start long, count int, several boolean, gone boolean"
+OCCURRENCE = "mark long, content long, second long, doc long, start long, count int, several boolean, gone boolean"
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
@@ -261,17 +264,18 @@ def occurrences(texts: DataFrame) -> DataFrame:
             data = batch.column(1).to_pylist()
             found = []
             for chunk, stops, number, offset in text_parts(data):
-                mark, content, start, count, several = cut_pieces(chunk, stops)
+                mark, content, second, start, count, several = cut_pieces(chunk, stops)
                 text = np.searchsorted(stops, start, side="right")
                 begin = np.concatenate([[0], stops[:-1]])[text]
-                found.append((mark, content, docs[number[text]], start - begin + offset[text], count, several))
+                found.append((mark, content, second, docs[number[text]], start - begin + offset[text], count, several))
             if not found:
                 continue
-            mark, content, doc, start, count, several = (np.concatenate(x) for x in zip(*found))
-            order, new = _first_of(mark, content, doc, start)
-            mark, content, doc, start, count, several = (x[order] for x in (mark, content, doc, start, count, several))
+            mark, content, second, doc, start, count, several = (np.concatenate(x) for x in zip(*found))
+            order, new = _first_of(mark, content, second, doc, start)
+            mark, content, second, doc, start, count, several = (x[order] for x in (mark, content, second, doc, start, count, several))
             mark = np.where(new, mark, (doc.astype(np.uint64) + start.astype(np.uint64)) * _ODD[11])  # what is gone is dealt out evenly
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark.view(np.int64), content.view(np.int64), doc, start, count.astype(np.int32), several, ~new)], ["mark", "content", "doc", "start", "count", "several", "gone"])
+            columns = [mark.view(np.int64), content.view(np.int64), second.view(np.int64), doc, start, count.astype(np.int32), several, ~new]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["mark", "content", "second", "doc", "start", "count", "several", "gone"])
 
     return texts.mapInArrow(cut, OCCURRENCE)
 
@@ -282,45 +286,51 @@ JUDGED = "piece boolean, mark long, salt int, shared boolean, doc long, start lo
 def judged(found: DataFrame, partitions: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Starts that are gone (piece false), and the distinct pieces that the construction has to look at.
 
-    The rows of a fingerprint come one after another. Only the earliest of equal pieces goes on.
+    The rows of a fingerprint come one after another. Only the earliest of equal pieces goes on; at most
+    2 * group_pieces of them are held.
     """
 
-    def groups(mark, content, doc, start, count, several, gone) -> Iterator[pa.RecordBatch]:
-        if gone.any():
-            yield _judged(False, mark[gone], 0, False, doc[gone], start[gone], count[gone])
-            mark, content, doc, start, count, several = (x[~gone] for x in (mark, content, doc, start, count, several))
-        if not len(mark):
-            return
-        first = np.ones(len(mark), bool)
-        first[1:] = mark[1:] != mark[:-1]
-        new = first.copy()
-        new[1:] |= content[1:] != content[:-1]
-        if (~new).any():
-            yield _judged(False, mark[~new], 0, False, doc[~new], start[~new], count[~new])
-        group = np.cumsum(first[new]) - 1
-        kinds = np.bincount(group)[group]
-        place = np.arange(len(group)) - np.flatnonzero(first[new])[group]
-        look = (kinds > 1) | several[new]
-        at = np.flatnonzero(new)[look]
+    def groups(mark, doc, start, count, several, before: int) -> Iterator[pa.RecordBatch]:
+        """Of distinct pieces of whole fingerprints; `before` pieces of the first one have been handed on already."""
+        first = np.append(True, mark[1:] != mark[:-1])
+        group = np.cumsum(first) - 1
+        earlier = np.where(group == 0, before, 0)
+        kinds = np.bincount(group)[group] + earlier
+        place = np.arange(len(group)) - np.flatnonzero(first)[group] + earlier
+        at = np.flatnonzero((kinds > 1) | several)
         if len(at):
-            yield _judged(True, mark[at], (place // group_pieces)[look], (kinds > group_pieces)[look], doc[at], start[at], count[at])
+            yield _judged(True, mark[at], (place // group_pieces)[at], (kinds > group_pieces)[at], doc[at], start[at], count[at])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, before, last = None, 0, None
         for batch in batches:
-            now = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            if held is not None:
-                now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
-            if not len(now[0]):
+            mark, content, second, doc, start, count, several, gone = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            new = np.ones(len(mark), bool)
+            live = np.flatnonzero(~gone)
+            key = [x[live] for x in (mark, content, second)]
+            if len(live):
+                new[live[1:]] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+                new[live[0]] = last != tuple(k[0] for k in key)
+                last = tuple(k[-1] for k in key)
+            copies = gone | ~new
+            if copies.any():
+                yield _judged(False, mark[copies], 0, False, doc[copies], start[copies], count[copies])
+            now = [x[~copies] for x in (mark, doc, start, count, several)]
+            held = now if held is None else [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+            if not len(held[0]):
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))  # the last fingerprint may go on in the next batch
-            held = [x[cut:] for x in now]
+            cut = int(np.searchsorted(held[0], held[0][-1], side="left"))  # the last fingerprint may go on in the next batch
             if cut:
-                yield from groups(*[x[:cut] for x in now])
-        if held is not None:
-            yield from groups(*held)
-
-    dealt = found.repartition(partitions, "mark").sortWithinPartitions("mark", "content", "doc", "start")
+                yield from groups(*[x[:cut] for x in held], before)
+                held, before = [x[cut:] for x in held], 0
+            if (many := len(held[0]) // group_pieces * group_pieces) > group_pieces or before and many:
+                part = [x[:many] for x in held]
+                yield _judged(True, part[0], (before + np.arange(many)) // group_pieces, True, *part[1:4])
+                held, before = [x[many:] for x in held], before + many
+        if held is not None and len(held[0]):
+            yield from groups(*held, before)
+
+    dealt = found.repartition(partitions, "mark").sortWithinPartitions("mark", "content", "second", "doc", "start")
     return dealt.mapInArrow(judge, JUDGED)
 
 
@@ -345,11 +355,11 @@ def piece_texts(pieces: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(wanted, "doc").select("doc", "text", "at").mapInArrow(fetch, "mark long, salt int, shared boolean, doc long, start long, bytes binary")
 
 
-FOUND = "gone boolean, doc long, start long, string binary"
+FOUND = "gone boolean, doc long, start long, count int, string binary"
 
 
 def constructed(pieces: DataFrame, partitions: int) -> DataFrame:
-    """Starts that are gone (gone true), and the earliest places of the strings of shared fingerprints with their hash."""
+    """Runs of starts that are gone (gone true), and the earliest places of the strings of shared fingerprints with their hash."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
         texts = [r[4] for r in rows]
@@ -365,8 +375,11 @@ def constructed(pieces: DataFrame, partitions: int) -> DataFrame:
         first[1:] = cls[order][1:] != cls[order][:-1]
         gone, open_ = order[~first], order[first & shared[order]]
         strings = [hashlib.blake2b(texts[piece[i]][offset[i] : offset[i] + LENGTH], digest_size=16).digest() for i in open_]
-        columns = [np.repeat([True, False], [len(gone), len(open_)]), np.concatenate([doc[gone], doc[open_]]), np.concatenate([start[gone], start[open_]])]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * len(gone) + strings, pa.binary())], ["gone", "doc", "start", "string"])
+        gone = gone[np.lexsort((start[gone], doc[gone]))]
+        begins = np.flatnonzero(np.append(True, (doc[gone][1:] != doc[gone][:-1]) | (start[gone][1:] != start[gone][:-1] + 1))) if len(gone) else np.zeros(0, np.int64)
+        runs, sizes = gone[begins], np.diff(np.append(begins, len(gone)))
+        columns = [np.repeat([True, False], [len(runs), len(open_)]), np.concatenate([doc[runs], doc[open_]]), np.concatenate([start[runs], start[open_]]), np.concatenate([sizes, np.ones(len(open_), np.int64)]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * len(runs) + strings, pa.binary())], ["gone", "doc", "start", "count", "string"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -437,7 +450,7 @@ def dedup(docs: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
     late = open_.join(earliest, "string").filter(F.struct("doc", "start") > F.col("least"))
     gone = first.filter("not piece").select("doc", "start", "count")
     for more in (built.filter("gone"), late):
-        gone = gone.unionByName(more.select("doc", "start", F.lit(1).alias("count")))
+        gone = gone.unionByName(more.select("doc", "start", "count"))
     out = removed(texts, gone)
     if names is None:
         return out.withColumnRenamed("doc", "doc_id")
