@@ -41,6 +41,45 @@ def test_toxicity_on_the_tables(spark):
     assert all(0 <= r.expected_severity <= 3 and r.expected_severity >= r.score - 1e-9 for r in got.values())
 
 
+def test_severity_fit_is_a_best_point_of_the_likelihood():
+    """Against the likelihood written out row by row: no small change of a weight or threshold makes it better."""
+    rng = np.random.default_rng(2)
+    n, words_ = 400, 5
+    x = rng.poisson(0.7, (n, words_)).astype(float)
+    level = x @ np.array([1.2, -0.8, 0.5, 0.0, 0.9])
+    grades = (level[:, None] + rng.logistic(size=(n, 1)) > np.array([0.5, 1.5, 3.0])[None]).sum(axis=1)
+    owner, at = np.nonzero(x)
+
+    def loss(w, theta):
+        total = 0.0
+        for i in range(n):
+            ge = [1.0, *[1 / (1 + np.exp(t - x[i] @ w)) for t in theta], 0.0]
+            total -= np.log(ge[grades[i]] - ge[grades[i] + 1])
+        return total / n + 0.02 / words_ * (w @ w) / 2
+
+    w, theta = toxicity.fit_ordinal(owner, at, x[owner, at], grades, words_, steps=1_500, rate=0.02)
+    best = loss(w, theta)
+    assert (np.diff(theta) > 0).all() and np.allclose(w, [1.2, -0.8, 0.5, 0.0, 0.9], atol=0.35)
+    for k in range(words_ + 3):
+        for step in (-0.02, 0.02):
+            moved = np.concatenate([w, theta])
+            moved[k] += step
+            assert loss(moved[:words_], moved[words_:]) > best - 1e-6
+
+
+def test_toxicity_of_documents_that_were_not_fitted(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    held = quality_crf.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, labels.filter(~held))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    marks = labels.filter(held).filter("toxic is not null").collect()
+    score, toxic = np.array([got[r.doc_id] for r in marks]), np.array([r.toxic for r in marks])
+    assert toxic.sum() > 50 and auc(score, toxic) > 0.95
+    assert (score > 0.5)[toxic == 1].mean() > 0.75 and (score > 0.5)[toxic == 0].mean() < 0.01
+
+
 def test_toxicity_hard_inputs(spark, hard_docs, no_docs):
     marks = spark.createDataFrame([(1, 0, 0), (5, 1, 1), (5, 1, 0), (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.fit_and_score(hard_docs, marks).collect()
@@ -69,9 +108,12 @@ def test_forward_backward_equals_enumeration():
 
 
 def test_lines_see_their_neighbours():
-    features, size, counts = quality_crf.line_features(["Good line here.\nBAD!! LINE!!\nlast one", "", None or "x"])
+    own, size, counts = quality_crf.line_features(["Good line here.\nBAD!! LINE!!\nlast one", "", None or "x"])
+    features = quality_crf.with_neighbours(own, counts)
     assert counts.tolist() == [3, 1, 1] and len(features) == len(size) == 5
     n = quality_crf.N_OWN
+    model = quality_crf.LineField(np.random.default_rng(0).normal(size=3 * n), 0.3, np.zeros((2, 2)))
+    assert np.allclose(model.marginals(own, counts), 1 / (1 + np.exp(-(features @ model.weights + 0.3))), atol=1e-5)
     assert (features[1, n : 2 * n] == features[0, :n]).all() and (features[1, 2 * n :] == features[2, :n]).all()
     assert not features[0, n : 2 * n].any() and not features[2, 2 * n :].any() and not features[3, n:].any()
 

@@ -8,11 +8,11 @@ fitted on the training rows turns that mean into the score.
 Training labels are per document. Lines start with the label of their document; twice, lines of bad
 documents that the current field finds good with P > 0.5 become good (never all lines of a document: the
 worst stays bad), and the field is fitted again. Lines of good documents stay good. Fitted on at most
-`sample_docs` labelled documents (smallest hash of the id), of each at most `sample_lines` lines; scoring
-reads whole texts. Inputs of a score are the text alone.
+`sample_docs` labelled documents (smallest hash of the id), with all their lines; scoring reads whole texts.
+Inputs of a score are the text alone.
 
 Defined cases: a null or empty text, or one of blanks only, is one empty line; very long texts are scored
-whole; rows without label are scored only; null labels aren't used; of several labels of a document the
+whole, and a line holds N_OWN numbers in memory, neighbours being added as sums; rows without label are scored only; null labels aren't used; of several labels of a document the
 smallest counts; without labels of both kinds the score is the smoothed share of good labels, 1 with none;
 repeated rows and null ids are scored each; an empty table stays empty; further columns are ignored.
 """
@@ -49,7 +49,7 @@ N_OWN = 21
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of all lines [L, 3 N_OWN], characters of each line, lines of each text).
+    """(own features of all lines [L, N_OWN], characters of each line, lines of each text).
 
     Own features: shares of upper-case letters, marks, digits and bars, steps of these, lengths, repeats of
     the word before and repeats of earlier words of the line, repeats of an earlier line.
@@ -105,12 +105,21 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             copy, np.log1p(size) / 5, size < 20, letters / n_words / 10, letters / n_words > 15, np.log1p(n_words) / 5,
         ]
     ).astype(np.float32)
-    head = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    tail = np.cumsum(counts) - 1
-    before = np.concatenate([np.zeros((1, N_OWN), np.float32), own[:-1]])
-    after = np.concatenate([own[1:], np.zeros((1, N_OWN), np.float32)])
-    before[head], after[tail] = 0, 0
-    return np.concatenate([own, before, after], axis=1), size, np.array(counts)
+    return own, size, np.array(counts)
+
+
+def neighbours(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the line before and of the line after within a text, zero at its ends."""
+    before, after = np.zeros_like(values), np.zeros_like(values)
+    before[1:], after[:-1] = values[:-1], values[1:]
+    ends = np.cumsum(counts)
+    before[np.append(0, ends[:-1])], after[ends - 1] = 0, 0
+    return before, after
+
+
+def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """[L, 3 N_OWN]: own features, those of the line before and those of the line after."""
+    return np.concatenate([own, *neighbours(own, counts)], axis=1)
 
 
 @dataclass
@@ -124,14 +133,16 @@ class LineField:
     offset: float = 0.0
     constant: float | None = None
 
-    def marginals(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return forward_backward(features @ self.weights + self.bias, self.change, counts)[0]
+    def marginals(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        here, before, after = (own @ w for w in self.weights.reshape(3, -1))
+        level = here + neighbours(before, counts)[0] + neighbours(after, counts)[1] + self.bias
+        return forward_backward(level, self.change, counts)[0]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        features, size, counts = line_features(texts)
-        mean = document_means(self.marginals(features, counts), size, counts)
+        own, size, counts = line_features(texts)
+        mean = document_means(self.marginals(own, counts), size, counts)
         return 1 / (1 + np.exp(-np.clip(self.slope * _logit(mean) + self.offset, -30, 30)))
 
 
@@ -198,7 +209,8 @@ def fit_field(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, step
     return LineField(parts[:d], float(parts[d]), parts[d + 1 :].reshape(2, 2))
 
 
-def fit_documents(features: np.ndarray, size: np.ndarray, counts: np.ndarray, quality: np.ndarray, rounds: int = 2) -> LineField:
+def fit_documents(own: np.ndarray, size: np.ndarray, counts: np.ndarray, quality: np.ndarray, rounds: int = 2) -> LineField:
+    features = with_neighbours(own, counts)
     doc_of = np.repeat(np.arange(len(counts)), counts)
     labels = quality[doc_of].astype(int)
     model = fit_field(features, labels, counts)
@@ -207,7 +219,7 @@ def fit_documents(features: np.ndarray, size: np.ndarray, counts: np.ndarray, qu
         worst = np.minimum.reduceat(alone, np.concatenate([[0], np.cumsum(counts)[:-1]]))[doc_of]
         labels = np.where(quality[doc_of] == 1, 1, (alone > 0.5) & (alone > worst)).astype(int)
         model = fit_field(features, labels, counts)
-    mean = _logit(document_means(model.marginals(features, counts), size, counts))
+    mean = _logit(document_means(model.marginals(own, counts), size, counts))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps for the curve, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a * mean + b, -30, 30)))
@@ -224,7 +236,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4_000, sample_lines: int = 400, training: Column | None = None) -> LineField:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4_000, training: Column | None = None) -> LineField:
     """The field from labelled documents; `training` says which ids may be used (all but the held-out fold)."""
     allowed = training if training is not None else ~held_out(F.col("doc_id"))
     marks = labels.filter("quality is not null and doc_id is not null").filter(allowed).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -235,19 +247,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4_000, sample_lin
         for batch in batches:
             for quality, text in zip(batch.column(0), batch.column(1), strict=True):
                 features, size, _ = line_features([text.as_py()])
-                features, size = features[:sample_lines].astype("<f4"), size[:sample_lines].astype("<f4")
+                features, size = features.astype("<f4"), size.astype("<f4")
                 yield pa.RecordBatch.from_arrays([pa.array([quality.as_py()], pa.int32()), pa.array([features.tobytes()]), pa.array([size.tobytes()])], ["quality", "features", "size"])
 
     sample = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text")  # at most sample_docs small rows
-    rows = sample.mapInArrow(featured, "quality int, features binary, size binary").collect()  # bounded by sample_docs and sample_lines
+    rows = sample.mapInArrow(featured, "quality int, features binary, size binary").collect()  # sample_docs rows
     quality = np.array([r["quality"] for r in rows])
     if not len(rows) or quality.min() == quality.max():
         return LineField(np.zeros(3 * N_OWN), 0.0, np.zeros((2, 2)), constant=float((quality.sum() + 1) / (len(rows) + 1)))
     order = sorted(range(len(rows)), key=lambda i: (zlib.crc32(rows[i]["features"]), rows[i]["quality"]))  # one order for any number of tasks
-    features = np.concatenate([np.frombuffer(rows[i]["features"], "<f4").reshape(-1, 3 * N_OWN) for i in order]).astype(float)
+    own = np.concatenate([np.frombuffer(rows[i]["features"], "<f4").reshape(-1, N_OWN) for i in order]).astype(float)
     size = np.concatenate([np.frombuffer(rows[i]["size"], "<f4") for i in order]).astype(float)
     counts = np.array([len(rows[i]["size"]) // 4 for i in order])
-    return fit_documents(features, size, counts, quality[order])
+    return fit_documents(own, size, counts, quality[order])
 
 
 def chunked(texts: list[str]) -> Iterator[list[str]]:
