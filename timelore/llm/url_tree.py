@@ -7,13 +7,14 @@ wildcard branch (two-proportion z test; too few labels means no difference), dow
 Each level is one small written step over the paths that reach it. A page's template is its path
 in the merged tree; the template is rejected if its smoothed purity, (good + a * prior) / (n + a) with the
 parent's purity as the prior, falls below a threshold. Main path: DataFrame functions only; counts are
-pre-aggregated to distinct (host, template) before any tree step, so a hot host costs no hot task.
+pre-aggregated to distinct (host, template) before any tree step, so a hot host costs no hot task; pages get
+their template back in a merge join, of which Spark splits the partition of a hot path.
 
 Rules come first: a rule fits its host and all subdomains if the path starts with its path, and the longest
 (host length, then path length) wins; ties go to block.
 
 Defined cases: a null url or one without `://` has empty host and path; it is judged by the template of the
-empty host; labels may be missing for any page (no labels at all: every page is allowed); a null page_id is
+empty host; a very long or deep url is one path, and the tree has as many levels; labels may be missing for any page (no labels at all: every page is allowed); a null page_id is
 kept; repeated rows are judged alike; an empty table stays empty; further columns of pages are ignored.
 """
 
@@ -122,4 +123,4 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_purity: float =
     name, fixed = rule_columns(F.col("host"), F.col("path"), rules)
     template = F.concat(F.lit("/"), F.array_join("t", "/"))
     own = F.when(F.col("purity") < min_purity, "block").otherwise("allow")
-    return parts.join(tree, ["host", "s"], "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(fixed, own).alias("verdict"), template.alias("template"), "purity")
+    return parts.join(tree.hint("merge"), ["host", "s"], "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(fixed, own).alias("verdict"), template.alias("template"), "purity")
