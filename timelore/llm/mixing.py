@@ -30,6 +30,8 @@ NULL = "<null>"
 #: Rounds end when no marginal misses its goal by more than this share of all tokens, or after so many blocks.
 TOLERANCE = 1e-7
 MOST_BLOCKS = 25
+#: So many cells are raked in one task; more stay dealt out by the values of the marginals.
+ONE_TASK_CELLS = 1 << 17
 
 
 def token_count(text: Column) -> Column:
@@ -122,12 +124,14 @@ def bounded_rake(cells: DataFrame, targets: dict[str, DataFrame], rate: float, i
     for m in MARGINALS:
         out = out.join(F.broadcast(reachable(cells, targets[m], m, rate)), f"_{m}")  # one row for each value
     kept = F.least("want", "most")
+    one_task = cells.count() <= ONE_TASK_CELLS
     last = None
     for _ in range(MOST_BLOCKS):
         for _ in range(iterations):
             for m in MARGINALS:
                 out = filled(out, [f"_{m}"], "want", "most", F.col(f"goal_{m}"))
-        out = materialise(out, "raked").coalesce(1)
+        out = materialise(out, "raked")
+        out = out.coalesce(1) if one_task else out
         misses = [F.abs(F.sum(kept).over(Window.partitionBy(f"_{m}")) - F.col(f"goal_{m}")) for m in MARGINALS]
         row = out.select(F.greatest(*misses).alias("miss"), "tokens").agg(F.max("miss").alias("miss"), F.sum("tokens").alias("tokens")).first()  # one row
         if row.miss is None or row.miss <= TOLERANCE * row.tokens or (last is not None and row.miss > 0.99 * last):
@@ -146,7 +150,7 @@ def uniform(id_col: Column, seed: str) -> Column:
 def mixture_cells(docs: DataFrame, temper: float = 0.7, rate: float = 0.6, iterations: int = 8, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The raked cells with their probabilities."""
     keys = [f"_{m}" for m in MARGINALS]
-    cells = materialise(described(docs).groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0"), "cells").coalesce(1)
+    cells = materialise(described(docs).groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0"), "cells")
     given = targets or {}
     goals = {m: given[m].toDF(f"_{m}", f"target_{m}") if m in given else tempered_targets(cells, m, temper) for m in MARGINALS}
     return bounded_rake(cells, goals, rate, iterations).select(*keys, "tokens", "weight", "probability")
