@@ -10,6 +10,7 @@ from timelore.llm.common import table
 from tests.llm.conftest import words
 
 SF = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 def auc(score, label):
@@ -70,7 +71,7 @@ def test_severity_fit_is_a_best_point_of_the_likelihood():
 def test_toxicity_of_documents_that_were_not_fitted(spark):
     from pyspark.sql import functions as F
 
-    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    docs, labels = table(spark, LARGER, "documents"), table(spark, LARGER, "labels")
     held = quality_crf.held_out(F.col("doc_id"))
     model = toxicity.fit(docs, labels.filter(~held))
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}

@@ -35,7 +35,7 @@ from timelore.llm.common import materialise
 
 WORD = re.compile(r"\w+")
 GRADES = 4
-LEAST_Z, PRIOR = 2.0, 0.1
+LEAST_Z, PRIOR = 1.75, 0.03
 
 
 @dataclass
