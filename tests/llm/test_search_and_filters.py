@@ -84,10 +84,11 @@ def test_leaks_in_blocks_and_hard_inputs(spark, hard_docs, no_docs, monkeypatch)
 
 def test_tables_find_every_code_in_the_radius():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    codes[1:40] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, 39, dtype=np.uint64))
+    codes = rng.integers(0, 2**63, (3000, ann.TURNS), dtype=np.uint64)
+    codes[1:40] = codes[0] ^ (np.uint64(1) << rng.integers(0, 64, (39, ann.TURNS), dtype=np.uint64))
+    codes[40:200] = codes[0] ^ (rng.integers(0, 2**63, (160, ann.TURNS), dtype=np.uint64) & rng.integers(0, 2**63, (160, ann.TURNS), dtype=np.uint64))
     tables = ann.SubstringTables(codes)
-    for radius in (0, 3, 9, 20, 27):
+    for radius in (0, 3, 9, 20, 35, 50):
         got = tables.within(codes[0], radius, ann.probes(radius // ann.PARTS))
         assert got.tolist() == np.flatnonzero(ann.hamming(codes, codes[0]) <= radius).tolist()
 
@@ -108,12 +109,42 @@ def test_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_few_rows_are_probed_where_neighbours_are_near():
+    """Vectors in groups: the neighbours are found, and a tenth of the rows at most is looked at."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(400, 64))
+    v = np.repeat(centres, 10, axis=0) + 0.08 * rng.normal(size=(4_000, 64))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    codes = ann.learn(v[::2], 4, 0.97)
+    own = codes.of(unit)
+    tables, masks = ann.SubstringTables(own), ann.probes(codes.radius // ann.PARTS)
+    probed, hit = 0, 0
+    for i in range(0, 4_000, 50):
+        probed += len(tables.probed(own[i], masks))
+        near = set(np.argsort(-(unit @ unit[i]))[:10].tolist())
+        hit += len(near & set(tables.within(own[i], codes.radius, masks).tolist()))
+    assert probed / 80 / 4_000 < 0.1 and hit / 800 > 0.9
+
+
+def test_several_blocks_and_widened_radius(spark, monkeypatch):
+    """Blocks of either kind don't change the result, and queries far from all get their k by a wider radius."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(600, 8)), -50 * np.ones((1, 8))])
+    rows = [(i if i < 600 else 5_000, x) for i, x in enumerate(v.tolist())]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, ann.search(t, target=0.6).collect()))
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 70)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 5)
+    assert sorted(map(tuple, ann.search(t, target=0.6).collect())) == whole
+    assert len(whole) == 13 * 5 and sum(r[0] == 5_000 for r in whole) == 5
+
+
 def test_neighbour_hard_inputs(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0, 0.0], 1), (1, [2.0, 0.0, 0.0], 1), (2, [1.0, 0.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0, 0.0], 1), (5, [nan, 1.0, 0.0], 1), (6, [inf, 1.0, 0.0], 1), (7, [None, 1.0, 0.0], 1), (8, [1.0, 1.0], 1), (9, [], 1), (None, [1.0, 1.0, 0.0], 1), (10, [0.0, 1.0, 0.0], 1), (10, [0.0, 1.0, 0.0], 2), (50, [1.0, 1.0, 0.0], 1)]
+    rows = [(0, [1.0, 0.0, 0.0], 1), (1, [2.0, 0.0, 0.0], 1), (2, [1.0, 0.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0, 0.0], 1), (5, [nan, 1.0, 0.0], 1), (6, [inf, 1.0, 0.0], 1), (7, [None, 1.0, 0.0], 1), (8, [1.0, 1.0], 1), (100, [1.0, 1.0], 1), (9, [], 1), (None, [1.0, 1.0, 0.0], 1), (10, [0.0, 1.0, 0.0], 1), (10, [0.0, 1.0, 0.0], 2), (50, [1.0, 1.0, 0.0], 1)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int")
     got = {q: [(r.vec_id, round(r.score, 9)) for r in g] for q, g in _by(ann.search(t).orderBy("query_id", "rank").collect()).items()}
-    assert got == {0: [(1, 1.0), (2, 1.0), (50, round(0.5**0.5, 9)), (10, 0.0)], 50: [(x, round(0.5**0.5, 9)) for x in (0, 1, 2, 10)]}
+    assert got == {0: [(1, 1.0), (2, 1.0), (50, round(0.5**0.5, 9)), (10, 0.0)], 50: [(x, round(0.5**0.5, 9)) for x in (0, 1, 2, 10)], 100: [(8, 1.0)]}
     assert ann.search(t.limit(0)).collect() == []
 
 
