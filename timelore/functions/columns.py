@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ VIDEO_EXTENSIONS = ("3gp", "avi", "m2ts", "m4v", "mkv", "mov", "mp4", "mts", "we
 IMAGE_EXTENSIONS = ("avif", "heic", "heif", "jpeg", "jpg", "png", "tif", "tiff", "webp")
 NOMINAL_IMAGE_MS = 1_000
 
+_MARKED = [chr(c) for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFD", chr(c))) != chr(c) and chr(c).islower()]
+_ACCENTED, _BASE = "".join(_MARKED), "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -134,6 +140,23 @@ def visual_difference(a: Column, b: Column, ha: Column, hb: Column) -> Column:
     return F.least(F.lit(1.0), 0.65 * total(a, b) / F.size(a) / 255 + 0.35 * 0.5 * total(ha, hb))
 
 
+def normalised_text(text: Column) -> Column:
+    """Without case, accents and white space, for equality of read texts: base letters by decomposition, marks dropped."""
+    flat = F.lower(F.regexp_replace(text, r"(?U)\s", ""))
+    return F.translate(flat, _ACCENTED, _BASE)
+
+
+def algorithm_version(family: str, parameters: dict) -> str:
+    """`family-` and 12 hex digits of the SHA-256 over the parameters as JSON with sorted keys."""
+    canonical = json.dumps(parameters, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return f"{family}-{hashlib.sha256(canonical.encode()).hexdigest()[:12]}"
+
+
+def json_valid(text: Column) -> Column:
+    """Whether the text is JSON; false for null."""
+    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
 def iou(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:
     """Intersection over union of (x, y, width, height) boxes."""
     w = F.least(a[0] + a[2], b[0] + b[2]) - F.greatest(a[0], b[0])

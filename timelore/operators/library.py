@@ -14,8 +14,22 @@ from timelore.functions.columns import ascii_lower, basename, duration_bucket, p
 SEGMENT_JOB, INDEX_JOB, DESCRIBE_JOB = "segment_asset", "index_segment", "describe_segment"
 
 
-def count_if(condition: Column) -> Column:
-    return F.count_if(condition)
+#: Fixed value: what a failed job without a message says.
+UNKNOWN_ERROR = "未知错误"
+
+
+def eligible_jobs(jobs: DataFrame, segments: DataFrame, runs: DataFrame) -> DataFrame:
+    """Jobs whose segment is active or of a running segmentation, with its `segment_ordinal`; asset jobs (segment_asset) as they are.
+
+    Waiting jobs of legacy segments (no run) of assets that have a segmentation job don't count. runs: run_id, status.
+    """
+    running = runs.filter(F.col("status") == "running").select("run_id").distinct().withColumn("_running", F.lit(True))
+    owned = jobs.filter(F.col("kind") == SEGMENT_JOB).select("asset_id").distinct().withColumn("_owned", F.lit(True))
+    known = segments.join(running, "run_id", "left").join(owned, "asset_id", "left").select(
+        "segment_id", F.col("ordinal").alias("segment_ordinal"), (F.col("is_active") | F.coalesce("_running", F.lit(False))).alias("_live"), (F.col("run_id").isNull() & F.coalesce("_owned", F.lit(False))).alias("_legacy"),
+    )
+    ok = (F.col("kind") == SEGMENT_JOB) | (F.coalesce("_live", F.lit(False)) & ((F.col("status") == "running") | ~F.coalesce("_legacy", F.lit(False))))
+    return jobs.join(known, "segment_id", "left").filter(ok).drop("_live", "_legacy")
 
 
 def list_assets(assets: DataFrame, root_id: int | None = None) -> DataFrame:
@@ -107,9 +121,10 @@ def processing_summaries(assets: DataFrame, segments: DataFrame, jobs: DataFrame
     return out.withColumns(filled).withColumns({"segmentation_status": F.col("seg.status"), "current_stage": F.col("step.stage"), "current_ordinal": F.col("step.ordinal")}).drop("seg", "step")
 
 
-def lane_progress(assets: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per job kind on visible assets: counts by status, failed with cancelled, and the finished fraction."""
-    here = jobs.join(assets.filter(visible_ready()).select("asset_id"), "asset_id", "left_semi")
+def lane_progress(assets: DataFrame, jobs: DataFrame, segments: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per lane (job kinds of segments) on visible assets and eligible segments: counts by status, failed with cancelled, and the finished fraction."""
+    lanes = jobs.filter(F.col("kind") != SEGMENT_JOB).join(assets.filter(visible_ready()).select("asset_id"), "asset_id", "left_semi")
+    here = eligible_jobs(lanes.unionByName(jobs.filter(F.col("kind") == SEGMENT_JOB)), segments, runs).filter(F.col("kind") != SEGMENT_JOB)
     status = F.col("status")
     out = here.groupBy("kind").agg(
         F.count_if(status == "pending").alias("pending"), F.count_if(status == "running").alias("running"),
@@ -182,22 +197,28 @@ def sort_key(listing: DataFrame, by: str, descending: bool = False) -> list[Colu
     return [*lead, key.desc() if descending else key.asc(), *name]
 
 
-def failed_jobs(jobs: DataFrame, assets: DataFrame, limit: int = 100) -> DataFrame:
-    """The most recent failed or cancelled jobs with the name of their asset."""
-    bad = jobs.filter(F.col("status").isin("failed", "cancelled")).orderBy(F.desc("updated_at"), "job_id").limit(max(1, limit))
-    return bad.join(assets.select("asset_id", basename(F.col("relative_path")).alias("name")), "asset_id", "left").select("job_id", "asset_id", "name", "ordinal", "kind", "status", "updated_at")
+def failed_jobs(jobs: DataFrame, assets: DataFrame, segments: DataFrame, runs: DataFrame, limit: int = 100) -> DataFrame:
+    """The most recent failed or cancelled eligible jobs with the name of their asset, their segment's ordinal and message."""
+    bad = eligible_jobs(jobs, segments, runs).filter(F.col("status").isin("failed", "cancelled"))
+    named = bad.join(assets.select("asset_id", basename(F.col("relative_path")).alias("name")), "asset_id")
+    last = named.orderBy(F.desc("updated_at"), "job_id").limit(max(1, limit))
+    return last.select("job_id", "asset_id", "name", "segment_ordinal", "kind", "status", F.coalesce("message", F.lit(UNKNOWN_ERROR)).alias("message"), "updated_at")
 
 
 def work_order(jobs: DataFrame, assets: DataFrame, roots: DataFrame, segments: DataFrame, kind: str = INDEX_JOB) -> DataFrame:
-    """Pending jobs of one kind in the order of work: assets with a running job first, then rank, path, asset, ordinal.
+    """Pending jobs of one kind in the order of work: assets with a running job first, then root rank, path, asset, ordinal.
 
-    The place is counted within a root, so no single task holds all jobs; root rank orders the roots.
+    `place` counts over all jobs: within a root by a window, and before it by the sizes of the roots before.
     """
     ready = assets.filter(visible_ready()).select("asset_id", "root_id", "relative_path")
     busy = jobs.filter(F.col("status") == "running").select("asset_id").distinct().withColumn("busy", F.lit(True))
     rows = jobs.filter((F.col("status") == "pending") & (F.col("kind") == kind)).join(ready, "asset_id").join(busy, "asset_id", "left").join(roots.select("root_id", "processing_rank"), "root_id")
-    order = Window.partitionBy("root_id").orderBy(F.coalesce("busy", F.lit(False)).desc(), ascii_lower(F.col("relative_path")), "asset_id", "ordinal", "job_id")
-    return rows.select("job_id", "asset_id", "root_id", "processing_rank", F.coalesce("busy", F.lit(False)).alias("busy"), F.row_number().over(order).alias("place"))
+    rows = rows.withColumn("busy", F.coalesce("busy", F.lit(False)))
+    groups = Window.orderBy(F.desc("busy"), "processing_rank", "root_id").rowsBetween(Window.unboundedPreceding, -1)  # two rows for each root
+    sizes = rows.groupBy("busy", "processing_rank", "root_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(groups), F.lit(0)))
+    order = Window.partitionBy("busy", "root_id").orderBy(ascii_lower(F.col("relative_path")), "asset_id", "ordinal", "job_id")
+    placed = rows.withColumn("within", F.row_number().over(order)).join(F.broadcast(sizes.select("busy", "root_id", "before")), ["busy", "root_id"])
+    return placed.select("job_id", "asset_id", "root_id", "processing_rank", "busy", (F.col("before") + F.col("within")).alias("place"))
 
 
 def segment_details(segments: DataFrame, jobs: DataFrame, embedded: DataFrame, evidence_counts: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timelore.functions import columns as C
-from timelore.operators import changes, library, lineage, search, timeline
+from timelore.operators import changes, details, library, lineage, search, timeline
 from timelore.plans.views import view, with_views
 from timelore.sources import ingest
 from timelore.sources.shipping import ship_package
@@ -172,11 +172,29 @@ def library_rollup(t):
     return library.library_rollup(bucketed(t))
 
 
-@query(f"""select kind, count(*) filter (j.status = 'pending') as pending, count(*) filter (j.status = 'running') as running, count(*) filter (j.status = 'succeeded') as succeeded,
+RUNS = "runs as (select distinct run_id, asset_id, case when asset_id % 4 = 0 then 'running' when asset_id % 4 = 1 then 'failed' else 'succeeded' end as status, cast(asset_id % 1000 as double) as started_at, asset_id % 6 <> 0 as matches from segment)"
+
+
+def runs(t: Tables) -> DataFrame:
+    a = F.col("asset_id")
+    return t.segment.select("run_id", "asset_id").distinct().select("run_id", "asset_id", F.when(a % 4 == 0, "running").when(a % 4 == 1, "failed").otherwise("succeeded").alias("status"), (a % 1000).cast("double").alias("started_at"), (a % 6 != 0).alias("matches"))
+
+
+#: A ninth of the assets has segments without a run, as before runs were kept.
+LEGACY = "seg as (select * replace (case when asset_id % 9 = 4 then null else run_id end as run_id) from segment)"
+ELIGIBLE = f"""{RUNS}, {LEGACY}, eligible as (select j.*, s.ordinal as segment_ordinal from job j left join seg s using (segment_id) where kind = 'segment_asset'
+    or (coalesce(is_active or run_id in (select run_id from runs where status = 'running'), false) and (j.status = 'running' or not (run_id is null and j.asset_id in (select asset_id from job where kind = 'segment_asset')))))"""
+
+
+def legacy(t: Tables) -> DataFrame:
+    return t.segment.withColumn("run_id", F.when(F.col("asset_id") % 9 != 4, F.col("run_id")))
+
+
+@query(f"""with {ELIGIBLE} select kind, count(*) filter (j.status = 'pending') as pending, count(*) filter (j.status = 'running') as running, count(*) filter (j.status = 'succeeded') as succeeded,
     count(*) filter (j.status in ('failed', 'cancelled')) as failed, count(*) as total, round(count(*) filter (j.status in ('succeeded', 'failed', 'cancelled')) / count(*), 6) as fraction
-    from job j where asset_id in (select asset_id from media_asset where {READY}) group by kind""")
+    from eligible j where kind <> 'segment_asset' and asset_id in (select asset_id from media_asset where {READY}) group by kind""")
 def lane_progress(t):
-    return library.lane_progress(t.media_asset, t.job).withColumn("fraction", F.round("fraction", 6))
+    return library.lane_progress(t.media_asset, t.job, legacy(t), runs(t)).withColumn("fraction", F.round("fraction", 6))
 
 
 @query(f"""select (select count(*) from media_asset where {READY}) as assets, (select count(*) from segment where is_active) as segments,
@@ -185,13 +203,14 @@ def library_statistics(t):
     return library.library_statistics(t.media_asset, t.segment, embedded(t))
 
 
-@query("""select job_id, asset_id, 'IMG_' || asset_id || '.mp4' as name, ordinal, kind, status, updated_at from job where status in ('failed', 'cancelled') order by updated_at desc, job_id limit 100""")
+@query(f"""with {ELIGIBLE} select job_id, asset_id, 'IMG_' || asset_id || '.mp4' as name, segment_ordinal, kind, status, case when asset_id % 2 = 0 then 'stopped at ' || stage else '{library.UNKNOWN_ERROR}' end as message, updated_at from eligible where status in ('failed', 'cancelled') order by updated_at desc, job_id limit 100""")
 def failed_jobs(t):
-    return library.failed_jobs(t.job, t.media_asset)
+    jobs = t.job.withColumn("message", F.when(F.col("asset_id") % 2 == 0, F.concat(F.lit("stopped at "), "stage")))
+    return library.failed_jobs(jobs, t.media_asset, legacy(t), runs(t))
 
 
 @query(f"""with busy as (select distinct asset_id from job where status = 'running')
-    select job_id, j.asset_id, m.root_id, processing_rank, b.asset_id is not null as busy, row_number() over (partition by m.root_id order by b.asset_id is not null desc, lower(relative_path), j.asset_id, ordinal, job_id) as place
+    select job_id, j.asset_id, m.root_id, processing_rank, b.asset_id is not null as busy, row_number() over (order by b.asset_id is not null desc, processing_rank, m.root_id, lower(relative_path), j.asset_id, ordinal, job_id) as place
     from job j join media_asset m on m.asset_id = j.asset_id and {READY.replace('status', 'm.status')} join library_root l on l.root_id = m.root_id left join busy b on b.asset_id = j.asset_id where j.status = 'pending' and kind = 'index_segment'""")
 def work_order(t):
     return library.work_order(t.job, t.media_asset, t.library_root, t.segment).withColumn("place", F.col("place").cast("long"))
@@ -418,9 +437,116 @@ def evidence_context(t):
     return t.evidence.join(t.search_segment.filter("visible").select("segment_id", "asset_id", "path"), "segment_id").select("evidence_seq", "segment_id", "asset_id", "path", "start_ms")
 
 
+@query("""with e as (select segment_id, string_agg(evidence_type || ':' || evidence_seq || '@' || start_ms || '-' || end_ms, ',' order by start_ms, evidence_type, evidence_seq) as evidence, count(*) as n from evidence group by 1)
+    select s.segment_id, s.asset_id, path, s.start_ms as seg_start, s.end_ms as seg_end, coalesce(evidence, '') as evidence, coalesce(n, 0) as n from search_segment s left join e using (segment_id) where visible""")
+def search_context(t):
+    shown = t.search_segment.filter("visible")
+    segments = shown.select("segment_id", "asset_id", F.col("start_ms").alias("seg_start"), F.col("end_ms").alias("seg_end"))
+    assets = t.search_segment.groupBy("asset_id").agg(F.min("path").alias("relative_path")).withColumn("media_kind", F.lit("video"))
+    out = details.search_context(shown.select("segment_id"), segments, assets, t.evidence)
+    told = F.transform("evidence", lambda e: F.concat(e["evidence_type"], F.lit(":"), e["evidence_seq"].cast("string"), F.lit("@"), e["start_ms"].cast("string"), F.lit("-"), e["end_ms"].cast("string")))
+    return out.select("segment_id", "asset_id", F.col("relative_path").alias("path"), "seg_start", "seg_end", F.coalesce(F.array_join(told, ","), F.lit("")).alias("evidence"), F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("n"))
+
+
+#: Texts of a segment: a document is of the segment with its id as the asset and a line from 1 to 3.
+TOLD = """told as (select concat(cast(doc_id as string), ':', cast(doc_id % 3 + 1 as string)) as segment_id, case doc_id % 4 when 0 then 'frame' when 1 then 'ocr' else 'transcript' end as evidence_type, doc_id as evidence_seq, (doc_id % 40) * 1000 as start_ms, substring(text, 1, 300) as text, lang, source from documents)"""
+
+
+def told(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    kind = F.when(d % 4 == 0, "frame").when(d % 4 == 1, "ocr").otherwise("transcript")
+    return t.raw("documents").select(F.concat(d.cast("string"), F.lit(":"), (d % 3 + 1).cast("string")).alias("segment_id"), kind.alias("evidence_type"), d.alias("evidence_seq"), ((d % 40) * 1000).alias("start_ms"), F.substring("text", 1, 300).alias("text"), "lang", "source")
+
+
+def detail_counts(t: Tables) -> DataFrame:
+    return details.asset_detail_counts(t.segment, embedded(t), told(t))
+
+
+@query(f"""with {TOLD} select s.segment_id, s.asset_id, s.ordinal, s.ordinal % 3 = 1 as is_indexed, count(*) filter (evidence_type = 'transcript') as transcripts, md5(coalesce(string_agg(text, '|' order by t.start_ms, evidence_seq) filter (evidence_type = 'transcript'), '')) as said,
+    count(*) filter (evidence_type = 'ocr') as ocr_count, count(*) filter (evidence_type = 'frame') as frame_count from segment s left join told t using (segment_id) where is_active group by 1, 2, 3""")
+def asset_detail_counts(t):
+    out = detail_counts(t)
+    return out.select("segment_id", "asset_id", "ordinal", "is_indexed", F.size("transcripts").cast("long").alias("transcripts"), F.md5(F.array_join("transcripts", "|").cast("binary")).alias("said"), "ocr_count", "frame_count")
+
+
+_MS = lambda c: f"(case when {c} // 3600000 > 0 then printf('%d:%02d:%02d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60) else printf('%02d:%02d', {c} // 60000, {c} // 1000 % 60) end)"
+_CUT = lambda c, n: f"(case when length(trim(regexp_replace({c}, '[\\r\\n]', ' ', 'g'))) > {n} then substring(trim(regexp_replace({c}, '[\\r\\n]', ' ', 'g')), 1, {n}) || '…' else trim(regexp_replace({c}, '[\\r\\n]', ' ', 'g')) end)"
+
+
+@query(f"""with {TOLD}, asked as (select relative_path as path from media_asset where asset_id % 100 = 0 union all select 'img_' || asset_id || '.mp4' from media_asset where asset_id % 100 = 50 union all select 'nowhere/' || asset_id from media_asset where asset_id % 1000 = 7),
+    f as (select path, coalesce(e.asset_id, l.asset_id) as asset_id from asked left join media_asset e on e.relative_path = path left join media_asset l on lower(l.relative_path) like '%/' || lower(path)),
+    d as (select segment_id, s.asset_id, ordinal, s.start_ms, s.end_ms, ordinal % 3 = 1 as idx, count(*) filter (evidence_type = 'ocr') as ocr, list(text order by t.start_ms, evidence_seq) filter (evidence_type = 'transcript') as said, any_value(text) as summary, any_value(lang) as a, any_value(source) as b
+        from segment s left join told t using (segment_id) where is_active group by all),
+    h as (select path, 0 as n, case when f.asset_id is null then 'not in the library: ' || path else relative_path || ' · ' || case when media_kind = 'image' then 'image' else 'video · ' || {_MS('duration_ms')} end || printf(' · %d segments (%d indexed)', coalesce(k, 0), coalesce(i, 0)) end as line
+        from f left join media_asset m using (asset_id) left join (select asset_id, count(*) as k, count(*) filter (idx) as i from d group by 1) c using (asset_id))
+    select * from h union all select path, row_number() over (partition by path order by ordinal, segment_id), '  ' || row_number() over (partition by path order by ordinal, segment_id) || case when media_kind <> 'image' then ' ' || {_MS('d.start_ms')} || '–' || {_MS('d.end_ms')} else '' end
+        || case when not idx then ' · not indexed' else '' end || case when ocr > 0 then ' · OCR×' || ocr else '' end || case when summary is not null then chr(10) || '      ' || {_CUT('summary', 200)} || chr(10) || '      ' || {_CUT('a', 160)} || chr(10) || '      ' || {_CUT('b', 160)} else '' end
+        || case when said is not null then chr(10) || '      said: ' || {_CUT('said[1]', 160)} else '' end from f join media_asset m using (asset_id) join d using (asset_id)""")
+def video_details(t):
+    a = t.media_asset
+    i = F.col("asset_id")
+    asked = a.filter(i % 100 == 0).select(F.col("relative_path").alias("path")).unionByName(a.filter(i % 100 == 50).select(F.concat(F.lit("img_"), i.cast("string"), F.lit(".mp4")).alias("path"))).unionByName(a.filter(i % 1000 == 7).select(F.concat(F.lit("nowhere/"), i.cast("string")).alias("path")))
+    descriptions = told(t).select("segment_id", F.col("text").alias("summary"), F.array("lang", "source").alias("visible_details"))
+    return details.video_details(asked, a, detail_counts(t), descriptions, include_transcripts=True).select("path", F.col("n").cast("long").alias("n"), "line")
+
+
+@query(f"""with per as (select asset_id, count(*) filter (status in ('pending', 'running')) as open, max(updated_at) as last from job group by asset_id),
+    roots as (select root_id, sum(open) as open_jobs, max(last) as last_activity from media_asset join per using (asset_id) where {READY} group by root_id),
+    states as (select l.root_id, path, processing_rank, created_at, last_scan_at, cast(coalesce(open_jobs, 0) as bigint) as open_jobs, last_activity, last_scan_at is not null and coalesce(open_jobs, 0) = 0 as done from library_root l left join roots using (root_id))
+    select 0 as n, 'library' as name, (select count(*) from media_asset where {READY}) || ' assets · ' || (select count(*) from segment where is_active) || ' active segments · ' || (select count(*) from segment where is_active and ordinal % 3 = 1 and asset_id in (select asset_id from media_asset where {READY})) || ' vectors' as note, null as pending_jobs, null as is_processed
+    union all select row_number() over (order by done, case when not done then processing_rank end nulls first, case when not done then path end nulls first, case when done then last_activity end desc nulls last, created_at, root_id), path,
+        case when done then case when last_activity is null then 'done' else 'done at ' || cast(last_activity as bigint) end when last_scan_at is null then 'waiting for its first scan' else 'open jobs: ' || open_jobs end, open_jobs, done from states""")
+def library_stats(t):
+    return details.library_stats(t.library_root, t.media_asset, t.segment, t.job, embedded(t)).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"with {SUMMARIES} select 'roots' as part, count(*) as n from library_root union all select 'assets', count(*) from media_asset where {LIVE} union all select 'summaries', count(*) from summaries")
+def library_snapshot(t):
+    return details.digest(details.library_snapshot(t.library_root, t.media_asset, t.segment, t.job, embedded(t)))
+
+
+@query(f"""with {ELIGIBLE} select 'failures' as part, least(100, count(*)) as n from eligible where status in ('failed', 'cancelled') union all select 'progress', count(distinct kind) from eligible where kind <> 'segment_asset' and asset_id in (select asset_id from media_asset where {READY})
+    union all select 'stale', 1""")
+def job_dashboard(t):
+    jobs = t.job.withColumn("message", F.lit(None).cast("string"))
+    return details.digest(details.job_dashboard(t.media_asset, legacy(t), jobs, runs(t), t.description.filter("prompt_version <> 'p1'")))
+
+
 # ---------------------------------------------------------------- evidence and text
 
 
+@query("select doc_id, md5(strip_accents(lower(regexp_replace(text, '\\s', '', 'g')))) as digest, lang || '-' || left(sha256('{\"lang\":1,\"step\":0.5}'), 12) as version, doc_id % 3 <> 1 as is_json from documents where text is not null")
+def text_keys(t):
+    d = t.raw("documents").filter("text is not null")
+    body = F.when(F.col("doc_id") % 3 == 0, F.lit('{"a": 1}')).when(F.col("doc_id") % 3 == 1, F.lit('{"a": ')).otherwise(F.lit('[]'))
+    version = C.algorithm_version("", {"step": 0.5, "lang": 1})
+    return d.select("doc_id", F.md5(C.normalised_text(F.col("text")).cast("binary")).alias("digest"), F.concat("lang", F.lit(version)).alias("version"), C.json_valid(body).alias("is_json"))
+
+
+_EXTENSIONS = ["mp4", "MOV", "txt", "jpg", "HEIC", "m2ts", "gif", "webp", ""]
+
+
+@query(f"select asset_id, e as extension, case when lower(e) in {C.VIDEO_EXTENSIONS} then 'video' when lower(e) in {C.IMAGE_EXTENSIONS} then 'image' end as kind, lower(e) in {(*C.VIDEO_EXTENSIONS, *C.IMAGE_EXTENSIONS)} as is_supported, strftime(make_timestamp(cast(nullif(modification_time + asset_id % 1000 / 8, 0) * 1000000 as bigint)), '%Y-%m-%d %H:%M:%S.%f') as modified from (select *, {_EXTENSIONS}[asset_id % 9 + 1] as e from media_asset)")
+def media_kinds(t):
+    e = F.get(F.array(*map(F.lit, _EXTENSIONS)), (F.col("asset_id") % 9).cast("int"))
+    at = C.epoch_seconds(F.col("modification_time") + F.col("asset_id") % 1000 / 8)
+    return t.media_asset.select("asset_id", e.alias("extension"), C.media_kind(e).alias("kind"), F.lower(e).isin(ingest.supported_extensions()).alias("is_supported"), F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("modified"))
+
+
+@query("""with c as (select page_id, encode(repeat(html, page_id % 50 + 1)) as b from pages where html is not null) select page_id, octet_length(b) as n, sha256(encode(octet_length(b) || '|' || page_id) || b[1:65536] || case when octet_length(b) > 65536 then b[octet_length(b) - 65535:] else ''::blob end) as fingerprint from c""")
+def content_fingerprints(t):
+    c = t.raw("pages").filter("html is not null").select("page_id", F.repeat("html", F.col("page_id") % 50 + 1).cast("binary").alias("b"))
+    n = F.octet_length("b")
+    return c.select("page_id", n.cast("long").alias("n"), ingest.fingerprint(n, F.col("page_id"), F.col("b")).alias("fingerprint"))
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double) * (vec_id % 3)) as v from embeddings), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v)
+    select vec_id, round(case when n > 0 then case when abs(n - 1) > 1e-3 then v[1] / n else v[1] end end, 6) as first, round(case when n > 0 then case when abs(n - 1) > 1e-3 then 1.0 else n end end, 6) as norm from n""")
+def unit_vectors(t):
+    v = t.raw("embeddings").select("vec_id", C.l2_normalised(F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3))).alias("v"))
+    return v.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.sqrt(C.dot(F.col("v"), F.col("v"))), 6).alias("norm"))
+
+
 @query("""select segment_id, 'Spoken content: ' || coalesce(string_agg(text, ' ' order by start_ms, evidence_seq, text) filter (evidence_type = 'transcript'), '') || chr(10) || 'Visible text: ' || coalesce(string_agg(text, ' | ' order by start_ms, evidence_seq, text) filter (evidence_type = 'ocr'), '') as text
     from evidence group by segment_id""")
 def embedding_texts(t):
@@ -523,6 +649,14 @@ def average_hash(t):
     return luma(t).select("asset_id", "time_ms", h.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("low_bits"), (h < 0).alias("top_bit"))
 
 
+@query(f"""with {LUMA}, h as (select asset_id, time_ms, list_transform(luma, lambda p: p >= list_sum(luma) // 64) as bits from luma), p as (select *, lag(bits) over (partition by asset_id order by time_ms) as last from h)
+    select asset_id, time_ms, len(list_filter(range(1, 65), lambda k: bits[k] <> last[k])) as bits from p where last is not null""")
+def hash_distances(t):
+    w = Window.partitionBy("asset_id").orderBy("time_ms")
+    h = luma(t).select("asset_id", "time_ms", C.average_hash(F.col("luma")).alias("h")).withColumn("last", F.lag("h").over(w)).filter("last is not null")
+    return h.select("asset_id", "time_ms", C.hamming64(F.col("h"), F.col("last")).cast("long").alias("bits"))
+
+
 @query("""with f as (select asset_id as segment_id, time_ms, row_number() over (partition by asset_id order by time_ms, boundary_id) - 1 as i, count(*) over (partition by asset_id) as n from boundary)
     select segment_id, time_ms, count(*) as frames from f where n <= 8 or i in (select cast(floor(k * (n - 1) / 7 + 0.5) as bigint) from range(0, 8) r(k)) group by 1, 2""")
 def representative_frames(t):
@@ -662,14 +796,6 @@ def energy_windows(t):
 # ---------------------------------------------------------------- lineage
 
 
-RUNS = "runs as (select distinct run_id, asset_id, case when asset_id % 4 = 0 then 'running' when asset_id % 4 = 1 then 'failed' else 'succeeded' end as status, cast(asset_id % 1000 as double) as started_at, asset_id % 6 <> 0 as matches from segment)"
-
-
-def runs(t: Tables) -> DataFrame:
-    a = F.col("asset_id")
-    return t.segment.select("run_id", "asset_id").distinct().select("run_id", "asset_id", F.when(a % 4 == 0, "running").when(a % 4 == 1, "failed").otherwise("succeeded").alias("status"), (a % 1000).cast("double").alias("started_at"), (a % 6 != 0).alias("matches"))
-
-
 @query(f"""with {RUNS}, j as (select asset_id, bool_or(status in ('pending', 'running')) as is_open from job where kind = 'segment_asset' group by 1)
     select segment_id, not coalesce(is_open, false) as can_select from segment s left join j using (asset_id) where is_active or run_id in (select run_id from runs where status = 'running')""")
 def servable_segments(t):

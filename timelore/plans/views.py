@@ -90,7 +90,7 @@ VIEWS: dict[str, View] = {
     "evidence": View(
         "documents",
         {
-            "evidence_seq": "doc_id", "segment_id": "doc_id % 250", "evidence_type": "case doc_id % 3 when 0 then 'visual' when 1 then 'transcript' else 'ocr' end", "text": "text",
+            "evidence_seq": "doc_id", "segment_id": "cast(floor(doc_id / 4) as bigint)", "evidence_type": "case doc_id % 3 when 0 then 'visual' when 1 then 'transcript' else 'ocr' end", "text": "text",
             "start_ms": "(doc_id % 40) * 1000", "end_ms": "(doc_id % 40) * 1000 + 900",
         },
     ),
@@ -104,7 +104,7 @@ VIEWS: dict[str, View] = {
     "description": View(
         "documents",
         {
-            "segment_id": "doc_id % 250", "description_id": "doc_id", "run_id": "doc_id % 7", "created_at": "cast(doc_id as double)", "summary": "text", "lang": "lang", "source": "source",
+            "segment_id": "cast(floor(doc_id / 4) as bigint)", "description_id": "doc_id", "run_id": "doc_id % 7", "created_at": "cast(doc_id as double)", "summary": "text", "lang": "lang", "source": "source",
             "model_id": "concat('d', cast(doc_id % 3 as string))", "prompt_version": "concat('p', cast(doc_id % 4 as string))",
         },
     ),
