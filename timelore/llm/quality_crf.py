@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 GOOD_FROM = 0.3
 
 UPPER, LOWER, DIGIT, SPACE, MARK = range(5)

@@ -39,7 +39,7 @@ RANK_EVERY = 512
 BLOCK_TOKENS = 1 << 18
 BATCH_BYTES = 1 << 23
 #: How much text of runs an encoder remembers, with so much counted for each run besides.
-KNOWN_BYTES, RUN_OVERHEAD = 1 << 27, 150
+KNOWN_BYTES, RUN_OVERHEAD = 1 << 26, 150
 
 BLOCK_SCHEMA = (
     "part int, seq int, local_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
