@@ -15,7 +15,7 @@ marginals that can each be met contradict each other, rounds stop when they no l
 
 Defined cases: null source, language or topic is a value of its own ("<null>"); a null text has no tokens
 and falls in topic prose; documents without tokens stay (they weigh nothing); a null id is hashed as
-"<null>"; rows with one id share their fate; an empty table stays empty; further columns are carried.
+"<null>"; a very long text is counted whole; rows with one id share their fate; an empty table stays empty; further columns are carried.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from timelore.llm.common import materialise
 MARGINALS = ("source", "lang", "topic")
 NULL = "<null>"
 #: Rounds end when no marginal misses its goal by more than this share of all tokens, or after so many blocks.
-TOLERANCE = 1e-7
+TOLERANCE = 1e-12
 MOST_BLOCKS = 25
 #: So many cells are raked in one task; more stay dealt out by the values of the marginals.
 ONE_TASK_CELLS = 1 << 17

@@ -16,28 +16,37 @@ def warc_sql() -> str:
     from digests join firsts using (s)"""
 
 
-def mixture_sql(temper: float = 0.7, rate: float = 0.6, iterations: int = 8, seed: str = "mix") -> str:
-    steps = []
-    last = "joined"
-    for i in range(iterations):
-        for m in mixing.MARGINALS:
-            here = f"w{i}_{m}"
-            steps.append(f"{here} as (select * replace (case when sum(weight) over (partition by {m}) > 0 then weight * target_{m} / sum(weight) over (partition by {m}) else 0 end as weight) from {last})")
-            last = here
-    targets = ", ".join(f"t_{m} as (select {m}, pow(n, {temper}) / sum(pow(n, {temper})) over () as target_{m} from (select {m}, cast(sum(tokens) as double) as n from cells group by 1))" for m in mixing.MARGINALS)
+def mixture_sql(temper: float = 0.7, rate: float = 0.6, rounds: int = 80, seed: str = "mix") -> str:
+    """Raking within the cells' tokens, in a fixed number of rounds that is far more than the tables need."""
+    names = "source, lang, topic, tokens, want, most, " + ", ".join(f"goal_{m}" for m in mixing.MARGINALS)
+
+    def lines(src: str, group: str) -> str:
+        order = "order by want / most desc rows between"
+        return f"""(select *, coalesce(sum(most) over ({group} {order} unbounded preceding and 1 preceding), 0) as before, sum(want) over ({group} {order} current row and unbounded following) as rest from {src})"""
+
+    def factor(goal: str, group: str) -> str:
+        return f"greatest(0, max(case when rest > 0 then ({goal} - before) / rest else 0 end) over ({group}))"
+
+    body = f"(select * from raked where it < {rounds})"
+    for m in mixing.MARGINALS:
+        body = f"(select it, {names} from (select * replace (want * {factor(f'goal_{m}', f'partition by {m}')} as want) from {lines(body, f'partition by {m}')}))"
+    goals = ", ".join(
+        f"""v_{m} as (select {m}, cast(sum(tokens) as double) as most, pow(cast(sum(tokens) as double), {temper}) as w from cells group by 1),
+        s_{m} as (select *, w / sum(w) over () as want, (select cast({rate} * sum(tokens) as double) from cells) as whole from v_{m}),
+        t_{m} as (select {m}, least(most, want * {factor('whole', '')}) as goal_{m} from {lines(f's_{m}', '')})"""
+        for m in mixing.MARGINALS
+    )
     return f"""
-    with docs as (select doc_id, coalesce(source, '{mixing.NULL}') as source, coalesce(lang, '{mixing.NULL}') as lang,
+    with recursive docs as (select doc_id, coalesce(source, '{mixing.NULL}') as source, coalesce(lang, '{mixing.NULL}') as lang,
         case when contains(text, ' | ') then 'table' when contains(text, '@') then 'contact' when contains(text, 'http://') or contains(text, 'https://') then 'links'
             when contains(text, 'icense') or contains(text, 'opyright') then 'legal' when contains(text, '!!') or contains(text, '***') then 'noise' else 'prose' end as topic,
         case when coalesce(length(text), 0) = 0 then 0 else length(text) - length(translate(text, ' ' || chr(10) || chr(9), '')) + 1 end as tokens from documents),
-    cells as (select source, lang, topic, sum(tokens) as tokens from docs group by all having sum(tokens) > 0), {targets},
-    joined as (select c.*, tokens / sum(tokens) over () as weight, target_source, target_lang, target_topic from cells c join t_source using (source) join t_lang using (lang) join t_topic using (topic)),
-    {", ".join(steps)},
-    want as (select *, {rate} * sum(tokens) over () * weight as want from {last}),
-    spread as (select *, least(1.0, want / tokens) as first, sum(greatest(0, want - tokens)) over () as surplus, sum(case when want / tokens < 1 then want else 0 end) over () as open from want),
-    chances as (select source, lang, topic, case when first < 1 then least(1.0, first * (1 + case when open > 0 then surplus / open else 0 end)) else 1.0 end as probability from spread)
+    cells as (select source, lang, topic, sum(tokens) as tokens from docs group by all having sum(tokens) > 0), {goals},
+    raked as (select 0 as it, source, lang, topic, tokens, cast({rate} * tokens as double) as want, cast(tokens as double) as most, {", ".join(f"goal_{m}" for m in mixing.MARGINALS)} from cells join t_source using (source) join t_lang using (lang) join t_topic using (topic)
+        union all select it + 1, {names} from {body}),
+    chances as (select source, lang, topic, least(want, most) / most as probability from raked where it = {rounds})
     select doc_id, source, lang, topic, cast(tokens as bigint) as tokens, round(case when tokens = 0 then 1.0 else coalesce(probability, 0) end, 6) as probability from docs left join chances using (source, lang, topic)
-    where cast('0x' || substr(md5(cast(doc_id as varchar) || '{seed}'), 1, 8) as bigint) / 4294967296.0 < case when tokens = 0 then 1.0 else coalesce(probability, 0) end"""
+    where cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '{mixing.NULL}') || '{seed}'), 1, 8) as bigint) / 4294967296.0 < case when tokens = 0 then 1.0 else coalesce(probability, 0) end"""
 
 
 def url_sql() -> str:
