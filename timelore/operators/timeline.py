@@ -182,29 +182,32 @@ def merge_boundaries(times: list[int], sources: list[str], scores: list[float],
     return sorted(out, key=lambda b: b[0])
 
 
-def next_cut(start: int, duration: int, time: np.ndarray, strength: np.ndarray) -> int:
-    """Where the segment from `start` ends, with more than SETTLED_MS left: at the strong boundary that suits best."""
+def next_cut(start: int, duration: int, time: np.ndarray, strength: np.ndarray) -> tuple[int, bool]:
+    """(where the segment from `start` ends, with more than SETTLED_MS left; whether at a boundary): the strong one that suits best."""
     rest = duration - start
     reach = slice(*np.searchsorted(time, [start + SHORTEST_MS, min(start + LONGEST_MS, duration - SHORTEST_MS) + 1]))
     at, force = time[reach], strength[reach]
     at, force = at[force >= MIN_STRENGTH], force[force >= MIN_STRENGTH]
     if len(at):
         suits = force + LENGTH_WEIGHT * np.interp(at - start, *zip(*LENGTH_KNOTS))
-        return int(at[np.lexsort((at, -force, -suits))[0]])
+        return int(at[np.lexsort((at, -force, -suits))[0]]), True
     if rest <= LONGEST_MS:
-        return duration
-    return start + (LONGEST_MS if rest - LONGEST_MS >= SHORT_TAIL_MS else rest // 2)
+        return duration, False
+    return start + (LONGEST_MS if rest - LONGEST_MS >= SHORT_TAIL_MS else rest // 2), False
 
 
 def plan_cover(duration: int, boundaries: list[tuple[int, list[str], float]]) -> list[tuple[int, int, list[str]]]:
     """(start, end, sources of the end) of a greedy cover of [0, duration)."""
     time = np.array([b[0] for b in boundaries], np.int64)
     strength = np.array([b[2] for b in boundaries], float)
-    why = {b[0]: b[1] for b in reversed(boundaries)}
-    ends = [0]
-    while ends[-1] < duration:
-        ends.append(duration if duration - ends[-1] <= SETTLED_MS else next_cut(ends[-1], duration, time, strength))
-    return [(a, b, why.get(b, []) if b < duration else []) for a, b in zip(ends, ends[1:])]
+    why = {b[0]: b[1] for b in boundaries}
+    plan: list[tuple[int, int, list[str]]] = []
+    start = 0
+    while start < duration:
+        end, chosen = (duration, False) if duration - start <= SETTLED_MS else next_cut(start, duration, time, strength)
+        plan.append((start, end, why[end] if chosen else []))
+        start = end
+    return plan
 
 
 def plan_segments(candidates: DataFrame) -> DataFrame:
