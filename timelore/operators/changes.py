@@ -69,6 +69,15 @@ def drift_policy(assets: DataFrame, segments: DataFrame, observed: DataFrame) ->
     )
 
 
+def upsert_assets(assets: DataFrame, segments: DataFrame, observed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assets, segments) after observed durations and fingerprints: changed content drops the asset's segments, drift is taken or parked."""
+    drift = drift_policy(assets, segments, observed)
+    facts = drift.join(observed.select("asset_id", "new_fingerprint"), "asset_id").select("asset_id", "content_changed", F.col("duration_ms").alias("_d"), "candidate_duration_ms", "new_fingerprint")
+    seen = F.col("new_fingerprint").isNotNull()
+    out = assets.join(facts, "asset_id", "full_outer").withColumns({"duration_ms": F.when(seen, F.col("_d")).otherwise(F.col("duration_ms")), "fingerprint": F.coalesce("new_fingerprint", "fingerprint")})
+    return out.select("asset_id", "duration_ms", "fingerprint", "candidate_duration_ms"), segments.join(drift.filter("content_changed").select("asset_id"), "asset_id", "left_anti")
+
+
 def fixed_windows(assets: DataFrame, width: int = WINDOW_MS) -> DataFrame:
     """Fallback generation 1 of ready videos: windows of `width`, the last cut to the duration."""
     videos = assets.filter(visible_ready() & (F.col("media_kind") == "video") & (F.col("duration_ms") > 0))
@@ -81,6 +90,12 @@ def remove_assets(state: DataFrame, removed: DataFrame) -> DataFrame:
     return state.join(removed.select("asset_id").distinct().withColumn("_gone", F.lit(True)), "asset_id", "left").withColumn("is_excluded", F.col("is_excluded") | F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
+def remove_derived(removed: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Segments, jobs and other tables with an asset_id, without those of the removed assets."""
+    gone = removed.select("asset_id").distinct()
+    return [t.join(gone, "asset_id", "left_anti") for t in tables]
+
+
 def restore_assets(state: DataFrame, restored: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state with the named assets back, fallback segments for those without active ones)."""
     names = restored.select("asset_id").distinct()
@@ -132,6 +147,3 @@ def orphan_paths(inventory: DataFrame, referenced: DataFrame, column: str = "pat
     """Paths on disk that no row refers to; a report, nothing is deleted."""
     return inventory.select(column).distinct().join(referenced.select(column), column, "left_anti")
 
-
-def is_complete(errors: Column, unstable: Column) -> Column:
-    return (errors == 0) & (unstable == 0)

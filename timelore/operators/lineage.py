@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelore.functions.columns import json_set, visible_ready
+from timelore.functions.columns import json_set, recipe_hash, visible_ready
 from timelore.operators.library import DESCRIBE_JOB, INDEX_JOB, SEGMENT_JOB
 
 
@@ -106,6 +106,27 @@ def stage_generation(segments: DataFrame, planned: DataFrame, boundaries: DataFr
     return kept.unionByName(new), cut
 
 
+def commit_segmentation(segments: DataFrame, planned: DataFrame, boundaries: DataFrame, assets: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, run rows, boundary rows) after a new segmentation: staged beside the active one, or active at once where no active segment has a vector."""
+    staged, cut = stage_generation(segments, planned, boundaries, assets)
+    new_runs = planned.select("asset_id", "run_id").distinct()
+    indexed = segments.filter("is_active").join(vectors.select("segment_id"), "segment_id", "left_semi").select("asset_id").distinct().withColumn("indexed", F.lit(True))
+    new_runs = new_runs.join(indexed, "asset_id", "left").withColumn("is_ready", F.col("indexed").isNull()).drop("indexed")
+    return activate_generations(staged, new_runs), new_runs.select("run_id", "asset_id", F.when(F.col("is_ready"), "succeeded").otherwise("running").alias("status")), cut
+
+
+def finish_activation(runs: DataFrame, assets: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, assets) after the switch: the runs that became active have succeeded, and their assets take the parked duration.
+
+    assets: asset_id, duration_ms, candidate_duration_ms.
+    """
+    switch = ready.filter("is_ready").select("asset_id", "run_id").withColumn("_now", F.lit(True))
+    done = runs.join(switch, ["asset_id", "run_id"], "left").withColumn("status", F.when(F.col("_now"), "succeeded").otherwise(F.col("status"))).select(*runs.columns)
+    moved = assets.join(switch.select("asset_id", "_now"), "asset_id", "left")
+    columns = {"duration_ms": F.when(F.col("_now"), F.coalesce("candidate_duration_ms", "duration_ms")).otherwise(F.col("duration_ms")), "candidate_duration_ms": F.when(F.col("_now").isNull(), F.col("candidate_duration_ms"))}
+    return done, moved.withColumns(columns).select(*assets.columns)
+
+
 def stale_vectors(vectors: DataFrame, recipes: dict[str, tuple[str, str]]) -> DataFrame:
     """Vectors whose model or input version isn't that of their media kind. vectors: segment_id, media_kind, model_id, input_version."""
     models = F.create_map(*[F.lit(x) for k, (m, _) in recipes.items() for x in (k, m)])
@@ -201,6 +222,12 @@ def relabel_models(rows: DataFrame, old: str, new: str, revision: Column) -> Dat
     return rows.withColumns({"parameters": F.when(hit, json_set(F.col("parameters"), "relabelled_from", F.lit(old))).otherwise(F.col("parameters")), "model_id": F.when(hit, F.lit(new)).otherwise(F.col("model_id"))})
 
 
+def relabel_inputs(rows: DataFrame, old: str, new: str, parts: list[Column]) -> DataFrame:
+    """Rows whose `input_hash` is exactly that of the old model and `parts` get the new model and the hash made with it."""
+    hit = (F.col("model_id") == old) & (F.col("input_hash") == recipe_hash(F.lit(old), *parts))
+    return rows.withColumns({"input_hash": F.when(hit, recipe_hash(F.lit(new), *parts)).otherwise(F.col("input_hash")), "model_id": F.when(hit, F.lit(new)).otherwise(F.col("model_id"))})
+
+
 def commit_descriptions(state: DataFrame, batch: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(next descriptions, rejected rows): one per segment; a row whose fingerprint or evidence revision is no longer current is rejected.
 
@@ -212,5 +239,6 @@ def commit_descriptions(state: DataFrame, batch: DataFrame, evidence: DataFrame)
     return state.join(good.select("segment_id"), "segment_id", "left_anti").unionByName(good), rows.filter(~F.col("_ok")).select(*batch.columns)
 
 
-def requeue_describe(jobs: DataFrame, scope: DataFrame) -> DataFrame:
-    return requeue(jobs, scope, DESCRIBE_JOB, "segment_id")
+def requeue_descriptions(jobs: DataFrame, descriptions: DataFrame, scope: DataFrame, on: str = "segment_id") -> tuple[DataFrame, DataFrame]:
+    """(jobs, descriptions): finished description jobs of the scope become pending, and its cached descriptions go."""
+    return requeue(jobs, scope, DESCRIBE_JOB, on), descriptions.join(scope.select(on).distinct(), on, "left_anti")

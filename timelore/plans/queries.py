@@ -932,3 +932,78 @@ def committed_descriptions(t):
     batch = t.description.filter("segment_id % 2 = 0").groupBy("segment_id").agg(F.max("description_id").alias("description_id")).withColumns({"fingerprint": F.when(s % 5 == 0, "old").otherwise("f"), "input_revision": F.when(s % 3 == 0, 0).otherwise(1)})
     now = t.evidence.select("segment_id").distinct().withColumns({"fingerprint": F.lit("f"), "revision": F.lit(1)})
     return lineage.commit_descriptions(state, batch, now)[0].select("segment_id", "description_id")
+
+
+# ---------------------------------------------------------------- commits
+
+
+@query("""with t as (select asset_id from media_asset where asset_id % 10 = 0 and media_kind = 'video'), p as (select asset_id, max(segmentation_version) as top, max(case when is_active then segmentation_version end) as live, bool_or(is_active and ordinal % 3 = 1) as indexed from segment group by 1),
+    s as (select segment_id, asset_id, segmentation_version, is_active, live, t.asset_id is not null as touched, coalesce(indexed, false) as indexed from segment s join p using (asset_id) left join t using (asset_id) where t.asset_id is null or is_active or coalesce(segmentation_version < live, false))
+    select segment_id, segmentation_version, is_active and (not touched or indexed) as is_active from s where not touched or indexed or segmentation_version = live
+    union all select asset_id || ':r9:' || o, coalesce(greatest(2, top + 1), 2), not coalesce(indexed, false) from t left join p using (asset_id), range(0, 2) r(o)""")
+def committed_segmentation(t):
+    planned = t.media_asset.filter("asset_id % 10 = 0 and media_kind = 'video'").select("asset_id", F.lit("r9").alias("run_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"))
+    planned = planned.withColumns({"start_ms": F.col("ordinal").cast("long") * 10_000, "end_ms": F.col("ordinal").cast("long") * 10_000 + 10_000})
+    return lineage.commit_segmentation(t.segment, planned, t.boundary, t.media_asset, embedded(t))[0].select("segment_id", "segmentation_version", "is_active")
+
+
+@query(f"""with {RUNS}, n as (select asset_id, arg_max(run_id, (started_at, run_id)) as run_id from runs where status = 'running' and matches group by 1),
+    r as (select asset_id, run_id from segment join n using (asset_id, run_id) group by 1, 2 having count(*) = count(*) filter (ordinal % 3 = 1))
+    select 'run' as part, run_id as id, case when r.run_id is not null then 'succeeded' else status end as value from runs left join r using (asset_id, run_id)
+    union all select 'asset', cast(asset_id as string), case when r.run_id is null then duration_ms || '/' || case when asset_id % 3 = 0 then '-' else cast(duration_ms + 500 as string) end else case when asset_id % 3 = 0 then duration_ms else duration_ms + 500 end || '/-' end from media_asset left join r using (asset_id)""")
+def finished_activations(t):
+    ready = lineage.generation_readiness(runs(t), t.segment, embedded(t))
+    assets = t.media_asset.select("asset_id", "duration_ms", F.when(F.col("asset_id") % 3 != 0, F.col("duration_ms") + 500).alias("candidate_duration_ms"))
+    done, moved = lineage.finish_activation(runs(t), assets, ready)
+    value = F.concat(F.col("duration_ms").cast("string"), F.lit("/"), F.coalesce(F.col("candidate_duration_ms").cast("string"), F.lit("-")))
+    return done.select(F.lit("run").alias("part"), F.col("run_id").alias("id"), F.col("status").alias("value")).unionByName(moved.select(F.lit("asset").alias("part"), F.col("asset_id").cast("string").alias("id"), value.alias("value")))
+
+
+@query("""select description_id, case when model_id = 'd0' and description_id % 5 <> 0 then 'd0-new' else model_id end as model_id, case when description_id % 5 = 0 then 'other' when model_id = 'd0' then sha256('d0-new|' || prompt_version || '|' || segment_id) else sha256(model_id || '|' || prompt_version || '|' || segment_id) end as input_hash from description""")
+def relabelled_inputs(t):
+    parts = [F.col("prompt_version"), F.col("segment_id").cast("string")]
+    rows = t.description.withColumn("input_hash", F.when(F.col("description_id") % 5 == 0, "other").otherwise(C.recipe_hash(F.col("model_id"), *parts)))
+    return lineage.relabel_inputs(rows, "d0", "d0-new", parts).select("description_id", "model_id", "input_hash")
+
+
+@query("""select 'job' as part, job_id as id, case when kind = 'describe_segment' and status in ('succeeded', 'failed', 'cancelled') and asset_id % 6 = 0 then 'pending' else status end as value from job
+    union all select 'description', cast(description_id as string), '' from description where segment_id % 6 <> 0""")
+def requeued_descriptions(t):
+    jobs, _ = lineage.requeue_descriptions(t.job, t.description.withColumn("asset_id", F.col("segment_id")), t.media_asset.filter("asset_id % 6 = 0"), "asset_id")
+    scope = t.description.select("segment_id").distinct().filter("segment_id % 6 = 0")
+    _, kept = lineage.requeue_descriptions(t.job, t.description, scope)
+    return jobs.select(F.lit("job").alias("part"), F.col("job_id").alias("id"), F.col("status").alias("value")).unionByName(kept.select(F.lit("description").alias("part"), F.col("description_id").cast("string").alias("id"), F.lit("").alias("value")))
+
+
+@query("""with o as (select asset_id, duration_ms + (asset_id % 5 - 2) * 700 as new_d, case when asset_id % 7 = 0 then 'other' else fingerprint end as new_f from media_asset where asset_id % 4 <> 1), c as (select asset_id, max(end_ms) as cover from segment where is_active group by 1),
+    x as (select m.asset_id, m.duration_ms, o.*, m.fingerprint, m.fingerprint <> new_f as changed, m.fingerprint <> new_f or new_d = m.duration_ms or coalesce(cover, 0) = 0 or abs(new_d - cover) <= 1000 as take, o.asset_id is not null as seen from media_asset m left join o using (asset_id) left join c using (asset_id))
+    select x.asset_id, case when seen and take then new_d else duration_ms end as duration_ms, coalesce(new_f, fingerprint) as fingerprint, case when seen and not take then new_d end as candidate_duration_ms, case when coalesce(changed, false) then 0 else coalesce(n, 0) end as segments from x left join (select asset_id, count(*) as n from segment group by 1) k using (asset_id)""")
+def asset_upserts(t):
+    seen = t.media_asset.filter("asset_id % 4 <> 1").select("asset_id", (F.col("duration_ms") + (F.col("asset_id") % 5 - 2) * 700).alias("new_duration_ms"), F.when(F.col("asset_id") % 7 == 0, "other").otherwise(F.col("fingerprint")).alias("new_fingerprint"))
+    assets, segments = changes.upsert_assets(t.media_asset, t.segment, seen)
+    return assets.join(segments.groupBy("asset_id").agg(F.count("*").alias("n")), "asset_id", "left").select("asset_id", "duration_ms", "fingerprint", "candidate_duration_ms", F.coalesce("n", F.lit(0)).alias("segments"))
+
+
+@query("select 'segments' as part, count(*) as n from segment where asset_id % 41 <> 0 union all select 'jobs', count(*) from job where asset_id % 41 <> 0")
+def removed_assets(t):
+    left = changes.remove_derived(t.media_asset.filter("asset_id % 41 = 0"), t.segment, t.job)
+    return details.digest(dict(zip(("segments", "jobs"), left)))
+
+
+@query("""with v as (select conv_id as segment_id, case when conv_id % 9 = 0 then 'old' else 'now' end as f, conv_id % 7 = 0 as empty from (select distinct conv_id from conversations)), ok as (select segment_id from v where f = 'now' and not empty),
+    e as (select segment_id || ':transcript:' || ordinal as id from turn where segment_id in (from ok) and ordinal % 4 <> 3)
+    select 'evidence' as part, id from e union all select 'evidence', segment_id || ':ocr:' || evidence_seq from evidence where evidence_type = 'ocr' and segment_id in (from ok) union all select 'frames', segment_id || ':frame:' || ordinal from turn where segment_id in (from ok)
+    union all select 'vectors', cast(segment_id as string) from ok union all select 'runs', segment_id || ':run:' || k from ok, (values ('transcript'), ('ocr'), ('frame'), ('embedding')) x(k) union all select 'rejects', segment_id || case when empty then ' empty vector' else ' changed source' end from v where empty or f = 'old'""")
+def index_commits(t):
+    s = F.col("segment_id")
+    names = t.turn.select("segment_id").distinct()
+    v = F.when(s % 7 == 0, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0)))
+    spoken = t.turn.select("segment_id", F.col("ordinal").alias("n"), "text", (F.col("ordinal") * 1000).alias("start_ms"), (F.col("ordinal") * 1000 + F.when(F.col("ordinal") % 4 == 3, 0).otherwise(900)).alias("end_ms"))
+    seen = t.evidence.filter("evidence_type = 'ocr'").select("segment_id", F.col("evidence_seq").alias("n"), "text", "start_ms", "end_ms")
+    batch = {"vectors": names.select("segment_id", F.when(s % 9 == 0, "old").otherwise("now").alias("fingerprint"), v.alias("vector")), "transcript": spoken, "ocr": seen, "frame": spoken.select("segment_id", "n", F.col("start_ms").alias("time_ms"))}
+    out = ingest.commit_index_output(batch, names.withColumn("fingerprint", F.lit("now")))
+    parts = [out["evidence"].select(F.lit("evidence").alias("part"), "id"), out["frames"].select(F.lit("frames").alias("part"), "id"), out["vectors"].select(F.lit("vectors").alias("part"), s.cast("string").alias("id")), out["runs"].select(F.lit("runs").alias("part"), F.col("run_id").alias("id"))]
+    rows = out["rejects"].select(F.lit("rejects").alias("part"), F.concat_ws(" ", s.cast("string"), "reason").alias("id"))
+    for p in parts:
+        rows = rows.unionByName(p)
+    return rows

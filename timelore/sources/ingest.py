@@ -15,18 +15,25 @@ EDGE_BYTES = 65_536
 DESCRIPTION = "summary string, visible_details array<string>, uncertainty array<string>"
 
 
-def media_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Media files below a folder: relative_path, path, file_size, modification_time, media_kind; no content is read.
-
-    Hidden files and folders are left out.
-    """
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """All files below a folder, no content read: relative_path, path, file_size, modified_us, media_kind, and why one is skipped (hidden, other)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
     plain = F.regexp_replace("path", r"^\w+:/+", "/")
     base = "/" + root.split("://")[-1].strip("/").removeprefix("file:").strip("/")
     relative = F.substring(plain, len(base) + 2, 1 << 20)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     rows = files.select(relative.alias("relative_path"), "path", F.col("length").alias("file_size"), F.unix_micros("modificationTime").alias("modified_us"), media_kind(extension).alias("media_kind"))
-    return rows.filter(F.col("media_kind").isNotNull() & ~F.col("relative_path").rlike(r"(^|/)\."))
+    return rows.withColumn("skipped", F.when(F.col("relative_path").rlike(r"(^|/)\."), "hidden").when(F.col("media_kind").isNull(), "other"))
+
+
+def media_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Media files below a folder: relative_path, path, file_size, modified_us, media_kind; hidden files and folders are left out."""
+    return listed_files(spark, root).filter("skipped is null").drop("skipped")
+
+
+def inventory_counts(spark: SparkSession, root: str) -> DataFrame:
+    """One row: media files and skipped ones."""
+    return listed_files(spark, root).agg(F.count_if(F.col("skipped").isNull()).alias("media"), F.count("skipped").alias("skipped"))
 
 
 def supported_extensions() -> list[str]:
@@ -40,10 +47,6 @@ def fingerprint(size: Column, mtime: Column | None, content: Column) -> Column:
     return F.sha2(F.concat(head, F.substring(content, 1, EDGE_BYTES), tail), 256)
 
 
-def metadata_fingerprint(size: Column, mtime: Column) -> Column:
-    return F.concat(F.lit("metadata-"), F.sha2(F.concat_ws("|", size.cast("string"), mtime.cast("string")), 256))
-
-
 def decode_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vectors, rejects) of (segment_id, blob, dimension): little-endian floats whose number is the dimension."""
 
@@ -91,6 +94,32 @@ def commit_evidence(state: DataFrame, batch: DataFrame, current: DataFrame) -> t
     return kept.unionByName(named.drop("fingerprint").select(*state.columns)), rows.filter(~ok).select(*batch.columns)
 
 
+def commit_index_output(batch: dict[str, DataFrame], current: DataFrame) -> dict[str, DataFrame]:
+    """What an indexed segment leaves: evidence, frames, vectors and run rows to replace the segment's old ones, and the rejected segments.
+
+    batch: `vectors` (segment_id, fingerprint, vector; one for each segment), `transcript`, `ocr` (segment_id, n,
+    text, start_ms, end_ms) and `frame` (segment_id, n, time_ms). A segment is rejected whole if its vector is empty
+    or its source isn't the current one (current: segment_id, fingerprint). Sentences without length are dropped.
+    Rows get ids `segment:kind:n`; each segment gets a run of each of the four kinds.
+    """
+    rows = batch["vectors"].join(current.select("segment_id", F.col("fingerprint").alias("_f")), "segment_id", "left")
+    reason = F.when(F.coalesce(F.size("vector"), F.lit(0)) <= 0, "empty vector").when(~F.coalesce(F.col("fingerprint") == F.col("_f"), F.lit(False)), "changed source")
+    judged = rows.withColumn("reason", reason)
+    good = judged.filter("reason is null").select("segment_id", "vector")
+
+    def named(kind: str) -> DataFrame:
+        name = F.concat_ws(":", F.col("segment_id").cast("string"), F.lit(kind), F.col("n").cast("string"))
+        return batch[kind].join(good.select("segment_id"), "segment_id", "left_semi").withColumn("id", name)
+
+    spoken = named("transcript").filter("end_ms > start_ms").withColumn("evidence_type", F.lit("transcript"))
+    kinds = F.explode(F.array(*map(F.lit, ("transcript", "ocr", "frame", "embedding"))))
+    run = F.concat_ws(":", F.col("segment_id").cast("string"), F.lit("run"), "kind")
+    return {
+        "evidence": spoken.unionByName(named("ocr").withColumn("evidence_type", F.lit("ocr"))), "frames": named("frame"), "vectors": good,
+        "runs": good.select("segment_id", kinds.alias("kind")).withColumn("run_id", run), "rejects": judged.filter("reason is not null").select("segment_id", "reason"),
+    }
+
+
 def embedding_texts(evidence: DataFrame) -> DataFrame:
     """(segment_id, text) for the embedder: spoken sentences, then visible texts, in order."""
     def joined(kind: str, by: str) -> Column:
