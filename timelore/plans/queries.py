@@ -15,6 +15,8 @@ from timelore.operators import changes, details, library, lineage, search, timel
 from timelore.plans.views import view, with_views
 from timelore.sources import ingest
 from timelore.sources.shipping import ship_package
+from timelore.streaming import streams
+from timelore.streaming.run import drained
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1007,3 +1009,55 @@ def index_commits(t):
     for p in parts:
         rows = rows.unionByName(p)
     return rows
+
+
+# ---------------------------------------------------------------- streams over the events
+
+
+def event_stream(t: Tables) -> DataFrame:
+    """The events as a stream of files; the pattern names the one table, be it a file or a folder."""
+    schema = t.raw("events").schema
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select cast(epoch(date_trunc('hour', ts)) as bigint) as start, event_type as kind, 's' || user_id % 3 as status, count(*) as n from events group by all")
+def stream_lane_counts(t):
+    events = event_stream(t).select("ts", F.col("event_type").alias("kind"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("status"))
+    return drained(streams.lane_counts(events), "complete").withColumn("start", F.unix_seconds("start"))
+
+
+@query("select user_id as asset_id, cast(epoch(date_trunc('hour', ts)) as bigint) as start, round(20 * log10(greatest(sqrt(avg(value / 1000 * (value / 1000))), 1e-9)), 6) as level_db from events group by all")
+def stream_energy(t):
+    samples = event_stream(t).select("ts", F.col("user_id").alias("asset_id"), (F.col("value") / 1000).alias("value"))
+    return drained(streams.energy(samples, width="1 hour"), "complete").select("asset_id", F.unix_seconds("start").alias("start"), F.round("level_db", 6).alias("level_db"))
+
+
+ISLANDS = """i as (select *, sum(b) over (partition by user_id, {key} order by ts) as island from (select *, case when ts > lag(ts) over (partition by user_id, {key} order by ts) + interval {gap} then 1 else 0 end as b from events where {where}))"""
+
+
+@query(f"with {ISLANDS.format(key='event_type', gap='6 hours', where='true')} select user_id as segment_id, event_type as text, cast(epoch_us(min(ts)) as bigint) as start, round(max(value), 6) as confidence, count(*) as n from i group by user_id, event_type, island")
+def stream_ocr_sessions(t):
+    seen = event_stream(t).select("ts", F.col("user_id").alias("segment_id"), F.col("event_type").alias("text"), F.col("value").alias("confidence"))
+    return drained(streams.ocr_sessions(seen, gap="6 hours"), "complete").select("segment_id", "text", F.unix_micros("start").alias("start"), F.round("confidence", 6).alias("confidence"), "n")
+
+
+@query(f"with {ISLANDS.format(key='1', gap='24 hours', where='value / 5 - 100 <= -42')} select user_id as asset_id, cast(epoch_us(min(ts)) as bigint) as start, count(*) as windows from i group by user_id, island")
+def stream_silences(t):
+    windows = event_stream(t).select("ts", F.col("user_id").alias("asset_id"), (F.col("value") / 5 - 100).alias("level_db"))
+    return drained(streams.silence_sessions(windows, gap_ms=86_400_000), "complete").select("asset_id", F.unix_micros("start").alias("start"), "windows")
+
+
+@query(f"select event_id, user_id as asset_id from events where user_id in (select asset_id from media_asset where {READY})")
+def stream_visible_evidence(t):
+    seen = event_stream(t).select("event_id", F.col("user_id").alias("asset_id"))
+    return drained(streams.visible_evidence(seen, t.media_asset), "append").select("event_id", "asset_id")
+
+
+@query("""with recursive e as (select user_id as job_id, event_id, event_id // 7 % 3 as attempt, case event_id % 4 when 0 then 'succeeded' when 1 then 'failed' else 'running' end as new_status, row_number() over (partition by user_id order by ts, event_id) as i from events),
+    walk(job_id, i, event_id, accepted, status, attempt) as (select job_id, cast(0 as bigint), cast(null as bigint), false, 'pending', cast(-1 as bigint) from e group by 1
+        union all select job_id, i, event_id, ok, case when ok then new_status else status end, case when ok then now else attempt end from (select e.job_id, e.i, e.event_id, new_status, e.attempt as now, w.status, w.attempt, (new_status = 'running' and w.status <> 'running' and e.attempt > w.attempt) or (w.status = 'running' and e.attempt = w.attempt) as ok from walk w join e on e.job_id = w.job_id and e.i = w.i + 1))
+    select cast(job_id as string) as job_id, event_id, accepted, status, attempt from walk where i > 0""")
+def stream_job_states(t):
+    new = F.when(F.col("event_id") % 4 == 0, "succeeded").when(F.col("event_id") % 4 == 1, "failed").otherwise("running")
+    events = event_stream(t).select("ts", "event_id", F.col("user_id").cast("string").alias("job_id"), (F.floor(F.col("event_id") / 7) % 3).cast("int").alias("attempt"), new.alias("new_status"))
+    return drained(streams.job_states(events), "append").withColumn("attempt", F.col("attempt").cast("long"))
