@@ -119,6 +119,11 @@ def test_lines_see_their_neighbours():
     assert not features[0, n : 2 * n].any() and not features[2, 2 * n :].any() and not features[3, n:].any()
 
 
+def test_blank_texts_alone():
+    model = quality_crf.LineField(np.ones(3 * quality_crf.N_OWN), 0.0, np.zeros((2, 2)))
+    assert len({*model.scores([""]), *model.scores([" \n\t"]), *model.scores(["", "\n"])}) == 1
+
+
 def test_quality_on_the_tables(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     got = {r.doc_id: r for r in quality_crf.fit_and_score(docs, labels).collect()}

@@ -81,7 +81,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     line_of = np.searchsorted(starts, word_at, side="right") - 1
     place = np.arange(len(codes), dtype=np.uint64)
     owner = np.cumsum(first) - 1
-    mixed = (codes.astype(np.uint64) + np.uint64(1)) * (((place - np.where(inside, word_at[np.maximum(owner, 0)], 0).astype(np.uint64)) * np.uint64(2) + np.uint64(1)) * _MIX)
+    head_of = word_at[np.maximum(owner, 0)] if len(word_at) else np.zeros(len(codes), np.int64)
+    mixed = (codes.astype(np.uint64) + np.uint64(1)) * (((place - np.where(inside, head_of, 0).astype(np.uint64)) * np.uint64(2) + np.uint64(1)) * _MIX)
     mixed[~inside] = 0
     hashes = np.add.reduceat(mixed, word_at) if len(word_at) else np.zeros(0, np.uint64)
     again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (line_of[1:] == line_of[:-1])]) if len(hashes) else np.zeros(0, bool)
