@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; `run` writes
 the result of each as Parquet in the shared folder and reads it again. All but the last return the columns of
 `documents`; the last returns doc_id, start, n_tokens and ids_crc32 of the token archive it wrote.
+
+Defined cases: a null or empty text is one blank line to the quality stage and stays or goes by its score; null texts are copies
+of nothing, empty ones of each other; they hold no benchmark passage, weigh nothing in the mixture and
+stay; their tokens are the end id. Rows with a null id are rows of their own; of rows repeated with one id one stays.
+Very long texts are worked through whole by each stage. Empty tables stay empty; without labels, all documents are
+good; further columns are carried up to the last stage.
 """
 
 from __future__ import annotations
