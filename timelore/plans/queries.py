@@ -638,6 +638,12 @@ def sampling_plan(t):
     return plan.groupBy("asset_id").agg(F.count("*").alias("samples"), F.max("time_ms").alias("last_ms"), F.sum("time_ms").alias("total_ms"))
 
 
+@query("""select segment_id, count(*) as samples, min(time_ms) as first_ms, max(time_ms) as last_ms from (select segment_id, unnest(range(start_ms + least(500, (end_ms - start_ms) // 2), end_ms, 1000)) as time_ms from (select segment_id, start_ms, start_ms + ordinal * 700 as end_ms from segment)) group by 1""")
+def segment_samples(t):
+    segments = t.segment.select("segment_id", "start_ms", (F.col("start_ms") + F.col("ordinal") * 700).alias("end_ms"))
+    return timeline.segment_sampling(segments).groupBy("segment_id").agg(F.count("*").alias("samples"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
+
+
 @query(f"""with {LUMA}, h as (select *, list_transform(range(0, 16), lambda b: len(list_filter(luma, lambda p: p // 16 = b)) / len(luma)) as hist, lag(luma) over w as pl from luma window w as (partition by asset_id order by time_ms)),
     g as (select *, lag(hist) over (partition by asset_id order by time_ms) as ph from h)
     select asset_id, time_ms, round(least(1.0, 0.65 * list_sum(list_transform(range(1, 65), lambda i: abs(luma[i] - pl[i]))) / 64 / 255 + 0.175 * list_sum(list_transform(range(1, 17), lambda i: abs(hist[i] - ph[i])))), 6) as score from g where pl is not null""")
