@@ -25,6 +25,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from timelore.llm.common import fresh_path, shuffle_partitions
 
 RANK_EVERY = 512
 BLOCK_TOKENS = 1 << 18
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 21
 #: How much text of runs an encoder remembers, with so much counted for each run besides.
 KNOWN_BYTES, RUN_OVERHEAD = 1 << 26, 150
 
@@ -121,7 +122,7 @@ class TextEncoder:
     def __init__(self, tokenizer_json: str):
         from tokenizers import AddedToken, Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer_json = tokenizer_json
         spec = json.loads(tokenizer_json)
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -132,9 +133,17 @@ class TextEncoder:
             self.plain_cutter = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
             for t in (self.cutter, self.plain_cutter):
                 t.add_tokens([AddedToken("\n", normalized=False)])
-            self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer as it is."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.tokenizer_json)
+
+    def forget(self) -> None:
+        """Lets go of what is remembered; a worker does so after each task, as other operators use it too."""
         self.known: dict[bytes, bytes] = {}
         self.known_bytes = 0
 
@@ -154,7 +163,7 @@ class TextEncoder:
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
         runs = [lowered(x).split() for x in texts]
         if self.known_bytes > KNOWN_BYTES:
-            self._forget()
+            self.forget()
         if new := set().union(*runs).difference(self.known):
             self._learn(new)
         ids_of = self.known.__getitem__
@@ -234,6 +243,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text_co
                         yield out()
         if ids:
             yield out()
+        coder.forget()
 
     n = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
