@@ -143,7 +143,7 @@ class TextEncoder:
         return Tokenizer.from_str(self.tokenizer_json)
 
     def forget(self) -> None:
-        """Lets go of what is remembered; a worker does so after each task, as other operators use it too."""
+        """Lets go of what is remembered."""
         self.known: dict[bytes, bytes] = {}
         self.known_bytes = 0
 
@@ -208,8 +208,12 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
-def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Blocks of BLOCK_SCHEMA, documents in ascending order of id over parts and blocks."""
+def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id", forget: bool = False) -> DataFrame:
+    """Blocks of BLOCK_SCHEMA, documents in ascending order of id over parts and blocks.
+
+    `forget`: a worker lets go of the encoder's memory after each task, for jobs whose other stages use the same
+    workers; the ids are the same.
+    """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # a fixed file of a few MB
@@ -243,7 +247,8 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text_co
                         yield out()
         if ids:
             yield out()
-        coder.forget()
+        if forget:
+            coder.forget()
 
     n = shuffle_partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -327,9 +332,9 @@ def tokens_at(archive: DataFrame, numbers: DataFrame, column: str = "token") ->
     return rows.mapInArrow(pick, "token long, id long")
 
 
-def encode_and_read(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:
     """Write the archive and read every document back from its files."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    write_archive(docs, path, tokenizer_path)
+    write_archive(docs, path, tokenizer_path, **options)
     return documents_of(read_archive(spark, path))
