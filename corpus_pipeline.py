@@ -42,7 +42,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_archive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, written as directly addressable codes and read back."""
-    return token_codes.encode_and_read(docs, tokenizer_path())
+    return token_codes.encode_and_read(docs, tokenizer_path(), forget=True)
 
 
 STAGES = [
