@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelore.llm import ann, decontaminate, mixing, near_dup, quality_crf, suffix_dedup, token_codes, toxicity, url_tree, warc
+from timelore.llm import ann, decontaminate, mixing, near_dup, periodic, quality_crf, suffix_dedup, token_codes, toxicity, url_tree, warc
 from timelore.llm.common import table
 from timelore.llm.oracle import ORACLE_SQL
 
@@ -62,6 +62,10 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.detect(table(spark, sf_dir, "documents"), periodic.periodic_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixture": op8_mixture,
     "op9_url_tree": op9_url_tree,
     "op10_quality_crf": op10_quality_crf,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
