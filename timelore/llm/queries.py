@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelore.llm import ann, decontaminate, mixing, near_dup, periodic, quality_crf, suffix_dedup, token_codes, toxicity, url_tree, warc
+from timelore.llm import ann, decontaminate, mixing, near_dup, packing, periodic, quality_crf, suffix_dedup, token_codes, toxicity, url_tree, warc, whitening
 from timelore.llm.common import table
 from timelore.llm.oracle import ORACLE_SQL
 
@@ -62,6 +62,15 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.detect(table(spark, sf_dir, "documents"), periodic.periodic_tail))
 
@@ -77,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixture": op8_mixture,
     "op9_url_tree": op9_url_tree,
     "op10_quality_crf": op10_quality_crf,
+    "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
