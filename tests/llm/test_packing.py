@@ -32,6 +32,7 @@ def test_runs_give_the_librarys_ids(encoder):
     texts += [f"a{b}b {b}{c} {c}" for b in BLANKS for c in BLANKS]
     texts += ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3100, 64)]
     texts += [f"x {chr(c)} y\n{chr(c)}\nz {chr(c)}w w{chr(c)} " for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    texts += [f"x w{chr(c)}d, {chr(c)}. {chr(c)}" for c in range(0xA0, 0x300)] + [f"ab{chr(a)}{chr(b)} {chr(a)}c{chr(b)} c{chr(a)}" for a in range(33, 127) for b in range(33, 127)]
     for at in range(0, len(texts), 500):
         some = texts[at : at + 500]
         want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(some, add_special_tokens=False)]

@@ -17,7 +17,7 @@ encoded and written once, and are not moved.
 
 The encoder. For a byte-level vocabulary without a normaliser, the library's own cuts fall before each single blank,
 and around each single line feed, between two characters that aren't white space. So runs between such places are
-encoded by the library once, and remembered; all other texts and vocabularies are encoded whole.
+encoded by the library once, and remembered; texts of other vocabularies are encoded whole.
 
 Defined cases: a null text is the empty text, and gives the end id alone; a null doc_id is kept; rows with one doc_id
 are documents each; very long texts give as many pieces as they need; an empty table stays empty; further columns are
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelore.llm.common import fresh_path, materialise, shuffle_partitions
-from timelore.llm.token_codes import KNOWN_BYTES, RUN_OVERHEAD, chunks
+from timelore.llm.token_codes import RUN_OVERHEAD, chunks
 
 CAPACITY = 2_048
 GROUP_ITEMS = 2_048
@@ -50,61 +51,88 @@ ENOUGH = 1_000
 #: Bytes that end, or begin, a character that isn't white space in UTF-8, as far as one byte tells.
 _ENDS = rb"[!-~\x8b-\x9e\xa1-\xa7\xaa-\xae\xb0-\xbf]"
 _BEGINS = rb"[!-~\xc3-\xdf\xe0\xe4-\xf4]"
-_BLANK, _LINE = (re.compile(c + b"(?<=" + _ENDS + c + b")(?=" + _BEGINS + b")") for c in (b" ", b"\n"))
-_CUT = "\0"
+_TWO = rb"[\xc3-\xdf][\x80-\xbf]"  # no white space has two bytes but those that begin with C2
+_BLANK, _LINE = (re.compile(c + b"(?:(?<=" + _ENDS + c + b")|(?<=" + _TWO + c + b"))(?=" + _BEGINS + b")") for c in (b" ", b"\n"))
+#: Latin letters, then ASCII signs but the apostrophe: two cuts of the library's pattern, or one.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Text that an encoder's known runs may take, with RUN_OVERHEAD each.
+KNOWN_BYTES = 1 << 27
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters as they are, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+class Runs(dict):
+    """ids of runs that stand after `lead`, worked out when first asked for."""
+
+    def __init__(self, encoder: RunEncoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, run: bytes) -> bytes:
+        self[run] = ids = self.encoder.run_ids(self.lead, run.decode(errors="replace"))
+        self.encoder.known_bytes += len(run) + RUN_OVERHEAD
+        return ids
 
 
 class RunEncoder:
-    """ids of whole texts, as `Tokenizer.encode(text, add_special_tokens=False)` gives them."""
+    """ids of whole texts, as `Tokenizer.encode(text, add_special_tokens=False)` gives them.
+
+    All ids come from the library: those of a word from its model, those of other runs from the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import AddedToken, Tokenizer
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         cut = spec.get("pre_tokenizer") or {}
-        plain_added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) and not re.search(r"\s", x["content"]) for x in spec.get("added_tokens", []))
+        added = spec.get("added_tokens", [])
+        plain_added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) and not re.search(r"\s", x["content"]) and not _WORD.fullmatch(x["content"]) for x in added)
         self.by_run = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and plain_added and not spec["model"].get("dropout")
-        if self.by_run:
-            self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
-            self.cutter = Tokenizer.from_str(tokenizer_json)
-            self.cutter.add_tokens([AddedToken(_CUT, normalized=False)])
-            self.cut_id = self.cutter.token_to_id(_CUT)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.first: dict[bytes, bytes] = {}  # runs at the start of a line
-        self.later: dict[bytes, bytes] = {}  # runs after a blank, which is not written here
+        self.first, self.later = Runs(self, ""), Runs(self, " ")  # at the start of a line, and after a blank
+        self.signs: dict[str, list[int]] = {"": []}
         self.known_bytes = 0
 
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode(errors="replace") for x in texts], add_special_tokens=False)]
-
-    def _learn(self, known: dict[bytes, bytes], runs: set[bytes], lead: bytes) -> None:
-        self.known_bytes += sum(map(len, runs)) + RUN_OVERHEAD * len(runs)
-        odd = [r for r in runs if b"\0" in r]
-        known.update(zip(odd, self._whole([lead + r for r in odd]), strict=True))
-        some = list(runs.difference(odd))
-        if some:
-            joined = (b"\0" + lead).join(some).decode(errors="replace")
-            ids = np.array(self.cutter.encode_batch_fast([lead.decode() + joined], add_special_tokens=False)[0].ids, "<u4")
-            stops = 4 * np.append(np.flatnonzero(ids == self.cut_id), len(ids))
-            code = ids.tobytes()
-            known.update(zip(some, [code[a:b] for a, b in zip([0, *(stops[:-1] + 4).tolist()], stops.tolist(), strict=True)], strict=True))
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, lead: str, text: str) -> list[int]:
+        """ids of one cut of the library's pattern."""
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(self.letters[0x20] + shown if lead else shown)]
+
+    def run_ids(self, lead: str, run: str) -> bytes:
+        word = _WORD.fullmatch(run)
+        if word is None:
+            return self._encode(lead + run)
+        letters, signs = word.groups()
+        if signs not in self.signs:
+            self.signs[signs] = self._piece("", signs)
+        ids = self._piece(lead, letters) + self.signs[signs]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text (UTF-8), as little-endian unsigned 32-bit numbers."""
         if not self.by_run:
-            return self._whole(texts)
-        lines = [[_BLANK.split(line) for line in _LINE.split(x)] for x in texts]
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode(errors="replace") for x in texts], add_special_tokens=False)]
         if self.known_bytes > KNOWN_BYTES:
             self.forget()
-        if new := {line[0] for text in lines for line in text}.difference(self.first):
-            self._learn(self.first, new, b"")
-        if new := {run for text in lines for line in text for run in line[1:]}.difference(self.later):
-            self._learn(self.later, new, b" ")
-        first, later = self.first, self.later.__getitem__
-        return [self.line.join([b"".join([first[line[0]], *map(later, line[1:])]) for line in text]) for text in lines]
+        first, later, feed = self.first, self.later.__getitem__, self._encode("\n")
+        out = []
+        for text in texts:
+            lines = [_BLANK.split(line) for line in _LINE.split(text)]
+            out.append(feed.join([b"".join([first[line[0]], *map(later, line[1:])]) for line in lines]))
+        return out
 
 
 _ENCODERS: dict[int, RunEncoder] = {}
