@@ -76,7 +76,9 @@ def test_folds_compare_with_the_last_kept(spark):
     frames = spark.createDataFrame([(1, i, h) for i, h in enumerate(hashes)], "segment_id long, time_ms long, hash long")
     assert [r.hash for r in timeline.distinct_frames(frames).orderBy("time_ms").collect()] == [0, 0b11111] + ([0b111111111] if (0b11111 ^ 0b111111111).bit_count() > 4 else [])
     changes_ = spark.createDataFrame([(1, 0, 0.5), (1, 600, 0.9), (1, 1_200, 0.6), (1, 1_700, 0.7)], "asset_id long, time_ms long, score double")
-    assert [(r.time_ms, r.score) for r in timeline.coalesced_changes(changes_).orderBy("time_ms").collect()] == [(600, 0.9), (1_700, 0.7)]
+    assert [(r.time_ms, r.score) for r in timeline.coalesced_changes(changes_, 0.35, 1_000).orderBy("time_ms").collect()] == [(600, 0.9), (1_700, 0.7)]
+    close = spark.createDataFrame([(1, 0, 0.2), (1, 499, 0.3), (1, 700, 0.25), (1, 999, 0.19), (1, 1_000, 0.21)], "asset_id long, time_ms long, score double")
+    assert [(r.time_ms, r.score) for r in timeline.coalesced_changes(close).orderBy("time_ms").collect()] == [(499, 0.3), (1_000, 0.21)]
 
 
 def test_sentences_take_their_tokens(spark):

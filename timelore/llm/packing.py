@@ -8,7 +8,7 @@ piece. These are packed:
 - Local search in each group: the bin with the least fill gives to the others, in exchange for nothing (a move), one
   of its documents or two for one of theirs, or one for two of theirs. Of all exchanges that the other bin has room
   for, the one that increases the sum of squared fills most is made, until the bin is empty or has no exchange; then
-  the next bin. Sweeps over the bins go on while one of them empties a bin.
+  the next bin. Sweeps over the bins go on while one of them empties a bin; PATIENCE failures in a row end a sweep.
 - Full bins are done. Bins that aren't are dealt anew into groups, whole, by another hash, and searched again: as long
   as a round does away with more than one in ENOUGH of them and they could still be fewer.
 
@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -45,6 +46,7 @@ from timelore.llm.token_codes import RUN_OVERHEAD, chunks
 CAPACITY = 2_048
 GROUP_ITEMS = 2_048
 ENOUGH = 1_000
+PATIENCE = 64
 
 # ---------------------------------------------------------------- tokens
 
@@ -53,10 +55,13 @@ _ENDS = rb"[!-~\x8b-\x9e\xa1-\xa7\xaa-\xae\xb0-\xbf]"
 _BEGINS = rb"[!-~\xc3-\xdf\xe0\xe4-\xf4]"
 _TWO = rb"[\xc3-\xdf][\x80-\xbf]"  # no white space has two bytes but those that begin with C2
 _BLANK, _LINE = (re.compile(c + b"(?:(?<=" + _ENDS + c + b")|(?<=" + _TWO + c + b"))(?=" + _BEGINS + b")") for c in (b" ", b"\n"))
-#: Latin letters, then ASCII signs but the apostrophe: two cuts of the library's pattern, or one.
-_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes of visible ASCII, blanks, line feeds, and of the two-byte characters that begin with C3, which are no white space.
+_USUAL = bytes([0x0A, 0x20, 0xC3, *range(0x21, 0x7F), *range(0x80, 0xC0)])
+#: Letters of Latin alphabets alone: one cut of the library's pattern. ASCII signs but the apostrophe after them: the next one.
+_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 #: Text that an encoder's known runs may take, with RUN_OVERHEAD each.
-KNOWN_BYTES = 1 << 27
+KNOWN_BYTES = 1 << 28
 
 
 def byte_letters() -> dict[int, str]:
@@ -66,6 +71,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+def cut_runs(text: bytes) -> list[list[bytes]]:
+    """Lines of runs: the text is cut at single blanks and single line feeds between two characters that aren't white space."""
+    if not text.translate(None, _USUAL) and text[:1] not in (b" ", b"\n", b"") and text[-1:] not in (b" ", b"\n") and not any(x in text for x in (b"  ", b" \n", b"\n ", b"\n\n")):
+        return [line.split(b" ") for line in text.split(b"\n")]
+    return [_BLANK.split(line) for line in _LINE.split(text)]
+
+
 class Runs(dict):
     """ids of runs that stand after `lead`, worked out when first asked for."""
 
@@ -74,8 +86,16 @@ class Runs(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, run: bytes) -> bytes:
-        self[run] = ids = self.encoder.run_ids(self.lead, run.decode(errors="replace"))
-        self.encoder.known_bytes += len(run) + RUN_OVERHEAD
+        encoder = self.encoder
+        stem = run.rstrip(_SIGNS)
+        if not (stem.isalpha() or _WORD.fullmatch(stem.decode(errors="replace"))):
+            ids = encoder.whole(self.lead + run.decode(errors="replace"))
+        elif len(stem) < len(run):
+            ids = self[stem] + encoder.after(run[len(stem) :])
+        else:
+            ids = encoder.cut(self.lead, run)
+        self[run] = ids
+        encoder.known_bytes += len(run) + RUN_OVERHEAD
         return ids
 
 
@@ -92,7 +112,7 @@ class RunEncoder:
         spec = json.loads(tokenizer_json)
         cut = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens", [])
-        plain_added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) and not re.search(r"\s", x["content"]) and not _WORD.fullmatch(x["content"]) for x in added)
+        plain_added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) and not re.search(r"\s", x["content"]) and not _WORD.fullmatch(x["content"].rstrip(_SIGNS.decode())) for x in added) and sys.byteorder == "little" and array("I").itemsize == 4
         self.by_run = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and plain_added and not spec["model"].get("dropout")
         self.model = self.tokenizer.model
         self.letters = byte_letters()
@@ -100,26 +120,21 @@ class RunEncoder:
 
     def forget(self) -> None:
         self.first, self.later = Runs(self, ""), Runs(self, " ")  # at the start of a line, and after a blank
-        self.signs: dict[str, list[int]] = {"": []}
+        self.signs: dict[bytes, bytes] = {}
         self.known_bytes = 0
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, lead: str, text: str) -> list[int]:
-        """ids of one cut of the library's pattern."""
-        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(self.letters[0x20] + shown if lead else shown)]
+    def cut(self, lead: str, text: bytes) -> bytes:
+        """ids of one cut of the library's pattern, from its model."""
+        shown = text.decode() if text.isascii() else text.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(self.letters[0x20] + shown if lead else shown)]).tobytes()
 
-    def run_ids(self, lead: str, run: str) -> bytes:
-        word = _WORD.fullmatch(run)
-        if word is None:
-            return self._encode(lead + run)
-        letters, signs = word.groups()
+    def after(self, signs: bytes) -> bytes:
         if signs not in self.signs:
-            self.signs[signs] = self._piece("", signs)
-        ids = self._piece(lead, letters) + self.signs[signs]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            self.signs[signs] = self.cut("", signs)
+        return self.signs[signs]
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text (UTF-8), as little-endian unsigned 32-bit numbers."""
@@ -127,11 +142,10 @@ class RunEncoder:
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([x.decode(errors="replace") for x in texts], add_special_tokens=False)]
         if self.known_bytes > KNOWN_BYTES:
             self.forget()
-        first, later, feed = self.first, self.later.__getitem__, self._encode("\n")
+        first, later, feed = self.first, self.later.__getitem__, self.whole("\n")
         out = []
         for text in texts:
-            lines = [_BLANK.split(line) for line in _LINE.split(text)]
-            out.append(feed.join([b"".join([first[line[0]], *map(later, line[1:])]) for line in lines]))
+            out.append(feed.join([b"".join([first[line[0]], *map(later, line[1:])]) for line in cut_runs(text)]))
         return out
 
 
@@ -262,23 +276,30 @@ class Bins:
 
     def _pairs(self, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of items that share one of the other bins."""
-        first, second = [], []
-        order = np.argsort(self.bins, kind="stable")
-        cuts = np.searchsorted(self.bins[order], np.stack([others, others + 1]))
-        for x, y in cuts.T.tolist():
-            own = order[x:y]
-            i, j = np.triu_indices(len(own), 1)
-            first.append(own[i])
-            second.append(own[j])
-        one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+        wanted = np.zeros(len(self.fill), bool)
+        wanted[others] = True
+        own = np.flatnonzero(wanted[self.bins])
+        own = own[np.argsort(self.bins[own], kind="stable")]
+        first, second = [own[:0]], [own[:0]]
+        for apart in range(1, len(own)):  # at most as many steps as a bin has items
+            same = self.bins[own[apart:]] == self.bins[own[:-apart]]
+            if not same.any():
+                break
+            first.append(own[:-apart][same])
+            second.append(own[apart:][same])
+        one, two = np.concatenate(first), np.concatenate(second)
         return one, two, self.sizes[one] + self.sizes[two], self.bins[one]
 
     def search(self) -> None:
-        """Sweeps over the bins, least fill first, while a sweep empties one and there may be fewer."""
+        """Sweeps over the bins, least fill first, while a sweep empties one and there may be fewer.
+
+        A sweep ends after PATIENCE bins in a row that could not be emptied.
+        """
         least = -(-int(self.sizes.sum()) // self.capacity)
         while (before := int((self.fill > 0).sum())) > least:
             seen: set[int] = set()
-            while True:
+            failed = 0
+            while failed < PATIENCE and int((self.fill > 0).sum()) > least:
                 waiting = [b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist() if b not in seen]
                 if not waiting:
                     break
@@ -286,6 +307,7 @@ class Bins:
                 seen.add(a)
                 while self.fill[a] and self.exchange(a):
                     pass
+                failed = failed + 1 if self.fill[a] else 0
             if int((self.fill > 0).sum()) == before:
                 break
 

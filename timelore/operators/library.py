@@ -133,6 +133,15 @@ def lane_progress(assets: DataFrame, jobs: DataFrame, segments: DataFrame, runs:
     return out.withColumn("fraction", F.when(F.col("total") == 0, 0.0).otherwise((F.col("succeeded") + F.col("failed")) / F.col("total")))
 
 
+def segmentation_progress(assets: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row: segmentation jobs of visible assets by status, failed with cancelled, and all of them."""
+    status = F.col("status")
+    return jobs.filter(F.col("kind") == SEGMENT_JOB).join(assets.filter(visible_ready()).select("asset_id"), "asset_id", "left_semi").agg(
+        F.count_if(status == "pending").alias("pending"), F.count_if(status == "running").alias("running"), F.count_if(status == "succeeded").alias("succeeded"),
+        F.count_if(status.isin("failed", "cancelled")).alias("failed"), F.count("*").alias("total"),
+    )
+
+
 def library_statistics(assets: DataFrame, segments: DataFrame, embedded: DataFrame) -> DataFrame:
     """Visible assets; active segments of any asset; embedded active segments of visible assets."""
     visible = assets.filter(visible_ready())

@@ -135,9 +135,9 @@ def stale_vectors(vectors: DataFrame, recipes: dict[str, tuple[str, str]]) -> Da
     return vectors.filter((F.col("model_id") != F.try_element_at(models, kind)) | (F.col("input_version") != F.try_element_at(versions, kind)))
 
 
-def missing_vectors(segments: DataFrame, assets: DataFrame, vectors: DataFrame, jobs: DataFrame) -> DataFrame:
-    """New index jobs for active segments of visible assets that have neither a vector nor a job."""
-    rows = segments.filter("is_active").join(assets.filter(visible_ready()).select("asset_id"), "asset_id", "left_semi")
+def missing_vectors(segments: DataFrame, assets: DataFrame, vectors: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """New index jobs for servable segments (active, or of a running segmentation) of visible assets that have neither a vector nor a job."""
+    rows = servable_segments(segments, runs, jobs).join(assets.filter(visible_ready()).select("asset_id"), "asset_id", "left_semi")
     rows = rows.join(vectors.select("segment_id"), "segment_id", "left_anti").join(jobs.filter(F.col("kind") == INDEX_JOB).select("segment_id"), "segment_id", "left_anti")
     return rows.select(F.sha2(F.concat_ws("|", F.lit(INDEX_JOB), "segment_id"), 256).alias("job_id"), "segment_id", "asset_id", F.lit(INDEX_JOB).alias("kind"), F.lit("pending").alias("status"))
 

@@ -99,7 +99,7 @@ def distinct_frames(frames: DataFrame, most_bits: int = 4) -> DataFrame:
     return _fold(frames.select("segment_id", "time_ms", "hash"), ["segment_id"], "segment_id long, time_ms long, hash long", fold)
 
 
-def coalesced_changes(changes: DataFrame, threshold: float = 0.35, spacing_ms: int = 1_000) -> DataFrame:
+def coalesced_changes(changes: DataFrame, threshold: float = 0.20, spacing_ms: int = 500) -> DataFrame:
     """Scores from the threshold on; one too near the last kept replaces it only if it is stronger, and moves the anchor."""
 
     def fold(t: pa.Table) -> dict:

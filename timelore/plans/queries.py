@@ -5,15 +5,16 @@ The SQL is written apart from the operators; only the views' expressions are sha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timelore.functions import columns as C
-from timelore.operators import changes, details, library, lineage, search, timeline
+from timelore.operators import changes, details, library, lineage, search, textindex, timeline
 from timelore.plans.views import view, with_views
-from timelore.sources import ingest
+from timelore.sources import ingest, shared
 from timelore.sources.shipping import ship_package
 from timelore.streaming import streams
 from timelore.streaming.run import drained
@@ -199,6 +200,12 @@ def lane_progress(t):
     return library.lane_progress(t.media_asset, t.job, legacy(t), runs(t)).withColumn("fraction", F.round("fraction", 6))
 
 
+@query(f"""select count(*) filter (status = 'pending') as pending, count(*) filter (status = 'running') as running, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status in ('failed', 'cancelled')) as failed, count(*) as total
+    from job where kind = 'segment_asset' and asset_id in (select asset_id from media_asset where {READY})""")
+def segmentation_progress(t):
+    return library.segmentation_progress(t.media_asset, t.job)
+
+
 @query(f"""select (select count(*) from media_asset where {READY}) as assets, (select count(*) from segment where is_active) as segments,
     (select count(*) from segment where is_active and ordinal % 3 = 1 and asset_id in (select asset_id from media_asset where {READY})) as embeddings""")
 def library_statistics(t):
@@ -352,6 +359,14 @@ def query_texts(t: Tables) -> DataFrame:
     return stated.unionByName(further.select("query_id", F.when(F.col("word") != "", F.col("word")).otherwise(turn).alias("query")))
 
 
+def text_index(t: Tables) -> textindex.TextIndex:
+    """The stored index of the evidence, written when it is first asked for; its folder is named after the files it was made from."""
+    made_from = shared.files(t.spark, f"{t.sf_dir}/documents.parquet")
+    path = f"{shared.shared_dir(t.spark)}/timelore/textindex-{hashlib.sha256(repr(made_from).encode()).hexdigest()[:24]}"
+    index = textindex.TextIndex(t.spark, path)
+    return index if index.version else textindex.create(t.evidence, path)
+
+
 def vectors(t: Tables) -> DataFrame:
     return t.raw("embeddings").select(F.col("vec_id").alias("segment_id"), F.col("embedding").alias("vector"))
 
@@ -389,16 +404,30 @@ def shaped(out: DataFrame) -> DataFrame:
 
 @query(f"with {LITERAL}, joined as (select l.*, s.asset_id, path, s.start_ms, cast(null as double) as semantic, 0.65 * literal as combined, {_PLAY} from lit l join search_segment s on s.segment_id = l.segment_id and visible) " + RESULT.format(order="lr, segment_id"))
 def literal_search(t):
-    return shaped(search.literal_search(t.evidence, t.search_segment, query_texts(t)))
+    return shaped(search.literal_search(t.evidence, t.search_segment, query_texts(t), index=text_index(t)))
 
 
-@query(f"""with {LITERAL}, sims as (select q.vec_id as query_id, v.vec_id as segment_id, greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))) as score
+HYBRID = f"""with {{literal}}, sims as (select q.vec_id as query_id, v.vec_id as segment_id, greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))) as score
         from embeddings q, embeddings v where q.vec_id % 100 = 0 and v.vec_id in (select segment_id from search_segment where visible)),
     sem as (select *, row_number() over (partition by query_id order by score desc, segment_id) as n from sims where score > 0 qualify n <= 200),
     fused as (select coalesce(l.query_id, m.query_id) as query_id, coalesce(l.segment_id, m.segment_id) as segment_id, coalesce(literal, 0) as literal, score as semantic, bm25, coalesce(vh, 0) as vh, coalesce(th, 0) as th, coalesce(oh, 0) as oh, ts, os, vs, te, oe, ve, matched from lit l full join sem m on l.query_id = m.query_id and l.segment_id = m.segment_id),
-    joined as (select b.*, s.asset_id, path, s.start_ms, 0.65 * literal + 0.35 * coalesce(semantic, 0) as combined, {_PLAY} from fused b join search_segment s on s.segment_id = b.segment_id and visible) """ + RESULT.format(order=f"combined desc, {NATURAL}, start_ms, segment_id"))
+    joined as (select b.*, s.asset_id, path, s.start_ms, 0.65 * literal + 0.35 * coalesce(semantic, 0) as combined, {_PLAY} from fused b join search_segment s on s.segment_id = b.segment_id and {{shown}}) """ + RESULT.format(order=f"combined desc, {NATURAL.replace('{','{{').replace('}','}}')}, start_ms, segment_id")
+
+
+@query(HYBRID.format(literal=LITERAL, shown="visible"))
 def hybrid_search(t):
-    return shaped(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t)))
+    return shaped(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t), index=text_index(t)))
+
+
+#: Visual rows of every other hidden segment stay searchable by their words; their segments have no vectors in the search.
+FALLBACK = "(evidence_type = 'visual' and segment_id in (select segment_id from search_segment where not visible and segment_id % 2 = 1))"
+
+
+@query(HYBRID.format(literal=LITERAL.replace("where segment_id in (select segment_id from search_segment where visible)", f"where segment_id in (select segment_id from search_segment where visible) or {FALLBACK}"), shown="true"))
+def fallback_search(t):
+    hidden = t.search_segment.filter("not visible and segment_id % 2 = 1").select("segment_id")
+    old = t.evidence.filter("evidence_type = 'visual'").join(hidden, "segment_id", "left_semi")
+    return shaped(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t), index=text_index(t), fallback=old))
 
 
 @query("""select query_id, segment_id, round(score, 6) as score, place from (select q.vec_id as query_id, v.vec_id as segment_id, greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: cast(q.embedding[i] as double) * cast(v.embedding[i] as double))))) as score,
@@ -414,7 +443,28 @@ def current_vectors(t):
 
 @query()
 def search_lines(t):
-    return search.search_lines(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t)))
+    return search.search_lines(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t), index=text_index(t)))
+
+
+#: The evidence after inserts (a fifth of the rows), new texts (a seventh) and deletes (an eleventh).
+CHANGED = "changed as (select evidence_seq, case when evidence_seq % 7 = 0 then text || ' Zebra ' || segment_id else text end as text from evidence where evidence_seq % 11 <> 0)"
+
+
+@query(f"""with {CHANGED}, g as (select evidence_seq, false as short, lower(text) as t, 3 as k from changed union all select evidence_seq, true, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), unnest([1, 2]) from changed),
+    o as (select short, substring(t, i, k) as gram, evidence_seq from (select *, unnest(range(1, length(t) - k + 2)) as i from g))
+    select short, gram, count(distinct evidence_seq) as n, count(*) as tf, cast(sum(evidence_seq) as bigint) as places, (select count(*) from changed) as rows, (select cast(sum(greatest(0, length(text) - 2)) as bigint) from changed) as chars from o group by 1, 2""")
+def index_maintained(t):
+    e = t.evidence
+    seq = F.col("evidence_seq")
+    first = e.filter(seq % 5 != 0)
+    index = textindex.create(first, shared.fresh_path(t.spark, "textindex"))
+    index = index.apply(e.filter(seq % 5 == 0))
+    old = first.unionByName(e.filter(seq % 5 == 0)).filter((seq % 7 == 0) | (seq % 11 == 0))
+    new = old.filter(seq % 11 != 0).withColumn("text", F.concat("text", F.lit(" Zebra "), F.col("segment_id").cast("string")))
+    index = index.apply(new, old)
+    rows, chars = index.totals
+    each = index.entries(index.lists(), "short", "gram").groupBy("short", "gram")
+    return each.agg(F.count("*").alias("n"), F.sum("tf").cast("long").alias("tf"), F.sum("evidence_seq").alias("places")).withColumns({"rows": F.lit(rows).cast("long"), "chars": F.lit(chars).cast("long")})
 
 
 @query("""select gram, evidence_seq, count(*) as tf, cast(min(i) as bigint) as first, cast(max(i) as bigint) as last from (select evidence_seq, i, substring(t, i + 1, 3) as gram from (select evidence_seq, lower(text) as t, unnest(range(0, length(text) - 2)) as i from evidence)) group by 1, 2""")
@@ -872,9 +922,11 @@ def stale_vectors(t):
     return lineage.stale_vectors(rows, {"image": ("m0", "v0"), "video": ("m1", "v2")}).select("segment_id")
 
 
-@query(f"select sha256('index_segment|' || segment_id) as job_id, segment_id, asset_id, 'index_segment' as kind, 'pending' as status from segment where is_active and ordinal % 3 <> 1 and asset_id in (select asset_id from media_asset where {READY}) and segment_id not in (select segment_id from job where kind = 'index_segment')")
+@query(f"""with {RUNS}, {LEGACY} select sha256('index_segment|' || segment_id) as job_id, segment_id, asset_id, 'index_segment' as kind, 'pending' as status from seg
+    where (is_active or run_id in (select run_id from runs where status = 'running')) and not (run_id is null and asset_id in (select asset_id from job where kind = 'segment_asset'))
+    and ordinal % 3 <> 1 and asset_id in (select asset_id from media_asset where {READY}) and segment_id not in (select segment_id from job where kind = 'index_segment')""")
 def missing_vectors(t):
-    return lineage.missing_vectors(t.segment, t.media_asset, embedded(t), t.job)
+    return lineage.missing_vectors(legacy(t), t.media_asset, embedded(t), t.job, runs(t))
 
 
 DESCRIBED = """d as (select segment_id, s.ordinal % 2 = 0 as has, case when s.ordinal % 4 = 0 then null else s.asset_id % 3 end as rev, s.asset_id % 2 as now, s.asset_id % 5 <> 0 as same, s.ordinal as da, s.asset_id % 7 as ea,

@@ -2,37 +2,26 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='timelore-')}"
-    spark.sparkContext.setCheckpointDir(found)
-    return found
+from timelore.sources.shared import shared_dir
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """The result of the streaming query over all rows that are there now.
 
     mode: "append" adds each batch; "complete" replaces the result by each batch's, so that open windows count too.
+    Each epoch is written to a folder of its own, so that a batch replayed after a failure replaces what it wrote.
     """
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     schema = stream.schema
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch if mode == 'append' else 0}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/out")
+    return spark.read.schema(schema).parquet(f"{path}/out").select(*schema.names)

@@ -62,13 +62,12 @@ def job_states(events: DataFrame, late: str = "1 hour") -> DataFrame:
             return
         status, attempt = state.get if state.exists else ("pending", -1)
         out = []
-        for rows in batches:
-            for r in rows.sort_values(["ts", "event_id"]).itertuples():
-                starts = r.new_status == "running" and status != "running" and r.attempt > attempt
-                ok = starts or (status == "running" and r.attempt == attempt)
-                if ok:
-                    status, attempt = r.new_status, int(r.attempt)
-                out.append((key[0], int(r.event_id), bool(ok), status, attempt))
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():  # a job's events of one micro-batch
+            starts = r.new_status == "running" and status != "running" and r.attempt > attempt
+            ok = starts or (status == "running" and r.attempt == attempt)
+            if ok:
+                status, attempt = r.new_status, int(r.attempt)
+            out.append((key[0], int(r.event_id), bool(ok), status, attempt))
         state.update((status, attempt))
         if status != "running":
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
