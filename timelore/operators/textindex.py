@@ -248,66 +248,69 @@ class TextIndex:
         long_ = F.length("query") >= GRAM
         asked = shared.settled(queries.select("query_id", long_.alias("is_long"), F.when(long_, F.lower("query")).otherwise(ascii_lower(F.col("query"))).alias("term")), "asked")
         terms = shared.settled(asked.groupBy("is_long", "term").agg(F.min("query_id").alias("lead")), "terms")
-        kind = F.when(F.length("term") > GRAM, "phrase").when(F.col("is_long"), "gram").otherwise("short")
-        parts = [f(shared.settled(terms.filter(kind == k), k)) for k, f in (("phrase", lambda t: self._phrases(evidence, visible, t, most)), ("gram", lambda t: self._single(visible, t, most, False)), ("short", lambda t: self._single(visible, t, most, True)))]
-        found = shared.materialise(reduce(DataFrame.unionByName, parts), "found")
-        rows = shared.meet(evidence.withColumn("chars", F.length("text")), found, "evidence_seq")
+        wanted = shared.settled(self._wanted(terms), "wanted")
+        blocks = shared.meet(self._of(wanted), wanted, ["gram", "short"])
+        single = blocks.filter("not phrase").withColumn("bound", F.when(F.col("short"), F.col("max_seq").cast("double")).otherwise(self.weight(F.col("max_tf"), F.col("min_d"))))
+        least = shared.settled(self._least(single, visible, most), "least")
+        reach = F.col("least").isNull() | (F.col("bound") >= F.col("least") - F.abs("least") * 1e-9)
+        met = blocks.filter("phrase").unionByName(shared.meet(single, least, "lead", "left").filter(reach).select(*blocks.columns))
+        rows = shared.materialise(self.entries(met, "lead", "is_long", "term", "phrase"), "rows")
+        hits = shared.materialise(self._hits(evidence, rows), "hits")
+        found = shared.settled(self._best(self._ranked(shared.meet(visible.select("evidence_seq"), hits, "evidence_seq"), shared.settled(self._counts(hits, single), "counts")), most), "found")
         names = shared.settled(asked.join(terms, ["is_long", "term"]).select("lead", "query_id", "is_long"), "names")
-        return shared.meet(rows, names, "lead").drop("lead")
+        return shared.meet(shared.meet(evidence.withColumn("chars", F.length("text")), found, "evidence_seq"), names, "lead").drop("lead")
 
-    def _best(self, ranked: DataFrame, most: int) -> DataFrame:
-        order = Window.partitionBy("lead").orderBy("rank", F.when(F.col("is_long"), F.col("evidence_seq")).otherwise(-F.col("evidence_seq")))
-        return ranked.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("lead", "evidence_seq", "f", "rank", "pos")
+    def _wanted(self, terms: DataFrame) -> DataFrame:
+        """(lead, is_long, term, gram, short, phrase): the gram whose lists answer each term, the rarest of a phrase's. No row for phrases with an unknown gram."""
+        spots = F.sequence(F.lit(1), F.length("term") - (GRAM - 1))
+        each = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("term"), i, F.lit(GRAM))))
+        grams = shared.settled(terms.filter(F.length("term") > GRAM).select("lead", "term", F.size(each).alias("needed"), F.explode(each).alias("gram")), "grams")
+        known = shared.meet(self.grams().filter("not short").select("gram", "n"), grams, "gram").groupBy("lead", "term", "needed")
+        rarest = known.agg(F.count("*").alias("_k"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).filter("_k = needed")
+        alone = terms.filter(F.length("term") <= GRAM).select("lead", "is_long", "term", F.col("term").alias("gram"), (~F.col("is_long")).alias("short"), F.lit(False).alias("phrase"))
+        return rarest.select("lead", F.lit(True).alias("is_long"), "term", "gram", F.lit(False).alias("short"), F.lit(True).alias("phrase")).unionByName(alone)
+
+    def _of(self, wanted: DataFrame) -> DataFrame:
+        """Lists of the wanted grams: few of them are asked of the files by name, which skips what lies between."""
+        lists = self.lists()
+        few = {(r["gram"], r["short"]) for r in getattr(wanted, "local_rows", [])}
+        return lists.filter(reduce(lambda a, b: a | b, [(F.col("gram") == g) & (F.col("short") == s) for g, s in sorted(few)])) if 0 < len(few) <= 64 else lists
+
+    def _least(self, single: DataFrame, visible: DataFrame, most: int) -> DataFrame:
+        """(lead, least): what the `most`-th best of the first blocks by bound scores; no row where they hold fewer."""
+        by_bound = Window.partitionBy("lead").orderBy(F.desc("bound"))
+        first = single.withColumn("_i", F.row_number().over(by_bound)).filter(F.col("_i") <= 2 * most)  # a block has a row at least
+        first = first.withColumn("_before", F.sum("n").over(by_bound.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("_before", F.lit(0)) < 2 * most)
+        value = F.when(F.col("is_long"), self.weight(F.col("tf"), F.col("d"))).otherwise(F.col("evidence_seq").cast("double"))
+        seen = self.entries(first, "lead", "is_long").join(visible.select("evidence_seq"), "evidence_seq", "left_semi").withColumn("value", value)
+        last = seen.withColumn("_i", F.row_number().over(Window.partitionBy("lead").orderBy(F.desc("value")))).filter(F.col("_i") <= most).groupBy("lead").agg(F.count("*").alias("_n"), F.min("value").alias("least"))
+        return last.filter(F.col("_n") == most).select("lead", "least")
+
+    def _hits(self, evidence: DataFrame, rows: DataFrame) -> DataFrame:
+        """(lead, is_long, phrase, evidence_seq, f, d): entries of one gram as they are, those of phrases if their text holds the phrase."""
+        columns = ["lead", "is_long", "phrase", "evidence_seq", "f", "d"]
+        alone = rows.filter("not phrase").withColumn("f", F.when(F.col("is_long"), F.col("tf")).otherwise(0).cast("long")).select(*columns)
+        texts = evidence.select("evidence_seq", F.lower("text").alias("low"))
+        held = shared.meet(texts, rows.filter("phrase"), "evidence_seq").filter(F.col("low").contains(F.col("term")))
+        return alone.unionByName(held.withColumn("f", times(F.col("low"), F.col("term"))).select(*columns))
+
+    def _counts(self, hits: DataFrame, single: DataFrame) -> DataFrame:
+        """(lead, n): the rows that hold each term."""
+        n = F.count("*").alias("n")
+        alone = self.entries(single, "lead").groupBy("lead").agg(n) if self.dead() is not None else single.groupBy("lead").agg(F.sum("n").alias("n"))
+        return hits.filter("phrase").groupBy("lead").agg(n).unionByName(alone)
 
     def _ranked(self, hits: DataFrame, counts: DataFrame) -> DataFrame:
-        """Hits (lead, is_long, evidence_seq, f, d) with rank, from the number n of rows of each lead."""
+        """Hits with rank, from the number n of rows of each lead."""
         raw = F.log((F.lit(self.totals[0]) - F.col("n") + 0.5) / (F.col("n") + 0.5))
         idf = F.when(raw <= 0, IDF_FLOOR).otherwise(raw)
         f, d = F.col("f"), F.col("d")
         score = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * d / F.lit(self.mean_length)))
         return shared.meet(hits, counts, "lead").withColumn("rank", F.when(F.col("is_long"), score).otherwise(0.0))
 
-    def _phrases(self, evidence: DataFrame, visible: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-        """Terms of more than one gram: the rows of the rarest gram, then their texts."""
-        spots = F.sequence(F.lit(1), F.length("term") - (GRAM - 1))
-        each = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("term"), i, F.lit(GRAM))))
-        grams = shared.settled(terms.select("lead", "term", F.size(each).alias("needed"), F.explode(each).alias("gram")), "grams")
-        known = shared.meet(self.grams().filter("not short").select("gram", "n"), grams, "gram").groupBy("lead", "term", "needed")
-        rarest = shared.settled(known.agg(F.count("*").alias("_k"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).filter("_k = needed").select("lead", "term", "gram"), "rarest")
-        rows = self.entries(shared.meet(self._of(rarest, False), rarest, "gram"), "lead", "term").select("lead", "term", "evidence_seq", "d")
-        held = shared.meet(evidence.select("evidence_seq", F.lower("text").alias("low")), shared.materialise(rows, "rows"), "evidence_seq").filter(F.col("low").contains(F.col("term")))
-        hits = shared.materialise(held.select("lead", F.lit(True).alias("is_long"), "evidence_seq", times(F.col("low"), F.col("term")).alias("f"), "d"), "hits")
-        counts = shared.settled(hits.groupBy("lead").agg(F.count("*").alias("n")), "counts")
-        return self._best(self._ranked(shared.meet(visible.select("evidence_seq"), hits, "evidence_seq"), counts), most)
-
-    def _of(self, wanted: DataFrame, short: bool) -> DataFrame:
-        """Lists of the wanted grams: few of them are asked of the files by name, which skips what lies between."""
-        lists = self.lists().filter("short" if short else "not short")
-        few = {r.gram for r in getattr(wanted, "local_rows", [])}
-        return lists.filter(reduce(lambda a, g: a | g, [F.col("gram") == g for g in few])) if 0 < len(few) <= 64 else lists
-
-    def _single(self, visible: DataFrame, terms: DataFrame, most: int, short: bool) -> DataFrame:
-        """Terms of one gram: from blocks, best bound first."""
-        asked = shared.settled(terms.select("lead", "is_long", F.col("term").alias("gram")), "asked")
-        blocks = shared.meet(self._of(asked, short), asked, "gram")
-        bound = F.col("max_seq").cast("double") if short else self.weight(F.col("max_tf"), F.col("min_d"))
-        value = F.col("evidence_seq").cast("double") if short else self.weight(F.col("tf"), F.col("d"))
-        blocks = blocks.withColumn("bound", bound)
-        by_bound = Window.partitionBy("lead").orderBy(F.desc("bound"))
-        first = blocks.withColumn("_i", F.row_number().over(by_bound)).filter(F.col("_i") <= 2 * most)  # a block has a row at least
-        first = first.withColumn("_before", F.sum("n").over(by_bound.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("_before", F.lit(0)) < 2 * most)
-        shown = visible.select("evidence_seq")
-        seen = shared.meet(shown, shared.materialise(self.entries(first, "lead"), "seen"), "evidence_seq").withColumn("value", value)
-        last = seen.withColumn("_i", F.row_number().over(Window.partitionBy("lead").orderBy(F.desc("value")))).filter(F.col("_i") <= most).groupBy("lead").agg(F.count("*").alias("_n"), F.min("value").alias("least"))
-        least = shared.settled(last.filter(F.col("_n") == most).select("lead", "least"), "least")
-        reach = F.col("least").isNull() | (F.col("bound") >= F.col("least") - F.abs("least") * 1e-9)
-        hits = shared.materialise(self.entries(shared.meet(blocks, least, "lead", "left").filter(reach), "lead", "is_long"), "reached")
-        if short or self.dead() is None:
-            counts = blocks.groupBy("lead").agg(F.sum("n").cast("long").alias("n"))
-        else:
-            counts = self.entries(blocks, "lead").groupBy("lead").agg(F.count("*").alias("n"))
-        f = F.lit(0) if short else F.col("tf")
-        return self._best(self._ranked(shared.meet(shown, hits, "evidence_seq").withColumn("f", f.cast("long")), shared.settled(counts, "counts")), most)
+    def _best(self, ranked: DataFrame, most: int) -> DataFrame:
+        order = Window.partitionBy("lead").orderBy("rank", F.when(F.col("is_long"), F.col("evidence_seq")).otherwise(-F.col("evidence_seq")))
+        return ranked.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("lead", "evidence_seq", "f", "rank", "pos")
 
 
 def times(text: Column, term: Column) -> Column:

@@ -452,7 +452,7 @@ CHANGED = "changed as (select evidence_seq, case when evidence_seq % 7 = 0 then
 
 @query(f"""with {CHANGED}, g as (select evidence_seq, false as short, lower(text) as t, 3 as k from changed union all select evidence_seq, true, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), unnest([1, 2]) from changed),
     o as (select short, substring(t, i, k) as gram, evidence_seq from (select *, unnest(range(1, length(t) - k + 2)) as i from g))
-    select short, gram, count(distinct evidence_seq) as n, count(*) as tf, cast(sum(evidence_seq) as bigint) as places, (select count(*) from changed) as rows, (select cast(sum(greatest(0, length(text) - 2)) as bigint) from changed) as chars from o group by 1, 2""")
+    select short, gram, count(distinct evidence_seq) as n, count(*) as tf, cast(sum(distinct evidence_seq) as bigint) as places, (select count(*) from changed) as rows, (select cast(sum(greatest(0, length(text) - 2)) as bigint) from changed) as chars from o group by 1, 2""")
 def index_maintained(t):
     e = t.evidence
     seq = F.col("evidence_seq")

@@ -43,11 +43,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """`df` worked out once: as a local table if it has at most LOCAL_ROWS rows, else written to the shared folder."""
-    rows = df.limit(LOCAL_ROWS + 1).collect()
-    if len(rows) > LOCAL_ROWS:
+    rows = df.limit(LOCAL_ROWS + 1).toArrow()
+    if rows.num_rows > LOCAL_ROWS:
         return materialise(df, name)
     out = df.sparkSession.createDataFrame(rows, df.schema)
-    out.local_rows = rows
+    out.local_rows = rows.to_pylist()
     return out
 
 
