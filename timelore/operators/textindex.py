@@ -36,6 +36,8 @@ from timelore.sources import shared
 GRAM = 3
 BLOCK_ROWS, BLOCK_CHARS = 1_024, 1 << 22
 MERGE_PARTS, LEAST_ROWS = 4, 1_024
+#: Bounds are asked for where terms of one gram have more than this many times the rows that are wanted.
+BOUND_FROM = 64
 #: BM25's k1 and b, and the floor of idf.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -141,11 +143,9 @@ class TextIndex:
 
     def _read(self, what: str, schema: str) -> DataFrame:
         """One table of all parts, with the number `no` of its part."""
-        out = self.spark.createDataFrame([], f"{schema}, no int")
-        for p in self.parts:
-            if what != "dead" or p.has_dead:
-                out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/parts/{p.part}/{what}").withColumn("no", F.lit(p.no)))
-        return out
+        parts = [p for p in self.parts if what != "dead" or p.has_dead]
+        tables = [self.spark.read.schema(schema).parquet(f"{self.path}/parts/{p.part}/{what}").withColumn("no", F.lit(p.no)) for p in parts]
+        return reduce(DataFrame.unionByName, tables) if tables else self.spark.createDataFrame([], f"{schema}, no int")
 
     def lists(self) -> DataFrame:
         return self._read("lists", LISTS)
@@ -249,26 +249,35 @@ class TextIndex:
         asked = shared.settled(queries.select("query_id", long_.alias("is_long"), F.when(long_, F.lower("query")).otherwise(ascii_lower(F.col("query"))).alias("term")), "asked")
         terms = shared.settled(asked.groupBy("is_long", "term").agg(F.min("query_id").alias("lead")), "terms")
         wanted = shared.settled(self._wanted(terms), "wanted")
-        blocks = shared.meet(self._of(wanted), wanted, ["gram", "short"])
+        leads, entries, alone = wanted.agg(F.count("*"), F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("phrase"), F.col("known"))), F.lit(0))).first()
+        blocks = shared.meet(self._of(wanted), wanted.drop("known"), ["gram", "short"], most=leads)
         single = blocks.filter("not phrase").withColumn("bound", F.when(F.col("short"), F.col("max_seq").cast("double")).otherwise(self.weight(F.col("max_tf"), F.col("min_d"))))
-        least = shared.settled(self._least(single, visible, most), "least")
-        reach = F.col("least").isNull() | (F.col("bound") >= F.col("least") - F.abs("least") * 1e-9)
-        met = blocks.filter("phrase").unionByName(shared.meet(single, least, "lead", "left").filter(reach).select(*blocks.columns))
-        rows = shared.materialise(self.entries(met, "lead", "is_long", "term", "phrase"), "rows")
-        hits = shared.materialise(self._hits(evidence, rows), "hits")
-        found = shared.settled(self._best(self._ranked(shared.meet(visible.select("evidence_seq"), hits, "evidence_seq"), shared.settled(self._counts(hits, single), "counts")), most), "found")
-        names = shared.settled(asked.join(terms, ["is_long", "term"]).select("lead", "query_id", "is_long"), "names")
-        return shared.meet(shared.meet(evidence.withColumn("chars", F.length("text")), found, "evidence_seq"), names, "lead").drop("lead")
+        reached = single
+        if alone > BOUND_FROM * most * leads:
+            least = shared.settled(self._least(single, visible, most), "least")
+            reached = shared.meet(single, least, "lead", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - F.abs("least") * 1e-9))
+        rows = self.entries(blocks.filter("phrase").unionByName(reached.select(*blocks.columns)), "lead", "is_long", "term", "phrase")
+        hits = shared.materialise(self._hits(evidence, rows, entries), "hits")
+        shown = shared.meet(visible.select("evidence_seq"), hits, "evidence_seq", most=entries)
+        found = self._best(self._ranked(shown, self._counts(hits, single), leads), most)
+        if leads * most > shared.FEW_ROWS:
+            found = shared.materialise(found, "found")
+        rows = shared.meet(evidence.withColumn("chars", F.length("text")), found, "evidence_seq", most=leads * most)
+        names = asked.join(terms, ["is_long", "term"]).select("lead", "query_id", "is_long")
+        few = hasattr(asked, "local_rows")
+        return rows.join(F.broadcast(names) if few else names, "lead").drop("lead")
 
     def _wanted(self, terms: DataFrame) -> DataFrame:
-        """(lead, is_long, term, gram, short, phrase): the gram whose lists answer each term, the rarest of a phrase's. No row for phrases with an unknown gram."""
+        """(lead, is_long, term, gram, short, phrase, known): the gram whose lists answer each term, the rarest of a phrase's, and how many
+        rows hold it. No row for terms with an unknown gram."""
         spots = F.sequence(F.lit(1), F.length("term") - (GRAM - 1))
-        each = F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("term"), i, F.lit(GRAM))))
-        grams = shared.settled(terms.filter(F.length("term") > GRAM).select("lead", "term", F.size(each).alias("needed"), F.explode(each).alias("gram")), "grams")
-        known = shared.meet(self.grams().filter("not short").select("gram", "n"), grams, "gram").groupBy("lead", "term", "needed")
-        rarest = known.agg(F.count("*").alias("_k"), F.min_by("gram", F.struct("n", "gram")).alias("gram")).filter("_k = needed")
-        alone = terms.filter(F.length("term") <= GRAM).select("lead", "is_long", "term", F.col("term").alias("gram"), (~F.col("is_long")).alias("short"), F.lit(False).alias("phrase"))
-        return rarest.select("lead", F.lit(True).alias("is_long"), "term", "gram", F.lit(False).alias("short"), F.lit(True).alias("phrase")).unionByName(alone)
+        phrase = F.length("term") > GRAM
+        each = F.when(phrase, F.array_distinct(F.transform(spots, lambda i: F.substring(F.col("term"), i, F.lit(GRAM))))).otherwise(F.array("term"))
+        grams = terms.select("lead", "is_long", "term", (~F.col("is_long")).alias("short"), phrase.alias("phrase"), F.size(each).alias("needed"), F.explode(each).alias("gram"))
+        grams = F.broadcast(grams) if hasattr(terms, "local_rows") else grams
+        keys = ["lead", "is_long", "term", "short", "phrase"]
+        known = self.grams().join(grams, ["gram", "short"]).groupBy(*keys, "needed").agg(F.count("*").alias("_k"), F.min(F.struct("n", "gram")).alias("rarest"))
+        return known.filter("_k = needed").select(*keys, F.col("rarest.gram").alias("gram"), F.col("rarest.n").alias("known"))
 
     def _of(self, wanted: DataFrame) -> DataFrame:
         """Lists of the wanted grams: few of them are asked of the files by name, which skips what lies between."""
@@ -286,13 +295,17 @@ class TextIndex:
         last = seen.withColumn("_i", F.row_number().over(Window.partitionBy("lead").orderBy(F.desc("value")))).filter(F.col("_i") <= most).groupBy("lead").agg(F.count("*").alias("_n"), F.min("value").alias("least"))
         return last.filter(F.col("_n") == most).select("lead", "least")
 
-    def _hits(self, evidence: DataFrame, rows: DataFrame) -> DataFrame:
+    def _hits(self, evidence: DataFrame, rows: DataFrame, bound_on_rows: int) -> DataFrame:
         """(lead, is_long, phrase, evidence_seq, f, d): entries of one gram as they are, those of phrases if their text holds the phrase."""
         columns = ["lead", "is_long", "phrase", "evidence_seq", "f", "d"]
         alone = rows.filter("not phrase").withColumn("f", F.when(F.col("is_long"), F.col("tf")).otherwise(0).cast("long")).select(*columns)
-        texts = evidence.select("evidence_seq", F.lower("text").alias("low"))
-        held = shared.meet(texts, rows.filter("phrase"), "evidence_seq").filter(F.col("low").contains(F.col("term")))
-        return alone.unionByName(held.withColumn("f", times(F.col("low"), F.col("term"))).select(*columns))
+        asked = rows.filter("phrase").groupBy("evidence_seq").agg(F.collect_list("lead").alias("leads"), F.collect_list("term").alias("terms"), F.first("d").alias("d"))
+        if bound_on_rows > shared.FEW_ROWS:
+            asked = shared.materialise(asked, "asked_rows")
+        texts = evidence.select("evidence_seq", F.lower("text").cast("binary").alias("low"))
+        held = shared.meet(texts, asked, "evidence_seq", most=bound_on_rows).select("evidence_seq", "low", "leads", F.transform("terms", lambda x: x.cast("binary")).alias("terms"), "d")
+        counted = held.mapInArrow(held_phrases, "lead long, evidence_seq long, f long, d int")
+        return alone.unionByName(counted.select("lead", F.lit(True).alias("is_long"), F.lit(True).alias("phrase"), "evidence_seq", "f", "d"))
 
     def _counts(self, hits: DataFrame, single: DataFrame) -> DataFrame:
         """(lead, n): the rows that hold each term."""
@@ -300,26 +313,38 @@ class TextIndex:
         alone = self.entries(single, "lead").groupBy("lead").agg(n) if self.dead() is not None else single.groupBy("lead").agg(F.sum("n").alias("n"))
         return hits.filter("phrase").groupBy("lead").agg(n).unionByName(alone)
 
-    def _ranked(self, hits: DataFrame, counts: DataFrame) -> DataFrame:
+    def _ranked(self, hits: DataFrame, counts: DataFrame, leads: int) -> DataFrame:
         """Hits with rank, from the number n of rows of each lead."""
         raw = F.log((F.lit(self.totals[0]) - F.col("n") + 0.5) / (F.col("n") + 0.5))
         idf = F.when(raw <= 0, IDF_FLOOR).otherwise(raw)
         f, d = F.col("f"), F.col("d")
         score = -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * d / F.lit(self.mean_length)))
-        return shared.meet(hits, counts, "lead").withColumn("rank", F.when(F.col("is_long"), score).otherwise(0.0))
+        return shared.meet(hits, counts, "lead", most=leads).withColumn("rank", F.when(F.col("is_long"), score).otherwise(0.0))
 
     def _best(self, ranked: DataFrame, most: int) -> DataFrame:
         order = Window.partitionBy("lead").orderBy("rank", F.when(F.col("is_long"), F.col("evidence_seq")).otherwise(-F.col("evidence_seq")))
         return ranked.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).select("lead", "evidence_seq", "f", "rank", "pos")
 
 
-def times(text: Column, term: Column) -> Column:
-    """How often the term stands in the text, overlaps included: by lengths, and by a regular expression only for terms that can overlap themselves."""
-    inner = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(term) - 1))
-    overlaps = (F.length(term) > 1) & F.exists(inner, lambda i: F.substring(term, F.lit(1), i) == F.substring(term, -i, i))
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    apart = ((F.length(text) - F.length(F.replace(text, term))) / F.length(term)).cast("long")
-    return F.when(overlaps, F.regexp_count(text, quoted)).otherwise(apart).cast("long")
+def times(text: bytes, term: bytes) -> int:
+    """How often the term stands in the text, overlaps included."""
+    n = text.count(term)
+    if n and any(term.startswith(term[i:]) for i in range(1, len(term))):  # it can overlap itself
+        n, at = 0, text.find(term)
+        while at >= 0:
+            n, at = n + 1, text.find(term, at + 1)
+    return n
+
+
+def held_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (evidence_seq, low, leads, terms, d) those that hold a term: (lead, evidence_seq, f, d)."""
+    for batch in batches:
+        out = []
+        for seq, low, leads, terms, d in zip(*batch.columns, strict=True):
+            text, seq, d = low.as_py(), seq.as_py(), d.as_py()
+            out += [(lead, seq, f, d) for lead, term in zip(leads.as_py(), terms.as_py(), strict=True) if (f := times(text, term))]
+        columns = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["lead", "evidence_seq", "f", "d"])
 
 
 def create(rows: DataFrame, path: str) -> TextIndex:

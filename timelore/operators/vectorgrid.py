@@ -13,8 +13,6 @@ never what is found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,45 +40,21 @@ def _rows(values: np.ndarray, starts: np.ndarray, which: np.ndarray, n: int) ->
     return values[starts[which][:, None] + np.arange(n)]
 
 
-def nearest_pivots(vectors: DataFrame, sample: dict[int, np.ndarray]) -> DataFrame:
-    """(id, vector) with `pivot`, the place of the nearest among the first PIVOTS sample vectors of that length, and `size`."""
-    shared = vectors.sparkSession.sparkContext.broadcast({n: s[:PIVOTS] for n, s in sample.items()})
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, starts = _matrix(batch.column(1))
-            sizes = np.diff(starts)
-            pivot = np.full(len(sizes), -1, np.int32)
-            for n in np.unique(sizes).tolist():
-                if n in shared.value:
-                    here, p = np.flatnonzero(sizes == n), shared.value[n]
-                    for at in range(0, len(here), 4_096):
-                        some = here[at : at + 4_096]
-                        pivot[some] = ((p * p).sum(axis=1) - 2 * _rows(values, starts, some, n) @ p.T).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(sizes.astype(np.int32))], ["id", "vector", "pivot", "size"])
-
-    return vectors.mapInArrow(assign, "id long, vector array<double>, pivot int, size int")
-
-
-def with_floor(queries: DataFrame, sample: dict[int, np.ndarray], most: int) -> DataFrame:
-    """Queries with `floor`: their `most`-th best score in the sample, which the result can't fall below."""
-    shared = queries.sparkSession.sparkContext.broadcast(sample)  # SAMPLE vectors
+def nearest_pivots(v: np.ndarray, sample: np.ndarray | None) -> np.ndarray:
+    """The place of the nearest among the first PIVOTS sample vectors."""
+    out = np.zeros(len(v), np.int32)
+    if sample is not None:
+        p = sample[:PIVOTS]
+        for at in range(0, len(v), 4_096):
+            out[at : at + 4_096] = ((p * p).sum(axis=1) - 2 * v[at : at + 4_096] @ p.T).argmin(axis=1)
+    return out
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, starts = _matrix(batch.column(1))
-            sizes = np.diff(starts)
-            floor = np.full(len(sizes), -np.inf)
-            for n in np.unique(sizes).tolist():
-                if len(s := shared.value.get(n, ())) >= most:
-                    here = np.flatnonzero(sizes == n)
-                    for at in range(0, len(here), BLOCK_QUERIES):
-                        some = here[at : at + BLOCK_QUERIES]
-                        score = np.clip(_rows(values, starts, some, n) @ s.T, -1.0, 1.0)
-                        floor[some] = np.partition(score, -most, axis=1)[:, -most] - SLACK
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], [*batch.schema.names, "floor"])
 
-    return queries.mapInArrow(add, "id long, vector array<double>, pivot int, size int, floor double")
+def floors(q: np.ndarray, sample: np.ndarray | None, most: int) -> np.ndarray:
+    """The `most`-th best score of each query in the sample, which the result can't fall below."""
+    if sample is None or len(sample) < most:
+        return np.full(len(q), -np.inf)
+    return np.concatenate([np.partition(np.clip(q[at : at + BLOCK_QUERIES] @ sample.T, -1.0, 1.0), -most, axis=1)[:, -most] for at in range(0, len(q), BLOCK_QUERIES)]) - SLACK
 
 
 def _blocks(names: np.ndarray, pivot: np.ndarray, v: np.ndarray, most_rows: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
@@ -113,21 +87,23 @@ class Best:
             self.floor = np.maximum(self.floor, self.scores[:, -1])
 
 
-def met(queries: pa.Table, vectors: pa.Table, most: int) -> pa.Table:
+def met(queries: pa.Table, vectors: pa.Table, sample: dict[int, np.ndarray], most: int) -> pa.Table:
     """FOUND of one cell."""
     out: list[tuple[np.ndarray, ...]] = []
     q_values, q_starts = _matrix(queries["vector"])
     v_values, v_starts = _matrix(vectors["vector"])
     q_size, v_size = np.diff(q_starts), np.diff(v_starts)
-    q_names, v_names, floor = queries["id"].to_numpy(), vectors["id"].to_numpy(), queries["floor"].to_numpy()
+    q_names, v_names = queries["id"].to_numpy(), vectors["id"].to_numpy()
     for n in np.intersect1d(q_size, v_size).tolist():
         qs, vs = np.flatnonzero(q_size == n), np.flatnonzero(v_size == n)
-        blocks = _blocks(v_names[vs], vectors["pivot"].to_numpy()[vs], _rows(v_values, v_starts, vs, n), BLOCK_VECTORS)
+        all_v, all_q, near = _rows(v_values, v_starts, vs, n), _rows(q_values, q_starts, qs, n), sample.get(n)
+        floor = floors(all_q, near, most)
+        blocks = _blocks(v_names[vs], nearest_pivots(all_v, near), all_v, BLOCK_VECTORS)
         centres, radii = np.array([b[2] for b in blocks]), np.array([b[3] for b in blocks])
-        for own, q, _, _ in _blocks(q_names[qs], queries["pivot"].to_numpy()[qs], _rows(q_values, q_starts, qs, n), BLOCK_QUERIES):
+        for own, q, _, _ in _blocks(q_names[qs], nearest_pivots(all_q, near), all_q, BLOCK_QUERIES):
             length = np.sqrt((q * q).sum(axis=1))
             reach = q @ centres.T + length[:, None] * radii + SLACK * (1 + length[:, None])
-            best, tried, skipped = Best(floor[qs[own]], most), 0, 0
+            best, tried, skipped = Best(floor[own], most), 0, 0
             for at in np.argsort(-reach.max(axis=0), kind="stable").tolist():
                 open_ = np.minimum(reach[:, at], 1.0) >= best.floor - SLACK
                 if not open_.any():
@@ -137,15 +113,14 @@ def met(queries: pa.Table, vectors: pa.Table, most: int) -> pa.Table:
                 rows, v, _, _ = blocks[at]
                 score = np.clip(q @ v.T, -1.0, 1.0)
                 if score.shape[1] > most:
-                    near = np.argpartition(score, -most, axis=1)
-                    least = np.take_along_axis(score, near[:, [-most]], 1) - SLACK
+                    least = np.partition(score, -most, axis=1)[:, [-most]] - SLACK
                     wide = int((score >= least).sum(axis=1).max())  # with all that tie for the last place
-                    near = np.argpartition(score, -wide, axis=1)[:, -wide:] if wide < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
                 else:
-                    near = np.broadcast_to(np.arange(score.shape[1]), score.shape)
-                step = max(1, EXACT_NUMBERS // (near.shape[1] * n))
-                exact = np.concatenate([(v[near[i : i + step]] * q[i : i + step, None, :]).sum(axis=2) for i in range(0, len(q), step)])
-                best.add(v_names[vs[rows]][near], np.clip(exact, -1.0, 1.0))
+                    wide = score.shape[1]
+                top = np.argpartition(score, -wide, axis=1)[:, -wide:] if wide < score.shape[1] else np.broadcast_to(np.arange(wide), score.shape)
+                step = max(1, EXACT_NUMBERS // (wide * n))
+                exact = np.concatenate([(v[top[i : i + step]] * q[i : i + step, None, :]).sum(axis=2) for i in range(0, len(q), step)])
+                best.add(v_names[vs[rows]][top], np.clip(exact, -1.0, 1.0))
             k = best.scores.shape[1]
             names = np.repeat(q_names[qs[own]], k)
             note = np.zeros((2, len(names)), np.int64)
@@ -167,15 +142,16 @@ def grid(vectors: DataFrame, queries: DataFrame, most: int, cell_numbers: int =
     for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
         by_size.setdefault(len(r.vector), []).append(r.vector)
     sample = {n: np.array(v) for n, v in by_size.items()}
-    count = lambda t: t.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
-    (n, numbers), (_, asked_numbers) = count(rows), count(asked)
-    down = max(1, -(-numbers // cell_numbers), min(spark.sparkContext.defaultParallelism, n // LEAST_CELL))
-    across = max(1, -(-asked_numbers // query_numbers))
+    count = lambda t, name: t.agg(F.count("*").alias(name), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias(f"{name}_numbers"))
+    n = count(rows, "v").crossJoin(count(asked, "q")).first()  # one row each
+    down = max(1, -(-n.v_numbers // cell_numbers), min(spark.sparkContext.defaultParallelism, n.v // LEAST_CELL))
+    across = max(1, -(-n.q_numbers // query_numbers))
     deal = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts))
-    at = lambda mine, others, by: F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda o: mine * F.lit(across) + o if by == "row" else o * F.lit(across) + mine)).alias("cell")
-    left = with_floor(nearest_pivots(asked, sample), sample, most).select("*", at(deal(across, 1), down, "column"))
-    right = nearest_pivots(rows, sample).select("*", at(deal(down, 2), across, "row"))
-    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(lambda a, b: met(a, b, most), FOUND)
+    cells = lambda others, place: F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), place)).alias("cell")
+    left = asked.select("*", cells(down, lambda row: row * F.lit(across) + deal(across, 1)))
+    right = rows.select("*", cells(across, lambda column: deal(down, 2) * F.lit(across) + column))
+    shared = spark.sparkContext.broadcast(sample)  # SAMPLE vectors
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(lambda a, b: met(a, b, shared.value, most), FOUND)
 
 
 def vector_rank(vectors: DataFrame, query_vectors: DataFrame, most: int, **cells: int) -> DataFrame:

@@ -51,13 +51,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def meet(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+def meet(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int | None = None) -> DataFrame:
     """`large` joined with `small`, a written or settled table of a few numbers or short texts in each row.
 
-    It goes to every executor if it is counted to have at most FEW_ROWS rows; else both sides are sorted and
-    merged, in which Spark splits partitions that a frequent key makes large.
+    It goes to every executor if it is counted, or known by `most`, to have at most FEW_ROWS rows; else both sides are
+    sorted and merged, in which Spark splits partitions that a frequent key makes large.
     """
-    few = hasattr(small, "local_rows") or small.count() <= FEW_ROWS
+    few = hasattr(small, "local_rows") or (small.count() if most is None else most) <= FEW_ROWS
     return large.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
