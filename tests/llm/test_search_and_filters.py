@@ -321,6 +321,54 @@ def test_bad_branch_deep_in_the_path(spark):
     assert got[900].template == "/" + "/".join("*" * 30) and got[901].template.count("/") == 3
 
 
+def merged_plainly(counted: dict[tuple, tuple[int, int]]) -> dict[tuple, tuple]:
+    """Templates of (segments -> (labelled, good)) of one host, level by level."""
+    t = {s: () for s in counted}
+    for level in range(max(map(len, counted))):
+        groups: dict[tuple, dict[str, list[tuple]]] = {}
+        for s in counted:
+            if len(t[s]) == level and len(s) >= level:
+                groups.setdefault(t[s], {}).setdefault(s[level] if len(s) > level else "", []).append(s)
+        for kids in groups.values():
+            every = [s for k in kids.values() for s in k]
+            all_n, all_good = (sum(counted[s][i] for s in every) for i in (0, 1))
+            for child, own in kids.items():
+                n, good = (sum(counted[s][i] for s in own) for i in (0, 1))
+                rest, z = all_n - n, 0.0
+                if n >= 5 and rest >= 5 and 0 < all_good < all_n:
+                    z = abs(good / n - (all_good - good) / rest) / (all_good / all_n * (1 - all_good / all_n) * (1 / n + 1 / rest)) ** 0.5
+                for s in own if child else []:
+                    t[s] = (*t[s], child if z >= url_tree.Z or (rest == 0 and n >= 5) else "*")
+    return t
+
+
+def test_chains_and_branchings_equal_a_plain_merge(spark):
+    rng = random.Random(9)
+    paths = set()
+    while len(paths) < 90:
+        lead = rng.choice([("a",) * 9, ("a",) * 4 + ("b",) * 3, ("c", "d"), ()])
+        paths.add(lead + tuple(rng.choice("xy") for _ in range(rng.randint(0, 3))) + ("e",) * rng.choice([0, 0, 6]))
+    pages = [(i, "http://h.net/" + "/".join(s)) for i, s in enumerate(p for p in sorted(paths) for _ in range(rng.choice([1, 3, 9])))]
+    labels = [(i, int(rng.random() < (0.9 if "/x" in u else 0.3))) for i, u in pages if rng.random() < 0.7]
+    rows = url_tree.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")).collect()
+    known, counted = dict(labels), {}
+    for i, u in pages:
+        s = tuple(x for x in u.removeprefix("http://h.net").split("/") if x)
+        n, good = counted.get(s, (0, 0))
+        counted[s] = (n + (i in known), good + known.get(i, 0))
+    want = merged_plainly(counted)
+    assert all(r.template == "/" + "/".join(want[tuple(x for x in r.path.split("/") if x)]) for r in rows)
+
+
+def test_a_very_deep_path(spark):
+    """Two thousand segments that twenty pages share are one step, not two thousand."""
+    deep = "http://h.net/" + "/".join(f"s{chr(97 + i % 26)}" for i in range(2_000))
+    pages = [(i, f"{deep}/{'ab'[i % 2]}/{chr(97 + i)}") for i in range(20)] + [(99, "http://h.net/other")]
+    rows = url_tree.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "page_id long, good int")).collect()
+    assert len(rows) == 21 and {r.template.count("/") for r in rows if r.page_id < 99} == {2_002}
+    assert {r.template.split("/")[1:4] == ["sa", "sb", "sc"] for r in rows if r.page_id < 99} == {True}
+
+
 # ---------------------------------------------------------------- pipeline
 
 

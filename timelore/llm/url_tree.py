@@ -4,7 +4,8 @@ Every url becomes (host, path segments). A segment that looks like an id (digits
 slug, or a file name made of digits) is a wildcard at once. Then, level by level, the children of a node
 whose labelled share of good pages doesn't differ from that of their siblings together are merged into one
 wildcard branch (two-proportion z test; too few labels means no difference), down to the deepest path there is.
-Each level is one small written step over the paths that reach it. A page's template is its path
+Levels at which all paths of a node go on alike are settled together, so each branching is one small written step over
+the paths that reach it. A page's template is its path
 in the merged tree; the template is rejected if its smoothed purity, (good + a * prior) / (n + a) with the
 parent's purity as the prior, falls below a threshold. Main path: DataFrame functions only; counts are
 pre-aggregated to distinct (host, template) before any tree step, so a hot host costs no hot task; pages get
@@ -63,17 +64,30 @@ def segments(path: Column) -> Column:
     return F.transform(found, lambda x: F.when(x.rlike(r"^\d+(\.\w+)?$|^[0-9a-fA-F-]{8,}$|\d.*\d.*\d"), "*").otherwise(x))
 
 
-def merge_level(nodes: DataFrame, level: int) -> DataFrame:
-    """`nodes` (host, s, t, n, good), t with the merged segments above `level`, gets the next one; `done` where t is whole.
+def common_prefix(a: Column, b: Column) -> Column:
+    """The elements that two arrays begin with alike."""
+    n = F.least(F.size(a), F.size(b))
+    alike = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(a, i).eqNullSafe(F.get(b, i)))
+    first = F.array_position(F.when(n > 0, alike).otherwise(F.array(F.lit(False))), F.lit(False)).cast("int")
+    return F.slice(a, F.lit(1), F.when(first == 0, n).otherwise(first - 1))
 
-    Segments with nothing of their own become `*`. A path that ends above the level counts as a child of its
-    parent. Where a parent has a single path left, the rest of it has no siblings and is settled at once. Only
-    the aggregate of children meets over their parent.
+
+def merge_step(nodes: DataFrame) -> DataFrame:
+    """`nodes` (host, s, t, n, good), t with the merged first segments, gets the next branching; `done` where t is whole.
+
+    All paths with one (host, t) move on together. What they all begin with has no siblings and is settled at once, as is the
+    rest of a path that is alone; then the children at the first difference are merged, those with nothing of
+    their own into `*`. A path that ends there counts as a child of its parent. Only the aggregate of children
+    meets over their parent.
     """
-    nodes = nodes.withColumn("child", F.coalesce(F.get("s", F.lit(level - 1)), F.lit("")))
-    kids = nodes.groupBy("host", "t", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("paths"))
-    whole = kids.groupBy("host", "t").agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("paths").alias("all_paths"))
-    kids = kids.join(whole, ["host", "t"])
+    at = F.size("t")
+    nodes = nodes.withColumn("rest", F.slice("s", at + 1, F.greatest(F.lit(0), F.size("s") - at)))
+    least, most = F.min("rest"), F.max("rest")  # what these share, all between them in order share too
+    whole = nodes.groupBy("host", "t").agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.count("*").alias("all_paths"), common_prefix(least, most).alias("prefix"))
+    named = lambda n, parts: F.when(n >= 5, parts).otherwise(F.transform(parts, lambda x: F.lit("*")))
+    single = F.col("all_paths") == 1
+    nodes = nodes.join(whole, ["host", "t"]).withColumns({"child": F.coalesce(F.get("rest", F.size("prefix")), F.lit("")), "t": F.concat("t", named(F.col("all_n"), F.when(single, F.col("rest")).otherwise(F.col("prefix"))))})
+    kids = nodes.filter(~single).groupBy("host", "t", "child").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.first("all_n").alias("all_n"), F.first("all_good").alias("all_good"))
     others_n, others_good = F.col("all_n") - F.col("n"), F.col("all_good") - F.col("good")
     share = F.try_divide  # Spark may compute these before the conditions on n, so a division by zero is null
     pooled = share(F.col("all_good"), F.col("all_n"))
@@ -82,25 +96,20 @@ def merge_level(nodes: DataFrame, level: int) -> DataFrame:
     z = F.when((F.col("n") >= 5) & (others_n >= 5) & (spread > 0), share(gap, spread)).otherwise(0.0)
     alone = others_n == 0
     new = F.when((z >= Z) | (alone & (F.col("n") >= 5)), F.col("child")).otherwise("*")
-    mapping = kids.select("host", "t", "child", new.alias("new"), (F.col("all_paths") == 1).alias("single"))
-    rest = F.slice("s", F.lit(level), F.greatest(F.lit(0), F.size("s") - (level - 1)))
-    own = F.when(F.col("n") >= 5, rest).otherwise(F.transform(rest, lambda x: F.lit("*")))
-    ended = F.col("child") == ""
-    t = F.when(ended, F.col("t")).when(F.col("single"), F.concat("t", own)).otherwise(F.concat("t", F.array("new")))
-    return nodes.join(mapping, ["host", "t", "child"]).select("host", "s", t.alias("t"), "n", "good", (ended | F.col("single")).alias("done"))
+    mapping = kids.select("host", "t", "child", new.alias("new"))
+    ended = single | (F.col("child") == "")
+    out = nodes.join(mapping, ["host", "t", "child"], "left")
+    return out.select("host", "s", F.when(ended, F.col("t")).otherwise(F.concat("t", F.array("new"))).alias("t"), "n", "good", ended.alias("done"))
 
 
 def template_tree(typed: DataFrame) -> DataFrame:
     """`typed` (host, s, n, good), a row for each (host, s), with the merged template t, its purity and counts."""
-    depth = typed.agg(F.max(F.size("s"))).first()[0] or 0  # one row
     active = typed.withColumn("t", F.slice("s", 1, 0))
     whole = []
-    for level in range(1, depth + 1):
-        step = materialise(merge_level(active, level), "level")
+    while not active.isEmpty():  # a round for each branching of the deepest path
+        step = materialise(merge_step(active), "level")
         whole.append(step.filter("done").drop("done"))
         active = step.filter("not done").drop("done")
-        if active.isEmpty():
-            break
     nodes = active
     for part in whole:
         nodes = nodes.unionByName(part)
