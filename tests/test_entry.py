@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import subprocess
 import sys
 
@@ -13,6 +14,7 @@ import __spark_entry__
 from timelore.operators import timeline
 from timelore.plans.queries import ORACLE_SQL, QUERIES
 from timelore.streaming import streams
+from timelore.streaming.run import drained
 
 SF = "/root/testdata/sf0.001"
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -126,6 +128,45 @@ def test_ocr_sessions_dedup_and_visible(spark, tmp_path):
     assert [r.asset_id for r in run_stream(spark, [(at(0), 1), (at(1), 2)], "ts timestamp, asset_id long", lambda s: streams.visible_evidence(s, assets), tmp_path / "v")] == [1]
 
 
+def test_snapshots_count_every_epoch_once(spark, tmp_path):
+    state = spark.createDataFrame([(1, "ocr", 0, "old", 0, 1, "x")], "segment_id long, evidence_type string, n long, text string, start_ms long, end_ms long, evidence_id string")
+    current = spark.createDataFrame([(1, "f"), (2, "g")], "segment_id long, fingerprint string")
+    schema = "segment_id long, evidence_type string, n long, text string, start_ms long, end_ms long, fingerprint string"
+    first = spark.createDataFrame([(1, "ocr", 0, "new", 0, 5, "f"), (1, "ocr", 1, "empty", 5, 5, "f"), (2, "ocr", 0, "stale", 0, 5, "f")], schema)
+    second = spark.createDataFrame([(2, "ocr", 0, "two", 0, 5, "g")], schema)
+    sink = streams.EvidenceSnapshots(f"file://{tmp_path}/s", state, current)
+    sink(first, 0)
+    sink(second, 0)  # the epoch is known: nothing changes
+    texts = lambda d: sorted((r.text, r.evidence_id) for r in d.collect())
+    assert texts(sink.snapshot()) == [("new", "1:ocr:0")] and [r.text for r in sink.rejects(0).collect()] == ["stale"]
+    second.write.parquet(f"file://{tmp_path}/s/state/1")  # a write of epoch 1 that failed before its manifest
+    again = streams.EvidenceSnapshots(f"file://{tmp_path}/s", state, current)
+    assert again.epochs() == [-1, 0] and texts(again.snapshot()) == [("new", "1:ocr:0")]
+    again(second, 1)
+    again(second, 1)
+    assert texts(again.snapshot()) == [("new", "1:ocr:0"), ("two", "2:ocr:0")] and texts(again.snapshot(0)) == [("new", "1:ocr:0")]
+
+
+def test_job_states_over_small_arrow_batches(spark, tmp_path):
+    """Events of one job are taken in the order of time, however they come in."""
+    rng, status = random.Random(2), ["running", "succeeded"] * 20
+    events = [(at(i * 1_000), i, "j", i // 2, s) for i, s in enumerate(status)]
+    rng.shuffle(events)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = run_stream(spark, events, "ts timestamp, event_id long, job_id string, attempt int, new_status string", streams.job_states, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(r.event_id for r in got if r.accepted) == list(range(40))
+
+
+def test_drained_stream_replaces_a_replayed_epoch(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(10)], "n long").write.parquet(f"{tmp_path}/in")
+    out = drained(spark.readStream.schema("n long").parquet(f"{tmp_path}/in"), "append")
+    assert sorted(r.n for r in out.collect()) == list(range(10)) and out.columns == ["n"]
+
+
 def test_evidence_sink_replaces_segments(spark):
     state = [spark.createDataFrame([(1, "ocr", 0, "old", 0, 1, "x")], "segment_id long, evidence_type string, n long, text string, start_ms long, end_ms long, evidence_id string")]
     rejected = []

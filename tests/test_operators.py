@@ -11,7 +11,7 @@ from timelore.functions import columns as C
 from timelore.operators import changes, lineage, library, search, timeline
 from timelore.plans.queries import QUERIES
 from timelore.plans.views import view
-from timelore.sources import ingest
+from timelore.sources import ingest, mediafiles
 
 
 def ends(duration, *boundaries):
@@ -286,6 +286,49 @@ def test_vectors_and_fingerprints(spark, tmp_path):
     assert one.select(ingest.fingerprint(F.col("s"), F.col("m"), F.col("c")).alias("f")).first().f == want
 
 
+def test_files_of_a_library(spark, tmp_path, monkeypatch):
+    """Links, packages, hidden and other files; a file of three gigabytes of which 128 KiB are read."""
+    import hashlib
+    import os
+
+    root = tmp_path / "lib"
+    for folder in ("a/b/c", "Photos.photoslibrary/inner", ".hidden", "z.app"):
+        (root / folder).mkdir(parents=True)
+    (root / "a/b/c/deep.MOV").write_bytes(b"q" * 70_000)
+    (root / "a/still.heic").write_bytes(b"")
+    (root / "a/notes.txt").write_text("no")
+    (root / "Photos.photoslibrary/inner/x.jpg").write_text("inside a package")
+    (root / ".hidden/y.mp4").write_text("hidden")
+    os.symlink(root / "a/still.heic", root / "link.jpg")
+    os.symlink(root / "a", root / "folder")
+    with open(root / "big.mp4", "wb") as f:
+        f.write(b"first")
+        f.seek(3 << 30)
+        f.write(b"last")
+    os.utime(root / "big.mp4", (1_700_000_000, 1_700_000_000.25))
+    rows = {r.relative_path: r for r in ingest.scanned_files(spark, str(root)).collect()}
+    assert {k: (r.media_kind, r.skipped, r.error) for k, r in rows.items()} == {
+        "a/b/c/deep.MOV": ("video", None, None), "a/still.heic": ("image", None, None), "a/notes.txt": (None, "other", None),
+        "link.jpg": (None, "link", None), "folder": (None, "link", None), "big.mp4": ("video", None, None),
+    }
+    big, size = rows["big.mp4"], (3 << 30) + 4
+    content = b"first" + bytes(65_531) + bytes(65_532) + b"last"
+    assert (big.file_size, big.modified) == (size, 1_700_000_000.25)
+    assert big.fingerprint == hashlib.sha256(f"{size}|1700000000.25".encode() + content).hexdigest()
+    assert big.content_fingerprint == hashlib.sha256(f"{size}|".encode() + content).hexdigest()
+    assert big.metadata_fingerprint == "metadata-" + hashlib.sha256(f"{size}|1700000000.25".encode()).hexdigest()
+    assert tuple(ingest.inventory_counts(spark, str(root)).first()) == (3, 3, 0)
+    with pytest.raises(Exception, match="not a folder"):
+        ingest.media_inventory(spark, str(root / "nowhere")).count()
+
+    scan = os.scandir
+    monkeypatch.setattr(mediafiles.os, "scandir", lambda p: scan(p) if not str(p).endswith("/b") else (_ for _ in ()).throw(PermissionError(13, "Permission denied")))
+    monkeypatch.setattr(mediafiles, "ENOUGH_FOLDERS", 2)
+    reader = mediafiles.MediaReader(str(root))
+    seen = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[-1] for r in seen if r[-1]] == [f"{root}/a/b: Permission denied"] and len(seen) == 6
+
+
 def test_events_need_the_current_attempt(spark):
     jobs = spark.createDataFrame([("a", "running", 2, 1.0), ("b", "running", 2, 1.0), ("c", "pending", 0, 1.0)], "job_id string, status string, attempt int, updated_at double")
     events = spark.createDataFrame([(1, "a", 2, "failed", "x" * 3_000, 5.0), (2, "b", 1, "failed", "", 5.0), (3, "c", 0, "failed", "", 5.0), (4, "a", 2, "succeeded", "", 6.0)], "event_id long, job_id string, attempt int, new_status string, message string, at double")

@@ -17,7 +17,7 @@ from timelore.plans.views import view, with_views
 from timelore.sources import ingest, shared
 from timelore.sources.shipping import ship_package
 from timelore.streaming import streams
-from timelore.streaming.run import drained
+from timelore.streaming.run import drained, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -564,6 +564,33 @@ def job_dashboard(t):
     return details.digest(details.job_dashboard(t.media_asset, legacy(t), jobs, runs(t), t.description.filter("prompt_version <> 'p1'")))
 
 
+@query("""with f as (select page_id, encode(coalesce(html, '')) as b, ['mp4', 'MOV', 'jpg', 'txt'][page_id % 4 + 1] as e from (select page_id, html from pages qualify row_number() over (partition by page_id order by html) = 1))
+    select 'f' || page_id % 7 || '/' || page_id || '.' || e as relative_path, case when e <> 'txt' then octet_length(b) end as file_size, case e when 'jpg' then 'image' when 'txt' then null else 'video' end as media_kind,
+    case when e <> 'txt' then sha256(encode(octet_length(b) || '|') || b[1:65536] || case when octet_length(b) > 65536 then b[octet_length(b) - 65535:] else ''::blob end) end as content_fingerprint, case when e = 'txt' then 'other' end as skipped, cast(null as string) as error from f""")
+def media_inventory(t):
+    """The pages, written as files by the tasks, are what the source lists and reads."""
+    i = F.col("page_id")
+    name = F.concat(F.lit("f"), (i % 7).cast("string"), F.lit("/"), i.cast("string"), F.lit("."), F.get(F.array(*map(F.lit, ("mp4", "MOV", "jpg", "txt"))), (i % 4).cast("int")))
+    pages = t.raw("pages").groupBy("page_id").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
+    root = shared.fresh_path(t.spark, "files").removeprefix("file://")
+    pages.select(name.alias("name"), F.col("html").cast("binary").alias("content")).mapInArrow(lambda b: _write_files(root, b), "n long").count()
+    return ingest.scanned_files(t.spark, root).select("relative_path", "file_size", "media_kind", "content_fingerprint", "skipped", "error")
+
+
+def _write_files(root, batches):
+    import os
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for name, content in zip(*batch.columns):
+            path = f"{root}/{name.as_py()}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(content.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+
 # ---------------------------------------------------------------- evidence and text
 
 
@@ -1111,6 +1138,21 @@ def stream_visible_evidence(t):
     return drained(streams.visible_evidence(seen, t.media_asset), "append").select("event_id", "asset_id")
 
 
+@query("""with b as (select user_id as segment_id, event_type as evidence_type, event_id as n, cast(event_id % 100 as bigint) as start_ms, cast(event_id % 100 + event_id % 5 as bigint) as end_ms from events where user_id % 4 <> 1)
+    select segment_id, evidence_type, n, start_ms, end_ms from b where end_ms > start_ms union all select segment_id, evidence_type, evidence_seq, start_ms, end_ms from evidence where segment_id not in (select segment_id from b)""")
+def stream_evidence(t):
+    i = F.col("event_id")
+    seen = event_stream(t).select(
+        F.col("user_id").alias("segment_id"), F.col("event_type").alias("evidence_type"), i.alias("n"), F.col("event_type").alias("text"), (i % 100).cast("long").alias("start_ms"), (i % 100 + i % 5).cast("long").alias("end_ms"),
+        F.when(F.col("user_id") % 4 == 1, "old").otherwise("now").alias("fingerprint"),
+    )
+    state = t.evidence.select("segment_id", "evidence_type", F.col("evidence_seq").alias("n"), "text", "start_ms", "end_ms", F.lit("").alias("evidence_id"))
+    users = t.raw("events").select(F.col("user_id").alias("segment_id")).distinct().withColumn("fingerprint", F.lit("now"))
+    sink = streams.EvidenceSnapshots(shared.fresh_path(t.spark, "snapshots"), state, users)
+    saved(seen, sink)
+    return sink.snapshot().select("segment_id", "evidence_type", "n", "start_ms", "end_ms")
+
+
 @query("""with recursive e as (select user_id as job_id, event_id, event_id // 7 % 3 as attempt, case event_id % 4 when 0 then 'succeeded' when 1 then 'failed' else 'running' end as new_status, row_number() over (partition by user_id order by ts, event_id) as i from events),
     walk(job_id, i, event_id, accepted, status, attempt) as (select job_id, cast(0 as bigint), cast(null as bigint), false, 'pending', cast(-1 as bigint) from e group by 1
         union all select job_id, i, event_id, ok, case when ok then new_status else status end, case when ok then now else attempt end from (select e.job_id, e.i, e.event_id, new_status, e.attempt as now, w.status, w.attempt, (new_status = 'running' and w.status <> 'running' and e.attempt > w.attempt) or (w.status = 'running' and e.attempt = w.attempt) as ok from walk w join e on e.job_id = w.job_id and e.i = w.i + 1))

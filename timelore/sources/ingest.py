@@ -9,31 +9,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelore.functions.columns import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, media_kind, trimmed
+from timelore.functions.columns import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, trimmed
+from timelore.sources.mediafiles import EDGE_BYTES, MediaFiles
 
-EDGE_BYTES = 65_536
 DESCRIPTION = "summary string, visible_details array<string>, uncertainty array<string>"
 
 
-def listed_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder, no content read: relative_path, path, file_size, modified_us, media_kind, and why one is skipped (hidden, other)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
-    plain = F.regexp_replace("path", r"^\w+:/+", "/")
-    base = "/" + root.split("://")[-1].strip("/").removeprefix("file:").strip("/")
-    relative = F.substring(plain, len(base) + 2, 1 << 20)
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = files.select(relative.alias("relative_path"), "path", F.col("length").alias("file_size"), F.unix_micros("modificationTime").alias("modified_us"), media_kind(extension).alias("media_kind"))
-    return rows.withColumn("skipped", F.when(F.col("relative_path").rlike(r"(^|/)\."), "hidden").when(F.col("media_kind").isNull(), "other"))
+def scanned_files(spark: SparkSession, root: str) -> DataFrame:
+    """What lies below a folder: media files, skipped files and what can't be read (`sources.mediafiles`)."""
+    spark.dataSource.register(MediaFiles)
+    return spark.read.format("media_files").load(root)
 
 
 def media_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Media files below a folder: relative_path, path, file_size, modified_us, media_kind; hidden files and folders are left out."""
-    return listed_files(spark, root).filter("skipped is null").drop("skipped")
+    """The media files below a folder, with their fingerprints."""
+    return scanned_files(spark, root).filter("skipped is null and error is null").drop("skipped", "error")
 
 
 def inventory_counts(spark: SparkSession, root: str) -> DataFrame:
-    """One row: media files and skipped ones."""
-    return listed_files(spark, root).agg(F.count_if(F.col("skipped").isNull()).alias("media"), F.count("skipped").alias("skipped"))
+    """One row: media files, skipped ones and errors."""
+    plain = F.col("skipped").isNull() & F.col("error").isNull()
+    return scanned_files(spark, root).agg(F.count_if(plain).alias("media"), F.count("skipped").alias("skipped"), F.count("error").alias("errors"))
 
 
 def supported_extensions() -> list[str]:

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from timelore.sources.shared import shared_dir
 
 
+def saved(stream: DataFrame, save: Callable[[DataFrame, int], None], mode: str = "append", state: str | None = None) -> None:
+    """Gives all rows that are there now to `save`, batch by batch; `state` keeps how far it came."""
+    state = state or f"{shared_dir(stream.sparkSession)}/streams/{uuid.uuid4().hex}/state"
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """The result of the streaming query over all rows that are there now.
 
@@ -22,6 +29,5 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch if mode == 'append' else 0}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(save).start()
-    query.awaitTermination()
+    saved(stream, save, mode, f"{path}/state")
     return spark.read.schema(schema).parquet(f"{path}/out").select(*schema.names)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timelore.functions.columns import visible_ready
+from timelore.sources import shared
 from timelore.sources.ingest import commit_evidence
 
 
@@ -43,6 +44,45 @@ def evidence_sink(load: Callable[[], DataFrame], save: Callable[[DataFrame, Data
     return write
 
 
+class EvidenceSnapshots:
+    """A foreachBatch sink that keeps snapshots of the evidence, each epoch once.
+
+    An epoch's snapshot and rejects go to folders of their own; its manifest is written last, and names the epoch it was
+    made from. A batch that is replayed after its manifest was written changes nothing; one that failed before is written
+    anew from the same snapshot. So no snapshot overwrites what it reads, and every epoch counts once.
+    """
+
+    def __init__(self, path: str, initial: DataFrame, current: DataFrame):
+        self.path, self.current = path.rstrip("/"), current
+        self.spark, self.schema = initial.sparkSession, initial.schema
+        if not self.epochs():
+            initial.write.mode("overwrite").parquet(f"{self.path}/state/-1")
+            self._commit(-1)
+
+    def epochs(self) -> list[int]:
+        names = shared.names(self.spark, f"{self.path}/manifest")
+        return sorted(int(n) for n in names if n.lstrip("-").isdigit() and shared.exists(self.spark, f"{self.path}/manifest/{n}/_SUCCESS"))
+
+    def _commit(self, epoch: int) -> None:
+        self.spark.createDataFrame([(epoch,)], "epoch long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{epoch}")
+
+    def snapshot(self, epoch: int | None = None) -> DataFrame:
+        """The state after an epoch, or after the last one."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/state/{self.epochs()[-1] if epoch is None else epoch}")
+
+    def rejects(self, epoch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rejects/{epoch}")
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        done = self.epochs()
+        if epoch in done:
+            return
+        state, rejects = commit_evidence(self.snapshot(max(e for e in done if e < epoch)), batch, self.current)
+        state.write.mode("overwrite").parquet(f"{self.path}/state/{epoch}")
+        rejects.write.mode("overwrite").parquet(f"{self.path}/rejects/{epoch}")
+        self._commit(epoch)
+
+
 def deduplicated(batch: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each (segment, run, kind, n) once within the watermark."""
     return batch.withWatermark("ts", late).dropDuplicatesWithinWatermark(["segment_id", "run_id", "evidence_type", "n"])
