@@ -62,6 +62,33 @@ def test_energy_windows_do_not_depend_on_packets(spark):
     assert [(r.start_ms, r.end_ms) for r in timeline.energy_windows(gap).orderBy("start_ms").collect()] == [(0, 50), (100, 200)]
 
 
+def test_chunks_of_a_track_hand_on_what_the_next_needs(spark):
+    """One asset's windows, packets and frames, in one chunk and in many."""
+    rng = random.Random(12)
+    at, windows = 0, []
+    for _ in range(900):
+        at += rng.choice([0, 0, 0, 0, 40])
+        windows.append((rng.choice([1, 1, 1, 2]), at, at + 100, rng.choice([-60.0, -60.0, -60.0, -10.0])))
+        at += rng.choice([100, 100, 50])
+    table = spark.createDataFrame(windows + windows[::9], "asset_id long, start_ms long, end_ms long, level_db double")
+    runs = lambda **c: sorted(map(tuple, timeline.silence_runs(table, least_ms=200, **c).collect()))
+    assert runs() == runs(chunk_ms=130) == runs(chunk_ms=5_000) and len(runs()) > 20
+
+    at, packets = 0, []
+    for i in range(120):
+        at += rng.choice([0, 0, 1, 2, 3, 500])
+        size = rng.randint(1, 900)
+        packets.append((1, at, rng.choice([16_000.0] * 9 + [8_000.0]), [rng.randint(-9_000, 9_000) for _ in range(size)]))
+        at += size
+    chunks = spark.createDataFrame(packets, "asset_id long, start_sample long, sample_rate double, samples array<smallint>")
+    levels = lambda **c: sorted((*r[:5], round(r[5], 9)) for r in map(tuple, timeline.energy_windows(chunks, **c).collect()))
+    assert levels() == levels(chunk_samples=700) == levels(chunk_samples=9_000) and len({r[1] for r in levels()}) == len(levels())
+
+    frames = spark.createDataFrame([(rng.choice([1, 1, 2, 3]), rng.randrange(50_000), i) for i in range(200)] + [(9, 5, 1)], "segment_id long, time_ms long, ordinal int")
+    some = lambda **c: sorted(map(tuple, timeline.representative_frames(frames, **c).collect()))
+    assert some() == some(chunk_ms=700) and len(some()) == 25
+
+
 def test_sampling_and_frames(spark):
     assets = spark.createDataFrame([(1, 3 * 3_600_000), (2, 0)], "asset_id long, duration_ms long")
     plan = timeline.sampling_plan(assets).collect()

@@ -45,12 +45,16 @@ def asset_detail_counts(segments: DataFrame, embedded: DataFrame, evidence: Data
 
 
 def resolve_paths(asked: DataFrame, assets: DataFrame) -> DataFrame:
-    """(path, asset_id): the asset at exactly that path (earliest seen), else the first in path order that equals it without case or ends with `/` and it."""
+    """(path, asset_id): the asset at exactly that path (earliest seen), else the first in path order that equals it without case or ends with `/` and it.
+
+    Paths and asked ones meet by their last part, so each is moved once.
+    """
     exact = asked.join(assets, asked["path"] == assets["relative_path"]).select("path", "asset_id", F.lit(0).alias("tier"), F.struct("first_seen_at", "asset_id").alias("a"), F.lit("").alias("folded"))
-    parts = F.split(F.lower("relative_path"), "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    tails = assets.select("asset_id", "first_seen_at", ascii_lower(F.col("relative_path")).alias("folded"), F.explode(ends).alias("tail"))
-    loose = asked.select("path", F.lower("path").alias("tail")).join(tails, "tail").select("path", "asset_id", F.lit(1).alias("tier"), F.struct(F.lit(0.0).alias("first_seen_at"), "asset_id").alias("a"), "folded")
+    last = lambda path: F.element_at(F.split(path, "/"), -1)
+    rows = assets.select("asset_id", ascii_lower(F.col("relative_path")).alias("folded"), F.lower("relative_path").alias("low")).withColumn("name", last(F.col("low")))
+    wanted = asked.select("path", F.lower("path").alias("tail")).withColumn("name", last(F.col("tail")))
+    met = rows.join(wanted, "name").filter(F.concat(F.lit("/"), "low").endswith(F.concat(F.lit("/"), "tail")))  # all that end alike have one last part
+    loose = met.select("path", "asset_id", F.lit(1).alias("tier"), F.struct(F.lit(0.0).alias("first_seen_at"), "asset_id").alias("a"), "folded")
     best = exact.unionByName(loose).groupBy("path").agg(F.min_by("asset_id", F.struct("tier", "a.first_seen_at", "folded", "asset_id")).alias("asset_id"))
     return best
 
@@ -108,9 +112,9 @@ def library_snapshot(roots: DataFrame, assets: DataFrame, segments: DataFrame, j
 
 
 def job_dashboard(assets: DataFrame, segments: DataFrame, jobs: DataFrame, runs: DataFrame, stale: DataFrame) -> dict[str, DataFrame]:
-    """Failures, progress of both lanes, the number of stale descriptions, over one set of immutable tables."""
+    """Failures, progress of both lanes and of segmentation, the number of stale descriptions, over one set of immutable tables."""
     return {
-        "failures": library.failed_jobs(jobs, assets, segments, runs), "progress": library.lane_progress(assets, jobs, segments, runs),
+        "failures": library.failed_jobs(jobs, assets, segments, runs), "progress": library.lane_progress(assets, jobs, segments, runs), "segmentation": library.segmentation_progress(assets, jobs),
         "stale": stale.agg(F.count("*").alias("stale_descriptions")),
     }
 

@@ -2,18 +2,20 @@
 
 Rules that compare with the last kept element are folds in `applyInArrow` over rows sorted by time. Where a gap
 in time makes what follows independent, a track is cut there first (`stretches`), so that a group is a stretch
-and not a whole asset; the rest are windows and higher-order functions.
+and not a whole asset. Numbers that run along a track are windows over chunks of it, to which the chunks before hand on
+what they need (`with_carry`), so that a long track is many tasks' work. The rest are higher-order functions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from timelore.functions.columns import iou, luma_histogram, split_sentences, visual_difference
 
@@ -26,6 +28,8 @@ SHORTEST_MS, SHORT_TAIL_MS, SETTLED_MS, LONGEST_MS = 4_000, 8_000, 15_000, 30_00
 LENGTH_WEIGHT, MIN_STRENGTH = 0.35, 0.2
 FLOOR = 1e-9
 FULL_SCALE = 32_767.0
+#: Long tracks are worked on in chunks of so much time, or so many samples.
+CHUNK_MS, CHUNK_SAMPLES = 6 * 3_600_000, 1 << 26
 
 
 def sampling_plan(assets: DataFrame, interval_ms: int = 500, most: int = 7_200) -> DataFrame:
@@ -54,13 +58,25 @@ def visual_changes(samples: DataFrame) -> DataFrame:
     return rows.select("asset_id", "time_ms", visual_difference(F.col("p_luma"), F.col("luma"), F.col("p_hist"), F.col("hist")).alias("score"))
 
 
-def representative_frames(frames: DataFrame, most: int = 8) -> DataFrame:
-    """At most `most` frames of each segment, spread evenly from the first to the last."""
-    w = Window.partitionBy("segment_id")
-    rows = frames.withColumns({"i": F.row_number().over(w.orderBy("time_ms", "ordinal")) - 1, "n": F.count("*").over(w)})
+def with_carry(rows: DataFrame, track: list[str], summary: dict[str, Column], carry: Callable[[WindowSpec, WindowSpec], dict[str, Column]]) -> DataFrame:
+    """`rows`, which have a `chunk` of their track, with what the chunks before hand on: a scan of a row for each chunk.
+
+    `carry` gives columns over the summaries of a track, from (all chunks before, the chunks in order).
+    """
+    per = rows.groupBy(*track, "chunk").agg(*[c.alias(n) for n, c in summary.items()])
+    order = Window.partitionBy(*track).orderBy("chunk")
+    found = carry(order.rowsBetween(Window.unboundedPreceding, -1), order)
+    return rows.join(per.withColumns(found).select(*track, "chunk", *found), [*track, "chunk"])
+
+
+def representative_frames(frames: DataFrame, most: int = 8, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """At most `most` frames of each segment, spread evenly from the first to the last. Frames are numbered by chunks of time."""
+    rows = frames.withColumn("chunk", F.floor(F.col("time_ms") / chunk_ms))
+    rows = with_carry(rows, ["segment_id"], {"here": F.count("*")}, lambda before, order: {"earlier": F.coalesce(F.sum("here").over(before), F.lit(0)), "n": F.sum("here").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    rows = rows.withColumn("i", F.col("earlier") + F.row_number().over(Window.partitionBy("segment_id", "chunk").orderBy("time_ms", "ordinal")) - 1)
     step = (F.col("n") - 1) / (most - 1)
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * step + 0.5).cast("int"))
-    return rows.filter((F.col("n") <= most) | F.array_contains(chosen, F.col("i"))).drop("i", "n")
+    chosen = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * step + 0.5))
+    return rows.filter((F.col("n") <= most) | F.array_contains(chosen, F.col("i"))).select(*frames.columns)
 
 
 def stretches(rows: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
@@ -117,22 +133,35 @@ def coalesced_changes(changes: DataFrame, threshold: float = 0.20, spacing_ms: i
     return _fold(rows, ["asset_id", "stretch"], "asset_id long, time_ms long, score double", fold)
 
 
-def energy_windows(chunks: DataFrame, window_ms: int = 100) -> DataFrame:
+def energy_windows(chunks: DataFrame, window_ms: int = 100, chunk_samples: int = CHUNK_SAMPLES) -> DataFrame:
     """Level of fixed windows of PCM, whatever the packets: (asset_id, start_sample, n, start_ms, end_ms, level_db).
 
     chunks: asset_id, start_sample, sample_rate, samples (16 bit). A gap of more than two samples, or a new
-    rate, closes a window early and starts the count anew. Each packet gives the sum of squares of its part of
+    rate, closes a window early and starts the count anew. A track is worked on in chunks of `chunk_samples`; where a run began, and
+    how long it is so far, is handed on from chunk to chunk. Each packet gives the sum of squares of its part of
     each window; only these meet.
     """
-    track = Window.partitionBy("asset_id").orderBy("start_sample")
-    size, rate = F.size("samples").cast("long"), F.col("sample_rate")
-    end = F.col("start_sample") + F.col("size")
-    broken = F.coalesce((F.abs(F.col("start_sample") - F.lag(end).over(track)) > 2) | (rate != F.lag(rate).over(track)), F.lit(True))
-    rows = chunks.withColumn("size", size).filter("size > 0").withColumn("broken", broken.cast("long"))
-    rows = rows.withColumn("run", F.sum("broken").over(track.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("asset_id", "run").orderBy("start_sample")
-    offset = F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    rows = rows.withColumns({"offset": offset, "run_start": F.first("start_sample").over(run), "width": F.greatest(F.lit(1), F.round(rate * window_ms / 1000)).cast("long")})
+    track = ["asset_id"]
+    rate = F.col("sample_rate")
+    rows = chunks.withColumns({"size": F.size("samples").cast("long"), "chunk": F.floor(F.col("start_sample") / chunk_samples)}).filter("size > 0")
+    ends = {"last": F.max(F.struct("start_sample", (F.col("start_sample") + F.col("size")).alias("end"), "sample_rate"))}
+    rows = with_carry(rows, track, ends, lambda before, order: {"before": F.lag("last").over(order)})
+    here = Window.partitionBy("asset_id", "chunk").orderBy("start_sample")
+    prior = F.coalesce(F.lag(F.struct("start_sample", (F.col("start_sample") + F.col("size")).alias("end"), "sample_rate")).over(here), F.col("before"))
+    rows = rows.withColumn("prior", prior)
+    broken = F.coalesce((F.abs(F.col("start_sample") - F.col("prior.end")) > 2) | (rate != F.col("prior.sample_rate")), F.lit(True))
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("broken", broken)
+    rows = rows.withColumns({"sum": F.sum("size").over(upto) - F.col("size"), "own_start": F.last(F.when(F.col("broken"), F.col("start_sample")), ignorenulls=True).over(upto)})
+    rows = rows.withColumn("own_sum", F.last(F.when(F.col("broken"), F.col("sum")), ignorenulls=True).over(upto))
+    # a chunk hands on its last run's start, and the samples before it; those of all chunks place it on the track
+    summary = {"total": F.sum("size"), "run": F.max(F.when(F.col("broken"), F.struct("start_sample", F.col("sum").alias("at"))))}
+    rows = with_carry(rows.drop("prior", "before"), track, summary, lambda before, order: {
+        "earlier": F.coalesce(F.sum("total").over(before), F.lit(0)), "run_before": F.last("run", ignorenulls=True).over(before),
+        "run_at": F.last(F.when(F.col("run").isNotNull(), F.coalesce(F.sum("total").over(before), F.lit(0)) + F.col("run.at")), ignorenulls=True).over(before),
+    })
+    offset = F.when(F.col("own_sum").isNotNull(), F.col("sum") - F.col("own_sum")).otherwise(F.col("earlier") + F.col("sum") - F.col("run_at"))
+    rows = rows.withColumns({"offset": offset, "run_start": F.coalesce("own_start", "run_before.start_sample"), "width": F.greatest(F.lit(1), F.round(rate * window_ms / 1000)).cast("long")})
     window = F.explode(F.sequence(F.floor(F.col("offset") / F.col("width")), F.floor((F.col("offset") + F.col("size") - 1) / F.col("width"))))
     parts = rows.withColumn("window", window).withColumn("skip", F.greatest(F.lit(0), F.col("window") * F.col("width") - F.col("offset")))
     take = F.least(F.col("size"), (F.col("window") + 1) * F.col("width") - F.col("offset")) - F.col("skip")
@@ -146,12 +175,19 @@ def energy_windows(chunks: DataFrame, window_ms: int = 100) -> DataFrame:
     return whole.select("asset_id", first.alias("start_sample"), F.col("n").cast("int").alias("n"), ms(first).alias("start_ms"), ms(first + F.col("n")).alias("end_ms"), level.alias("level_db"))
 
 
-def silence_runs(windows: DataFrame, threshold_db: float = -42.0, least_ms: int = 500) -> DataFrame:
-    """(asset_id, start_ms, end_ms) of stretches of quiet windows without a gap. windows: asset_id, start_ms, end_ms, level_db."""
-    w = Window.partitionBy("asset_id").orderBy("start_ms", "end_ms")
+def silence_runs(windows: DataFrame, threshold_db: float = -42.0, least_ms: int = 500, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """(asset_id, start_ms, end_ms) of stretches of quiet windows without a gap. windows: asset_id, start_ms, end_ms, level_db.
+
+    A track is worked on in chunks of time, which hand on where the last window ended and how many breaks there were.
+    """
     loud = F.col("level_db") > threshold_db
-    gap = F.col("start_ms") > F.lag("end_ms").over(w)
-    rows = windows.withColumn("breaks", (loud | F.coalesce(gap, F.lit(False))).cast("int")).withColumn("island", F.sum("breaks").over(w))
+    rows = windows.withColumn("chunk", F.floor(F.col("start_ms") / chunk_ms))
+    rows = with_carry(rows, ["asset_id"], {"last": F.max(F.struct("start_ms", "end_ms"))}, lambda before, order: {"before": F.lag("last.end_ms").over(order)})
+    here = Window.partitionBy("asset_id", "chunk").orderBy("start_ms", "end_ms")
+    gap = F.col("start_ms") > F.coalesce(F.lag("end_ms").over(here), F.col("before"))
+    rows = rows.withColumn("breaks", (loud | F.coalesce(gap, F.lit(False))).cast("int"))
+    rows = with_carry(rows, ["asset_id"], {"here": F.sum("breaks")}, lambda before, order: {"earlier": F.coalesce(F.sum("here").over(before), F.lit(0))})
+    rows = rows.withColumn("island", F.col("earlier") + F.sum("breaks").over(here))
     runs = rows.filter(~loud).groupBy("asset_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     return runs.filter(F.col("end_ms") - F.col("start_ms") >= least_ms).select("asset_id", "start_ms", "end_ms")
 

@@ -501,13 +501,13 @@ def search_context(t):
 
 
 #: Texts of a segment: a document is of the segment with its id as the asset and a line from 1 to 3.
-TOLD = """told as (select concat(cast(doc_id as string), ':', cast(doc_id % 3 + 1 as string)) as segment_id, case doc_id % 4 when 0 then 'frame' when 1 then 'ocr' else 'transcript' end as evidence_type, doc_id as evidence_seq, (doc_id % 40) * 1000 as start_ms, substring(text, 1, 300) as text, lang, source from documents)"""
+TOLD = """told as (select concat(cast(doc_id as string), ':', cast(doc_id % 3 + 1 as string)) as segment_id, case doc_id % 4 when 0 then 'frame' when 1 then 'ocr' else 'transcript' end as evidence_type, doc_id as evidence_seq, (doc_id % 40) * 1000 as start_ms, text, lang, source from documents)"""
 
 
 def told(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     kind = F.when(d % 4 == 0, "frame").when(d % 4 == 1, "ocr").otherwise("transcript")
-    return t.raw("documents").select(F.concat(d.cast("string"), F.lit(":"), (d % 3 + 1).cast("string")).alias("segment_id"), kind.alias("evidence_type"), d.alias("evidence_seq"), ((d % 40) * 1000).alias("start_ms"), F.substring("text", 1, 300).alias("text"), "lang", "source")
+    return t.raw("documents").select(F.concat(d.cast("string"), F.lit(":"), (d % 3 + 1).cast("string")).alias("segment_id"), kind.alias("evidence_type"), d.alias("evidence_seq"), ((d % 40) * 1000).alias("start_ms"), "text", "lang", "source")
 
 
 def detail_counts(t: Tables) -> DataFrame:
@@ -561,7 +561,36 @@ def library_snapshot(t):
     union all select 'stale', 1""")
 def job_dashboard(t):
     jobs = t.job.withColumn("message", F.lit(None).cast("string"))
-    return details.digest(details.job_dashboard(t.media_asset, legacy(t), jobs, runs(t), t.description.filter("prompt_version <> 'p1'")))
+    parts = details.job_dashboard(t.media_asset, legacy(t), jobs, runs(t), t.description.filter("prompt_version <> 'p1'"))
+    return details.digest({k: parts[k] for k in ("failures", "progress", "stale")})
+
+
+@query(f"""with {ELIGIBLE}, f as (select 'failure' as part, job_id as id, concat_ws('|', kind, status, coalesce(cast(segment_ordinal as varchar), '-'), case when asset_id % 2 = 0 then 'stopped at ' || stage else '{library.UNKNOWN_ERROR}' end) as value from eligible where status in ('failed', 'cancelled') order by updated_at desc, job_id limit 100),
+    ready as (select asset_id from media_asset where {READY}), p as (select kind, status from eligible where kind <> 'segment_asset' and asset_id in (from ready) union all select kind, status from job where kind = 'segment_asset' and asset_id in (from ready))
+    select * from f union all select 'progress', kind, concat_ws('|', count(*) filter (status = 'pending'), count(*) filter (status = 'running'), count(*) filter (status = 'succeeded'), count(*) filter (status in ('failed', 'cancelled')), count(*)) from p group by kind
+    union all select 'stale', '', cast(count(*) as varchar) from description where prompt_version <> 'p1'""")
+def dashboard_rows(t):
+    jobs = t.job.withColumn("message", F.when(F.col("asset_id") % 2 == 0, F.concat(F.lit("stopped at "), "stage")))
+    parts = details.job_dashboard(t.media_asset, legacy(t), jobs, runs(t), t.description.filter("prompt_version <> 'p1'"))
+    text = lambda *c: F.concat_ws("|", *[x if not isinstance(x, str) else F.col(x).cast("string") for x in c]).alias("value")
+    counts = ("pending", "running", "succeeded", "failed", "total")
+    failed = parts["failures"].select(F.lit("failure").alias("part"), F.col("job_id").alias("id"), text("kind", "status", F.coalesce(F.col("segment_ordinal").cast("string"), F.lit("-")), "message"))
+    lanes = parts["progress"].select(F.lit("progress").alias("part"), F.col("kind").alias("id"), text(*counts))
+    whole = parts["segmentation"].filter("total > 0").select(F.lit("progress").alias("part"), F.lit(library.SEGMENT_JOB).alias("id"), text(*counts))
+    stale = parts["stale"].select(F.lit("stale").alias("part"), F.lit("").alias("id"), F.col("stale_descriptions").cast("string").alias("value"))
+    return failed.unionByName(lanes).unionByName(whole).unionByName(stale)
+
+
+@query(f"""with {SUMMARIES} select 'asset' as part, asset_id, concat_ws('|', root_id, relative_path, media_kind, duration_ms, status) as value from media_asset where {LIVE}
+    union all select 'summary', asset_id, concat_ws('|', total_segments, indexed_segments, coalesce(segmentation_status, '-'), evidence_succeeded, evidence_pending, evidence_failed, describe_succeeded, describe_pending, describe_failed) from summaries
+    union all select 'root', root_id, path from library_root""")
+def snapshot_rows(t):
+    parts = details.library_snapshot(t.library_root, t.media_asset, t.segment, t.job, embedded(t))
+    text = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c]).alias("value")
+    summary = parts["summaries"].withColumn("segmentation_status", F.coalesce("segmentation_status", F.lit("-")))
+    out = parts["assets"].select(F.lit("asset").alias("part"), "asset_id", text("root_id", "relative_path", "media_kind", "duration_ms", "status"))
+    out = out.unionByName(summary.select(F.lit("summary").alias("part"), "asset_id", text("total_segments", "indexed_segments", "segmentation_status", "evidence_succeeded", "evidence_pending", "evidence_failed", "describe_succeeded", "describe_pending", "describe_failed")))
+    return out.unionByName(parts["roots"].select(F.lit("root").alias("part"), F.col("root_id").alias("asset_id"), F.col("path").alias("value")))
 
 
 @query("""with f as (select page_id, encode(coalesce(html, '')) as b, ['mp4', 'MOV', 'jpg', 'txt'][page_id % 4 + 1] as e from (select page_id, html from pages qualify row_number() over (partition by page_id order by html) = 1))
