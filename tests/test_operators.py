@@ -89,6 +89,15 @@ def test_chunks_of_a_track_hand_on_what_the_next_needs(spark):
     assert some() == some(chunk_ms=700) and len(some()) == 25
 
 
+def test_settings_are_bounded():
+    usual = timeline.bounded_settings()
+    assert usual["visual_change_threshold"] == 0.20 and usual["silence_threshold_dbfs"] == -42.0 and usual["visual_request_batch_size"] == 240
+    odd = timeline.bounded_settings(visual_sample_interval_ms=1, visual_change_threshold=float("nan"), silence_threshold_dbfs=5.0, maximum_visual_sample_count=1, minimum_silence_duration_ms=0, analysis_width=9_999)
+    assert odd == usual | {"visual_sample_interval_ms": 50, "silence_threshold_dbfs": 0.0, "maximum_visual_sample_count": 2, "visual_request_batch_size": 2, "minimum_silence_duration_ms": 1, "analysis_width": 256}
+    with pytest.raises(ValueError, match="no such settings"):
+        timeline.bounded_settings(speed=1)
+
+
 def test_sampling_and_frames(spark):
     assets = spark.createDataFrame([(1, 3 * 3_600_000), (2, 0)], "asset_id long, duration_ms long")
     plan = timeline.sampling_plan(assets).collect()

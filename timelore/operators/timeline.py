@@ -32,6 +32,26 @@ FULL_SCALE = 32_767.0
 CHUNK_MS, CHUNK_SAMPLES = 6 * 3_600_000, 1 << 26
 
 
+#: Of each setting of the extraction its least, its most, and what stands for one that isn't a number.
+BOUNDS = {
+    "visual_sample_interval_ms": (50, 60_000, 500), "visual_change_threshold": (0.0, 1.0, 0.20), "minimum_visual_candidate_spacing_ms": (0, 600_000, 500), "analysis_width": (2, 256, 32), "analysis_height": (2, 256, 18),
+    "audio_analysis_window_ms": (10, 1_000, 100), "silence_threshold_dbfs": (-180.0, 0.0, -42.0), "minimum_silence_duration_ms": (1, 600_000, 500), "maximum_visual_sample_count": (2, 100_000, 7_200), "visual_request_batch_size": (1, 1_024, 240),
+}
+
+
+def bounded_settings(**settings: float) -> dict[str, float]:
+    """All settings of the extraction within their bounds, as they are kept with what was made by them; a batch is no larger than all samples."""
+    unknown = set(settings) - set(BOUNDS)
+    if unknown:
+        raise ValueError(f"no such settings: {sorted(unknown)}")
+    out = {}
+    for name, (least, most, usual) in BOUNDS.items():
+        value = settings.get(name, usual)
+        out[name] = min(most, max(least, value if math.isfinite(value) else usual))
+    out["visual_request_batch_size"] = min(out["visual_request_batch_size"], out["maximum_visual_sample_count"])
+    return out
+
+
 def sampling_plan(assets: DataFrame, interval_ms: int = 500, most: int = 7_200) -> DataFrame:
     """(asset_id, ordinal, time_ms): a sample every interval, widened so that an asset has at most `most`."""
     every = F.greatest(F.lit(interval_ms).cast("long"), F.ceil(F.col("duration_ms") / most))

@@ -446,6 +446,20 @@ def search_lines(t):
     return search.search_lines(search.hybrid_search(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t), index=text_index(t)))
 
 
+@query("select query_id, place, asset_id, segment_id, asset_id % 5 <> 0 as has_timeline, case when asset_id % 5 <> 0 then segment_id * 1000 end as start_ms, case when asset_id % 5 <> 0 then segment_id * 1000 + 20000 end as end_ms, play_start, play_end, combined, literal, semantic, segments, len(string_split(nullif(matched, ''), ',')) as matches, place || '. Clip ' || asset_id || '.mp4' || case when asset_id % 5 <> 0 then ' [' else ' ' end as head from ("
+    + HYBRID.format(literal=LITERAL, shown="visible") + ")")
+def search_json(t):
+    kinds = t.search_segment.groupBy("asset_id").agg(F.when(F.col("asset_id") % 5 == 0, "image").otherwise("video").alias("media_kind"))
+    out = search.search_media(t.evidence, t.search_segment, vectors(t), query_texts(t), query_vectors(t), media=kinds, index=text_index(t))
+    at = lambda name, kind="long": F.get_json_object("json", f"$.{name}").cast(kind)
+    head = F.regexp_extract("line", r"^(.*?\.mp4( \[| ))", 1)
+    return out.select(
+        "query_id", F.col("place").cast("long").alias("place"), at("asset_id").alias("asset_id"), at("segment_id").alias("segment_id"), at("hasTimeline", "boolean").alias("has_timeline"), at("startMS").alias("start_ms"), at("endMS").alias("end_ms"),
+        at("playbackStartMS").alias("play_start"), at("playbackEndMS").alias("play_end"), at("combinedScore", "double").alias("combined"), at("literalScore", "double").alias("literal"), at("semanticScore", "double").alias("semantic"), at("matchedSegmentCount").alias("segments"),
+        F.when(F.get_json_object("json", "$.matched") != "null", F.json_array_length(F.get_json_object("json", "$.matched"))).cast("long").alias("matches"), head.alias("head"),
+    )
+
+
 #: The evidence after inserts (a fifth of the rows), new texts (a seventh) and deletes (an eleventh).
 CHANGED = "changed as (select evidence_seq, case when evidence_seq % 7 = 0 then text || ' Zebra ' || segment_id else text end as text from evidence where evidence_seq % 11 <> 0)"
 
