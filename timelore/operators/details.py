@@ -28,6 +28,21 @@ def search_context(candidates: DataFrame, segments: DataFrame, assets: DataFrame
     return rows.join(told.groupBy("segment_id").agg(F.array_sort(F.collect_list(one)).alias("evidence")), "segment_id", "left")
 
 
+def evidence_context(index: DataFrame, transcripts: DataFrame, ocr: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each row of the index with its segment and asset, and the times of its kind: of its sentence, of its observation, else of the segment.
+
+    index: segment_id, evidence_type, evidence_seq (others are carried); transcripts, ocr: evidence_seq, start_ms,
+    end_ms; segments: segment_id, asset_id, path, start_ms, end_ms. Both kinds meet the index in one join; a row
+    whose source is gone has no times. Rows of unknown segments are left out.
+    """
+    timed = [t.select("evidence_seq", F.lit(kind).alias("evidence_type"), F.col("start_ms").alias("_own_start"), F.col("end_ms").alias("_own_end")) for kind, t in (("transcript", transcripts), ("ocr", ocr))]
+    rows = index.join(segments.select("segment_id", "asset_id", "path", F.col("start_ms").alias("_start"), F.col("end_ms").alias("_end")), "segment_id")
+    rows = rows.join(timed[0].unionByName(timed[1]), ["evidence_seq", "evidence_type"], "left")
+    own = F.col("evidence_type").isin("transcript", "ocr")
+    times = {c: F.when(own, F.col(f"_own_{n}")).otherwise(F.col(f"_{n}")) for c, n in (("start_ms", "start"), ("end_ms", "end"))}
+    return rows.withColumns(times).drop("_start", "_end", "_own_start", "_own_end")
+
+
 def asset_detail_counts(segments: DataFrame, embedded: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per active segment: whether it is indexed, its transcripts in time order, how many OCR rows and frames it has.
 
