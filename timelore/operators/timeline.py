@@ -67,15 +67,15 @@ def segment_sampling(segments: DataFrame, every: int = 1_000) -> DataFrame:
     return segments.filter(span > 0).select("segment_id", F.posexplode(times).alias("ordinal", "time_ms"))
 
 
-def visual_changes(samples: DataFrame) -> DataFrame:
-    """(asset_id, time_ms, score) of each sample against the one before it. samples: asset_id, time_ms, luma.
+def visual_changes(samples: DataFrame, with_previous: bool = False) -> DataFrame:
+    """(asset_id, time_ms, score, and previous_ms on request) of each sample against the one before it. samples: asset_id, time_ms, luma.
 
     Of several samples at one time the one with the smallest pixels (in order) counts.
     """
     rows = samples.groupBy("asset_id", "time_ms").agg(F.min("luma").alias("luma")).withColumn("hist", luma_histogram(F.col("luma")))
     w = Window.partitionBy("asset_id").orderBy("time_ms")
-    rows = rows.withColumns({"p_luma": F.lag("luma").over(w), "p_hist": F.lag("hist").over(w)}).filter("p_luma is not null")
-    return rows.select("asset_id", "time_ms", visual_difference(F.col("p_luma"), F.col("luma"), F.col("p_hist"), F.col("hist")).alias("score"))
+    rows = rows.withColumns({"p_luma": F.lag("luma").over(w), "p_hist": F.lag("hist").over(w), "previous_ms": F.lag("time_ms").over(w)}).filter("p_luma is not null")
+    return rows.select("asset_id", "time_ms", *["previous_ms"] * with_previous, visual_difference(F.col("p_luma"), F.col("luma"), F.col("p_hist"), F.col("hist")).alias("score"))
 
 
 def with_carry(rows: DataFrame, track: list[str], summary: dict[str, Column], carry: Callable[[WindowSpec, WindowSpec], dict[str, Column]]) -> DataFrame:
@@ -216,7 +216,14 @@ def boundary_scores(runs: DataFrame) -> DataFrame:
     """A silence as a boundary at its end: score by its length, at least 0.35, with the details as JSON."""
     span = F.col("end_ms") - F.col("start_ms")
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.35), span / 1500))
-    return runs.select("asset_id", F.col("end_ms").alias("time_ms"), F.lit("pause").alias("source"), score.alias("score"), F.to_json(F.struct(F.col("start_ms").alias("silenceStartMS"), span.alias("durationMS"))).alias("details"))
+    return runs.select("asset_id", F.col("end_ms").alias("time_ms"), F.lit("pause").alias("source"), score.alias("score"), F.to_json(F.struct(span.alias("duration_ms"), F.col("start_ms").alias("start_time_ms"))).alias("details"))
+
+
+def visual_boundaries(kept: DataFrame, changes: DataFrame) -> DataFrame:
+    """Kept changes (asset_id, time_ms, score) as boundaries, in the columns of `boundary_scores`. changes: as of visual_changes, with previous_ms."""
+    rows = kept.join(changes.select("asset_id", "time_ms", "previous_ms"), ["asset_id", "time_ms"])
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))
+    return rows.select("asset_id", "time_ms", F.lit("shotChange").alias("source"), score.alias("score"), F.to_json(F.struct(F.col("previous_ms").alias("previous_sample_time_ms"))).alias("details"))
 
 
 def merge_boundaries(times: list[int], sources: list[str], scores: list[float], duration: int) -> list[tuple[int, list[str], float]]:

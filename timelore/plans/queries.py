@@ -823,7 +823,7 @@ def energy(t: Tables) -> DataFrame:
     z as (select asset_id, island, min(start_ms) as s, max(end_ms) as e from y where level_db <= -42 group by 1, 2) select asset_id, e as time_ms, 'pause' as source, round(least(1.0, greatest(0.35, (e - s) / 1500)), 6) as score, cast(e - s as bigint) as span from z where e - s >= 500""")
 def silence_boundaries(t):
     out = timeline.boundary_scores(timeline.silence_runs(energy(t)))
-    return out.select("asset_id", "time_ms", "source", F.round("score", 6).alias("score"), F.get_json_object("details", "$.durationMS").cast("long").alias("span"))
+    return out.select("asset_id", "time_ms", "source", F.round("score", 6).alias("score"), F.get_json_object("details", "$.duration_ms").cast("long").alias("span"))
 
 
 CHANGES = f"""{LUMA}, h as (select *, list_transform(range(0, 16), lambda b: len(list_filter(luma, lambda p: p // 16 = b)) / len(luma)) as hist, lag(luma) over w as pl from luma window w as (partition by asset_id order by time_ms)),
@@ -839,6 +839,16 @@ def coalesced_changes(t):
     return timeline.coalesced_changes(timeline.visual_changes(luma(t)), 0.05, 30).withColumn("score", F.round("score", 6))
 
 
+@query(f"""with recursive {CHANGES}, p as (select asset_id, time_ms, lag(time_ms) over (partition by asset_id order by time_ms) as previous from luma), r as (select *, row_number() over (partition by asset_id order by time_ms) as i from changes where score >= 0.05),
+    walk(asset_id, i, k, kt, ks) as (select asset_id, i, 1, time_ms, score from r where i = 1
+        union all select r.asset_id, r.i, case when r.time_ms - kt >= 30 then k + 1 else k end, case when r.time_ms - kt >= 30 or r.score > ks then r.time_ms else kt end, case when r.time_ms - kt >= 30 or r.score > ks then r.score else ks end from walk w join r on r.asset_id = w.asset_id and r.i = w.i + 1),
+    kept as (select asset_id, arg_max(kt, i) as time_ms, arg_max(ks, i) as score from walk group by asset_id, k)
+    select asset_id, time_ms, 'shotChange' as source, round(score, 6) as score, '{{"previous_sample_time_ms":' || previous || '}}' as details from kept join p using (asset_id, time_ms)""")
+def visual_boundaries(t):
+    seen = timeline.visual_changes(luma(t), with_previous=True)
+    return timeline.visual_boundaries(timeline.coalesced_changes(seen, 0.05, 30), seen).withColumn("score", F.round("score", 6))
+
+
 def candidates(t: Tables) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for kv in zip(range(4), timeline.SOURCE_WEIGHTS) for x in kv])
     return t.boundary.select("asset_id", F.lit(900_000).cast("long").alias("duration_ms"), (F.col("time_ms") % 900_000).alias("time_ms"), F.try_element_at(kinds, (F.col("boundary_id") % 4).cast("int")).alias("source"), "score")
