@@ -177,9 +177,7 @@ class TextIndex:
     def _write_part(self, lists: DataFrame, dead: DataFrame | None) -> str:
         part = shared.fresh_path(self.spark, "part").rsplit("/", 1)[1]
         base = f"{self.path}/parts/{part}"
-        spread = F.pmod(F.xxhash64("max_seq"), F.lit(16))  # a frequent gram fills several files
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        lists.repartition(n, "gram", spread).sortWithinPartitions("short", "gram").write.parquet(f"{base}/lists")
+        lists.sortWithinPartitions("short", "gram").write.parquet(f"{base}/lists")  # where they are: new rows aren't moved, merged ones are by their blocks
         written = self.spark.read.schema(LISTS).parquet(f"{base}/lists")
         written.groupBy("gram", "short").agg(F.sum("n").alias("n")).write.parquet(f"{base}/grams")
         if dead is not None:
