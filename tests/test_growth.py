@@ -39,3 +39,28 @@ def test_postings_are_made_for_slices_of_rows(spark):
             want.setdefault((text[p : p + 3].lower(), i), []).append(p)
     rows = search.postings(evidence).collect()
     assert len(rows) == len(want) and {(r.gram, r.evidence_seq): r.positions for r in rows} == want
+
+
+def test_ocr_is_merged_without_a_group_for_each_stretch(spark):
+    schema = "segment_id long, time_ms long, seq long, text string, norm string, confidence double, x double, y double, w double, h double"
+    rows = [(s, t * 1_000 + (t // 4) * 5_000, t, f"T{t}", "t" if t % 2 else "u", 0.1 * (t % 9), 0.0 if t % 3 else 5.0, 0.0, 1.0, 1.0) for s in (1, 2) for t in range(40)]
+    raw = spark.createDataFrame(rows, schema)
+    want = []
+    for s in (1, 2):
+        seen = []  # as the rule says it, over all observations
+        for r in (r for r in rows if r[0] == s):
+            fits = [o for o in seen if o["norm"] == r[4] and o["x"] == r[6] and r[1] - o["end"] <= 1_500]
+            o = fits[-1] if fits else {"norm": r[4], "text": r[3], "x": r[6], "start": r[1], "confidence": r[5]}
+            if not fits:
+                seen.append(o)
+            o["end"], o["confidence"] = r[1] + 1_000, max(o["confidence"], r[5])
+        want += [(s, o["text"], o["confidence"], o["x"], o["start"], o["end"]) for o in seen]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # observations go on in the next batch
+    try:
+        merged = timeline.merge_ocr(raw)
+        got = [(r.segment_id, r.text, r.confidence, r.x, r.start_ms, r.end_ms) for r in merged.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(got) == sorted(want)
+    assert "FlatMapGroupsInArrow" not in plan(merged) and "Window" not in plan(merged)

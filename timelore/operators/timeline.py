@@ -327,33 +327,48 @@ def merge_ocr(raw: DataFrame, gap_ms: int = 1_500, hold_ms: int = 1_000, least_i
 
     A detection joins the latest earlier observation of equal normalised text whose end is at most `gap_ms`
     before and whose first box overlaps enough; the end moves to time + `hold_ms`, confidence is the largest.
-    Texts are cut where a pause leaves no observation to join.
+    Texts of a segment follow one another in a partition; only observations that may still be joined are held.
     """
-    schema = "segment_id long, text string, confidence double, x double, y double, w double, h double, start_ms long, end_ms long"
-    first = ("segment_id", "text", "x", "y", "w", "h")
-
-    def overlap(a: dict, b: dict) -> float:
-        w = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
-        h = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
-        both = max(0.0, w) * max(0.0, h)
-        whole = a["w"] * a["h"] + b["w"] * b["h"] - both
+    names = ["segment_id", "text", "confidence", "x", "y", "w", "h", "start_ms", "end_ms"]
+    schema = pa.schema([(k, {"segment_id": pa.int64(), "text": pa.string(), "start_ms": pa.int64(), "end_ms": pa.int64()}.get(k, pa.float64())) for k in names])
+
+    def overlap(a: list, b: tuple) -> float:
+        (ax, ay, aw, ah), (bx, by, bw, bh) = a[3:7], b
+        both = max(0.0, min(ax + aw, bx + bw) - max(ax, bx)) * max(0.0, min(ay + ah, by + bh) - max(ay, by))
+        whole = aw * ah + bw * bh - both
         return both / whole if whole > 0 else 0.0
 
-    def fold(t: pa.Table) -> pa.Table:
-        out: list[dict] = []
-        live: list[dict] = []
-        for d in t.sort_by([("time_ms", "ascending"), ("seq", "ascending")]).to_pylist():
-            live = [o for o in live if d["time_ms"] - o["end_ms"] <= gap_ms]
-            o = next((o for o in reversed(live) if overlap(o, d) >= least_iou), None)
-            if o is None:
-                o = {k: d[k] for k in first} | {"confidence": d["confidence"], "start_ms": d["time_ms"]}
-                out.append(o)
-                live.append(o)
-            o["end_ms"] = d["time_ms"] + hold_ms
-            o["confidence"] = max(o["confidence"], d["confidence"])
-        return pa.Table.from_pylist(out, pa.schema([("segment_id", pa.int64()), ("text", pa.string()), *[(k, pa.float64()) for k in ("confidence", "x", "y", "w", "h")], ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
-
-    return stretches(raw, ["segment_id", "norm"], gap_ms + hold_ms + 1).groupBy("segment_id", "norm", "stretch").applyInArrow(fold, schema)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, live, over = None, [], []  # observations of the key that may go on, and those that are over
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*over, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for segment, norm, time, text, confidence, *box in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (segment, norm) != key:
+                    over += live
+                    key, live = (segment, norm), []
+                ended = [o for o in live if time - o[8] > gap_ms]
+                if ended:
+                    over += ended
+                    live = [o for o in live if time - o[8] <= gap_ms]
+                o = next((o for o in reversed(live) if overlap(o, box) >= least_iou), None)
+                if o is None:
+                    live.append([segment, text, confidence, *box, time, time + hold_ms])
+                else:
+                    o[8] = time + hold_ms
+                    o[2] = max(o[2], confidence)
+            if over:
+                yield out()
+                over = []
+        over = live
+        if over:
+            yield out()
+
+    rows = raw.select("segment_id", "norm", "time_ms", "text", "confidence", "x", "y", "w", "h", "seq")
+    dealt = rows.repartition("segment_id", "norm").sortWithinPartitions("segment_id", "norm", "time_ms", "seq").drop("seq")
+    return dealt.mapInArrow(fold, "segment_id long, text string, confidence double, x double, y double, w double, h double, start_ms long, end_ms long")
 
 
 def sentence_tokens(lengths: list[int], tokens: list[int]) -> Iterator[tuple[int, int, int]]:
