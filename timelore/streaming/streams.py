@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,17 +102,22 @@ def job_states(events: DataFrame, late: str = "1 hour") -> DataFrame:
             state.remove()
             return
         status, attempt = state.get if state.exists else ("pending", -1)
+        parts = [[b[c].to_numpy() for c in ("ts", "event_id", "attempt", "new_status")] for b in batches]  # a job's events of one micro-batch
+        at, events, attempts, new = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((events, at))
+        events = events[order]
         out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():  # a job's events of one micro-batch
-            starts = r.new_status == "running" and status != "running" and r.attempt > attempt
-            ok = starts or (status == "running" and r.attempt == attempt)
+        for now, to in zip(attempts[order].tolist(), new[order], strict=True):
+            starts = to == "running" and status != "running" and now > attempt
+            ok = starts or (status == "running" and now == attempt)
             if ok:
-                status, attempt = r.new_status, int(r.attempt)
-            out.append((key[0], int(r.event_id), bool(ok), status, attempt))
+                status, attempt = to, int(now)
+            out.append((ok, status, attempt))
+        accepted, states, tries = zip(*out, strict=True)
         state.update((status, attempt))
         if status != "running":
             state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "accepted", "status", "attempt"])
+        yield pd.DataFrame({"job_id": key[0], "event_id": events, "accepted": accepted, "status": states, "attempt": tries})
 
     return events.withWatermark("ts", late).groupBy("job_id").applyInPandasWithState(step, schema, "status string, attempt int", "append", GroupStateTimeout.EventTimeTimeout)
 
