@@ -1,8 +1,9 @@
 """Steps that have to grow no faster than their input: what is moved, and work for whole batches instead of single rows."""
 
+import numpy as np
 import pyarrow as pa
 
-from timelore.operators import search, timeline
+from timelore.operators import details, library, search, textindex, timeline
 
 
 def plan(df):
@@ -64,3 +65,12 @@ def test_ocr_is_merged_without_a_group_for_each_stretch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert sorted(got) == sorted(want)
     assert "FlatMapGroupsInArrow" not in plan(merged) and "Window" not in plan(merged)
+
+
+def test_grams_are_ordered_by_their_characters():
+    for texts in (["banana", "", "ab", "bandana"], ["日本語の本", "a日本", "😀😀😀é"], [chr(0x4E00 + i) * 3 + chr(i + 33) for i in range(400)]):
+        points, text = textindex._points(texts)
+        for size in (1, 2, 3):
+            inside = text[: len(points) - size + 1] == text[size - 1 :]
+            key = sum(points[t : t + len(inside)] << 21 * (size - 1 - t) for t in range(size))[inside]
+            assert textindex._by_characters(points, inside, size).tolist() == np.argsort(key, kind="stable").tolist()

@@ -60,6 +60,22 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
 
 
+def _by_characters(points: np.ndarray, inside: np.ndarray, size: int) -> np.ndarray:
+    """The stable order of the grams that lie in one text: by one character after the other from the last, as 16-bit numbers of
+    those that occur, which numpy sorts in linear time."""
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    most = int(seen.sum())
+    number = (np.cumsum(seen) - 1)[points].astype(np.uint16 if most <= 1 << 16 else np.int64)
+    at = [number[t : t + len(inside)][inside] for t in range(size)]
+    while len(at) > 1 and most <= 1 << 8:
+        at, most = [*at[:-2], at[-2] << 8 | at[-1]], 1 << 16  # two characters in one number
+    order = np.argsort(at[-1], kind="stable")
+    for digit in reversed(at[:-1]):
+        order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
 def _gram_rows(points: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram key, text, times) of all grams of that many characters, by key and text."""
     n = len(points) - size + 1
@@ -68,7 +84,7 @@ def _gram_rows(points: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndar
     key = reduce(lambda k, t: k << 21 | points[t : t + n], range(1, size), points[:n])
     inside = text[:n] == text[size - 1 :]
     key, owner = key[inside], text[:n][inside]
-    order = np.argsort(key, kind="stable")
+    order = _by_characters(points, inside, size)
     key, owner = key[order], owner[order]
     first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))) if len(key) else np.zeros(0, np.int64)
     return key[first], owner[first], np.diff(np.append(first, len(key)))
