@@ -74,3 +74,20 @@ def test_grams_are_ordered_by_their_characters():
             inside = text[: len(points) - size + 1] == text[size - 1 :]
             key = sum(points[t : t + len(inside)] << 21 * (size - 1 - t) for t in range(size))[inside]
             assert textindex._by_characters(points, inside, size).tolist() == np.argsort(key, kind="stable").tolist()
+
+
+def test_dashboard_works_out_eligible_jobs_once(spark, monkeypatch):
+    calls = []
+    whole = library.eligible_jobs
+    monkeypatch.setattr(library, "eligible_jobs", lambda *a: calls.append(1) or whole(*a))
+    jobs = spark.createDataFrame(
+        [("a", 1, "s1", 1, "index_segment", "failed", 5.0, None), ("b", 1, "s2", 2, "describe_segment", "succeeded", 6.0, None), ("c", 2, "s3", 1, "index_segment", "failed", 7.0, "m"), ("d", 2, None, 0, "segment_asset", "running", 8.0, None)],
+        "job_id string, asset_id long, segment_id string, ordinal long, kind string, status string, updated_at double, message string",
+    )
+    segments = spark.createDataFrame([("s1", 1, 1, True, "r"), ("s2", 1, 2, True, "r"), ("s3", 2, 1, False, "old")], "segment_id string, asset_id long, ordinal long, is_active boolean, run_id string")
+    assets = spark.createDataFrame([(1, "x/one.mp4", "ready", None, False), (2, "two.mp4", "missing", 1.0, False)], "asset_id long, relative_path string, status string, invalidated_at double, is_excluded boolean")
+    runs = spark.createDataFrame([("r", "succeeded"), ("old", "running")], "run_id string, status string")
+    parts = details.job_dashboard(assets, segments, jobs, runs, jobs)
+    assert [(r.job_id, r.name, r.message) for r in parts["failures"].collect()] == [("c", "two.mp4", "m"), ("a", "one.mp4", library.UNKNOWN_ERROR)]
+    assert sorted((r.kind, r.succeeded, r.failed, r.total) for r in parts["progress"].collect()) == [("describe_segment", 1, 0, 1), ("index_segment", 0, 1, 1)]
+    assert len(calls) == 1

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelore.functions.columns import ascii_lower, snippet, timecode
+from timelore.functions.columns import ascii_lower, snippet, timecode, visible_ready
 from timelore.operators import library
+from timelore.sources import shared
 
 KINDS = ("visual", "transcript", "ocr")
 SUMMARY_CHARS, DETAIL_CHARS, MOST_DETAILS, MOST_TRANSCRIPTS = 200, 160, 2, 3
@@ -127,9 +128,15 @@ def library_snapshot(roots: DataFrame, assets: DataFrame, segments: DataFrame, j
 
 
 def job_dashboard(assets: DataFrame, segments: DataFrame, jobs: DataFrame, runs: DataFrame, stale: DataFrame) -> dict[str, DataFrame]:
-    """Failures, progress of both lanes and of segmentation, the number of stale descriptions, over one set of immutable tables."""
+    """Failures, progress of both lanes and of segmentation, the number of stale descriptions, over one set of immutable tables.
+
+    Which jobs are eligible is worked out once, and written for the failures and the lanes.
+    """
+    eligible = library.eligible_jobs(jobs, segments, runs).select("job_id", "asset_id", "segment_ordinal", "kind", "status", "message", "updated_at")
+    eligible = shared.materialise(eligible, "eligible")
+    seen = eligible.join(assets.filter(visible_ready()).select("asset_id"), "asset_id", "left_semi")
     return {
-        "failures": library.failed_jobs(jobs, assets, segments, runs), "progress": library.lane_progress(assets, jobs, segments, runs), "segmentation": library.segmentation_progress(assets, jobs),
+        "failures": library.latest_failures(eligible, assets), "progress": library.lane_counts(seen), "segmentation": library.segmentation_progress(assets, jobs),
         "stale": stale.agg(F.count("*").alias("stale_descriptions")),
     }
 

@@ -124,7 +124,11 @@ def processing_summaries(assets: DataFrame, segments: DataFrame, jobs: DataFrame
 def lane_progress(assets: DataFrame, jobs: DataFrame, segments: DataFrame, runs: DataFrame) -> DataFrame:
     """Per lane (job kinds of segments) on visible assets and eligible segments: counts by status, failed with cancelled, and the finished fraction."""
     lanes = jobs.filter(F.col("kind") != SEGMENT_JOB).join(assets.filter(visible_ready()).select("asset_id"), "asset_id", "left_semi")
-    here = eligible_jobs(lanes.unionByName(jobs.filter(F.col("kind") == SEGMENT_JOB)), segments, runs).filter(F.col("kind") != SEGMENT_JOB)
+    return lane_counts(eligible_jobs(lanes.unionByName(jobs.filter(F.col("kind") == SEGMENT_JOB)), segments, runs))
+
+
+def lane_counts(eligible: DataFrame) -> DataFrame:
+    here = eligible.filter(F.col("kind") != SEGMENT_JOB)
     status = F.col("status")
     out = here.groupBy("kind").agg(
         F.count_if(status == "pending").alias("pending"), F.count_if(status == "running").alias("running"),
@@ -208,7 +212,11 @@ def sort_key(listing: DataFrame, by: str, descending: bool = False) -> list[Colu
 
 def failed_jobs(jobs: DataFrame, assets: DataFrame, segments: DataFrame, runs: DataFrame, limit: int = 100) -> DataFrame:
     """The most recent failed or cancelled eligible jobs with the name of their asset, their segment's ordinal and message."""
-    bad = eligible_jobs(jobs, segments, runs).filter(F.col("status").isin("failed", "cancelled"))
+    return latest_failures(eligible_jobs(jobs, segments, runs), assets, limit)
+
+
+def latest_failures(eligible: DataFrame, assets: DataFrame, limit: int = 100) -> DataFrame:
+    bad = eligible.filter(F.col("status").isin("failed", "cancelled"))
     named = bad.join(assets.select("asset_id", basename(F.col("relative_path")).alias("name")), "asset_id")
     last = named.orderBy(F.desc("updated_at"), "job_id").limit(max(1, limit))
     return last.select("job_id", "asset_id", "name", "segment_ordinal", "kind", "status", F.coalesce("message", F.lit(UNKNOWN_ERROR)).alias("message"), "updated_at")
