@@ -4,10 +4,11 @@ Queries and vectors both stay tables. They are dealt out evenly, by a hash of th
 grid; the cell of a row and a column meets its vectors and queries in one task, so a cell's size is bounded (CELL_NUMBERS)
 and the plan is the same for any number of queries.
 
-In a cell, vectors with the same nearest pivot form blocks. A block has a centre c and a radius r, so no score of query q
+In a cell, vectors with the same nearest pivot form blocks; small cells have few pivots, so that blocks are worth a step.
+A block has a centre c and a radius r, so no score of query q
 there exceeds q.c + |q| r. Queries are taken in blocks too; a pair of blocks is skipped when the bound of none of its
 queries reaches that query's `most`-th score so far, which starts from the best of a sample of vectors. Pairs are tried in
-the order of their bounds. Pivots and sample (the SAMPLE vectors with the smallest hash) decide what is skipped, and
+the order of their bounds; of a pair only scores that reach their query's are looked at further. Pivots and sample (the SAMPLE vectors with the smallest hash) decide what is skipped, and
 never what is found.
 """
 
@@ -22,6 +23,10 @@ SAMPLE, PIVOTS = 2_048, 128
 #: Most numbers of vectors, and of queries, in a cell.
 CELL_NUMBERS, QUERY_NUMBERS = 1 << 23, 1 << 22
 BLOCK_QUERIES, BLOCK_VECTORS = 256, 1_024
+#: Rows of a block, as far as a cell has FEW_BLOCKS of them; below that, the least rows of one.
+WORTH_QUERIES, WORTH_VECTORS = 64, 256
+LEAST_QUERIES, LEAST_VECTORS = 8, 32
+FEW_QUERIES, FEW_VECTORS = 8, 32
 LEAST_CELL = 512
 EXACT_NUMBERS = 1 << 22
 SLACK = 1e-9
@@ -40,11 +45,16 @@ def _rows(values: np.ndarray, starts: np.ndarray, which: np.ndarray, n: int) ->
     return values[starts[which][:, None] + np.arange(n)]
 
 
-def nearest_pivots(v: np.ndarray, sample: np.ndarray | None) -> np.ndarray:
-    """The place of the nearest among the first PIVOTS sample vectors."""
+def pivots(n: int, worth: int, least: int, few: int) -> int:
+    """How many pivots n rows have."""
+    return max(1, min(PIVOTS, max(n // worth, min(n // least, few))))
+
+
+def nearest_pivots(v: np.ndarray, sample: np.ndarray | None, number: int = PIVOTS) -> np.ndarray:
+    """The place of the nearest among the first sample vectors."""
     out = np.zeros(len(v), np.int32)
-    if sample is not None:
-        p = sample[:PIVOTS]
+    if sample is not None and number > 1:
+        p = sample[:number]
         for at in range(0, len(v), 4_096):
             out[at : at + 4_096] = ((p * p).sum(axis=1) - 2 * v[at : at + 4_096] @ p.T).argmin(axis=1)
     return out
@@ -71,20 +81,41 @@ def _blocks(names: np.ndarray, pivot: np.ndarray, v: np.ndarray, most_rows: int)
 
 
 class Best:
-    """The best scores of a block of queries so far."""
+    """The best scores of a block of queries so far: (query, name, score), with some that the `most` best have passed."""
 
     def __init__(self, floor: np.ndarray, most: int):
         self.floor, self.most = floor.copy(), most
-        self.names = np.zeros((len(floor), 0), np.int64)
-        self.scores = np.zeros((len(floor), 0))
-
-    def add(self, names: np.ndarray, scores: np.ndarray) -> None:
-        self.names = np.concatenate([self.names, names], axis=1)
-        self.scores = np.concatenate([self.scores, scores], axis=1)
-        order = np.lexsort((self.names, -self.scores), axis=1)[:, : self.most]
-        self.names, self.scores = np.take_along_axis(self.names, order, 1), np.take_along_axis(self.scores, order, 1)
-        if self.scores.shape[1] == self.most:
-            self.floor = np.maximum(self.floor, self.scores[:, -1])
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.new = 0
+
+    def add(self, query: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        self.held.append((query, names, scores))
+        self.new += len(query)
+        if self.new * 4 >= self.most * len(self.floor):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best, by query, falling score and name."""
+        query, names, scores = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((names, -scores, query))
+        query = query[order]
+        first = np.searchsorted(query, np.arange(len(self.floor)))
+        on = np.arange(len(order)) - first[query] < self.most
+        query, names, scores = query[on], names[order[on]], scores[order[on]]
+        last = np.flatnonzero(np.bincount(query, minlength=len(self.floor)) == self.most)
+        ends = np.searchsorted(query, last, "right") - 1
+        self.floor[last] = np.fmax(self.floor[last], scores[ends])
+        self.held, self.new = [(query, names, scores)], 0
+        return self.held[0]
+
+
+def reaching(score: np.ndarray, floor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of unclamped scores that can be among the `most` best, with all that tie for the last place."""
+    least = np.where(floor - SLACK <= -1.0, -np.inf, floor - SLACK)[:, None]
+    on = ~(score < least)
+    if score.shape[1] > most and on.sum() > most * len(score):  # the floors are low still
+        on &= ~(score < np.minimum(np.partition(score, -most, axis=1)[:, [-most]], 1.0) - SLACK)
+    return np.nonzero(on)
 
 
 def met(queries: pa.Table, vectors: pa.Table, sample: dict[int, np.ndarray], most: int) -> pa.Table:
@@ -98,9 +129,9 @@ def met(queries: pa.Table, vectors: pa.Table, sample: dict[int, np.ndarray], mos
         qs, vs = np.flatnonzero(q_size == n), np.flatnonzero(v_size == n)
         all_v, all_q, near = _rows(v_values, v_starts, vs, n), _rows(q_values, q_starts, qs, n), sample.get(n)
         floor = floors(all_q, near, most)
-        blocks = _blocks(v_names[vs], nearest_pivots(all_v, near), all_v, BLOCK_VECTORS)
+        blocks = _blocks(v_names[vs], nearest_pivots(all_v, near, pivots(len(vs), WORTH_VECTORS, LEAST_VECTORS, FEW_VECTORS)), all_v, BLOCK_VECTORS)
         centres, radii = np.array([b[2] for b in blocks]), np.array([b[3] for b in blocks])
-        for own, q, _, _ in _blocks(q_names[qs], nearest_pivots(all_q, near), all_q, BLOCK_QUERIES):
+        for own, q, _, _ in _blocks(q_names[qs], nearest_pivots(all_q, near, pivots(len(qs), WORTH_QUERIES, LEAST_QUERIES, FEW_QUERIES)), all_q, BLOCK_QUERIES):
             length = np.sqrt((q * q).sum(axis=1))
             reach = q @ centres.T + length[:, None] * radii + SLACK * (1 + length[:, None])
             best, tried, skipped = Best(floor[own], most), 0, 0
@@ -111,22 +142,16 @@ def met(queries: pa.Table, vectors: pa.Table, sample: dict[int, np.ndarray], mos
                     continue
                 tried += 1
                 rows, v, _, _ = blocks[at]
-                score = np.clip(q @ v.T, -1.0, 1.0)
-                if score.shape[1] > most:
-                    least = np.partition(score, -most, axis=1)[:, [-most]] - SLACK
-                    wide = int((score >= least).sum(axis=1).max())  # with all that tie for the last place
-                else:
-                    wide = score.shape[1]
-                top = np.argpartition(score, -wide, axis=1)[:, -wide:] if wide < score.shape[1] else np.broadcast_to(np.arange(wide), score.shape)
-                step = max(1, EXACT_NUMBERS // (wide * n))
-                exact = np.concatenate([(v[top[i : i + step]] * q[i : i + step, None, :]).sum(axis=2) for i in range(0, len(q), step)])
-                best.add(v_names[vs[rows]][top], np.clip(exact, -1.0, 1.0))
-            k = best.scores.shape[1]
-            names = np.repeat(q_names[qs[own]], k)
+                one, other = reaching(q @ v.T, best.floor, most)
+                step = max(1, EXACT_NUMBERS // n)
+                exact = [(v[other[i : i + step]] * q[one[i : i + step]]).sum(axis=1) for i in range(0, len(one), step)]
+                best.add(one, v_names[vs[rows]][other], np.clip(np.concatenate([np.zeros(0), *exact]), -1.0, 1.0))
+            one, names_found, scores = best.cut()
+            names = q_names[qs[own]][one]
             note = np.zeros((2, len(names)), np.int64)
             if len(names):
                 note[:, 0] = tried, skipped
-            out.append((names, best.names.ravel(), best.scores.ravel(), *note))
+            out.append((names, names_found, scores, *note))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64, np.int64)]
     return pa.table(columns, names=["query_id", "segment_id", "score", "tried", "skipped"])
 
@@ -148,8 +173,9 @@ def grid(vectors: DataFrame, queries: DataFrame, most: int, cell_numbers: int =
     across = max(1, -(-n.q_numbers // query_numbers))
     deal = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts))
     cells = lambda others, place: F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), place)).alias("cell")
-    left = asked.select("*", cells(down, lambda row: row * F.lit(across) + deal(across, 1)))
-    right = rows.select("*", cells(across, lambda column: deal(down, 2) * F.lit(across) + column))
+    tasks = 4 * down * across  # by number, as cells are work that their bytes don't show; most are alone in a task
+    left = asked.select("*", cells(down, lambda row: row * F.lit(across) + deal(across, 1))).repartition(tasks, "cell")
+    right = rows.select("*", cells(across, lambda column: deal(down, 2) * F.lit(across) + column)).repartition(tasks, "cell")
     shared = spark.sparkContext.broadcast(sample)  # SAMPLE vectors
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(lambda a, b: met(a, b, shared.value, most), FOUND)
 
