@@ -99,3 +99,13 @@ def test_blocks_of_small_cells_are_worth_a_step():
     score = np.array([[0.1, 0.9, 0.5, 0.5], [2.0, 3.0, -5.0, 1.0]])
     assert [x.tolist() for x in vectorgrid.reaching(score, np.array([-np.inf, 0.95]), 2)] == [[0, 0, 0, 1, 1, 1], [1, 2, 3, 0, 1, 3]]
     assert [x.tolist() for x in vectorgrid.reaching(score, np.array([0.4, -1.0]), 4)] == [[0, 0, 0, 1, 1, 1, 1], [1, 2, 3, 0, 1, 2, 3]]
+
+
+def test_phrases_are_counted_in_one_pass_of_the_texts(spark):
+    found = QUERIES["indexed_phrases"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange hashpartitioning" not in plan
+    evidence = spark.createDataFrame(rows(11, 200), EVIDENCE)
+    asked = search.cleaned_rows(spark.createDataFrame(list(enumerate(TERMS + TERMS[:4])), "query_id long, query string"))
+    got, want = (sorted(map(tuple, x.collect())) for x in (search.phrase_counts(evidence, asked), search.indexed_matches(search.postings(evidence), asked, by_row=True)))
+    assert got == want and len({q for q, _, _ in got}) > 9

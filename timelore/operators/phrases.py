@@ -76,6 +76,8 @@ class Trie:
         first = self.step(np.zeros(self.width, np.int64), np.arange(self.width))
         pairs = self.step(np.repeat(first, self.width), np.tile(np.arange(self.width), self.width))
         self.pairs = np.where(np.repeat(first, self.width) > 0, pairs, 0).astype(np.int32 if self.table is not None else np.int64)
+        self.begun = self.pairs > 0
+        self.code = np.uint16 if self.width <= 256 else np.int32
         self.single = self.term[first] if (self.term[first] >= 0).any() else None  # the root has no term
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -97,9 +99,11 @@ class Trie:
             term = self.single[ids[:n]]
             at = np.flatnonzero(term >= 0)
             found.append((at, term[at]))
-        node = self.pairs[ids[:n].astype(np.int32) * self.width + ids[1 : n + 1]]
-        at = np.flatnonzero(node)
-        node, depth = node[at], 2
+        code = ids[:n].astype(self.code)
+        code *= self.code(self.width)
+        code += ids[1 : n + 1]
+        at = np.flatnonzero(self.begun[code]).astype(np.int32)
+        node, depth = self.pairs[code[at]], 2
         while len(at):
             term = self.term[node]
             whole = np.flatnonzero(term >= 0)
@@ -108,7 +112,7 @@ class Trie:
             if depth == self.longest:
                 break
             node = self.step(node, ids[at + depth])
-            on = np.flatnonzero(node)
+            on = node > 0
             at, node, depth = at[on], node[on], depth + 1
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
