@@ -82,7 +82,7 @@ def test_texts_in_several_blocks_and_plans_without_nested_loops(spark, monkeypat
     assert sorted(map(str, search.joined_matches(evidence, asked).collect())) == sorted(map(str, one.collect()))
 
 
-@pytest.mark.parametrize("name", ["search_json", "fallback_search", "literal_search", "hybrid_search"])
+@pytest.mark.parametrize("name", ["search_json", "fallback_search", "literal_search", "hybrid_search", "search_lines"])
 def test_a_batch_of_searches_writes_no_index(spark, tmp_path, monkeypatch, name):
     """What it writes are ids; the index was several times the texts."""
     monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")

@@ -77,14 +77,6 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(path, bytes, time of change) of a file, or of all files in a folder of files."""
-    fs, p = _folder(spark, path)
-    status = fs.getFileStatus(p)
-    found = fs.listStatus(p) if status.isDirectory() else [status]
-    return sorted((s.getPath().toString(), int(s.getLen()), int(s.getModificationTime())) for s in found)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _folder(spark, path)
     fs.delete(p, True)
